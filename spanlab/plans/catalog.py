@@ -239,3 +239,43 @@ def q_e11_distinct_texts(spark, sf):
 
 def queries() -> dict[str, Query]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}
+
+
+# --- balancing (§2.9) -------------------------------------------------------
+from spanlab.operators import balance as BA  # noqa: E402
+
+
+def q_g1_split_exact(spark, sf):
+    return BA.split_exact(V.prepared_class(spark, sf).select("tweet_id", "target_text")).select("tweet_id", "split")
+
+
+def q_f2_first_half(spark, sf):
+    p = V.prepared_spans(spark, sf).select("tweet_id", T.label_name("target_text").alias("label"))
+    return BA.first_half(p, by="label").select("tweet_id", "label", "_first")
+
+
+def q_w3_dense_index(spark, sf):
+    from spanlab.operators.exactk import dense_index
+
+    p = V.prepared_class(spark, sf).select("tweet_id", "target_text")
+    return dense_index(p, BA.order_key(25, "tweet_id"), "target_text", "tweet_id", "idx")
+
+
+def q_g2_oversample(spark, sf):
+    p = V.prepared_class(spark, sf).select("tweet_id", "target_text")
+    return BA.oversample(p, "target_text").select("tweet_id", "target_text", "draw")
+
+
+def q_g3_undersample(spark, sf):
+    p = V.prepared_class(spark, sf).select("tweet_id", "target_text")
+    return BA.undersample(p, "target_text").select("tweet_id", "target_text")
+
+
+def q_g4_balance_two_stage(spark, sf):
+    p = V.prepared_spans(spark, sf).select("tweet_id", T.label_name("target_text").alias("label"))
+    return BA.balance_two_stage(p, "label", T.NEGATIVE_SPAN).select("tweet_id", "label", "draw")
+
+
+def q_g4_balanced_sizes(spark, sf):
+    p = V.prepared_spans(spark, sf).select("tweet_id", T.label_name("target_text").alias("label"))
+    return AG.class_sizes(BA.balance_two_stage(p, "label", T.NEGATIVE_SPAN), "label")

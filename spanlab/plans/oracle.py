@@ -348,4 +348,58 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
         "SELECT CASE WHEN target_text IS DISTINCT FROM 'none' THEN 'ade' ELSE 'none' END AS label, count(*) AS n FROM prepared_spans GROUP BY 1"
     )
     q["e11_distinct_texts"] = _with("SELECT count(DISTINCT tweet) AS n_distinct FROM texts")
+    _balance_queries(q)
     return q
+
+
+def _over_sql(src: str, label: str, out: str, seed: int = 25) -> str:
+    """Oversampling of ``src(tweet_id, <label>)`` → ``out(tweet_id, <label>, draw)``."""
+    return f"""
+{out}_sizes AS (SELECT {label}, count(*) AS n FROM {src} GROUP BY 1),
+{out}_need AS (SELECT {label}, n, (SELECT max(n) FROM {out}_sizes) - n AS d FROM {out}_sizes),
+{out}_draws AS (SELECT {label}, n, unnest(range(0, d)) AS draw FROM {out}_need WHERE d > 0),
+{out}_d2 AS (SELECT {label}, draw, ('0x' || substr(md5('{seed}:draw:' || {label} || ':' || CAST(draw AS VARCHAR)), 1, 15))::BIGINT % n AS idx FROM {out}_draws),
+{out}_idx AS (SELECT tweet_id, {label}, row_number() OVER (PARTITION BY {label} ORDER BY md5('{seed}:' || tweet_id), tweet_id) - 1 AS idx FROM {src}),
+{out} AS (SELECT tweet_id, {label}, NULL::BIGINT AS draw FROM {src}
+          UNION ALL SELECT i.tweet_id, i.{label}, d.draw FROM {out}_idx i JOIN {out}_d2 d USING ({label}, idx))"""
+
+
+def _under_sql(src: str, label: str, out: str, seed: int = 25) -> str:
+    """Undersampling of ``src(tweet_id, <label>, draw)`` → ``out`` (same columns)."""
+    return f"""
+{out}_k AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM {src} GROUP BY {label})),
+{out} AS (SELECT tweet_id, {label}, draw FROM (
+    SELECT *, row_number() OVER (PARTITION BY {label} ORDER BY md5('{seed}:under:' || tweet_id || ':' || coalesce(CAST(draw AS VARCHAR), '-1')), tweet_id, draw) AS rn
+    FROM {src}) WHERE rn <= (SELECT k FROM {out}_k))"""
+
+
+def _balance_queries(q: dict) -> None:
+    q["g1_split_exact"] = _with(
+        "SELECT tweet_id, CASE WHEN row_number() OVER (ORDER BY md5('25:' || tweet_id), tweet_id) <= "
+        "(SELECT ceil(0.2::DOUBLE * count(*)) FROM prepared_class) THEN 'val' ELSE 'train' END AS split FROM prepared_class"
+    )
+    lab = "lab AS (SELECT tweet_id, CASE WHEN target_text IS DISTINCT FROM 'none' THEN 'ade' ELSE 'none' END AS label FROM prepared_spans)"
+    q["f2_first_half"] = _with(
+        "SELECT tweet_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('25:' || tweet_id), tweet_id) "
+        "<= (count(*) OVER (PARTITION BY label)) // 2 AS _first FROM lab",
+        lab,
+    )
+    q["w3_dense_index"] = _with(
+        "SELECT tweet_id, target_text, row_number() OVER (PARTITION BY target_text ORDER BY md5('25:' || tweet_id), tweet_id) - 1 AS idx FROM prepared_class"
+    )
+    pc = "pc AS (SELECT tweet_id, target_text FROM prepared_class)"
+    q["g2_oversample"] = _with("SELECT * FROM over1", pc + "," + _over_sql("pc", "target_text", "over1"))
+    pcd = "pcd AS (SELECT tweet_id, target_text, NULL::BIGINT AS draw FROM prepared_class)"
+    q["g3_undersample"] = _with("SELECT tweet_id, target_text FROM under1", pcd + "," + _under_sql("pcd", "target_text", "under1"))
+    two = (
+        lab
+        + """,
+neg_r AS (SELECT *, row_number() OVER (ORDER BY md5('25:' || tweet_id), tweet_id) AS rn, count(*) OVER () AS nn FROM lab WHERE label = 'none'),
+stage1 AS (SELECT tweet_id, label FROM lab WHERE label IS DISTINCT FROM 'none' UNION ALL SELECT tweet_id, label FROM neg_r WHERE rn <= nn // 2),"""
+        + _over_sql("stage1", "label", "over2")
+        + """,
+stage2 AS (SELECT * FROM over2 UNION ALL SELECT tweet_id, label, NULL::BIGINT FROM neg_r WHERE rn > nn // 2),"""
+        + _under_sql("stage2", "label", "bal")
+    )
+    q["g4_balance_two_stage"] = _with("SELECT * FROM bal", two)
+    q["g4_balanced_sizes"] = _with("SELECT label, count(*) AS n FROM bal GROUP BY 1", two)
