@@ -279,3 +279,68 @@ def q_g4_balance_two_stage(spark, sf):
 def q_g4_balanced_sizes(spark, sf):
     p = V.prepared_spans(spark, sf).select("tweet_id", T.label_name("target_text").alias("label"))
     return AG.class_sizes(BA.balance_two_stage(p, "label", T.NEGATIVE_SPAN), "label")
+
+
+# --- augmentation (§2.10) ---------------------------------------------------
+from spanlab.operators import augment as AU  # noqa: E402
+
+
+def _positives(spark, sf):
+    p = V.prepared_class(spark, sf)
+    return p.filter(F.col("target_text") == T.POSITIVE_CLASS_TEXT)
+
+
+def _synonyms(spark, sf):
+    return AU.synonym_table_from_corpus(V.prepared_class(spark, sf), "input_text", 200)
+
+
+def q_h0_synonym_table(spark, sf):
+    return _synonyms(spark, sf)
+
+
+def q_h1_synonym_replace(spark, sf):
+    return AU.synonym_replace(_positives(spark, sf), _synonyms(spark, sf)).select("tweet_id", "augmented")
+
+
+def q_h2_random_delete(spark, sf):
+    return AU.random_delete(_positives(spark, sf)).select("tweet_id", "augmented")
+
+
+def q_h3_random_swap(spark, sf):
+    return AU.random_swap(_positives(spark, sf)).select("tweet_id", "augmented")
+
+
+def q_h4_random_insert(spark, sf):
+    return AU.random_insert(_positives(spark, sf), _synonyms(spark, sf)).select("tweet_id", "augmented")
+
+
+def q_h5_lexical_replace(spark, sf):
+    return AU.lexical_replace(_positives(spark, sf), _synonyms(spark, sf)).select("tweet_id", "augmented")
+
+
+def _quota(spark, sf):
+    p = V.prepared_class(spark, sf)
+    stats = p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_text") == T.POSITIVE_CLASS_TEXT).alias("pos")).first()
+    return max(0, stats["n"] // 5 - stats["pos"])
+
+
+def q_h6_augment_to(spark, sf):
+    return AU.augment_to(_positives(spark, sf), _quota(spark, sf), "rd")
+
+
+def q_h7_append_augmented(spark, sf):
+    texts = AU.random_delete(_positives(spark, sf)).select("augmented").distinct()
+    return AU.append_augmented(V.prepared_class(spark, sf), texts, "rd", T.CLASS_PREFIX)
+
+
+def q_h8_markov_table(spark, sf):
+    return AU.markov_table(_positives(spark, sf), "input_text")
+
+
+def q_h9_markov_generate(spark, sf):
+    return AU.markov_generate(_positives(spark, sf), 50, tries=4)
+
+
+def q_h10_augment_spans(spark, sf):
+    spans = V.prepared_spans(spark, sf)
+    return AU.augment_spans(spans, _synonyms(spark, sf), n=_quota(spark, sf))

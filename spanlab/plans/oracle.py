@@ -349,9 +349,94 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
     )
     q["e11_distinct_texts"] = _with("SELECT count(DISTINCT tweet) AS n_distinct FROM texts")
     _balance_queries(q)
+    _augment_queries(q)
     return q
 
 
+def _key(*parts: str) -> str:
+    """md5 of '25' and the parts joined by ':' (parts are SQL expressions)."""
+    return "md5('25' || " + " || ".join(f"':' || {p}" for p in parts) + ")"
+
+
+def _draw(key: str, n: str) -> str:
+    return f"(('0x' || substr({key}, 1, 15))::BIGINT % ({n}))"
+
+
+def _unit(key: str) -> str:
+    return f"(('0x' || substr({key}, 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)"
+
+
+def _augment_queries(q: dict) -> None:
+    ws = _q(T.WHITESPACE_RUN)
+    words = f"string_split(trim(regexp_replace(input_text, {ws}, ' ', 'g')), ' ')"
+    syn = f"""
+syn_words AS (SELECT unnest({words}) AS word FROM prepared_class),
+syn_top AS (SELECT word, count(*) AS n FROM syn_words WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 200),
+syn_rank AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS r FROM syn_top),
+synonyms AS (SELECT DISTINCT a.word, CASE WHEN a.r % 3 = 0 THEN 'v' ELSE 'n' END AS pos, b.word AS synonym
+             FROM syn_rank a JOIN syn_rank b ON b.r = CASE WHEN a.r % 2 = 1 THEN a.r + 1 ELSE a.r - 1 END OR b.r = a.r % 200 + 1
+             WHERE a.word <> b.word),
+pos_rows AS (SELECT tweet_id, input_text, {words} AS w FROM prepared_class WHERE target_text = {_q(T.POSITIVE_CLASS_TEXT)})"""
+    q["h0_synonym_table"] = _with("SELECT * FROM synonyms", syn)
+
+    def choices(tag: str, pos: str | None = None) -> str:
+        cond = f"WHERE s.pos = {_q(pos)}" if pos else ""
+        return f"""
+ch_{tag}_w AS (SELECT DISTINCT tweet_id, unnest(w) AS word FROM pos_rows),
+ch_{tag}_s AS (SELECT DISTINCT s.word, s.synonym FROM synonyms s {cond}),
+ch_{tag} AS (SELECT d.tweet_id, d.word, arg_min(s.synonym, {_key('d.tweet_id', _q(tag), 'd.word', 's.synonym').replace("'25' || ':' || d.tweet_id || ':' || " + _q(tag), "'25' || ':' || " + _q(tag) + " || ':' || d.tweet_id")}) AS synonym
+             FROM ch_{tag}_w d JOIN ch_{tag}_s s USING (word) GROUP BY ALL)"""
+
+    # H1: one word per text (lowest pick hash) replaced everywhere.
+    q["h1_synonym_replace"] = _with(
+        f"""SELECT p.tweet_id, array_to_string(CASE WHEN c.word IS NULL THEN p.w ELSE list_transform(p.w, lambda t: CASE WHEN t = c.word THEN c.synonym ELSE t END) END, ' ') AS augmented
+            FROM pos_rows p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY tweet_id ORDER BY {_key(_q('sr-pick'), 'tweet_id', 'word')}, word) AS rn FROM ch_sr) WHERE rn = 1) c USING (tweet_id)""",
+        syn + "," + choices("sr"),
+    )
+    kept = f"list_filter(w, lambda t, i: {_unit(_key(_q('rd'), 'tweet_id', 'CAST(i - 1 AS VARCHAR)'))} >= 0.2::DOUBLE)"
+    keep_one = f"[w[{_draw(_key(_q('rd-keep'), 'tweet_id'), 'len(w)')} + 1]]"
+    q["h2_random_delete"] = _with(
+        f"SELECT tweet_id, array_to_string(CASE WHEN len(w) <= 1 THEN w WHEN len({kept}) = 0 THEN {keep_one} ELSE {kept} END, ' ') AS augmented FROM pos_rows",
+        syn,
+    )
+    i = _draw(_key(_q("rs-a"), "tweet_id"), "len(w)")
+    j = f"(({i} + 1 + {_draw(_key(_q('rs-b'), 'tweet_id'), 'greatest(len(w) - 1, 1)')}) % len(w))"
+    q["h3_random_swap"] = _with(
+        f"""SELECT tweet_id, array_to_string(CASE WHEN len(w) <= 1 THEN w ELSE list_transform(w, lambda t, k: CASE WHEN k - 1 = si THEN w[sj + 1] WHEN k - 1 = sj THEN w[si + 1] ELSE t END) END, ' ') AS augmented
+            FROM (SELECT *, {i} AS si, {j} AS sj FROM pos_rows WHERE len(w) > 1 UNION ALL SELECT *, 0, 0 FROM pos_rows WHERE len(w) <= 1)""",
+        syn,
+    )
+    at = f"CAST({_draw(_key(_q('ri-pos'), 'tweet_id'), 'len(w) + 1')} + 1 AS BIGINT)"
+    q["h4_random_insert"] = _with(
+        f"""SELECT p.tweet_id, array_to_string(CASE WHEN c.synonym IS NULL THEN p.w ELSE list_concat(p.w[1:{at.replace('tweet_id', 'p.tweet_id').replace('len(w)', 'len(p.w)')} - 1], [c.synonym], p.w[{at.replace('tweet_id', 'p.tweet_id').replace('len(w)', 'len(p.w)')}:]) END, ' ') AS augmented
+            FROM pos_rows p LEFT JOIN (SELECT tweet_id, arg_min(synonym, ({_key(_q('ri-pick'), 'tweet_id', 'word')}, word)) AS synonym FROM ch_ri GROUP BY tweet_id) c USING (tweet_id)""",
+        syn + "," + choices("ri"),
+    )
+    q["h5_lexical_replace"] = _with(
+        f"""SELECT p.tweet_id, array_to_string(list_transform(p.w, lambda t, i: CASE WHEN {_unit(_key(_q('wn'), 'p.tweet_id', 'CAST(i - 1 AS VARCHAR)'))} < 0.5::DOUBLE
+                   AND len(list_filter(coalesce(c.m, []), lambda e: e.word = t)) > 0 THEN list_filter(c.m, lambda e: e.word = t)[1].synonym ELSE t END), ' ') AS augmented
+            FROM pos_rows p LEFT JOIN (SELECT tweet_id, list({{'word': word, 'synonym': synonym}}) AS m FROM ch_wn GROUP BY tweet_id) c USING (tweet_id)""",
+        syn + "," + choices("wn", "v"),
+    )
+    q["h7_append_augmented"] = _with(
+        f"""SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_class
+            UNION ALL SELECT 'rd_augmented_' || CAST(row_number() OVER (ORDER BY md5('25:' || augmented), augmented) - 1 AS VARCHAR), augmented,
+                   {_q(T.CLASS_PREFIX)}, augmented, {_q(T.POSITIVE_CLASS_TEXT)}
+            FROM (SELECT DISTINCT array_to_string(CASE WHEN len(w) <= 1 THEN w WHEN len({kept}) = 0 THEN {keep_one} ELSE {kept} END, ' ') AS augmented FROM pos_rows)""",
+        syn,
+    )
+    lines = f"string_split(trim(regexp_replace(l, {ws}, ' ', 'g')), ' ')"
+    q["h8_markov_table"] = _with(
+        f"""SELECT state, nxt AS next, count(*) AS count FROM (
+              SELECT array_to_string(p[k - 2:k - 1], ' ') AS state, p[k] AS nxt FROM (
+                SELECT p, unnest(range(3, len(p) + 1)) AS k FROM (
+                  SELECT ['___BEGIN__', '___BEGIN__'] || lw || ['___END__'] AS p FROM (
+                    SELECT {lines} AS lw FROM (SELECT unnest(string_split(input_text, chr(10))) AS l FROM pos_rows)) WHERE lw[1] <> '')))
+            GROUP BY ALL""",
+        syn,
+    )
+
+
 def _over_sql(src: str, label: str, out: str, seed: int = 25) -> str:
     """Oversampling of ``src(tweet_id, <label>)`` → ``out(tweet_id, <label>, draw)``."""
     return f"""
