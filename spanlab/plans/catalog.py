@@ -344,3 +344,42 @@ def q_h9_markov_generate(spark, sf):
 def q_h10_augment_spans(spark, sf):
     spans = V.prepared_spans(spark, sf)
     return AU.augment_spans(spans, _synonyms(spark, sf), n=_quota(spark, sf))
+
+
+# --- progress logs (M1) -----------------------------------------------------
+from spanlab.operators import runs as RU  # noqa: E402
+
+
+def q_m1_best_checkpoint(spark, sf):
+    return RU.best_checkpoint(V.progress_log(spark, sf), patience=3)
+
+
+# --- model rows, prediction, run evaluation (B16, L1, L3) -------------------
+from spanlab.operators import encode as EC  # noqa: E402
+from spanlab.operators import predict as PD  # noqa: E402
+
+
+def q_b16_encode_fixed(spark, sf):
+    p = V.prepared_class(spark, sf)
+    vocab = EC.vocab_from_corpus(p, "input_text", 1000)
+    return EC.encode_fixed(p, vocab, max_len=130)
+
+
+def q_l1_predict_batches(spark, sf):
+    p = V.prepared_class(spark, sf)
+    return PD.predict_batches(p, PD.rule_factory("classification")).select("tweet_id", "predicted_text")
+
+
+def _l3(spark, sf):
+    rows = PR.apply_prompts(V.prepared_spans(spark, sf)).filter(F.col("prompt") == "prompt2")
+    return PD.evaluate_run(rows, PD.rule_factory("prompt", "prompt2"), prompt="prompt2")
+
+
+def q_l3_predictions(spark, sf):
+    preds, _ = _l3(spark, sf)
+    return preds.select("tweet_id", "target_text", "predicted_text")
+
+
+def q_l3_evaluate_run(spark, sf):
+    _, metrics = _l3(spark, sf)
+    return metrics["span_scores"]

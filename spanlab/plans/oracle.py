@@ -172,7 +172,7 @@ def _greedy_sql(g: str, p: str) -> str:
     )
 
 
-def _eval_spans_sql(keep: str) -> str:
+def _eval_spans_sql(keep: str, src: str = "eval_table") -> str:
     row = lambda gold, pred, pa, ex: f"{{'gold': {gold}, 'pred': {pred}, 'partial': {pa}, 'exact': {ex}, 'strict': {ex}}}"
     ge, pe = "gs[q.gi + 1]", "ps[q.pj + 1]"
     matched = f"list_transform(fold.m, lambda q: {row(ge, pe, partial_sql(ge, pe), exact_sql(ge, pe))})"
@@ -180,7 +180,7 @@ def _eval_spans_sql(keep: str) -> str:
     left_p = f"list_transform(list_filter(range(0, len(ps)), lambda k: NOT list_contains(fold.up, k)), lambda k: {row(_q('none'), 'ps[k + 1]', _q('SPU'), _q('SPU'))})"
     return f"""
 x0 AS (SELECT {keep}, coalesce(lower(gold_labels), 'none') AS g, coalesce(lower(pred_labels), 'none') AS p,
-              {split_spans_sql('gold_labels')} AS gs, {split_spans_sql('pred_labels')} AS ps FROM eval_table),
+              {split_spans_sql('gold_labels')} AS gs, {split_spans_sql('pred_labels')} AS ps FROM {src}),
 x1 AS (SELECT *, CASE WHEN len(gs) > 0 AND len(ps) > 0 THEN {_greedy_sql('gs', 'ps')} END AS fold FROM x0),
 x2 AS (SELECT {keep}, CASE
    WHEN len(gs) = 0 AND len(ps) = 0 THEN [{row('g', 'p', _q('COR'), _q('COR'))}]
@@ -350,9 +350,71 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
     q["e11_distinct_texts"] = _with("SELECT count(DISTINCT tweet) AS n_distinct FROM texts")
     _balance_queries(q)
     _augment_queries(q)
+    q["m1_best_checkpoint"] = m1_sql(patience=3)
+    _model_queries(q)
     return q
 
 
+def _model_queries(q: dict) -> None:
+    ws = _q(T.WHITESPACE_RUN)
+    mi = "prefix || ': ' || input_text"
+    words = lambda e: f"string_split(trim(regexp_replace({e}, {ws}, ' ', 'g')), ' ')"
+    vocab = f"""
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS INTEGER) AS id FROM (
+  SELECT token, count(*) AS n FROM (SELECT unnest({words('input_text')}) AS token FROM prepared_class) WHERE token <> ''
+  GROUP BY token ORDER BY n DESC, token LIMIT 1000)),
+toks AS (SELECT tweet_id, 0 AS side, unnest(list_transform({words(mi)}[1:129], lambda t, i: {{'pos': i, 'token': t}})) AS x FROM prepared_class
+         UNION ALL SELECT tweet_id, 1, unnest(list_transform({words('target_text')}[1:129], lambda t, i: {{'pos': i, 'token': t}})) FROM prepared_class),
+looked AS (SELECT tweet_id, side, x.pos AS pos, coalesce(v.id, 2) AS id FROM toks LEFT JOIN vocab v ON v.token = x.token),
+grouped AS (SELECT tweet_id, list(id ORDER BY pos) FILTER (WHERE side = 0) AS s, list(id ORDER BY pos) FILTER (WHERE side = 1) AS t FROM looked GROUP BY tweet_id)"""
+    pad = lambda arr, v: f"list_concat({arr}, [1], list_transform(range(0, 130 - len({arr}) - 1), lambda z: {v}))"
+    q["b16_encode_fixed"] = _with(
+        f"""SELECT tweet_id, {pad('s', 0)} AS input_ids,
+                   list_concat(list_transform(range(0, len(s) + 1), lambda z: 1), list_transform(range(0, 130 - len(s) - 1), lambda z: 0)) AS attention_mask,
+                   {pad('t', -100)} AS labels FROM grouped""",
+        vocab,
+    )
+    q["l1_predict_batches"] = _with(
+        f"SELECT tweet_id, CASE WHEN substr(md5({mi}), 1, 1) IN ('0','1','2','3') THEN {_q(T.POSITIVE_CLASS_TEXT)} ELSE {_q(T.NEGATIVE_CLASS_TEXT)} END AS predicted_text FROM prepared_class"
+    )
+    p2 = next(p for p in PR.PROMPTS if p["prompt"] == "prompt2")
+    marker = _q(p2["marker"])
+    unwrap = lambda e: f"CASE WHEN contains({e}, {marker}) THEN trim(replace({e}, {marker}, ''), '.') ELSE 'none' END"
+    l3 = f"""
+l3_in AS (SELECT tweet_id, {_q(T.SPAN_PREFIX)} || ': ' || replace({_q(p2['input_tpl'])}, '{{}}', input_text) AS mi,
+                 CASE WHEN target_text = 'none' THEN {_q(p2['neg_tpl'])} ELSE replace({_q(p2['pos_tpl'])}, '{{}}', target_text) END AS target_text
+          FROM prepared_spans),
+l3_pred AS (SELECT tweet_id, target_text, CASE WHEN substr(md5(mi), 1, 1) IN ('0','1','2','3','4','5','6','7')
+                 THEN replace({_q(p2['pos_tpl'])}, '{{}}', array_to_string(string_split(mi, ' ')[2:4], ' ')) ELSE {_q(p2['neg_tpl'])} END AS predicted_text FROM l3_in),
+l3_table AS (SELECT tweet_id, {unwrap('target_text')} AS gold_labels, {unwrap('predicted_text')} AS pred_labels FROM l3_pred)"""
+    q["l3_predictions"] = _with("SELECT tweet_id, gold_labels AS target_text, pred_labels AS predicted_text FROM l3_table", l3)
+    q["l3_evaluate_run"] = _with("SELECT * FROM scores", l3 + "," + _eval_spans_sql("tweet_id", "l3_table") + "," + _scores_sql(""))
+
+
+def m1_sql(patience: int = 3, delta: float = 0.0) -> str:
+    """M1 as a recursive CTE: one evaluation per recursion step and run."""
+    b0 = "CASE WHEN r.best IS NULL OR r.best = 0 THEN e.v ELSE r.best END"
+    bs0 = "CASE WHEN r.best IS NULL OR r.best = 0 THEN e.step ELSE r.best_step END"
+    imp = f"(CASE WHEN ({b0}) <> 0 THEN e.v - ({b0}) < {delta}::DOUBLE ELSE e.v - ({b0}) > {delta}::DOUBLE END)"
+    counts = "(NOT e.e)"
+    return f"""WITH RECURSIVE {views()},
+plog AS (SELECT 'run_' || CAST(user_id AS VARCHAR) AS run, ts, event_id, CAST(value AS DOUBLE) AS v, coalesce(event_type = 'view', false) AS e
+         FROM events WHERE user_id IS NOT NULL),
+ev AS (SELECT run, row_number() OVER (PARTITION BY run ORDER BY ts, event_id) AS step, v, e FROM plog),
+rec(run, step, best, best_step, cnt, stop) AS (
+  SELECT DISTINCT run, 0::BIGINT, NULL::DOUBLE, NULL::BIGINT, 0::BIGINT, NULL::BIGINT FROM ev
+  UNION ALL
+  SELECT r.run, e.step,
+         CASE WHEN {imp} THEN e.v ELSE {b0} END,
+         CASE WHEN {imp} THEN e.step ELSE {bs0} END,
+         CASE WHEN {imp} THEN 0 WHEN {counts} AND r.cnt < {patience} THEN r.cnt + 1 ELSE r.cnt END,
+         CASE WHEN NOT {imp} AND {counts} AND r.cnt >= {patience} THEN e.step END
+  FROM rec r JOIN ev e ON e.run = r.run AND e.step = r.step + 1
+  WHERE r.stop IS NULL)
+SELECT run, step AS n_evals, best_step, best AS best_value, stop AS stop_step
+FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY step DESC) AS rn FROM rec WHERE step > 0) WHERE rn = 1"""
+
+
 def _key(*parts: str) -> str:
     """md5 of '25' and the parts joined by ':' (parts are SQL expressions)."""
     return "md5('25' || " + " || ".join(f"':' || {p}" for p in parts) + ")"
