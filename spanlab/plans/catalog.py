@@ -383,3 +383,49 @@ def q_l3_predictions(spark, sf):
 def q_l3_evaluate_run(spark, sf):
     _, metrics = _l3(spark, sf)
     return metrics["span_scores"]
+
+
+# --- sources and sinks (A1–A8) ----------------------------------------------
+from spanlab.sources import io as IO  # noqa: E402
+from spanlab.session import scratch_path  # noqa: E402
+
+
+def q_a1_read_tsv(spark, sf):
+    path = scratch_path(spark, "class-tsv")
+    V.class_labels(spark, sf).write.mode("overwrite").option("sep", "\t").csv(path)
+    return IO.read_tsv(spark, path, IO.CLASS_SCHEMA)
+
+
+def q_a3_csv_roundtrip(spark, sf):
+    path = scratch_path(spark, "prepared-csv")
+    IO.write_csv(V.prepared_spans(spark, sf), path, ["tweet_id", "tweet", "prefix", "input_text", "target_text"])
+    return IO.read_csv(spark, path)
+
+
+def _write_runs(spark, sf, runs_df, names):
+    root = scratch_path(spark, "runs")
+    cols = ["tweet_id", "tweet", "prefix", "input_text", "target_text", "predicted_text"]
+    for name in names:  # one folder per run, as the run directories of the reference
+        IO.write_csv(runs_df.filter(F.col("run") == name), f"{root}/{name}/{IO.PREDICTIONS_FILE}", cols)
+    return root
+
+
+def q_a4_read_runs(spark, sf):
+    root = _write_runs(spark, sf, V.span_runs(spark, sf), V.SPAN_RUNS)
+    return IO.read_runs(spark, root).select("run", "tweet_id", "predicted_text")
+
+
+def q_a6_load_ensemble(spark, sf):
+    root = _write_runs(spark, sf, V.span_runs(spark, sf), V.SPAN_RUNS)
+    cfg_path = scratch_path(spark, "ensemble-config")
+    IO.write_config(spark, cfg_path, root, V.SPAN_RUNS, "ner_ensemble")
+    cfg = IO.load_ensemble(spark, cfg_path)
+    runs = IO.read_runs(spark, cfg["input_dir"], cfg["predictions"])
+    return EN.run_ensemble(runs, cfg["predictions"]).select("tweet_id", "predicted_text", "tweet")
+
+
+def q_a8_write_submission(spark, sf):
+    path = scratch_path(spark, "submission")
+    ens = EN.run_ensemble(V.span_runs(spark, sf), V.SPAN_RUNS)
+    IO.write_submission(SU.submission_rows(ens, "detection"), path)
+    return IO.read_tsv(spark, path, IO.SUBMISSION_SCHEMA, multi_line=True)

@@ -352,6 +352,12 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
     _augment_queries(q)
     q["m1_best_checkpoint"] = m1_sql(patience=3)
     _model_queries(q)
+    q["a1_read_tsv"] = _with("SELECT tweet_id, label FROM class_labels")
+    q["a3_csv_roundtrip"] = _with("SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_spans")
+    # A CSV round trip reads an empty field as null (as the pandas reader does).
+    q["a4_read_runs"] = _with("SELECT run, tweet_id, NULLIF(predicted_text, '') AS predicted_text FROM span_runs")
+    q["a6_load_ensemble"] = q["d2_attach_text"]
+    q["a8_write_submission"] = q["b14_submission_spans"]
     return q
 
 
