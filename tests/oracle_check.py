@@ -11,6 +11,7 @@ import sys
 import time
 
 sys.path.insert(0, __file__.rsplit("/tests/", 1)[0])
+sys.path.insert(0, __file__.rsplit("/", 1)[0])
 
 import duckdb  # noqa: E402
 
