@@ -17,12 +17,16 @@ COR, INC, PAR, MIS, SPU = "COR", "INC", "PAR", "MIS", "SPU"
 MIN_COMMON_BLOCK = 5
 
 
-def lcs_length_sql(a: str, b: str) -> str:
-    """Length of the longest common subsequence of ``a`` and ``b`` (code points).
+# Strings up to this many characters use the bit-parallel LCS on one bigint.
+BITS = 62
+
 
-    Row-by-row dynamic programme: the outer fold walks the characters of ``a`` and
-    carries the previous row; the inner fold builds the current row over ``b``.
-    Callers guard empty inputs (``sequence(1, 0)`` counts down).
+def lcs_length_dp_sql(a: str, b: str) -> str:
+    """Length of the longest common subsequence (code points), row-by-row programme.
+
+    The outer fold walks the characters of ``a`` and carries the previous row; the
+    inner fold builds the current row over ``b``. Callers guard empty inputs
+    (``sequence(1, 0)`` counts down).
     """
     return (
         f"element_at(aggregate(sequence(1, length({a})), array_repeat(0, length({b}) + 1), "
@@ -33,6 +37,31 @@ def lcs_length_sql(a: str, b: str) -> str:
     )
 
 
+def lcs_length_bits_sql(a: str, b: str) -> str:
+    """Bit-parallel LCS length (Hyyrö 2004) for ``length(b) <= 62``.
+
+    ``V`` holds one bit per character of ``b`` (all ones at the start); for each
+    character of ``a`` with match mask ``M``: ``V = (V + (V & M)) | (V & ~M)``,
+    kept to ``length(b)`` bits. The LCS length is the number of zero bits of ``V``.
+    One bigint per row of the programme instead of an array.
+    """
+    mask = f"(shiftleft(1L, length({b})) - 1L)"
+    match = (
+        f"aggregate(sequence(1, length({b})), 0L, (_bm, _bj) -> _bm | "
+        f"IF(substring({a}, _bi, 1) = substring({b}, _bj, 1), shiftleft(1L, _bj - 1), 0L))"
+    )
+    fold = (
+        f"aggregate(sequence(1, length({a})), {mask}, (_bv, _bi) -> "
+        f"((_bv + (_bv & {match})) | (_bv & ~{match})) & {mask})"
+    )
+    return f"(length({b}) - bit_count({fold}))"
+
+
+def lcs_length_sql(a: str, b: str) -> str:
+    """LCS length: bit-parallel when ``b`` fits one bigint, else the row programme."""
+    return f"(CASE WHEN length({b}) <= {BITS} THEN {lcs_length_bits_sql(a, b)} ELSE {lcs_length_dp_sql(a, b)} END)"
+
+
 def similarity_sql(a: str, b: str) -> str:
     """Integer 0–100, ``round_half_even(100 · 2·LCS / (len a + len b))``.
 
@@ -83,26 +112,31 @@ def pair_status(g, p) -> Column:
 def common_block_sql(a: str, b: str) -> str:
     """Longest common block of ``lower(a)`` and ``lower(b)``, cut from ``a`` (original case).
 
-    Dynamic programme over the characters (O(len a · len b)) that carries the previous
-    row, the best length and where it ends in ``a``. Only a strictly longer block
-    replaces the best, so ties keep the earliest block in ``a``, then in ``b``. Returns
-    ``''`` when nothing is shared.
+    Cell (i, j) = length of the common run ending at ``a[i]``, ``b[j]``; it needs only
+    the previous row, so each row is one ``transform`` (O(len a · len b) overall).
+    The fold carries the row, the best length and where it ends in ``a``; only a
+    strictly longer block replaces the best, so ties keep the earliest block in
+    ``a``. Returns ``''`` when nothing is shared.
     """
     la, lb = f"lower({a})", f"lower({b})"
+    row = (
+        f"concat(array(0), transform(sequence(1, length({b})), "
+        f"_cj -> IF(substring({la}, _ci, 1) = substring({lb}, _cj, 1), element_at(_ca.r, _cj) + 1, 0)))"
+    )
+    # transform(array(x), f)[0] binds the new row once for the three fields.
+    step = (
+        f"transform(array({row}), _cr -> named_struct('r', _cr, "
+        f"'n', IF(array_max(_cr) > _ca.n, array_max(_cr), _ca.n), "
+        f"'e', IF(array_max(_cr) > _ca.n, _ci, _ca.e)))[0]"
+    )
     fold = (
         f"aggregate(sequence(1, length({a})), "
-        f"named_struct('r', array_repeat(0, length({b}) + 1), 'n', 0, 'e', 0), "
-        f"(_ca, _ci) -> aggregate(sequence(1, length({b})), "
-        f"named_struct('r', array(0), 'n', _ca.n, 'e', _ca.e), "
-        f"(_cc, _cj) -> named_struct("
-        f"'r', concat(_cc.r, array(IF(substring({la}, _ci, 1) = substring({lb}, _cj, 1), element_at(_ca.r, _cj) + 1, 0))), "
-        f"'n', IF(substring({la}, _ci, 1) = substring({lb}, _cj, 1) AND element_at(_ca.r, _cj) + 1 > _cc.n, element_at(_ca.r, _cj) + 1, _cc.n), "
-        f"'e', IF(substring({la}, _ci, 1) = substring({lb}, _cj, 1) AND element_at(_ca.r, _cj) + 1 > _cc.n, _ci, _cc.e))))"
+        f"named_struct('r', array_repeat(0, length({b}) + 1), 'n', 0, 'e', 0), (_ca, _ci) -> {step})"
     )
     return (
         f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR length({a}) = 0 OR length({b}) = 0 THEN '' "
-        f"ELSE (SELECT_BLOCK) END)"
-    ).replace("(SELECT_BLOCK)", f"transform(array({fold}), _cb -> substring({a}, _cb.e - _cb.n + 1, _cb.n))[0]")
+        f"ELSE transform(array({fold}), _cb -> substring({a}, _cb.e - _cb.n + 1, _cb.n))[0] END)"
+    )
 
 
 def _sql(x) -> str:

@@ -27,6 +27,19 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[
     return picked.select(key, *[F.col("_first")[c].alias(c) for c in cols])
 
 
+def dedupe_by_key(df: DataFrame, key: str, col: str) -> DataFrame:
+    """One row per ``key`` keeping the smallest ``col``, without moving unique rows.
+
+    Only the key column is counted (a partial aggregate on ids); rows whose key is
+    unique pass through untouched, and only keys that repeat go through the
+    ``min`` aggregation. With unique ids the text never crosses the network.
+    """
+    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(key)
+    single = df.join(repeated, key, "left_anti").select(key, col)
+    many = df.join(repeated, key, "left_semi").groupBy(key).agg(F.min(col).alias(col))
+    return single.unionByName(many)
+
+
 def attach_labels(
     texts: DataFrame,
     labels: DataFrame,
@@ -46,14 +59,20 @@ def attach_labels(
     labels = labels.filter(F.col(key).isNotNull())
     if policy == "first":
         lab = first_per_key(labels, key, list(order))
-    elif policy == "join":
-        parts = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], F.col(label_col).alias("_l"))))
-        lab = labels.groupBy(key).agg(
-            F.array_join(F.transform(parts, lambda x: x["_l"]), SPAN_SEPARATOR).alias(label_col)
-        )
+    elif policy in ("join", "both"):
+        # ``both``: the first label (``label``) and all labels joined (``label_joined``)
+        # from one aggregation, so one attachment serves both forms.
+        rest = [c for c in labels.columns if c != key and c not in order]
+        parts = F.array_sort(F.collect_list(F.struct(*[F.col(c) for c in order], *[F.col(c) for c in rest], F.col(label_col).alias("_l"))))
+        joined = F.array_join(F.transform(F.col("_parts"), lambda x: x["_l"]), SPAN_SEPARATOR)
+        lab = labels.groupBy(key).agg(parts.alias("_parts"))
+        if policy == "join":
+            lab = lab.select(key, joined.alias(label_col))
+        else:
+            lab = lab.select(key, F.element_at("_parts", 1)["_l"].alias(label_col), joined.alias(f"{label_col}_joined"))
     else:
         raise ValueError(f"unknown policy {policy!r}")
-    uniq = texts.groupBy(key).agg(F.min(text_col).alias(text_col))
+    uniq = dedupe_by_key(texts.filter(F.col(key).isNotNull()), key, text_col)
     return uniq.join(lab, key, "left")
 
 

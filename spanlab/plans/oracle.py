@@ -89,7 +89,7 @@ span_raw AS (SELECT doc_id, text, unnest([array_to_string(w[2:4], ' '), array_to
 span_labels AS (
   SELECT CAST(doc_id AS VARCHAR) AS tweet_id, 'ADE' AS type, CAST(instr(text, label) - 1 AS INTEGER) AS "begin",
          CAST(instr(text, label) - 1 + length(label) AS INTEGER) AS "end", label FROM span_raw),
-uniq_texts AS (SELECT tweet_id, min(tweet) AS tweet FROM texts GROUP BY tweet_id),
+uniq_texts AS (SELECT tweet_id, min(tweet) AS tweet FROM texts WHERE tweet_id IS NOT NULL GROUP BY tweet_id),
 prepared_class AS (
   SELECT t.tweet_id, t.tweet, {_q(T.CLASS_PREFIX)} AS prefix, {clean_sql('t.tweet')} AS input_text,
          CASE coalesce(l.label, 'NoADE') WHEN 'ADE' THEN {_q(T.CLASS_TARGETS['ADE'])} WHEN 'NoADE' THEN {_q(T.CLASS_TARGETS['NoADE'])} END AS target_text

@@ -45,8 +45,23 @@ EMOJI_TABLE = [
 ]
 
 
+# Inputs below this planned size are spread over the cores after the scan.
+SMALL_INPUT_BYTES = 256 << 20
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table. A small file may be a single Parquet row group, which one task
+    reads and then processes alone; when the planned size (Catalyst statistics, no
+    job) is under ``SMALL_INPUT_BYTES`` the rows are spread round-robin over the
+    default parallelism. Large inputs keep their file splits and are not shuffled."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - statistics unavailable: keep the file splits
+        size = SMALL_INPUT_BYTES
+    if size < SMALL_INPUT_BYTES:
+        df = df.repartition(spark.sparkContext.defaultParallelism)
+    return df
 
 
 def _h(tag: str, *cols) -> Column:
@@ -127,17 +142,23 @@ def prepared_class(spark, sf_dir) -> DataFrame:
     )
 
 
+def _span_rows(spark, sf_dir) -> DataFrame:
+    """Texts with their first span label and all span labels joined (one attachment)."""
+    return joins.attach_labels(
+        texts(spark, sf_dir), span_labels(spark, sf_dir), order=["begin", "end", "label"], policy="both"
+    )
+
+
 def prepared_spans(spark, sf_dir, policy: str = "first") -> DataFrame:
     """Prepared extraction rows; ``policy='join'`` keeps all spans joined by ``'; '``."""
-    rows = joins.attach_labels(
-        texts(spark, sf_dir), span_labels(spark, sf_dir), order=["begin", "end", "label"], policy=policy
-    )
+    rows = _span_rows(spark, sf_dir)
+    label = "label" if policy == "first" else "label_joined"
     return rows.select(
         "tweet_id",
         "tweet",
         F.lit(T.SPAN_PREFIX).alias("prefix"),
         T.clean_text("tweet", EMOJI_TABLE).alias("input_text"),
-        T.fill_label("label", T.NEGATIVE_SPAN).alias("target_text"),
+        T.fill_label(label, T.NEGATIVE_SPAN).alias("target_text"),
     )
 
 
@@ -166,9 +187,16 @@ def span_gold(spark, sf_dir) -> DataFrame:
 
 def span_runs(spark, sf_dir) -> DataFrame:
     """Three rule runs over the extraction rows, by the first md5 hex digit of (run, id)."""
-    prep = prepared_spans(spark, sf_dir)
-    gold = span_gold(spark, sf_dir).select("tweet_id", "gold")
-    r = prep.join(gold, "tweet_id").withColumn("run", F.explode(F.array(*[F.lit(x) for x in SPAN_RUNS])))
+    rows = _span_rows(spark, sf_dir)
+    prep = rows.select(
+        "tweet_id",
+        "tweet",
+        F.lit(T.SPAN_PREFIX).alias("prefix"),
+        T.clean_text("tweet", EMOJI_TABLE).alias("input_text"),
+        T.fill_label("label", T.NEGATIVE_SPAN).alias("target_text"),
+        T.fill_label("label_joined", T.NEGATIVE_SPAN).alias("gold"),
+    )
+    r = prep.withColumn("run", F.explode(F.array(*[F.lit(x) for x in SPAN_RUNS])))
     w = _words("tweet")
     s1 = _phrase(w, 2, 3)
     d = F.substring(F.md5(F.concat(F.col("run"), F.lit(":"), F.col("tweet_id"))), 1, 1)
