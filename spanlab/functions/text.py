@@ -74,10 +74,16 @@ def demojize(c, emoji_pairs: Iterable[tuple[str, str]]) -> Column:
     Names are ASCII and emoji are not, so a replaced name is never matched again.
     """
     pairs = sorted(emoji_pairs, key=lambda p: (-len(p[0]), p[0]))
+    if not pairs:
+        return _c(c)
     out = _c(c)
     for emo, name in pairs:
         out = F.replace(out, F.lit(emo), F.lit(f":{name}:"))
-    return out
+    # One scan for the first code points of the table: a text with none of them is
+    # returned as is, without the chain of replacements.
+    firsts = sorted({ord(e[0]) for e, _ in pairs})
+    guard = "[" + "".join(f"\\x{{{cp:X}}}" for cp in firsts) + "]"
+    return F.when(_c(c).rlike(guard), out).otherwise(_c(c))
 
 
 def strip_urls(c) -> Column:

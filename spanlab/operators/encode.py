@@ -34,21 +34,33 @@ def encode_fixed(
     source=None,
     target: str = "target_text",
 ) -> DataFrame:
-    """``(key, input_ids, attention_mask, labels)``, each an int array of ``max_len``.
+    """``(key, input_ids, attention_mask, labels)`` per row, each an int array of ``max_len``.
 
-    Tokens are exploded with their position, joined to the vocab (unknown → UNK)
-    and folded back in position order per key; padding is ``PAD`` in the ids, 0 in
-    the mask and -100 in the labels.
+    Each distinct (key, source, target) content is encoded once under an md5 uid:
+    tokens are exploded with their position, joined to the vocab (unknown → UNK)
+    and folded back in position order per uid (at most ``2·max_len`` tokens, so no
+    group grows with the data); rows join their encoding back, so copies of a row
+    (oversampling) keep their multiplicity. Padding is ``PAD`` in the ids, 0 in the
+    mask and -100 in the labels.
     """
     src = source if source is not None else T.model_input("prefix", "input_text")
     keep = max_len - 1
+    uid = F.md5(F.concat_ws("\u0001", F.col(key).cast("string"), F.col("_src"), F.col("_tgt")))
+    rows = df.select(key, src.alias("_src"), F.col(target).alias("_tgt")).select(
+        key,
+        uid.alias("_uid"),
+        F.slice(words_of(F.col("_src")), 1, keep).alias("_st"),
+        F.slice(words_of(F.col("_tgt")), 1, keep).alias("_tt"),
+    )
+    # Only the uid and the truncated token arrays cross the network, never the texts.
+    content = rows.select("_uid", "_st", "_tt").dropDuplicates(["_uid"])
     sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.slice(words_of(src), 1, keep).alias("toks")),
-        F.struct(F.lit(1).alias("side"), F.slice(words_of(F.col(target)), 1, keep).alias("toks")),
+        F.struct(F.lit(0).alias("side"), F.col("_st").alias("toks")),
+        F.struct(F.lit(1).alias("side"), F.col("_tt").alias("toks")),
     )
-    toks = df.select(key, F.inline(sides)).select(key, "side", F.posexplode("toks").alias("pos", "token"))
+    toks = content.select("_uid", F.inline(sides)).select("_uid", "side", F.posexplode("toks").alias("pos", "token"))
     looked = toks.join(vocab.select("token", "id"), "token", "left").withColumn("id", F.coalesce("id", F.lit(UNK_ID)))
-    grouped = looked.groupBy(key).agg(
+    grouped = looked.groupBy("_uid").agg(
         F.array_sort(F.collect_list(F.when(F.col("side") == 0, F.struct("pos", "id")))).alias("_s"),
         F.array_sort(F.collect_list(F.when(F.col("side") == 1, F.struct("pos", "id")))).alias("_t"),
     )
@@ -57,11 +69,12 @@ def encode_fixed(
         ids = F.concat(F.transform(arr, lambda x: x["id"]), F.array(F.lit(EOS_ID)))
         return F.concat(ids, F.array_repeat(F.lit(pad), F.lit(max_len) - F.size(ids)))
 
-    return grouped.select(
-        key,
+    enc = grouped.select(
+        "_uid",
         fixed(F.col("_s"), PAD_ID).alias("input_ids"),
         F.concat(
             F.array_repeat(F.lit(1), F.size("_s") + 1), F.array_repeat(F.lit(0), F.lit(max_len) - F.size("_s") - 1)
         ).alias("attention_mask"),
         fixed(F.col("_t"), IGNORE_LABEL).alias("labels"),
     )
+    return rows.select(key, "_uid").join(enc, "_uid").drop("_uid")

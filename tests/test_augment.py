@@ -67,3 +67,14 @@ def test_append_augmented_ids(spark):
     out = AU.append_augmented(corpus, texts, "sr", "assert ade")
     ids = sorted(r.tweet_id for r in out.filter(F.col("tweet_id") != "1").collect())
     assert ids == ["sr_augmented_0", "sr_augmented_1"]
+
+
+def test_encode_fixed_keeps_copies(spark):
+    from spanlab.operators import encode as EC
+
+    rows = [("1", "p", "a b", "x"), ("1", "p", "a b", "x"), ("2", "p", "zz", "none")]
+    df = spark.createDataFrame(rows, "tweet_id string, prefix string, input_text string, target_text string")
+    vocab = spark.createDataFrame([("a", 3), ("b", 4), ("x", 5), ("p:", 6)], "token string, id int")
+    out = sorted((r.tweet_id, r.input_ids, r.attention_mask, r.labels) for r in EC.encode_fixed(df, vocab, max_len=5).collect())
+    assert out[0] == out[1] == ("1", [6, 3, 4, 1, 0], [1, 1, 1, 1, 0], [5, 1, -100, -100, -100])
+    assert out[2] == ("2", [6, 2, 1, 0, 0], [1, 1, 1, 0, 0], [2, 1, -100, -100, -100])
