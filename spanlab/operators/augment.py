@@ -209,7 +209,9 @@ def _augment_rounds(df, kind, syn, id_col, text_col, seed):
 def append_augmented(corpus: DataFrame, texts: DataFrame, kind: str, prefix: str, target: str = T.POSITIVE_CLASS_TEXT, seed=25) -> DataFrame:
     """H7: new rows ``<kind>_augmented_<i>`` (i dense over the texts in md5 order), the
     text in both text columns, the given prefix and the positive target; one union."""
-    idx = dense_index(texts.select("augmented"), seeded_key(seed, F.col("augmented")), None, "augmented", "_i")
+    # The numbering reads the texts twice (counts, then ranks): compute them once.
+    texts = materialize(texts.select("augmented"))
+    idx = dense_index(texts, seeded_key(seed, F.col("augmented")), None, "augmented", "_i")
     new = idx.select(
         F.concat(F.lit(f"{kind}_augmented_"), F.col("_i").cast("string")).alias("tweet_id"),
         F.col("augmented").alias("tweet"),

@@ -429,3 +429,31 @@ def q_a8_write_submission(spark, sf):
     ens = EN.run_ensemble(V.span_runs(spark, sf), V.SPAN_RUNS)
     IO.write_submission(SU.submission_rows(ens, "detection"), path)
     return IO.read_tsv(spark, path, IO.SUBMISSION_SCHEMA, multi_line=True)
+
+
+# --- membership, last-k cut, per-prompt folders (D5, F3, A7) -----------------
+def q_d5_drop_known(spark, sf):
+    """Randomly shortened positive texts that do not equal any original positive text."""
+    pos = _positives(spark, sf)
+    new = AU.random_delete(pos).select("tweet_id", F.col("augmented").alias("input_text"))
+    return JN.drop_known(new, pos)
+
+
+def q_f3_last_k(spark, sf):
+    """The last k rows of the positives in md5 order (the top-up cut of H6), k = half of them."""
+    from spanlab.functions.keys import seeded_key
+    from spanlab.operators.exactk import take_first
+
+    pos = _positives(spark, sf).select("tweet_id")
+    k = pos.agg((F.count(F.lit(1)) / 2).cast("bigint").alias("_k"))
+    rev = F.translate(seeded_key(25, F.col("tweet_id")), "0123456789abcdef", "fedcba9876543210")
+    return take_first(pos, rev, k, None, "tweet_id")
+
+
+def q_a7_prompt_folders(spark, sf):
+    """Prompt rows written with one folder per prompt; reading one prompt prunes the others."""
+    path = scratch_path(spark, "prompt-folders")
+    applied = PR.apply_prompts(V.prepared_spans(spark, sf)).select("prompt", "tweet_id", "prefix", "input_text", "target_text")
+    IO.write_csv(applied, path, partition_by=["prompt"])
+    back = IO.read_csv(spark, path, "tweet_id string, prefix string, input_text string, target_text string, prompt string")
+    return back.filter(F.col("prompt") == "prompt2").select("tweet_id", "input_text", "target_text")

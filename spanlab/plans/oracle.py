@@ -357,6 +357,12 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
     # A CSV round trip reads an empty field as null (as the pandas reader does).
     q["a4_read_runs"] = _with("SELECT run, tweet_id, NULLIF(predicted_text, '') AS predicted_text FROM span_runs")
     q["a6_load_ensemble"] = q["d2_attach_text"]
+    q["a7_prompt_folders"] = (
+        _with(
+            f"SELECT tweet_id, NULLIF(replace(input_tpl, '{{}}', input_text), '') AS input_text, NULLIF(CASE WHEN target_text = 'none' THEN neg_tpl "
+            f"ELSE replace(pos_tpl, '{{}}', target_text) END, '') AS target_text FROM prepared_spans, {_prompt_values()} WHERE pt.prompt = 'prompt2'"
+        )
+    )
     q["a8_write_submission"] = q["b14_submission_spans"]
     return q
 
@@ -486,6 +492,57 @@ ch_{tag} AS (SELECT d.tweet_id, d.word, arg_min(s.synonym, {_key('d.tweet_id', _
             FROM pos_rows p LEFT JOIN (SELECT tweet_id, list({{'word': word, 'synonym': synonym}}) AS m FROM ch_wn GROUP BY tweet_id) c USING (tweet_id)""",
         syn + "," + choices("wn", "v"),
     )
+    q["d5_drop_known"] = _with(
+        f"""SELECT tweet_id, augmented AS input_text FROM (
+              SELECT tweet_id, array_to_string(CASE WHEN len(w) <= 1 THEN w WHEN len({kept}) = 0 THEN {keep_one} ELSE {kept} END, ' ') AS augmented FROM pos_rows)
+            WHERE augmented NOT IN (SELECT input_text FROM pos_rows WHERE input_text IS NOT NULL)""",
+        syn,
+    )
+    q["f3_last_k"] = _with(
+        """SELECT tweet_id FROM (SELECT tweet_id, row_number() OVER (ORDER BY md5('25:' || tweet_id) DESC, tweet_id) AS rn,
+                  count(*) OVER () AS n FROM pos_rows) WHERE rn <= n // 2""",
+        syn,
+    )
+    def rd(rid: str) -> str:
+        k = f"list_filter(w, lambda t, i: {_unit(_key(_q('rd'), rid, 'CAST(i - 1 AS VARCHAR)'))} >= 0.2::DOUBLE)"
+        one = f"[w[{_draw(_key(_q('rd-keep'), rid), 'len(w)')} + 1]]"
+        return f"array_to_string(CASE WHEN len(w) <= 1 THEN w WHEN len({k}) = 0 THEN {one} ELSE {k} END, ' ')"
+
+    quota = f"""
+q_stats AS (SELECT (SELECT count(*) FROM pos_rows) AS size,
+                   greatest(0, (SELECT count(*) FROM prepared_class) // 5
+                               - (SELECT count(*) FROM prepared_class WHERE target_text = {_q(T.POSITIVE_CLASS_TEXT)})) AS n),
+q_plan AS (SELECT size, n, CASE WHEN n <= 0 OR size <= 0 THEN 0 ELSE (n - 1) // size END AS nfull FROM q_stats),
+q_plan2 AS (SELECT size, n, nfull, CASE WHEN n <= 0 OR size <= 0 THEN 0 WHEN n - nfull * size = size THEN 0 ELSE n - nfull * size END AS rem FROM q_plan)"""
+    h6 = f"""{quota},
+h6_ranked AS (SELECT *, row_number() OVER (ORDER BY md5('25:' || tweet_id), tweet_id) AS rn_asc,
+                        row_number() OVER (ORDER BY md5('25:' || tweet_id) DESC, tweet_id) AS rn_desc FROM pos_rows),
+h6_in AS (SELECT r.tweet_id, r.w, g.rnd FROM h6_ranked r, (SELECT unnest(range(0, (SELECT nfull FROM q_plan2))) AS rnd) g
+          UNION ALL SELECT r.tweet_id, r.w, p.nfull FROM h6_ranked r, q_plan2 p WHERE r.rn_asc <= p.rem),
+h6_aug AS (SELECT DISTINCT {rd("(tweet_id || '#' || CAST(rnd AS VARCHAR))")} AS augmented FROM h6_in),
+h6_have AS (SELECT count(*) AS have FROM h6_aug),
+h6_top AS (SELECT DISTINCT {rd("(r.tweet_id || '#' || CAST(p.nfull + 1 AS VARCHAR))")} AS augmented
+           FROM h6_ranked r, q_plan2 p, h6_have h WHERE h.have < p.n AND r.rn_desc <= least(p.n - h.have, p.size))"""
+    q["h6_augment_to"] = _with("SELECT augmented FROM h6_aug UNION SELECT augmented FROM h6_top", syn + "," + h6)
+    h10 = f"""{quota},
+h10_pos AS (SELECT tweet_id, input_text, lower(input_text) AS lt, lower(target_text) AS ls FROM prepared_spans WHERE target_text IS DISTINCT FROM 'none'),
+h10_m AS (SELECT tweet_id, ls AS span, CASE WHEN ls = '' THEN lt ELSE replace(lt, ls, '@@span@@') END AS masked, r.rnd
+          FROM h10_pos, (SELECT unnest(range(0, 4)) AS rnd) r),
+h10_w AS (SELECT *, tweet_id || '#' || CAST(rnd AS VARCHAR) AS rid, string_split(trim(regexp_replace(masked, {ws}, ' ', 'g')), ' ') AS w FROM h10_m),
+h10_cw AS (SELECT DISTINCT rid, unnest(w) AS word FROM h10_w),
+h10_s AS (SELECT DISTINCT word, synonym FROM synonyms WHERE pos = 'v'),
+h10_ch AS (SELECT d.rid, d.word, arg_min(s.synonym, {_key(_q('wn'), 'd.rid', 'd.word', 's.synonym')}) AS synonym FROM h10_cw d JOIN h10_s s USING (word) GROUP BY ALL),
+h10_new AS (SELECT w0.*, array_to_string(list_transform(w0.w, lambda t, i: CASE WHEN {_unit(_key(_q('wn'), 'w0.rid', 'CAST(i - 1 AS VARCHAR)'))} < 0.5::DOUBLE
+                   AND len(list_filter(coalesce(c.m, []), lambda e: e.word = t)) > 0 THEN list_filter(c.m, lambda e: e.word = t)[1].synonym ELSE t END), ' ') AS new
+            FROM h10_w w0 LEFT JOIN (SELECT rid, list({{'word': word, 'synonym': synonym}}) AS m FROM h10_ch GROUP BY rid) c USING (rid)),
+h10_ok AS (SELECT tweet_id, rnd, span, replace(new, '@@span@@', span) AS text FROM h10_new WHERE trim(masked) <> trim(new)),
+h10_ok2 AS (SELECT * FROM h10_ok WHERE text NOT IN (SELECT input_text FROM h10_pos WHERE input_text IS NOT NULL)),
+h10_rank AS (SELECT *, row_number() OVER (ORDER BY rnd, md5('25:' || tweet_id), tweet_id) - 1 AS i FROM h10_ok2)"""
+    q["h10_augment_spans"] = _with(
+        "SELECT 'wnet_augmented_' || CAST(i AS VARCHAR) AS tweet_id, text AS tweet, text AS input_text, span AS target_text "
+        "FROM h10_rank WHERE i < (SELECT n FROM q_plan2)",
+        syn + "," + h10,
+    )
     q["h7_append_augmented"] = _with(
         f"""SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_class
             UNION ALL SELECT 'rd_augmented_' || CAST(row_number() OVER (ORDER BY md5('25:' || augmented), augmented) - 1 AS VARCHAR), augmented,
