@@ -351,6 +351,7 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
     _balance_queries(q)
     _augment_queries(q)
     q["m1_best_checkpoint"] = m1_sql(patience=3)
+    q["h9_markov_generate"] = h9_sql(n=50, tries=4)
     _model_queries(q)
     q["a1_read_tsv"] = _with("SELECT tweet_id, label FROM class_labels")
     q["a3_csv_roundtrip"] = _with("SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_spans")
@@ -403,6 +404,49 @@ l3_table AS (SELECT tweet_id, {unwrap('target_text')} AS gold_labels, {unwrap('p
     q["l3_evaluate_run"] = _with("SELECT * FROM scores", l3 + "," + _eval_spans_sql("tweet_id", "l3_table") + "," + _scores_sql(""))
 
 
+def h9_sql(n: int, tries: int, min_words: int = 10, max_words: int = 25) -> str:
+    """H9 replayed: occurrences numbered per state, walks as a recursive CTE per round."""
+    ws = _q(T.WHITESPACE_RUN)
+    b, e = "'___BEGIN__'", "'___END__'"
+
+    def walk(name: str, rnd: int, sents: str) -> str:
+        draw = f"(('0x' || substr(md5('25:walk:{rnd}:' || CAST(w.sent AS VARCHAR) || ':' || CAST(w.try AS VARCHAR) || ':' || CAST(w.step AS VARCHAR)), 1, 15))::BIGINT % t.tot)"
+        nxt = f"coalesce(o.nxt, {e})"
+        new_words = f"CASE WHEN {nxt} = {e} THEN w.words ELSE list_append(w.words, o.nxt) END"
+        return f"""
+{name}(sent, try, step, words, state, done) AS (
+  SELECT s.sent, tr.try, 0, []::VARCHAR[], {b} || ' ' || {b}, false FROM ({sents}) s, (SELECT unnest(range(0, {tries})) AS try) tr
+  UNION ALL
+  SELECT w.sent, w.try, w.step + 1, {new_words},
+         array_to_string(list_append(string_split(w.state, ' '), {nxt})[2:3], ' '),
+         {nxt} = {e} OR len({new_words}) > {max_words}
+  FROM {name} w JOIN h9_tot t ON t.state = w.state LEFT JOIN h9_occ o ON o.state = w.state AND o.idx = {draw}
+  WHERE NOT w.done AND w.step <= {max_words})"""
+
+    def firsts(name: str) -> str:
+        return f"""(SELECT sent, arg_min(text, try) AS text FROM (
+              SELECT sent, try, array_to_string(words, ' ') AS text FROM {name}
+              WHERE done AND len(words) BETWEEN {min_words} AND {max_words}) x
+            WHERE text NOT IN (SELECT known FROM h9_known) GROUP BY sent)"""
+
+    return f"""WITH RECURSIVE {views()},
+h9_pos AS (SELECT input_text FROM prepared_class WHERE target_text = {_q(T.POSITIVE_CLASS_TEXT)}),
+h9_sent AS (SELECT w FROM (SELECT string_split(trim(regexp_replace(l, {ws}, ' ', 'g')), ' ') AS w
+                           FROM (SELECT unnest(string_split(input_text, chr(10))) AS l FROM h9_pos)) WHERE w[1] <> ''),
+h9_p AS (SELECT p, md5(array_to_string(p, ' ')) AS sid FROM (SELECT [{b}, {b}] || w || [{e}] AS p FROM h9_sent)),
+h9_occ0 AS (SELECT sid, k AS pos, array_to_string(p[k - 2:k - 1], ' ') AS state, p[k] AS nxt
+            FROM (SELECT sid, p, unnest(range(3, len(p) + 1)) AS k FROM h9_p)),
+h9_occ AS (SELECT state, nxt, row_number() OVER (PARTITION BY state ORDER BY md5(sid || ':' || CAST(pos AS VARCHAR)), sid, pos) - 1 AS idx FROM h9_occ0),
+h9_tot AS (SELECT state, count(*) AS tot FROM h9_occ GROUP BY state),
+h9_known AS (SELECT DISTINCT array_to_string(w, ' ') AS known FROM h9_sent),
+{walk("walk0", 0, f"SELECT unnest(range(0, {n})) AS sent")},
+first0 AS {firsts("walk0")},
+have0 AS (SELECT count(DISTINCT text) AS have FROM first0),
+{walk("walk1", 1, f"SELECT unnest(range({n}, {n} + {n} - (SELECT have FROM have0))) AS sent WHERE (SELECT have FROM have0) BETWEEN 1 AND {n - 1}")},
+first1 AS {firsts("walk1")}
+SELECT text FROM first0 UNION SELECT text FROM first1"""
+
+
 def m1_sql(patience: int = 3, delta: float = 0.0) -> str:
     """M1 as a recursive CTE: one evaluation per recursion step and run."""
     b0 = "CASE WHEN r.best IS NULL OR r.best = 0 THEN e.v ELSE r.best END"
