@@ -16,6 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from spanlab.functions import similarity as S
 from spanlab.functions import text as T
 from spanlab.operators import joins
+from spanlab.session import ship_package
 
 ID, TEXT = "tweet_id", "predicted_text"
 
@@ -172,6 +173,8 @@ def _legacy_pick(spans, key, seed: int) -> str | None:
 def common_span_legacy(spans_df: DataFrame, spans: str = "all_spans", key: str = ID, seed: int = 25, out: str = TEXT) -> DataFrame:
     """J2, ``mode='legacy'``: the reference's block choice kept bug for bug, as an
     Arrow-batched ``pandas_udf`` over the (bounded) candidate list of each row."""
+    ship_package(spans_df.sparkSession)
+
     @pandas_udf("string")
     def pick(lists: pd.Series, keys: pd.Series) -> pd.Series:
         return pd.Series([_legacy_pick(s, k, seed) for s, k in zip(lists, keys)])

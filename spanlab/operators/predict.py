@@ -19,6 +19,7 @@ from spanlab.functions import text as T
 from spanlab.operators import match as MA
 from spanlab.operators import prompts as PR
 from spanlab.operators import score as SC
+from spanlab.session import ship_package
 
 Predictor = Callable[[list[str]], list]
 
@@ -32,6 +33,7 @@ def predict_batches(
     out: str = "predicted_text",
 ) -> DataFrame:
     """L1: add ``out`` (string, or array<string> when ``k > 1``) from the model input B9."""
+    ship_package(df.sparkSession)
     src = source if source is not None else T.model_input("prefix", "input_text")
     x = df.withColumn("_model_input", src)
     out_type = StringType() if k == 1 else ArrayType(StringType())

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanlab.session import ship_package
+
 SUMMARY_SCHEMA = "run string, n_evals bigint, best_step bigint, best_value double, stop_step bigint"
 
 
@@ -89,6 +91,7 @@ def best_checkpoint(
     value and switches the comparison to the maximising form; end-of-epoch
     evaluations count toward patience only with ``consider_epochs``.
     """
+    ship_package(log.sparkSession)
     ordered = log.select(
         F.col(run).alias("run"),
         *[F.col(c) for c in order],

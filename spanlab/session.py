@@ -62,3 +62,26 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``spanlab`` importable by the Python workers (once per Spark context).
+
+    Operators that run Python on the executors (model plug-in, progress-log fold,
+    legacy consensus) pickle functions that import this package; the package is
+    zipped on the driver and added with ``addPyFile``, as ``--py-files`` would.
+    """
+    sc = spark.sparkContext
+    app = sc.applicationId
+    if app in _SHIPPED:
+        return
+    import shutil
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    out_dir = tempfile.mkdtemp(prefix="spanlab-pyfiles-")
+    archive = shutil.make_archive(os.path.join(out_dir, "spanlab"), "zip", os.path.dirname(pkg_dir), "spanlab")
+    sc.addPyFile(archive)
+    _SHIPPED.add(app)
