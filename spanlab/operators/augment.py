@@ -278,9 +278,12 @@ def markov_generate(
         )
         finished = []
         for step in range(max_words + 1):
-            active = walks.join(totals, "state", "left")
+            # Every reachable state has transitions and every index below its total
+            # exists, so inner joins lose nothing; the walk side is small, which lets
+            # the planner broadcast it instead of shuffling the occurrences each step.
+            active = walks.join(totals, "state")
             r = draw(seeded_key(seed, F.lit("walk"), F.lit(round_no), F.col("sent"), F.col("try"), F.lit(step)), F.col("_tot"))
-            active = active.withColumn("idx", r).join(occ, ["state", "idx"], "left")
+            active = active.withColumn("idx", r).join(occ, ["state", "idx"])
             nxt = F.coalesce(F.col("next"), F.lit(END))
             new_words = F.when(nxt == END, F.col("words")).otherwise(F.concat("words", F.array(nxt)))
             tail = F.slice(F.concat(F.split(F.col("state"), " ", -1), F.array(nxt)), 2, order)

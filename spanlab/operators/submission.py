@@ -35,3 +35,11 @@ def submission_rows(df: DataFrame, task: str) -> DataFrame:
         F.col("predicted_text").alias("span"),
     )
     return found.filter(F.col("span_start") != F.lit("-1"))
+
+
+def dropped_spans(df: DataFrame) -> DataFrame:
+    """Count of extraction rows dropped by B14 because the predicted span is not found
+    in the text (the reference drops them silently); one row ``n_dropped``."""
+    p = T.normalise_prediction("predicted_text", lower=False)
+    x = df.withColumn("predicted_text", p).filter(T.has_span("predicted_text"))
+    return x.agg(F.count_if(T.span_start("tweet", "predicted_text") == F.lit(-1)).alias("n_dropped"))

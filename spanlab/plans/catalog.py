@@ -457,3 +457,8 @@ def q_a7_prompt_folders(spark, sf):
     IO.write_csv(applied, path, partition_by=["prompt"])
     back = IO.read_csv(spark, path, "tweet_id string, prefix string, input_text string, target_text string, prompt string")
     return back.filter(F.col("prompt") == "prompt2").select("tweet_id", "input_text", "target_text")
+
+
+def q_b14_dropped_count(spark, sf):
+    ens = EN.run_ensemble(V.span_runs(spark, sf), V.SPAN_RUNS)
+    return SU.dropped_spans(ens)

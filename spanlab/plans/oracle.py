@@ -278,6 +278,11 @@ ens_text AS (SELECT e.tweet_id, e.predicted_text, r.tweet FROM ensemble e LEFT J
                  FROM ens_text WHERE trim(predicted_text, '.') IS DISTINCT FROM 'none') WHERE st <> -1""",
         cons,
     )
+    q["b14_dropped_count"] = _with(
+        """SELECT count_if(instr(lower(tweet), lower(trim(predicted_text, '.'))) = 0) AS n_dropped
+           FROM ens_text WHERE trim(predicted_text, '.') IS DISTINCT FROM 'none'""",
+        cons,
+    )
     q["b14_submission_class"] = _with(
         "SELECT tweet_id, 'ADE' AS predicted_class, '0' AS span_start, '0' AS span_end, '-' AS span FROM cls_text WHERE trim(predicted_text, '.') = 'adverse event problem'",
         class_ens,

@@ -45,21 +45,24 @@ EMOJI_TABLE = [
 ]
 
 
-# Inputs below this planned size are spread over the cores after the scan.
+# Inputs of a planned size in [SPREAD_MIN_BYTES, SMALL_INPUT_BYTES) are spread over the
+# cores after the scan; tinier ones are not worth a shuffle, larger ones have splits.
+SPREAD_MIN_BYTES = 4 << 20
 SMALL_INPUT_BYTES = 256 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table. A small file may be a single Parquet row group, which one task
     reads and then processes alone; when the planned size (Catalyst statistics, no
-    job) is under ``SMALL_INPUT_BYTES`` the rows are spread round-robin over the
-    default parallelism. Large inputs keep their file splits and are not shuffled."""
+    job) is between ``SPREAD_MIN_BYTES`` and ``SMALL_INPUT_BYTES`` the rows are spread
+    round-robin over the default parallelism. Large inputs keep their file splits and
+    are not shuffled; tiny ones are not worth a shuffle."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     try:
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     except Exception:  # noqa: BLE001 - statistics unavailable: keep the file splits
         size = SMALL_INPUT_BYTES
-    if size < SMALL_INPUT_BYTES:
+    if SPREAD_MIN_BYTES <= size < SMALL_INPUT_BYTES:
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df
 
