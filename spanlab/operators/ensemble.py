@@ -106,18 +106,25 @@ def span_ensemble(runs: DataFrame, n_runs: int, key: str = ID, col: str = TEXT,
     non-``none`` spans of ids without a majority. Ids with neither vanish.
 
     One shuffle by (id, text) for the counts and one by id for the rest: majority
-    flag and candidate list are computed in the same per-id aggregation.
+    texts and candidate list come from the same per-id aggregation, and the
+    consensus is computed only for ids without a majority, so the result is one
+    ``explode`` over one pass (no union that would run the upstream twice).
     """
     counts = vote_counts(runs, key, col)
     maj = F.col("counts") * 2 >= F.lit(int(n_runs))
     per_id = counts.groupBy(key).agg(
         F.collect_list(F.when(maj, F.col(col))).alias("_maj"),
-        F.sort_array(F.collect_list(F.when(T.has_span(col), F.col(col)))).alias("all_spans"),
+        F.sort_array(F.collect_list(F.when(T.has_span(col), F.col(col)))).alias("_all"),
     )
-    majority = per_id.filter(F.size("_maj") > 0).select(key, F.explode("_maj").alias(col))
-    cands = per_id.filter((F.size("_maj") == 0) & (F.size("all_spans") > 0)).select(key, "all_spans")
-    consensus = common_span(cands, "all_spans", key, seed, col).select(key, col)
-    return majority.unionByName(consensus)
+    need = (F.size("_maj") == 0) & (F.size("_all") > 0)
+    x = per_id.withColumn("all_spans", F.when(need, F.col("_all")))
+    x = common_span(x, "all_spans", key, seed, "_cons")
+    texts = (
+        F.when(F.size("_maj") > 0, F.col("_maj"))
+        .when(F.col("_cons").isNotNull(), F.array(F.col("_cons")))
+        .otherwise(F.array().cast("array<string>"))
+    )
+    return x.select(key, F.explode(texts).alias(col))
 
 
 def run_ensemble(runs: DataFrame, runs_selected: list[str] | None = None, seed: int = 25) -> DataFrame:

@@ -30,11 +30,13 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[
 def dedupe_by_key(df: DataFrame, key: str, col: str) -> DataFrame:
     """One row per ``key`` keeping the smallest ``col``, without moving unique rows.
 
-    Only the key column is counted (a partial aggregate on ids); rows whose key is
-    unique pass through untouched, and only keys that repeat go through the
-    ``min`` aggregation. With unique ids the text never crosses the network.
+    Only the key column is counted (a partial aggregate on ids). When no key repeats
+    (the usual case) the rows are returned as they are: no join, no shuffle of the
+    texts. Otherwise only rows of repeated keys go through the ``min`` aggregation.
     """
     repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(key)
+    if repeated.isEmpty():
+        return df.select(key, col)
     single = df.join(repeated, key, "left_anti").select(key, col)
     many = df.join(repeated, key, "left_semi").groupBy(key).agg(F.min(col).alias(col))
     return single.unionByName(many)

@@ -53,3 +53,12 @@ def test_run_ensemble_rejects_mixed_tasks(spark):
 def test_common_span_legacy_keeps_reference_quirk(spark):
     df = spark.createDataFrame([("1", ["severe joint pain now", "joint aches then pain"])], "tweet_id string, all_spans array<string>")
     assert EN.common_span_legacy(df).first().predicted_text == "pain "
+
+
+def test_dedupe_by_key_repeated_and_unique(spark):
+    from spanlab.operators import joins as JN
+
+    uniq = spark.createDataFrame([("1", "a"), ("2", "b")], "tweet_id string, tweet string")
+    assert sorted(tuple(r) for r in JN.dedupe_by_key(uniq, "tweet_id", "tweet").collect()) == [("1", "a"), ("2", "b")]
+    dup = spark.createDataFrame([("1", "z"), ("1", "a"), ("2", "b")], "tweet_id string, tweet string")
+    assert sorted(tuple(r) for r in JN.dedupe_by_key(dup, "tweet_id", "tweet").collect()) == [("1", "a"), ("2", "b")]
