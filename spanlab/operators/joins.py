@@ -92,9 +92,22 @@ def attach_gold(
     return preds.join(gold.select(key, F.col(gold_col).alias(out)), key, "left")
 
 
-def without_majority(counts: DataFrame, majority: DataFrame, key: str = "tweet_id") -> DataFrame:
-    """Rows of ``counts`` whose id has no majority row (anti join)."""
-    return counts.join(majority.select(key).distinct(), key, "left_anti")
+def without_majority(counts: DataFrame, majority: DataFrame | None = None, key: str = "tweet_id", n_runs: int | None = None) -> DataFrame:
+    """Rows of ``counts`` whose id has no majority row.
+
+    With a ``majority`` table: an anti join on its distinct ids. With ``n_runs``: an id
+    has a majority row exactly when ``2 · max(counts) >= n_runs`` over its rows, so a
+    window partitioned by id answers it in one pass over ``counts`` (no self-join
+    that would compute the counts twice).
+    """
+    if majority is not None:
+        return counts.join(majority.select(key).distinct(), key, "left_anti")
+    if n_runs is None:
+        raise ValueError("pass the majority table or n_runs")
+    from pyspark.sql import Window
+
+    top = F.max("counts").over(Window.partitionBy(key))
+    return counts.withColumn("_top", top).filter(F.col("_top") * 2 < F.lit(int(n_runs))).drop("_top")
 
 
 def drop_known(new: DataFrame, existing: DataFrame, new_col: str = "input_text", existing_col: str = "input_text") -> DataFrame:

@@ -79,15 +79,17 @@ def q_d4_without_majority(spark, sf):
     return JN.without_majority(counts, EN.majority_texts(counts, N_SPAN_RUNS))
 
 
+def q_d4_without_majority_window(spark, sf):
+    return JN.without_majority(EN.vote_counts(_span_runs_norm(spark, sf)), n_runs=N_SPAN_RUNS)
+
+
 def q_e3_candidate_spans(spark, sf):
-    counts = EN.vote_counts(_span_runs_norm(spark, sf))
-    rest = JN.without_majority(counts, EN.majority_texts(counts, N_SPAN_RUNS))
+    rest = JN.without_majority(EN.vote_counts(_span_runs_norm(spark, sf)), n_runs=N_SPAN_RUNS)
     return EN.candidate_spans(rest).select("tweet_id", F.array_join("all_spans", " | ").alias("all_spans"))
 
 
 def q_j2_common_span(spark, sf):
-    counts = EN.vote_counts(_span_runs_norm(spark, sf))
-    rest = JN.without_majority(counts, EN.majority_texts(counts, N_SPAN_RUNS))
+    rest = JN.without_majority(EN.vote_counts(_span_runs_norm(spark, sf)), n_runs=N_SPAN_RUNS)
     return EN.common_span(EN.candidate_spans(rest)).select("tweet_id", "predicted_text")
 
 

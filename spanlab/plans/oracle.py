@@ -253,6 +253,7 @@ def oracle_sql() -> dict[str, str]:
     q["e1_vote_counts"] = _with("SELECT * FROM span_counts")
     q["e2_majority_texts"] = _with("SELECT * FROM span_majority")
     q["d4_without_majority"] = _with("SELECT * FROM span_rest")
+    q["d4_without_majority_window"] = _with("SELECT * FROM span_rest")
     q["e3_candidate_spans"] = _with("SELECT tweet_id, array_to_string(all_spans, ' | ') AS all_spans FROM span_cands")
     cons = f"""
 pairs AS (SELECT tweet_id, all_spans, unnest({consensus_sql('all_spans', 'tweet_id')}) AS pr FROM span_cands),
