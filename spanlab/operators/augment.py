@@ -370,6 +370,8 @@ def augment_spans(
     un = changed.withColumn("_text", F.replace("_new", F.lit(SPAN_MASK), F.col("_span")))
     known = pos_rows.select(F.col("input_text").alias("_known")).distinct()
     un = un.join(known, un["_text"] == known["_known"], "left_anti")
+    # Ranking reads the candidates three times (bucket counts, ranks, round offsets).
+    un = materialize(un.select(id_col, "_round", "_span", "_text"))
     ranked = _rank_by_round(un, id_col, seed)
     out = ranked.filter(F.col("_i") < n)
     return out.select(
