@@ -11,8 +11,6 @@ partitioning and checkable with SQL ``row_number``:
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -103,12 +101,3 @@ def balance_two_stage(df: DataFrame, label: str, negative: str, id_col: str = "t
     over = materialize(oversample(stage1, label, id_col, seed))
     rest = halves.filter(~F.col("_first")).drop("_first").withColumn("draw", F.lit(None).cast("bigint"))
     return undersample(over.unionByName(rest), label, id_col, seed)
-
-
-def expected_two_stage_size(p: int, n: int) -> int:
-    """Rows per class after G4 (for checks)."""
-    return max(p, n // 2)
-
-
-def ceil_frac(frac: float, n: int) -> int:
-    return int(math.ceil(frac * n))

@@ -6,7 +6,7 @@ so the shuffle carries one partial row per task and group.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -146,7 +146,3 @@ def scores_long(scores: DataFrame, by: Sequence[str] | str | None = None) -> Dat
         F.array(*[F.struct(F.concat(F.col("level"), F.lit("_" + m)).alias("metric"), F.col(m).cast("double").alias("value")) for m in measures])
     )
     return scores.select(*by, pairs.alias("_m")).select(*by, "_m.metric", "_m.value")
-
-
-def resolve_metrics(names: Mapping[str, Callable[[DataFrame], DataFrame]] | None) -> dict:
-    return dict(names or {})
