@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlab.functions import similarity as S
@@ -95,35 +95,33 @@ def classification_report(
         (F.lit(2.0) * F.col("precision") * F.col("recall")) / (F.col("precision") + F.col("recall"))
     )
     per = per.withColumn("f1_score", f1)
-    summary = per.groupBy(*by).agg(
-        F.sum("tp").alias("_tp"),
-        F.sum("support").alias("_n"),
-        F.avg("precision").alias("_mp"),
-        F.avg("recall").alias("_mr"),
-        F.avg("f1_score").alias("_mf"),
-        F.sum(F.col("precision") * F.col("support")).alias("_wp"),
-        F.sum(F.col("recall") * F.col("support")).alias("_wr"),
-        F.sum(F.col("f1_score") * F.col("support")).alias("_wf"),
+    # Group totals as windows over the per-class table (a few rows per group), and the
+    # three summary rows emitted with the first class of each group: one pass, no
+    # union that would run the upstream once per branch.
+    g = Window.partitionBy(*by)
+    n = F.sum("support").over(g)
+    tot = per.select(
+        *by, "class", "precision", "recall", "f1_score", "support",
+        F.sum("tp").over(g).alias("_tp"), n.alias("_n"),
+        F.avg("precision").over(g).alias("_mp"), F.avg("recall").over(g).alias("_mr"), F.avg("f1_score").over(g).alias("_mf"),
+        F.sum(F.col("precision") * F.col("support")).over(g).alias("_wp"),
+        F.sum(F.col("recall") * F.col("support")).over(g).alias("_wr"),
+        F.sum(F.col("f1_score") * F.col("support")).over(g).alias("_wf"),
+        F.row_number().over(g.orderBy("class")).alias("_rn"),
     )
-    acc = summary.select(
-        *by,
-        F.lit("accuracy").alias("class"),
-        F.lit(None).cast("double").alias("precision"),
-        F.lit(None).cast("double").alias("recall"),
-        (F.col("_tp") / F.col("_n")).alias("f1_score"),
-        F.col("_n").alias("support"),
-    )
-    macro = summary.select(
-        *by, F.lit("macro avg").alias("class"), F.col("_mp").alias("precision"), F.col("_mr").alias("recall"),
-        F.col("_mf").alias("f1_score"), F.col("_n").alias("support"),
-    )
-    weighted = summary.select(
-        *by, F.lit("weighted avg").alias("class"), (F.col("_wp") / F.col("_n")).alias("precision"),
-        (F.col("_wr") / F.col("_n")).alias("recall"), (F.col("_wf") / F.col("_n")).alias("f1_score"),
-        F.col("_n").alias("support"),
+
+    def row(cls, p, r, f, sup):
+        return F.struct(cls.alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"), sup.alias("support"))
+
+    null = F.lit(None).cast("double")
+    own = F.array(row(F.col("class"), F.col("precision"), F.col("recall"), F.col("f1_score"), F.col("support")))
+    summary = F.array(
+        row(F.lit("accuracy"), null, null, F.col("_tp") / F.col("_n"), F.col("_n")),
+        row(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_n")),
+        row(F.lit("weighted avg"), F.col("_wp") / F.col("_n"), F.col("_wr") / F.col("_n"), F.col("_wf") / F.col("_n"), F.col("_n")),
     )
-    cols = [*by, "class", "precision", "recall", "f1_score", "support"]
-    return per.select(*cols).unionByName(acc.select(*cols)).unionByName(macro.select(*cols)).unionByName(weighted.select(*cols))
+    rows = F.when(F.col("_rn") == 1, F.concat(own, summary)).otherwise(own)
+    return tot.select(*by, F.inline(rows))
 
 
 def with_metrics(df: DataFrame, **metrics: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:

@@ -132,9 +132,8 @@ def q_b13_span_offsets(spark, sf):
 
 # --- scoring (§3.2) ---------------------------------------------------------
 def _eval_table(spark, sf):
-    runs = V.span_runs(spark, sf).select("run", "tweet_id", T.strip_dots("predicted_text").alias("pred_labels"))
-    gold = V.span_gold(spark, sf).select("tweet_id", F.col("gold").alias("gold_labels"))
-    return runs.join(gold, "tweet_id")
+    runs = V.span_runs(spark, sf, with_gold=True)
+    return runs.select("run", "tweet_id", T.strip_dots("predicted_text").alias("pred_labels"), F.col("gold").alias("gold_labels"))
 
 
 def q_i1_similarity(spark, sf):

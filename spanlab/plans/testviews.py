@@ -188,8 +188,11 @@ def span_gold(spark, sf_dir) -> DataFrame:
     )
 
 
-def span_runs(spark, sf_dir) -> DataFrame:
-    """Three rule runs over the extraction rows, by the first md5 hex digit of (run, id)."""
+def span_runs(spark, sf_dir, with_gold: bool = False) -> DataFrame:
+    """Three rule runs over the extraction rows, by the first md5 hex digit of (run, id).
+
+    ``with_gold`` keeps the joined gold spans (``gold``) of the same label attachment,
+    so scoring needs no second attachment."""
     rows = _span_rows(spark, sf_dir)
     prep = rows.select(
         "tweet_id",
@@ -214,8 +217,9 @@ def span_runs(spark, sf_dir) -> DataFrame:
         .when(d == "e", F.concat(g, F.lit(".")))
         .otherwise(F.concat(s1, F.lit(" "), F.coalesce(F.try_element_at(w, F.lit(5)), F.lit(""))))
     )
+    extra = ["gold"] if with_gold else []
     return r.select(
-        "run", "tweet_id", "tweet", "prefix", "input_text", "target_text", pred.alias("predicted_text")
+        "run", "tweet_id", "tweet", "prefix", "input_text", "target_text", pred.alias("predicted_text"), *extra
     )
 
 
