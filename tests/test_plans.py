@@ -32,3 +32,20 @@ def test_exact_cut_has_no_global_window_over_rows(spark, sf_small):
     for line in p.splitlines():
         if "Window [" in line and "row_number()" in line:
             assert "_xb" in line, line
+
+
+def _scans(df, table):
+    df.write.format("noop").mode("overwrite").save()
+    return df._jdf.queryExecution().executedPlan().toString().count(f"{table}.parquet")
+
+
+def test_report_and_ensemble_run_upstream_once(spark, sf_small):
+    # texts + span labels each read documents once; a union of branches would double it
+    assert _scans(catalog.queries()["e7_classification_report"](spark, sf_small), "documents") <= 2
+    assert _scans(catalog.queries()["j3_span_ensemble"](spark, sf_small), "documents") <= 2
+    assert _scans(catalog.queries()["e6_span_scores"](spark, sf_small), "documents") <= 2
+
+
+def test_no_majority_filter_is_a_window(spark, sf_small):
+    p = catalog.queries()["d4_without_majority_window"](spark, sf_small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in p and "Window" in p
