@@ -54,21 +54,21 @@ def read_splits(spark: SparkSession, data_dir: str, task: str) -> tuple[DataFram
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str = PREPARED_SCHEMA) -> DataFrame:
-    """A3: CSV with header, UTF-8; quoted fields may hold commas, quotes and newlines."""
-    return (
-        spark.read.schema(schema)
-        .option("header", "true")
-        .option("multiLine", "true")
-        .option("escape", '"')
-        .option("encoding", "UTF-8")
-        .csv(path)
-    )
+def read_csv(spark: SparkSession, path: str, schema: str | None = PREPARED_SCHEMA) -> DataFrame:
+    """A3: CSV with header, UTF-8; quoted fields may hold commas, quotes and newlines.
+
+    With a schema, columns are taken by position; with ``schema=None`` they are named
+    by the header, all strings (no inference pass), as the pandas reader does.
+    """
+    r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("encoding", "UTF-8")
+    r = r.schema(schema) if schema else r.option("inferSchema", "false")
+    return r.csv(path)
 
 
-def read_runs(spark: SparkSession, root: str, runs: list[str] | None = None, schema: str = PREDICTION_SCHEMA) -> DataFrame:
+def read_runs(spark: SparkSession, root: str, runs: list[str] | None = None, schema: str | None = None) -> DataFrame:
     """A4: ``<root>/<run>/test_predictions.csv`` of all or the chosen runs in one scan,
-    each row tagged with its run (folder) name."""
+    each row tagged with its run (folder) name. Columns come from the header (model
+    outputs and ensemble outputs differ), unless a schema is given."""
     base = root.rstrip("/")
     pattern = f"{base}/{{{','.join(runs)}}}/{PREDICTIONS_FILE}" if runs else f"{base}/*/{PREDICTIONS_FILE}"
     df = read_csv(spark, pattern, schema)
