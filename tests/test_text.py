@@ -76,3 +76,13 @@ def test_prompt_round_trip_and_marker_case(spark):
     assert t == "No, the patient didn’t suffer from a side effect."
     low = spark.createDataFrame([("yes, the patient suffered from nausea.",)], "c string")
     assert low.select(T.unwrap_prompt("c", "Yes, the patient suffered from ")).first()[0] == "none"
+
+
+def test_span_offsets_slice_equals_span(spark, sf_small):
+    """SURVEY §5 property: text[start:end] equals the span (case-insensitive) for every found span."""
+    from spanlab.plans import testviews as V
+
+    r = V.span_runs(spark, sf_small).withColumn("p", T.strip_dots("predicted_text")).filter(T.has_span("p"))
+    x = r.select("tweet", "p", T.span_start("tweet", "p").alias("s"), T.span_end("tweet", "p").alias("e")).filter("s >= 0")
+    bad = x.filter(F.lower(F.expr("substring(tweet, s + 1, e - s)")) != F.lower(F.col("p"))).count()
+    assert x.count() > 0 and bad == 0
