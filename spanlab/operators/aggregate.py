@@ -1,4 +1,4 @@
-"""Small aggregations of the notebooks."""
+"""Small analysis aggregations."""
 
 from __future__ import annotations
 

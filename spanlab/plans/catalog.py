@@ -219,7 +219,7 @@ def q_k3_error_example(spark, sf):
     return ER.error_example(_span_errors(spark, sf), "partial")
 
 
-# --- notebook aggregates ----------------------------------------------------
+# --- analysis aggregates ----------------------------------------------------
 def q_e4_value_counts(spark, sf):
     return AG.value_counts(V.prepared_class(spark, sf), "target_text")
 
