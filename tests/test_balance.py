@@ -53,3 +53,25 @@ def test_undersample_subset(spark):
     df = _ids(spark, 3, "a").unionByName(_ids(spark, 7, "b").withColumn("tweet_id", F.concat(F.lit("b"), "tweet_id")))
     out = BA.undersample(df, "label")
     assert {r.label: r["count"] for r in out.groupBy("label").count().collect()} == {"a": 3, "b": 3}
+
+
+def test_straddling_bucket_path(spark, monkeypatch):
+    """With 16 buckets every cut falls inside a bucket: the ranking branch must agree
+    with a plain global order, for cuts, per-group cuts and dense numbering."""
+    from spanlab.operators import exactk
+
+    monkeypatch.setattr(exactk, "BUCKET_DIGITS", 1)
+    df = spark.createDataFrame([(str(i), "a" if i % 3 else "b") for i in range(400)], "tweet_id string, label string")
+    key = BA.order_key(25, "tweet_id")
+    ordered = [r.tweet_id for r in df.withColumn("k", key).orderBy("k", "tweet_id").collect()]
+    for k in (1, 77, 250, 399):
+        got = sorted(r.tweet_id for r in exactk.take_first(df.repartition(5), key, k, None, "tweet_id").collect())
+        assert got == sorted(ordered[:k]), k
+    per = {r.tweet_id for r in exactk.take_first(df, key, 10, "label", "tweet_id").collect()}
+    rows = df.withColumn("k", key).orderBy("k", "tweet_id").collect()
+    want = {r.tweet_id for r in rows if r.label == "a"}
+    want_a = [r.tweet_id for r in rows if r.label == "a"][:10]
+    want_b = [r.tweet_id for r in rows if r.label == "b"][:10]
+    assert per == set(want_a) | set(want_b) and want
+    idx = {r.tweet_id: r.idx for r in exactk.dense_index(df.repartition(3), key, None, "tweet_id").collect()}
+    assert [t for t, _ in sorted(idx.items(), key=lambda kv: kv[1])] == ordered
