@@ -265,7 +265,17 @@ def markov_generate(
     of the corpus wins. One refill round covers duplicates; the result is distinct.
     """
     occ = materialize(_occurrences(df, text_col, order))
-    totals = materialize(occ.groupBy("state").agg(F.count(F.lit(1)).alias("_tot")))
+    totals = occ.groupBy("state").agg(F.count(F.lit(1)).alias("_tot"))
+    # Each occurrence also carries the state it leads to and that state's total, so a
+    # step is one join: draw with the carried total, join (state, idx), carry on.
+    nstate = F.array_join(F.slice(F.concat(F.split(F.col("state"), " ", -1), F.array(F.col("next"))), 2, order), " ")
+    occ = materialize(
+        occ.withColumn("_nstate", F.when(F.col("next") != END, nstate))
+        .join(totals.select(F.col("state").alias("_nstate"), F.col("_tot").alias("_ntot")), "_nstate", "left")
+    )
+    begin = " ".join([BEGIN] * order)
+    start = totals.filter(F.col("state") == begin).select("_tot").first()
+    start_tot = int(start["_tot"]) if start else 0
     known = _sentences(df, text_col).select(F.array_join("_w", " ").alias("_known")).distinct()
     spark = df.sparkSession
 
@@ -274,24 +284,21 @@ def markov_generate(
         walks = walks.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
         walks = walks.select(
             "sent", "try", F.array().cast("array<string>").alias("words"),
-            F.array_join(F.array_repeat(F.lit(BEGIN), order), " ").alias("state"),
-        )
+            F.lit(begin).alias("state"), F.lit(start_tot).cast("bigint").alias("_tot"),
+        ).filter(F.col("_tot") > 0)
         finished = []
         for step in range(max_words + 1):
-            # Every reachable state has transitions and every index below its total
-            # exists, so inner joins lose nothing; the walk side is small, which lets
-            # the planner broadcast it instead of shuffling the occurrences each step.
-            active = walks.join(totals, "state")
             r = draw(seeded_key(seed, F.lit("walk"), F.lit(round_no), F.col("sent"), F.col("try"), F.lit(step)), F.col("_tot"))
-            active = active.withColumn("idx", r).join(occ, ["state", "idx"])
-            nxt = F.coalesce(F.col("next"), F.lit(END))
+            # every index below a state's total exists: an inner join loses nothing,
+            # and the small walk side can be broadcast instead of moving the occurrences
+            active = walks.withColumn("idx", r).join(occ, ["state", "idx"])
+            nxt = F.col("next")
             new_words = F.when(nxt == END, F.col("words")).otherwise(F.concat("words", F.array(nxt)))
-            tail = F.slice(F.concat(F.split(F.col("state"), " ", -1), F.array(nxt)), 2, order)
             stepped = materialize(active.select(
-                "sent", "try", new_words.alias("words"), F.array_join(tail, " ").alias("state"),
+                "sent", "try", new_words.alias("words"), F.col("_nstate").alias("state"), F.col("_ntot").alias("_tot"),
                 ((nxt == END) | (F.size(new_words) > max_words)).alias("done"),
             ))
-            finished.append(stepped.filter("done").drop("done"))
+            finished.append(stepped.filter("done").drop("done", "state", "_tot"))
             walks = stepped.filter(~F.col("done")).drop("done")
             if (step + 1) % 4 == 0 and walks.isEmpty():  # a cheap check, not every step
                 break
