@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import secret_scan
+from spanlab.llm import decontaminate, secret_scan
 from spanlab.llm.common import table, written
 
 STAGES = [
+    ("decontaminate", decontaminate.stage_decontaminate),
     ("secret_scan", secret_scan.stage_secrets),
 ]
 

@@ -75,7 +75,7 @@ def repeat_words(w: Column) -> Column:
             s,
             lambda x, j: (x["h"] == F.get(s, j + 1)["h"]) | (x["h"] == F.get(s, j - 1)["h"]),
         )
-        return F.array_sort(F.transform(same, lambda x: x["i"]))
+        return F.sort_array(F.transform(same, lambda x: x["i"]))
 
     def covered(at):
         # a window adds its three words less those that the next one adds
@@ -89,7 +89,7 @@ def repeat_words(w: Column) -> Column:
     count = let(
         hashes,
         lambda h: let(
-            F.array_sort(windows(h)),
+            F.sort_array(windows(h)),
             lambda s: let(repeated(s), covered),
         ),
     )

@@ -6,15 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import quality_rules, secret_scan
+from spanlab.llm import decontaminate, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_secret_ledger": secret_scan.op9_secret_ledger,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op1_decontaminate": decontaminate.ORACLE,
+    }

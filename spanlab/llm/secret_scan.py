@@ -167,7 +167,7 @@ def spans_string(findings: Column, kinds: list[str]) -> Column:
     )
     return F.array_join(
         F.transform(
-            F.array_sort(flat),
+            F.sort_array(flat),
             lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")),
         ),
         ",",
@@ -207,7 +207,7 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     by_path, _, _ = scan_versions(docs.select("doc_id", "text"), RULES, path="doc_id")
     hits = by_path.filter(F.size("findings") > 0).select(
         F.col("path").alias("doc_id"),
-        F.array_sort(F.flatten(F.transform("findings", lambda f: f["spans"]))).alias("_spans"),
+        F.sort_array(F.flatten(F.transform("findings", lambda f: f["spans"]))).alias("_spans"),
     ).groupBy("doc_id").agg(F.first("_spans").alias("_spans"))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
