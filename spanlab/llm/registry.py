@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import decontaminate, quality_rules, secret_scan
+from spanlab.llm import decontaminate, ngram_join, quality_rules, secret_scan
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
         "op9_secret_ledger": secret_scan.op9_secret_ledger,
     }
@@ -20,4 +21,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op4_ngram_join": ngram_join.ORACLE,
     }
