@@ -9,14 +9,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import decontaminate, secret_scan
+from spanlab.llm import decontaminate, lm_quality, ngram_join, packing, secret_scan
 from spanlab.llm.common import table, written
 
 STAGES = [
+    ("quality_lm", lm_quality.stage_quality),
+    ("near_duplicates", ngram_join.stage_near_duplicates),
     ("decontaminate", decontaminate.stage_decontaminate),
     ("secret_scan", secret_scan.stage_secrets),
+    ("packing", packing.stage_packing),
 ]
 
+# No SQL states a language model, least squares or a tokenizer; tests/llm/test_pipeline.py
+# checks each stage against a plain version.
 ORACLE_SQL = None
 
 

@@ -13,6 +13,7 @@ CHUNK = 1 << 16  # cells of one vector chunk
 MEMO = 500_000  # words whose hash a task remembers
 
 STEP = np.uint64(0x9E3779B97F4A7C15)
+OTHER_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
@@ -35,14 +36,15 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def windows(h: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Hash of every run of ``k`` word hashes (empty when there are fewer)."""
+def windows(h: np.ndarray, k: int, seed: int = 0, step: np.uint64 = STEP) -> np.ndarray:
+    """Hash of every run of ``k`` word hashes (empty when there are fewer); another ``step``
+    gives an independent hash."""
     n = len(h) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
     acc = np.full(n, seed, dtype=np.uint64)
     for j in range(k):
-        acc = acc * STEP + h[j : j + n]
+        acc = acc * step + h[j : j + n]
     return mix(acc)
 
 

@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanlab.llm import decontaminate, ngram_join, quality_rules, secret_scan
+from spanlab.llm import decontaminate, lm_quality, ngram_join, packing, quality_rules, secret_scan, substring_dedup
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_quality_lm": lm_quality.op2_quality_lm,
+        "op3_substring_dedup": substring_dedup.op3_substring_dedup,
         "op4_ngram_join": ngram_join.op4_ngram_join,
         "op6_quality_rules": quality_rules.op6_quality_rules,
+        "op8_packing": packing.op8_packing,
         "op9_secret_ledger": secret_scan.op9_secret_ledger,
     }
 
@@ -21,5 +24,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_decontaminate": decontaminate.ORACLE,
+        "op3_substring_dedup": substring_dedup.ORACLE,
         "op4_ngram_join": ngram_join.ORACLE,
     }
