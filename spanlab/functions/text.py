@@ -154,9 +154,20 @@ def word_count(c) -> Column:
     return F.when(t == F.lit(""), F.lit(0)).otherwise(F.size(F.split(t, " ", -1)))
 
 
+# The tasks, and the prefix of a classification run's name.
+CLASSIFICATION, DETECTION = "classification", "detection"
+CLASS_RUN_PREFIX = "assert"
+
+
+def task_of(run: str) -> str:
+    """A5 for one run name: prefix ``assert`` = classification, else extraction."""
+    return CLASSIFICATION if run.startswith(CLASS_RUN_PREFIX) else DETECTION
+
+
 def run_task(run) -> Column:
-    """A5: task from the run name: prefix ``assert`` = classification, else extraction."""
-    return F.when(F.startswith(_c(run), F.lit("assert")), F.lit("classification")).otherwise(F.lit("detection"))
+    """A5 as a column over run names (``task_of`` for one name)."""
+    is_class = F.startswith(_c(run), F.lit(CLASS_RUN_PREFIX))
+    return F.when(is_class, F.lit(CLASSIFICATION)).otherwise(F.lit(DETECTION))
 
 
 def run_model(run) -> Column:

@@ -32,20 +32,21 @@ def words_of(c) -> Column:
     return F.split(F.trim(F.regexp_replace(col, T.WHITESPACE_RUN, " ")), " ", -1)
 
 
-def synonym_table_from_corpus(df: DataFrame, text_col: str = "input_text", size: int = 200) -> DataFrame:
+def synonym_table_from_corpus(df: DataFrame, text_col: str = "input_text") -> DataFrame:
     """A ``(word, pos, synonym)`` table derived from the corpus (no lexicon is available).
 
-    The ``size`` most frequent words (ties by word) are ranked 1..size; word r gets
-    two synonyms: its pair partner (1↔2, 3↔4, …) and the next rank (size wraps to 1).
-    Part of speech: ``v`` when r is a multiple of 3, else ``n``. The top list is a
-    distributed top-k; the table has at most 2·size rows.
+    All words are ranked 1..N in the order of ``md5(word)``, then word (dense numbering
+    without a global window); word r gets two synonyms: its pair partner (1↔2, 3↔4, …)
+    and the next rank (N wraps to 1). Part of speech: ``v`` when r is a multiple of 3,
+    else ``n``. A partner beyond N is left out.
     """
-    words = df.select(F.explode(words_of(text_col)).alias("word")).filter(F.col("word") != "")
-    top = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    ranked = top.withColumn("r", F.row_number().over(Window.orderBy(F.desc("n"), "word")))  # ≤ size rows
+    words = df.select(F.explode(words_of(text_col)).alias("word")).filter(F.col("word") != "").distinct()
+    ranked = dense_index(words, F.md5("word"), None, "word", "r").withColumn("r", F.col("r") + 1)
+    ranked = materialize(ranked)  # read twice below, and for its size
+    size = ranked.agg(F.count(F.lit(1))).scalar()
     partner = F.when(F.col("r") % 2 == 1, F.col("r") + 1).otherwise(F.col("r") - 1)
-    nxt = F.col("r") % F.lit(size) + 1
-    pairs = ranked.select("word", "r", F.explode(F.array(partner, nxt)).alias("pr"))
+    nxt = F.col("r") % F.col("_size") + 1
+    pairs = ranked.withColumn("_size", size).select("word", "r", F.explode(F.array(partner, nxt)).alias("pr"))
     names = ranked.select(F.col("r").alias("pr"), F.col("word").alias("synonym"))
     out = pairs.join(names, "pr").select(
         "word", F.when(F.col("r") % 3 == 0, F.lit("v")).otherwise(F.lit("n")).alias("pos"), "synonym"
@@ -223,13 +224,15 @@ def append_augmented(corpus: DataFrame, texts: DataFrame, kind: str, prefix: str
 
 
 BEGIN, END = "___BEGIN__", "___END__"
+# White space after closing punctuation ends a sentence (the punctuation stays).
+SENTENCE_END = r"""([.!?]['")\]]?)\s+"""
 
 
 def markov_table(df: DataFrame, text_col: str = "input_text", order: int = 2) -> DataFrame:
     """H8: transition counts ``(state, next, count)`` of order-``order`` word states.
 
-    Each line of a text is a sentence; words are whitespace tokens; a sentence is
-    padded with ``order`` begin marks and one end mark. Hot states (the begin state)
+    Sentences end at line ends and closing punctuation; words are whitespace tokens; a
+    sentence is padded with ``order`` begin marks and one end mark. Hot states (the begin state)
     are pre-aggregated per task before the shuffle.
     """
     sent = _sentences(df, text_col)
@@ -321,8 +324,13 @@ def markov_generate(
 
 
 def _sentences(df: DataFrame, text_col: str) -> DataFrame:
-    """Lines of the texts as whitespace-token arrays (empty lines dropped)."""
-    lines = df.select(F.explode(F.split(F.col(text_col), "\n", -1)).alias("_l"))
+    """Sentences of the texts as whitespace-token arrays (empty ones dropped).
+
+    A sentence ends at a line end, or after ``.``, ``!`` or ``?`` (and closing quotes or
+    brackets) where white space follows.
+    """
+    cut = F.regexp_replace(F.col(text_col), SENTENCE_END, "$1\n")
+    lines = df.select(F.explode(F.split(cut, "\n", -1)).alias("_l"))
     return lines.select(words_of("_l").alias("_w")).filter(F.element_at("_w", 1) != "")
 
 
@@ -347,48 +355,65 @@ def augment_spans(
     df: DataFrame,
     syn: DataFrame,
     n: int,
-    max_rounds: int = 4,
     id_col: str = "tweet_id",
     seed: int = 25,
     pos: str = "v",
     p: float = 0.5,
     require_span: bool = False,
     kind: str = "wnet",
+    prefix: str = T.SPAN_PREFIX,
 ) -> DataFrame:
-    """Span-preserving augmentation of span rows (``input_text``, ``target_text``).
+    """Span-preserving augmentation of span rows: the new rows only.
 
     Lower-case text and span, mask every occurrence of the span, augment (H5) in
     rounds, keep changed texts, unmask, reject texts equal to an original positive
     text (anti join), target = span; the first ``n`` by (round, md5 order) are kept
-    and numbered ``<kind>_augmented_<i>``. Exactly ``n`` rows, or all that exist
-    after ``max_rounds`` rounds. ``require_span`` drops rows whose span is not in
-    the text (the reference keeps them).
+    and numbered ``<kind>_augmented_<i>``. Rounds go on until there are ``n`` rows or a
+    round adds none. ``require_span`` drops rows whose span is not in the text (the
+    reference keeps them).
     """
     pos_rows = df.filter(T.has_span("target_text"))
     if require_span:
         pos_rows = pos_rows.filter(F.contains(F.lower("input_text"), F.lower("target_text")))
     low_t, low_s = F.lower("input_text"), F.lower("target_text")
-    masked = pos_rows.select(
-        id_col, low_s.alias("_span"), F.replace(low_t, low_s, F.lit(SPAN_MASK)).alias("_masked")
-    ).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(max_rounds - 1))))
-    masked = masked.withColumn("_rid", F.concat(F.col(id_col), F.lit("#"), F.col("_round").cast("string")))
-    aug = lexical_replace(masked, syn, id_col="_rid", text_col="_masked", pos=pos, p=p, seed=seed, out="_new")
-    changed = aug.filter(F.trim("_masked") != F.trim("_new"))
-    un = changed.withColumn("_text", F.replace("_new", F.lit(SPAN_MASK), F.col("_span")))
     known = pos_rows.select(F.col("input_text").alias("_known")).distinct()
-    un = un.join(known, un["_text"] == known["_known"], "left_anti")
-    # Ranking reads the candidates three times (bucket counts, ranks, round offsets).
-    un = materialize(un.select(id_col, "_round", "_span", "_text"))
-    ranked = _rank_by_round(un, id_col, seed)
-    out = ranked.filter(F.col("_i") < n)
+    base = materialize(pos_rows.select(id_col, low_s.alias("_span"), F.replace(low_t, low_s, F.lit(SPAN_MASK)).alias("_masked")))
+    rounds, have = [], 0
+    while have < n:
+        masked = base.withColumn("_round", F.lit(len(rounds)))
+        masked = masked.withColumn("_rid", F.concat(F.col(id_col), F.lit("#"), F.col("_round").cast("string")))
+        aug = lexical_replace(masked, syn, id_col="_rid", text_col="_masked", pos=pos, p=p, seed=seed, out="_new")
+        changed = aug.filter(F.trim("_masked") != F.trim("_new"))
+        un = changed.withColumn("_text", F.replace("_new", F.lit(SPAN_MASK), F.col("_span")))
+        un = un.join(known, un["_text"] == known["_known"], "left_anti")
+        # Ranking reads the candidates three times (bucket counts, ranks, round offsets).
+        un = materialize(un.select(id_col, "_round", "_span", "_text"))
+        got = un.count()
+        if not got:
+            break
+        rounds.append(un)
+        have += got
+    if not rounds:
+        return df.sparkSession.createDataFrame([], "tweet_id string, tweet string, prefix string, input_text string, target_text string")
+    every = rounds[0]
+    for more in rounds[1:]:
+        every = every.unionByName(more)
+    out = _rank_by_round(every, id_col, seed).filter(F.col("_i") < n)
     return out.select(
         F.concat(F.lit(f"{kind}_augmented_"), F.col("_i").cast("string")).alias("tweet_id"),
         F.col("_text").alias("tweet"),
+        F.lit(prefix).alias("prefix"),
         F.col("_text").alias("input_text"),
         F.col("_span").alias("target_text"),
     )
 
 
+def with_augmented_spans(df: DataFrame, syn: DataFrame, n: int, **options) -> DataFrame:
+    """H10 as the corpus with the new rows appended (the prepared columns)."""
+    columns = ["tweet_id", "tweet", "prefix", "input_text", "target_text"]
+    return df.select(*columns).unionByName(augment_spans(df, syn, n, **options))
+
+
 def _rank_by_round(df: DataFrame, id_col: str, seed) -> DataFrame:
     """0-based rank by (round, md5(seed:id)): rounds are few, so offsets per round come
     from a small count table and rows are ranked inside their round by md5 buckets."""

@@ -21,6 +21,8 @@ from spanlab.session import materialize
 
 # Rows of draws generated per task when a class is drawn up (bounds one task's work).
 DRAW_CHUNK = 1 << 20
+# Draws that one row of a class answers per salt.
+SALT_DRAWS = 1 << 16
 
 
 def order_key(seed, id_col: str):
@@ -69,9 +71,21 @@ def oversample(df: DataFrame, label: str, id_col: str = "tweet_id", seed: int =
             F.sequence(F.col("_c") * DRAW_CHUNK, F.least((F.col("_c") + 1) * DRAW_CHUNK, F.col("_d")) - 1)
         ).alias("draw"),
     )
-    draws = draws.withColumn("idx", seeded_draw(seeded_key(seed, F.lit("draw"), F.col(label), F.col("draw")), F.col("_n")))
+    name = F.coalesce(F.col(label).cast("string"), F.lit(""))
+    draws = draws.withColumn("idx", seeded_draw(seeded_key(seed, F.lit("draw"), name, F.col("draw")), F.col("_n")))
     indexed = dense_index(df, order_key(seed, id_col), label, id_col, "idx")
-    picked = indexed.join(draws.select(label, "idx", "draw"), [label, "idx"], "inner").drop("idx")
+    # a class of few rows has few (class, idx) keys: its rows are copied once per salt and
+    # the draws dealt over the salts, so no key holds more than about DRAW_CHUNK draws
+    salts = need.select(
+        F.col(label).alias("_l"), F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_d") / (F.col("_n") * SALT_DRAWS)).cast("bigint")).alias("_salts")
+    )
+    dealt = draws.join(salts, F.col(label).eqNullSafe(F.col("_l"))).select(
+        F.col(label).alias("_l"), F.col("idx").alias("_idx"), "draw", F.pmod("draw", "_salts").alias("_s")
+    )
+    copies = indexed.join(salts, F.col(label).eqNullSafe(F.col("_l"))).drop("_l")
+    copies = copies.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_salts") - 1)))
+    same = F.col(label).eqNullSafe(F.col("_l")) & (F.col("idx") == F.col("_idx")) & (F.col("_salt") == F.col("_s"))
+    picked = copies.join(dealt, same, "inner").drop("idx", "_idx", "_l", "_s", "_salt", "_salts")
     base = df.withColumn("draw", F.lit(None).cast("bigint"))
     return base.unionByName(picked.select(*base.columns))
 

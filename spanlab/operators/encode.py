@@ -8,22 +8,26 @@ many positions): the first ``max_len - 1`` tokens plus the end token are kept.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlab.functions import text as T
 from spanlab.operators.augment import words_of
+from spanlab.operators.exactk import dense_index
 
 # Special token ids and the label value of padded positions.
 PAD_ID, EOS_ID, UNK_ID = 0, 1, 2
 IGNORE_LABEL = -100
 
 
-def vocab_from_corpus(df: DataFrame, text_col: str, size: int = 1000) -> DataFrame:
-    """A ``(token, id)`` table: the ``size`` most frequent words (ties by word) get ids 3, 4, …"""
-    words = df.select(F.explode(words_of(text_col)).alias("token")).filter(F.col("token") != "")
-    top = words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(size)
-    return top.select("token", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) + 2).cast("int").alias("id"))
+def vocab_from_corpus(df: DataFrame, text_col: str) -> DataFrame:
+    """A ``(token, id)`` table of all words: ids 3, 4, … in the order of ``md5(token)``, then token.
+
+    The numbering is dense without a global window (``dense_index``).
+    """
+    words = df.select(F.explode(words_of(text_col)).alias("token")).filter(F.col("token") != "").distinct()
+    numbered = dense_index(words, F.md5("token"), None, "token", "_i")
+    return numbered.select("token", (F.col("_i") + 3).cast("int").alias("id"))
 
 
 def encode_fixed(
@@ -77,4 +81,12 @@ def encode_fixed(
         ).alias("attention_mask"),
         fixed(F.col("_t"), IGNORE_LABEL).alias("labels"),
     )
-    return rows.select(key, "_uid").join(enc, "_uid").drop("_uid")
+    # a row whose input and target are both null has no token: end token and pads
+    blank = [
+        F.concat(F.array(F.lit(EOS_ID)), F.array_repeat(F.lit(PAD_ID), max_len - 1)),
+        F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), max_len - 1)),
+        F.concat(F.array(F.lit(EOS_ID)), F.array_repeat(F.lit(IGNORE_LABEL), max_len - 1)),
+    ]
+    names = ["input_ids", "attention_mask", "labels"]
+    joined = rows.select(key, "_uid").join(enc, "_uid", "left")
+    return joined.select(key, *[F.coalesce(F.col(c), b).alias(c) for c, b in zip(names, blank)])

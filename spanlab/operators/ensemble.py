@@ -8,15 +8,12 @@ number of runs.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from spanlab.functions import similarity as S
 from spanlab.functions import text as T
 from spanlab.operators import joins
-from spanlab.session import ship_package
 
 ID, TEXT = "tweet_id", "predicted_text"
 
@@ -130,60 +127,21 @@ def span_ensemble(runs: DataFrame, n_runs: int, key: str = ID, col: str = TEXT,
 def run_ensemble(runs: DataFrame, runs_selected: list[str] | None = None, seed: int = 25) -> DataFrame:
     """Runs (already read) → B11 → J1 or J3 by task → D2.
 
-    The task comes from the run names; a mix of classification and extraction runs
-    raises (the reference silently takes the last folder's task).
+    ``runs_selected`` are the runs that take part; their number sets the majority, so
+    pass the configured runs that exist (``sources.io.present_runs``), as the reference
+    counts the folders it finds. The task comes from the run names; a mix of
+    classification and extraction runs raises (the reference silently takes the last
+    folder's task).
     """
-    if runs_selected is not None:
-        runs = runs.filter(F.col("run").isin(list(runs_selected)))
-        n_runs = len(set(runs_selected))
-        tasks = {("classification" if r.startswith("assert") else "detection") for r in runs_selected}
-        if len(tasks) > 1:
-            raise ValueError("runs mix classification and extraction")
-        task = tasks.pop() if tasks else "detection"
-    else:
-        raise ValueError("pass the configured run names (see sources.io.load_ensemble)")
+    if not runs_selected:
+        raise ValueError("pass the run names (see sources.io.load_ensemble and present_runs)")
+    tasks = {T.task_of(r) for r in runs_selected}
+    if len(tasks) > 1:
+        raise ValueError("runs mix classification and extraction")
+    runs = runs.filter(F.col("run").isin(list(runs_selected)))
     norm = normalise_runs(runs)
-    if task == "classification":
+    if tasks == {T.CLASSIFICATION}:
         out = majority_vote(norm)
     else:
-        out = span_ensemble(norm, n_runs, seed=seed)
-    return joins.attach_text(out, runs)
-
-
-def _legacy_pick(spans, key, seed: int) -> str | None:
-    """The reference's consensus as written: per pair the *last* non-empty matching
-    block of the lower-cased texts, sliced one character too long from the first
-    span; blocks of 5+ characters are scored by how many spans contain them."""
-    import difflib
-    import hashlib
-    from itertools import combinations
-
-    spans = list(spans) if spans is not None else []
-    if not spans:
-        return None
-    matches = []
-    for a, b in combinations(spans, 2):
-        match = None
-        for i, _, n in difflib.SequenceMatcher(None, a.lower(), b.lower()).get_matching_blocks():
-            if n > 0:
-                match = a[i : i + n + 1]
-        if match is not None and len(match) >= S.MIN_COMMON_BLOCK:
-            matches.append(match)
-    if not matches:
-        return min(spans, key=lambda s: (hashlib.md5(f"{seed}:{key}:{s}".encode()).hexdigest(), s))
-    counts: dict[str, int] = {}
-    for m in matches:
-        counts[m] = sum(m in s for s in spans)
-    return max(counts, key=counts.get)
-
-
-def common_span_legacy(spans_df: DataFrame, spans: str = "all_spans", key: str = ID, seed: int = 25, out: str = TEXT) -> DataFrame:
-    """J2, ``mode='legacy'``: the reference's block choice kept bug for bug, as an
-    Arrow-batched ``pandas_udf`` over the (bounded) candidate list of each row."""
-    ship_package(spans_df.sparkSession)
-
-    @pandas_udf("string")
-    def pick(lists: pd.Series, keys: pd.Series) -> pd.Series:
-        return pd.Series([_legacy_pick(s, k, seed) for s, k in zip(lists, keys)])
-
-    return spans_df.withColumn(out, pick(F.col(spans), F.col(key).cast("string")))
+        out = span_ensemble(norm, len(set(runs_selected)), seed=seed)
+    return joins.attach_text(out, runs, first_run=min(runs_selected))

@@ -14,7 +14,8 @@ order is a hex key (``md5`` of a seed and the row id) plus tie-break columns, an
    (group, bucket).
 
 The answer equals ``row_number() over (partition by group order by key, tie-break)``,
-for any partitioning, which is also the oracle's formulation.
+for any partitioning, which is also the oracle's formulation. No row is lost: a null key
+stands after all others (``LAST_KEY``), and groups are joined null-safe.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_DIGITS = 4
+LAST_KEY = "~"  # sorts after every hex digit
 
 
 def _cols(xs) -> list[str]:
@@ -35,6 +37,17 @@ def _cols(xs) -> list[str]:
     return list(xs)
 
 
+def _same(left: DataFrame, right: DataFrame, by: list[str], how: str) -> DataFrame:
+    """Join on the group columns (null groups match) and, if both have it, the bucket."""
+    keys = [*by, "_xb"] if "_xb" in left.columns and "_xb" in right.columns else by
+    renamed = right.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in right.columns])
+    cond = None
+    for c in keys:
+        one = F.col(c).eqNullSafe(F.col(f"_r_{c}"))
+        cond = one if cond is None else cond & one
+    return left.join(renamed, cond, how).drop(*[f"_r_{c}" for c in keys])
+
+
 def _bucket_table(keyed: DataFrame, by: list[str]) -> DataFrame:
     counts = keyed.groupBy(*by, "_xb").agg(F.count(F.lit(1)).alias("_xn"))
     w = Window.partitionBy(*by).orderBy("_xb").rowsBetween(Window.unboundedPreceding, -1)
@@ -59,16 +72,16 @@ def with_take_flag(
     tiebreak = _cols(tiebreak)
     const_group = not by
     if const_group:
-        # One group: a constant key keeps every join an equi-join.
+        # One group: a constant stands for it; the bucket is the join key.
         df = df.withColumn("_xg", F.lit(0))
         by = ["_xg"]
         if isinstance(k, DataFrame):
             k = k.withColumn("_xg", F.lit(0))
-    keyed = df.withColumn("_xkey", key).withColumn("_xb", F.substring("_xkey", 1, BUCKET_DIGITS))
+    keyed = df.withColumn("_xkey", F.coalesce(key, F.lit(LAST_KEY))).withColumn("_xb", F.substring("_xkey", 1, BUCKET_DIGITS))
     buckets = _bucket_table(keyed.select(*by, "_xb"), by)
     if isinstance(k, DataFrame):
         # The k table has one row per group: a small side.
-        buckets = buckets.join(k.select(*by, F.col("_k").cast("bigint").alias("_xk")), by, "left")
+        buckets = _same(buckets, k.select(*by, F.col("_k").cast("bigint").alias("_xk")), by, "left")
         kcol = F.coalesce(F.col("_xk"), F.lit(0))
     elif isinstance(k, Column):
         buckets = buckets.withColumn("_xk", k.cast("bigint"))
@@ -84,7 +97,7 @@ def with_take_flag(
         .alias("_xstatus"),
         (kcol - F.col("_xbefore")).alias("_xrem"),
     )
-    joined = keyed.join(buckets, [*by, "_xb"], "inner")
+    joined = _same(keyed, buckets, by, "inner")
     whole = joined.filter(F.col("_xstatus") != "part").withColumn(flag, F.col("_xstatus") == "all")
     w = Window.partitionBy(*by, "_xb").orderBy("_xkey", *tiebreak)
     part = joined.filter(F.col("_xstatus") == "part").withColumn(flag, F.row_number().over(w) <= F.col("_xrem"))
@@ -112,9 +125,9 @@ def dense_index(
     """
     by = _cols(by)
     tiebreak = _cols(tiebreak)
-    keyed = df.withColumn("_xkey", key).withColumn("_xb", F.substring("_xkey", 1, BUCKET_DIGITS))
+    keyed = df.withColumn("_xkey", F.coalesce(key, F.lit(LAST_KEY))).withColumn("_xb", F.substring("_xkey", 1, BUCKET_DIGITS))
     buckets = _bucket_table(keyed.select(*by, "_xb"), by).drop("_xn")
-    joined = keyed.join(buckets, [*by, "_xb"], "inner")
+    joined = _same(keyed, buckets, by, "inner")
     w = Window.partitionBy(*by, "_xb").orderBy("_xkey", *tiebreak)
     return joined.withColumn(out, (F.col("_xbefore") + F.row_number().over(w) - 1).cast("bigint")).drop(
         "_xkey", "_xb", "_xbefore"

@@ -28,18 +28,9 @@ def first_per_key(df: DataFrame, key: str, order: Sequence[str], cols: Sequence[
 
 
 def dedupe_by_key(df: DataFrame, key: str, col: str) -> DataFrame:
-    """One row per ``key`` keeping the smallest ``col``, without moving unique rows.
-
-    Only the key column is counted (a partial aggregate on ids). When no key repeats
-    (the usual case) the rows are returned as they are: no join, no shuffle of the
-    texts. Otherwise only rows of repeated keys go through the ``min`` aggregation.
-    """
-    repeated = df.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 1).select(key)
-    if repeated.isEmpty():
-        return df.select(key, col)
-    single = df.join(repeated, key, "left_anti").select(key, col)
-    many = df.join(repeated, key, "left_semi").groupBy(key).agg(F.min(col).alias(col))
-    return single.unionByName(many)
+    """One row per ``key`` with the smallest ``col`` (a partial aggregate; the join on the
+    same key that follows needs no further shuffle)."""
+    return df.groupBy(key).agg(F.min(col).alias(col))
 
 
 def attach_labels(
@@ -78,10 +69,16 @@ def attach_labels(
     return uniq.join(lab, key, "left")
 
 
-def attach_text(votes: DataFrame, runs: DataFrame, key: str = "tweet_id", text_col: str = "tweet") -> DataFrame:
-    """Bring the text back from "run 0" (the lowest run name); duplicates there fan out."""
-    first_run = runs.agg(F.min("run").alias("run"))
-    run0 = runs.join(F.broadcast(first_run), "run", "left_semi").select(key, text_col)
+def attach_text(
+    votes: DataFrame, runs: DataFrame, key: str = "tweet_id", text_col: str = "tweet", first_run: str | None = None
+) -> DataFrame:
+    """Bring the text back from "run 0" (the lowest run name); duplicates there fan out.
+
+    With ``first_run`` (known from a listing or a config) the run is a literal filter,
+    which prunes the other runs' files; else the lowest name is looked up.
+    """
+    lowest = F.lit(first_run) if first_run is not None else runs.agg(F.min("run")).scalar()
+    run0 = runs.filter(F.col("run") == lowest).select(key, text_col)
     return votes.join(run0, key, "left")
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanlab.functions import similarity as S
@@ -31,16 +31,15 @@ def span_scores(matches: DataFrame, by: Sequence[str] | str | None = None, on_em
     by zero there).
     """
     by = _by(by)
-    levels = F.explode(F.array(*[F.struct(F.lit(lv).alias("level"), F.col(lv).alias("status")) for lv in LEVELS]))
-    long = matches.select(*by, levels.alias("_s")).select(*by, "_s.level", "_s.status")
-    st = F.col("status")
-    counts = long.groupBy(*by, "level").agg(
-        F.count_if(st == S.COR).alias("correct"),
-        F.count_if(st == S.INC).alias("incorrect"),
-        F.count_if(st == S.PAR).alias("partial"),
-        F.count_if(st == S.MIS).alias("missed"),
-        F.count_if(st == S.SPU).alias("spurius"),
+    # one aggregation for all levels; without groups an empty table still gives its row
+    names = {"correct": S.COR, "incorrect": S.INC, "partial": S.PAR, "missed": S.MIS, "spurius": S.SPU}
+    totals = matches.groupBy(*by).agg(
+        *[F.count_if(F.col(lv) == code).alias(f"_{lv}_{name}") for lv in LEVELS for name, code in names.items()]
     )
+    levels = F.array(
+        *[F.struct(F.lit(lv).alias("level"), *[F.col(f"_{lv}_{name}").alias(name) for name in names]) for lv in LEVELS]
+    )
+    counts = totals.select(*by, F.inline(levels))
     pos = F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("missed")
     act = F.col("correct") + F.col("incorrect") + F.col("partial") + F.col("spurius")
     hit = F.when(F.col("level") == "partial", F.col("correct") + F.lit(0.5) * F.col("partial")).otherwise(
@@ -48,7 +47,7 @@ def span_scores(matches: DataFrame, by: Sequence[str] | str | None = None, on_em
     )
     empty = (pos == 0) | (act == 0)
     if on_empty == "error":
-        guard = lambda c: F.when(empty, F.raise_error(F.lit("No Strict spans Extracted"))).otherwise(c)
+        guard = lambda c: F.when(empty, F.raise_error(F.lit("span scores need at least one gold and one predicted span"))).otherwise(c)
     elif on_empty == "null":
         guard = lambda c: F.when(empty, F.lit(None).cast("double")).otherwise(c)
     else:
@@ -95,33 +94,27 @@ def classification_report(
         (F.lit(2.0) * F.col("precision") * F.col("recall")) / (F.col("precision") + F.col("recall"))
     )
     per = per.withColumn("f1_score", f1)
-    # Group totals as windows over the per-class table (a few rows per group), and the
-    # three summary rows emitted with the first class of each group: one pass, no
-    # union that would run the upstream once per branch.
-    g = Window.partitionBy(*by)
-    n = F.sum("support").over(g)
-    tot = per.select(
-        *by, "class", "precision", "recall", "f1_score", "support",
-        F.sum("tp").over(g).alias("_tp"), n.alias("_n"),
-        F.avg("precision").over(g).alias("_mp"), F.avg("recall").over(g).alias("_mr"), F.avg("f1_score").over(g).alias("_mf"),
-        F.sum(F.col("precision") * F.col("support")).over(g).alias("_wp"),
-        F.sum(F.col("recall") * F.col("support")).over(g).alias("_wr"),
-        F.sum(F.col("f1_score") * F.col("support")).over(g).alias("_wf"),
-        F.row_number().over(g.orderBy("class")).alias("_rn"),
+    # Group totals (one row per group) and the class rows come from the same per-class
+    # table; the summary rows are a second, tiny aggregation of it.
+    tot = per.groupBy(*by).agg(
+        F.sum("tp").alias("_tp"), F.sum("support").alias("_n"),
+        F.avg("precision").alias("_mp"), F.avg("recall").alias("_mr"), F.avg("f1_score").alias("_mf"),
+        F.sum(F.col("precision") * F.col("support")).alias("_wp"),
+        F.sum(F.col("recall") * F.col("support")).alias("_wr"),
+        F.sum(F.col("f1_score") * F.col("support")).alias("_wf"),
     )
 
     def row(cls, p, r, f, sup):
         return F.struct(cls.alias("class"), p.alias("precision"), r.alias("recall"), f.alias("f1_score"), sup.alias("support"))
 
     null = F.lit(None).cast("double")
-    own = F.array(row(F.col("class"), F.col("precision"), F.col("recall"), F.col("f1_score"), F.col("support")))
     summary = F.array(
         row(F.lit("accuracy"), null, null, F.col("_tp") / F.col("_n"), F.col("_n")),
         row(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_n")),
         row(F.lit("weighted avg"), F.col("_wp") / F.col("_n"), F.col("_wr") / F.col("_n"), F.col("_wf") / F.col("_n"), F.col("_n")),
     )
-    rows = F.when(F.col("_rn") == 1, F.concat(own, summary)).otherwise(own)
-    return tot.select(*by, F.inline(rows))
+    own = per.select(*by, "class", "precision", "recall", "f1_score", "support")
+    return own.unionByName(tot.filter(F.col("_n").isNotNull()).select(*by, F.inline(summary)))
 
 
 def with_metrics(df: DataFrame, **metrics: Callable[[DataFrame], DataFrame]) -> dict[str, DataFrame]:
@@ -129,13 +122,6 @@ def with_metrics(df: DataFrame, **metrics: Callable[[DataFrame], DataFrame]) ->
     return {name: fn(df) for name, fn in metrics.items()}
 
 
-def metrics_long(scores: DataFrame, value_cols: Sequence[str], by: Sequence[str] | str | None = None) -> DataFrame:
-    """Wide metric columns → ``(metric, value)`` rows (``key = value`` lines), sorted by key."""
-    by = _by(by)
-    pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in value_cols]))
-    return scores.select(*by, pairs.alias("_m")).select(*by, "_m.metric", "_m.value").orderBy(*by, "metric")
-
-
 def scores_long(scores: DataFrame, by: Sequence[str] | str | None = None) -> DataFrame:
     """A9 over span scores: ``<level>_<measure>`` keys."""
     by = _by(by)

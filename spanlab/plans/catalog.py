@@ -201,6 +201,17 @@ def q_k1_class_errors(spark, sf):
     )
 
 
+def q_k1_error_rows(spark, sf):
+    """The false positives and negatives themselves."""
+    e = _class_errors(spark, sf).filter(F.col("error_kind").isNotNull())
+    return e.select("run", "model", "tweet_id", "class", "label", "error_kind")
+
+
+def q_e8_nonnull_counts_fn(spark, sf):
+    e = _class_errors(spark, sf).filter(F.col("error_kind") == "fn")
+    return ER.nonnull_counts(e.select("model", "tweet_id", "tweet", "class", "label"), "model")
+
+
 def q_e8_nonnull_counts(spark, sf):
     e = _class_errors(spark, sf).filter(F.col("error_kind") == "fp")
     return ER.nonnull_counts(e.select("model", "tweet_id", "tweet", "class", "label"), "model")
@@ -215,6 +226,12 @@ def q_k2_span_errors(spark, sf):
     return ER.errors_per_run(_span_errors(spark, sf))
 
 
+def q_k2_error_rows(spark, sf):
+    """The mismatching predictions themselves."""
+    e = _span_errors(spark, sf).filter("mismatch")
+    return e.select("model", "tweet_id", "predicted_text", "gold_text", "fn", "fp", "partial")
+
+
 def q_k3_error_example(spark, sf):
     return ER.error_example(_span_errors(spark, sf), "partial")
 
@@ -292,7 +309,7 @@ def _positives(spark, sf):
 
 
 def _synonyms(spark, sf):
-    return AU.synonym_table_from_corpus(V.prepared_class(spark, sf), "input_text", 200)
+    return AU.synonym_table_from_corpus(V.prepared_class(spark, sf), "input_text")
 
 
 def q_h0_synonym_table(spark, sf):
@@ -339,12 +356,12 @@ def q_h8_markov_table(spark, sf):
 
 
 def q_h9_markov_generate(spark, sf):
-    return AU.markov_generate(_positives(spark, sf), 50, tries=4)
+    return AU.markov_generate(_positives(spark, sf), _quota(spark, sf))
 
 
 def q_h10_augment_spans(spark, sf):
     spans = V.prepared_spans(spark, sf)
-    return AU.augment_spans(spans, _synonyms(spark, sf), n=_quota(spark, sf))
+    return AU.with_augmented_spans(spans, _synonyms(spark, sf), n=_quota(spark, sf))
 
 
 # --- progress logs (M1) -----------------------------------------------------
@@ -362,7 +379,7 @@ from spanlab.operators import predict as PD  # noqa: E402
 
 def q_b16_encode_fixed(spark, sf):
     p = V.prepared_class(spark, sf)
-    vocab = EC.vocab_from_corpus(p, "input_text", 1000)
+    vocab = EC.vocab_from_corpus(p, "input_text")
     return EC.encode_fixed(p, vocab, max_len=130)
 
 
@@ -381,6 +398,13 @@ def q_l3_predictions(spark, sf):
     return preds.select("tweet_id", "target_text", "predicted_text")
 
 
+def q_l3_evaluate_class(spark, sf):
+    """L1 → L2 → E7: the classification report of one run."""
+    report = {"report": lambda d: SC.classification_report(d, label="target_text", pred="predicted_text")}
+    _, metrics = PD.evaluate_run(V.prepared_class(spark, sf), PD.rule_factory("classification"), metrics=report)
+    return metrics["report"]
+
+
 def q_l3_evaluate_run(spark, sf):
     _, metrics = _l3(spark, sf)
     return metrics["span_scores"]
@@ -397,6 +421,37 @@ def q_a1_read_tsv(spark, sf):
     return IO.read_tsv(spark, path, IO.CLASS_SCHEMA)
 
 
+def _flat_texts(spark, sf):
+    """Texts without line ends and tabs: the files are read line by line, with quoting off."""
+    return V.texts(spark, sf).select("tweet_id", F.regexp_replace("tweet", r"[\n\r\t]", " ").alias("tweet"))
+
+
+def _write_plain_tsv(df, path):
+    w = df.write.mode("overwrite").option("sep", "\t").option("quote", "").option("escape", "")
+    w.option("emptyValue", "").option("ignoreLeadingWhiteSpace", "false").option("ignoreTrailingWhiteSpace", "false").csv(path)
+
+
+def q_a1_read_tsv_unquoted(spark, sf):
+    """A1 with quoting off: quotes are text."""
+    path = scratch_path(spark, "texts-tsv")
+    _write_plain_tsv(_flat_texts(spark, sf), path)
+    return IO.read_tsv(spark, path, IO.TEXT_SCHEMA, quoting=False)
+
+
+def q_a2_read_splits(spark, sf):
+    """A2: a task folder (train and valid texts and class labels) written and read by task name."""
+    root = scratch_path(spark, "task")
+    train = F.substring(F.md5(F.concat(F.lit("split:"), F.col("tweet_id"))), 1, 1) < "d"
+    texts, labels = _flat_texts(spark, sf), V.class_labels(spark, sf)
+    _write_plain_tsv(texts.filter(train), f"{root}/train/train_tweets.tsv")
+    _write_plain_tsv(texts.filter(~train), f"{root}/valid/tweets.tsv")
+    labels.filter(train).write.option("sep", "\t").csv(f"{root}/train/train_class.tsv")
+    labels.filter(~train).write.option("sep", "\t").csv(f"{root}/valid/class.tsv")
+    parts = zip(("train", "train", "valid", "valid"), ("tweet", "label") * 2, IO.read_splits(spark, root, "Task1a"))
+    rows = [df.select(F.lit(s).alias("split"), F.lit(k).alias("kind"), "tweet_id", F.col(k).alias("value")) for s, k, df in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+
+
 def q_a3_csv_roundtrip(spark, sf):
     path = scratch_path(spark, "prepared-csv")
     IO.write_csv(V.prepared_spans(spark, sf), path, ["tweet_id", "tweet", "prefix", "input_text", "target_text"])
@@ -421,8 +476,9 @@ def q_a6_load_ensemble(spark, sf):
     cfg_path = scratch_path(spark, "ensemble-config")
     IO.write_config(spark, cfg_path, root, V.SPAN_RUNS, "ner_ensemble")
     cfg = IO.load_ensemble(spark, cfg_path)
-    runs = IO.read_runs(spark, cfg["input_dir"], cfg["predictions"])
-    return EN.run_ensemble(runs, cfg["predictions"]).select("tweet_id", "predicted_text", "tweet")
+    present = IO.present_runs(spark, cfg["input_dir"], cfg["predictions"])
+    runs = IO.read_runs(spark, cfg["input_dir"], present)
+    return EN.run_ensemble(runs, present).select("tweet_id", "predicted_text", "tweet")
 
 
 def q_a8_write_submission(spark, sf):
@@ -434,9 +490,11 @@ def q_a8_write_submission(spark, sf):
 
 # --- membership, last-k cut, per-prompt folders (D5, F3, A7) -----------------
 def q_d5_drop_known(spark, sf):
-    """Randomly shortened positive texts that do not equal any original positive text."""
+    """Augmented positive texts, about half of them unchanged, without those that are known."""
     pos = _positives(spark, sf)
-    new = AU.random_delete(pos).select("tweet_id", F.col("augmented").alias("input_text"))
+    same = F.substring(F.md5(F.concat(F.lit("keep:"), F.col("tweet_id"))), 1, 1) < "8"
+    text = F.when(same, F.col("input_text")).otherwise(F.col("augmented"))
+    new = AU.random_delete(pos).select("tweet_id", text.alias("input_text"))
     return JN.drop_known(new, pos)
 
 

@@ -11,6 +11,10 @@ from spanlab.operators import prompts as PR
 from spanlab.plans import testviews as V
 
 
+# Sentence ends as line ends (H8, H9).
+SENTENCES = r"""regexp_replace(input_text, '([.!?][''")\]]?)\s+', '\1' || chr(10), 'g')"""
+
+
 def _q(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -70,6 +74,12 @@ def split_spans_sql(expr: str) -> str:
     return f"(CASE WHEN {low} IS NULL OR {low} = 'none' THEN []::VARCHAR[] ELSE string_split({low}, '; ') END)"
 
 
+def phrase_sql(w: str, tag: str, id_col: str, n: int) -> str:
+    """``n`` words of the list ``w`` from a place that md5 of the tag and the id names."""
+    at = f"(('0x' || substr(md5('{tag}:' || CAST({id_col} AS VARCHAR)), 1, 8))::BIGINT % greatest(len({w}) - {n} + 1, 1))"
+    return f"array_to_string({w}[{at} + 1:{at} + {n}], ' ')"
+
+
 def views() -> str:
     runs_c = _list(V.CLASS_RUNS)
     runs_s = _list(V.SPAN_RUNS)
@@ -85,7 +95,7 @@ noisy_texts AS (
   FROM documents d LEFT JOIN pages p ON p.page_id = d.doc_id),
 class_labels AS (SELECT CAST(doc_id AS VARCHAR) AS tweet_id, CASE WHEN toxic = 1 THEN 'ADE' ELSE 'NoADE' END AS label FROM labels),
 span_base AS (SELECT doc_id, text, string_split(text, ' ') AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)),
-span_raw AS (SELECT doc_id, text, unnest([array_to_string(w[2:4], ' '), array_to_string(w[6:7], ' ')]) AS label FROM span_base),
+span_raw AS (SELECT doc_id, text, unnest([{phrase_sql('w', 'a', 'doc_id', 3)}, {phrase_sql('w', 'b', 'doc_id', 2)}]) AS label FROM span_base),
 span_labels AS (
   SELECT CAST(doc_id AS VARCHAR) AS tweet_id, 'ADE' AS type, CAST(instr(text, label) - 1 AS INTEGER) AS "begin",
          CAST(instr(text, label) - 1 + length(label) AS INTEGER) AS "end", label FROM span_raw),
@@ -110,14 +120,14 @@ span_runs AS (
   SELECT run, tweet_id, tweet, prefix, input_text, target_text,
     CASE WHEN d IN ('0','1','2','3','4','5') THEN gold
          WHEN d IN ('6','7') THEN s1
-         WHEN d IN ('8','9') THEN array_to_string(w[2:3], ' ')
+         WHEN d IN ('8','9') THEN {phrase_sql('w', 'c', 'tweet_id', 2)}
          WHEN d IN ('a','b') THEN 'none'
-         WHEN d = 'c' THEN array_to_string(w[6:7], ' ') || '; ' || s1
-         WHEN d = 'd' THEN array_to_string(w[10:11], ' ')
+         WHEN d = 'c' THEN {phrase_sql('w', 'b', 'tweet_id', 2)} || '; ' || s1
+         WHEN d = 'd' THEN concat_ws('; ', {', '.join(phrase_sql('w', f'many{k}', 'tweet_id', 1 + k % 3) for k in range(6))})
          WHEN d = 'e' THEN gold || '.'
-         ELSE s1 || ' ' || coalesce(w[5], '') END AS predicted_text
+         ELSE s1 || ' ' || w[len(w)] END AS predicted_text
   FROM (SELECT ps.*, g.gold, r.run, string_split(ps.tweet, ' ') AS w,
-               array_to_string(string_split(ps.tweet, ' ')[2:4], ' ') AS s1,
+               {phrase_sql("string_split(ps.tweet, ' ')", 'a', 'ps.tweet_id', 3)} AS s1,
                substr(md5(r.run || ':' || ps.tweet_id), 1, 1) AS d
         FROM prepared_spans ps JOIN span_gold g USING (tweet_id), (SELECT unnest({runs_s}) AS run) r)),
 class_gold_raw AS (
@@ -324,6 +334,11 @@ cerr2 AS (SELECT *, CASE WHEN class = 'ADE' AND label = 'NoADE' THEN 'fp' WHEN l
         "SELECT model, count_if(error_kind = 'fp') AS n_fp, count_if(error_kind = 'fn') AS n_fn, count(label) AS n_with_gold FROM cerr2 GROUP BY model",
         cerr,
     )
+    q["k1_error_rows"] = _with("SELECT run, model, tweet_id, class, label, error_kind FROM cerr2 WHERE error_kind IS NOT NULL", cerr)
+    q["e8_nonnull_counts_fn"] = _with(
+        "SELECT model, count(tweet_id) AS tweet_id, count(tweet) AS tweet, count(class) AS class, count(label) AS label FROM cerr2 WHERE error_kind = 'fn' GROUP BY model",
+        cerr,
+    )
     q["e8_nonnull_counts"] = _with(
         "SELECT model, count(tweet_id) AS tweet_id, count(tweet) AS tweet, count(class) AS class, count(label) AS label FROM cerr2 WHERE error_kind = 'fp' GROUP BY model",
         cerr,
@@ -339,6 +354,7 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
         "SELECT model, count_if(mismatch) AS n_mismatch, count_if(fn) AS n_fn, count_if(fp) AS n_fp, count_if(partial) AS n_partial FROM serr2 GROUP BY model",
         serr,
     )
+    q["k2_error_rows"] = _with("SELECT model, tweet_id, predicted_text, gold_text, fn, fp, partial FROM serr2 WHERE mismatch", serr)
     q["k3_error_example"] = _with(
         """SELECT model, tweet, predicted_text, gold_text FROM (
              SELECT *, row_number() OVER (PARTITION BY model ORDER BY tweet_id) AS rn FROM serr2 WHERE partial) WHERE rn = 1""",
@@ -357,9 +373,14 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
     _balance_queries(q)
     _augment_queries(q)
     q["m1_best_checkpoint"] = m1_sql(patience=3)
-    q["h9_markov_generate"] = h9_sql(n=50, tries=4)
+    q["h9_markov_generate"] = h9_sql()
     _model_queries(q)
     q["a1_read_tsv"] = _with("SELECT tweet_id, label FROM class_labels")
+    q["a1_read_tsv_unquoted"] = _with("SELECT tweet_id, regexp_replace(tweet, '[\\n\\r\\t]', ' ', 'g') AS tweet FROM texts")
+    q["a2_read_splits"] = _with(
+        """SELECT CASE WHEN substr(md5('split:' || tweet_id), 1, 1) < 'd' THEN 'train' ELSE 'valid' END AS split, 'tweet' AS kind, tweet_id, regexp_replace(tweet, '[\\n\\r\\t]', ' ', 'g') AS value FROM texts
+           UNION ALL SELECT CASE WHEN substr(md5('split:' || tweet_id), 1, 1) < 'd' THEN 'train' ELSE 'valid' END, 'label', tweet_id, label FROM class_labels"""
+    )
     q["a3_csv_roundtrip"] = _with("SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_spans")
     # A CSV round trip reads an empty field as null (as the pandas reader does).
     q["a4_read_runs"] = _with("SELECT run, tweet_id, NULLIF(predicted_text, '') AS predicted_text FROM span_runs")
@@ -379,9 +400,8 @@ def _model_queries(q: dict) -> None:
     mi = "prefix || ': ' || input_text"
     words = lambda e: f"string_split(trim(regexp_replace({e}, {ws}, ' ', 'g')), ' ')"
     vocab = f"""
-vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 2 AS INTEGER) AS id FROM (
-  SELECT token, count(*) AS n FROM (SELECT unnest({words('input_text')}) AS token FROM prepared_class) WHERE token <> ''
-  GROUP BY token ORDER BY n DESC, token LIMIT 1000)),
+vocab AS (SELECT token, CAST(row_number() OVER (ORDER BY md5(token), token) + 2 AS INTEGER) AS id FROM (
+  SELECT DISTINCT token FROM (SELECT unnest({words('input_text')}) AS token FROM prepared_class) WHERE token <> '')),
 toks AS (SELECT tweet_id, 0 AS side, unnest(list_transform({words(mi)}[1:129], lambda t, i: {{'pos': i, 'token': t}})) AS x FROM prepared_class
          UNION ALL SELECT tweet_id, 1, unnest(list_transform({words('target_text')}[1:129], lambda t, i: {{'pos': i, 'token': t}})) FROM prepared_class),
 looked AS (SELECT tweet_id, side, x.pos AS pos, coalesce(v.id, 2) AS id FROM toks LEFT JOIN vocab v ON v.token = x.token),
@@ -399,21 +419,27 @@ grouped AS (SELECT tweet_id, list(id ORDER BY pos) FILTER (WHERE side = 0) AS s,
     p2 = next(p for p in PR.PROMPTS if p["prompt"] == "prompt2")
     marker = _q(p2["marker"])
     unwrap = lambda e: f"CASE WHEN contains({e}, {marker}) THEN trim(replace({e}, {marker}, ''), '.') ELSE 'none' END"
+    at = "(('0x' || substr(md5(mi), 2, 8))::BIGINT % greatest(len(w) - 2, 1))"
     l3 = f"""
-l3_in AS (SELECT tweet_id, {_q(T.SPAN_PREFIX)} || ': ' || replace({_q(p2['input_tpl'])}, '{{}}', input_text) AS mi,
+l3_in AS (SELECT tweet_id, {_q(T.SPAN_PREFIX)} || ': ' || replace({_q(p2['input_tpl'])}, '{{}}', input_text) AS mi, string_split(input_text, ' ') AS w,
                  CASE WHEN target_text = 'none' THEN {_q(p2['neg_tpl'])} ELSE replace({_q(p2['pos_tpl'])}, '{{}}', target_text) END AS target_text
           FROM prepared_spans),
 l3_pred AS (SELECT tweet_id, target_text, CASE WHEN substr(md5(mi), 1, 1) IN ('0','1','2','3','4','5','6','7')
-                 THEN replace({_q(p2['pos_tpl'])}, '{{}}', array_to_string(string_split(mi, ' ')[2:4], ' ')) ELSE {_q(p2['neg_tpl'])} END AS predicted_text FROM l3_in),
-l3_table AS (SELECT tweet_id, {unwrap('target_text')} AS gold_labels, {unwrap('predicted_text')} AS pred_labels FROM l3_pred)"""
-    q["l3_predictions"] = _with("SELECT tweet_id, gold_labels AS target_text, pred_labels AS predicted_text FROM l3_table", l3)
+                 THEN replace({_q(p2['pos_tpl'])}, '{{}}', array_to_string(w[{at} + 1:{at} + 3], ' ')) ELSE {_q(p2['neg_tpl'])} END AS predicted_text FROM l3_in),
+l3_table AS (SELECT tweet_id, target_text, {unwrap('target_text')} AS gold_labels, {unwrap('predicted_text')} AS pred_labels FROM l3_pred)"""
+    q["l3_predictions"] = _with("SELECT tweet_id, target_text, pred_labels AS predicted_text FROM l3_table", l3)
+    q["l3_evaluate_class"] = (
+        "WITH " + views() + f", lc AS (SELECT target_text, CASE WHEN substr(md5({mi}), 1, 1) IN ('0','1','2','3') THEN {_q(T.POSITIVE_CLASS_TEXT)} ELSE {_q(T.NEGATIVE_CLASS_TEXT)} END AS pred FROM prepared_class),"
+        + _report_sql("lc", "target_text", "pred")
+    )
     q["l3_evaluate_run"] = _with("SELECT * FROM scores", l3 + "," + _eval_spans_sql("tweet_id", "l3_table") + "," + _scores_sql(""))
 
 
-def h9_sql(n: int, tries: int, min_words: int = 10, max_words: int = 25) -> str:
+def h9_sql(tries: int = 10, min_words: int = 10, max_words: int = 25) -> str:
     """H9 replayed: occurrences numbered per state, walks as a recursive CTE per round."""
     ws = _q(T.WHITESPACE_RUN)
     b, e = "'___BEGIN__'", "'___END__'"
+    n = "(SELECT n FROM h9_n)"
 
     def walk(name: str, rnd: int, sents: str) -> str:
         draw = f"(('0x' || substr(md5('25:walk:{rnd}:' || CAST(w.sent AS VARCHAR) || ':' || CAST(w.try AS VARCHAR) || ':' || CAST(w.step AS VARCHAR)), 1, 15))::BIGINT % t.tot)"
@@ -438,17 +464,18 @@ def h9_sql(n: int, tries: int, min_words: int = 10, max_words: int = 25) -> str:
     return f"""WITH RECURSIVE {views()},
 h9_pos AS (SELECT input_text FROM prepared_class WHERE target_text = {_q(T.POSITIVE_CLASS_TEXT)}),
 h9_sent AS (SELECT w FROM (SELECT string_split(trim(regexp_replace(l, {ws}, ' ', 'g')), ' ') AS w
-                           FROM (SELECT unnest(string_split(input_text, chr(10))) AS l FROM h9_pos)) WHERE w[1] <> ''),
+                           FROM (SELECT unnest(string_split({SENTENCES}, chr(10))) AS l FROM h9_pos)) WHERE w[1] <> ''),
 h9_p AS (SELECT p, md5(array_to_string(p, ' ')) AS sid FROM (SELECT [{b}, {b}] || w || [{e}] AS p FROM h9_sent)),
 h9_occ0 AS (SELECT sid, k AS pos, array_to_string(p[k - 2:k - 1], ' ') AS state, p[k] AS nxt
             FROM (SELECT sid, p, unnest(range(3, len(p) + 1)) AS k FROM h9_p)),
 h9_occ AS (SELECT state, nxt, row_number() OVER (PARTITION BY state ORDER BY md5(sid || ':' || CAST(pos AS VARCHAR)), sid, pos) - 1 AS idx FROM h9_occ0),
 h9_tot AS (SELECT state, count(*) AS tot FROM h9_occ GROUP BY state),
 h9_known AS (SELECT DISTINCT array_to_string(w, ' ') AS known FROM h9_sent),
+h9_n AS (SELECT greatest(0, (SELECT count(*) FROM prepared_class) // 5 - (SELECT count(*) FROM h9_pos)) AS n),
 {walk("walk0", 0, f"SELECT unnest(range(0, {n})) AS sent")},
 first0 AS {firsts("walk0")},
 have0 AS (SELECT count(DISTINCT text) AS have FROM first0),
-{walk("walk1", 1, f"SELECT unnest(range({n}, {n} + {n} - (SELECT have FROM have0))) AS sent WHERE (SELECT have FROM have0) BETWEEN 1 AND {n - 1}")},
+{walk("walk1", 1, f"SELECT unnest(range({n}, {n} + {n} - (SELECT have FROM have0))) AS sent WHERE (SELECT have FROM have0) BETWEEN 1 AND {n} - 1")},
 first1 AS {firsts("walk1")}
 SELECT text FROM first0 UNION SELECT text FROM first1"""
 
@@ -495,11 +522,11 @@ def _augment_queries(q: dict) -> None:
     words = f"string_split(trim(regexp_replace(input_text, {ws}, ' ', 'g')), ' ')"
     syn = f"""
 syn_words AS (SELECT unnest({words}) AS word FROM prepared_class),
-syn_top AS (SELECT word, count(*) AS n FROM syn_words WHERE word <> '' GROUP BY word ORDER BY n DESC, word LIMIT 200),
-syn_rank AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS r FROM syn_top),
+syn_rank AS (SELECT word, row_number() OVER (ORDER BY md5(word), word) AS r FROM (SELECT DISTINCT word FROM syn_words WHERE word <> '')),
+syn_pairs AS (SELECT word, r, CASE WHEN r % 2 = 1 THEN r + 1 ELSE r - 1 END AS pr FROM syn_rank
+              UNION ALL SELECT word, r, r % (SELECT count(*) FROM syn_rank) + 1 FROM syn_rank),
 synonyms AS (SELECT DISTINCT a.word, CASE WHEN a.r % 3 = 0 THEN 'v' ELSE 'n' END AS pos, b.word AS synonym
-             FROM syn_rank a JOIN syn_rank b ON b.r = CASE WHEN a.r % 2 = 1 THEN a.r + 1 ELSE a.r - 1 END OR b.r = a.r % 200 + 1
-             WHERE a.word <> b.word),
+             FROM syn_pairs a JOIN syn_rank b ON b.r = a.pr WHERE a.word <> b.word),
 pos_rows AS (SELECT tweet_id, input_text, {words} AS w FROM prepared_class WHERE target_text = {_q(T.POSITIVE_CLASS_TEXT)})"""
     q["h0_synonym_table"] = _with("SELECT * FROM synonyms", syn)
 
@@ -544,7 +571,8 @@ ch_{tag} AS (SELECT d.tweet_id, d.word, arg_min(s.synonym, {_key('d.tweet_id', _
     )
     q["d5_drop_known"] = _with(
         f"""SELECT tweet_id, augmented AS input_text FROM (
-              SELECT tweet_id, array_to_string(CASE WHEN len(w) <= 1 THEN w WHEN len({kept}) = 0 THEN {keep_one} ELSE {kept} END, ' ') AS augmented FROM pos_rows)
+              SELECT tweet_id, CASE WHEN substr(md5('keep:' || tweet_id), 1, 1) < '8' THEN input_text ELSE
+                array_to_string(CASE WHEN len(w) <= 1 THEN w WHEN len({kept}) = 0 THEN {keep_one} ELSE {kept} END, ' ') END AS augmented FROM pos_rows)
             WHERE augmented NOT IN (SELECT input_text FROM pos_rows WHERE input_text IS NOT NULL)""",
         syn,
     )
@@ -577,7 +605,7 @@ h6_top AS (SELECT DISTINCT {rd("(r.tweet_id || '#' || CAST(p.nfull + 1 AS VARCHA
     h10 = f"""{quota},
 h10_pos AS (SELECT tweet_id, input_text, lower(input_text) AS lt, lower(target_text) AS ls FROM prepared_spans WHERE target_text IS DISTINCT FROM 'none'),
 h10_m AS (SELECT tweet_id, ls AS span, CASE WHEN ls = '' THEN lt ELSE replace(lt, ls, '@@span@@') END AS masked, r.rnd
-          FROM h10_pos, (SELECT unnest(range(0, 4)) AS rnd) r),
+          FROM h10_pos, (SELECT unnest(range(0, 12)) AS rnd) r),
 h10_w AS (SELECT *, tweet_id || '#' || CAST(rnd AS VARCHAR) AS rid, string_split(trim(regexp_replace(masked, {ws}, ' ', 'g')), ' ') AS w FROM h10_m),
 h10_cw AS (SELECT DISTINCT rid, unnest(w) AS word FROM h10_w),
 h10_s AS (SELECT DISTINCT word, synonym FROM synonyms WHERE pos = 'v'),
@@ -589,7 +617,8 @@ h10_ok AS (SELECT tweet_id, rnd, span, replace(new, '@@span@@', span) AS text FR
 h10_ok2 AS (SELECT * FROM h10_ok WHERE text NOT IN (SELECT input_text FROM h10_pos WHERE input_text IS NOT NULL)),
 h10_rank AS (SELECT *, row_number() OVER (ORDER BY rnd, md5('25:' || tweet_id), tweet_id) - 1 AS i FROM h10_ok2)"""
     q["h10_augment_spans"] = _with(
-        "SELECT 'wnet_augmented_' || CAST(i AS VARCHAR) AS tweet_id, text AS tweet, text AS input_text, span AS target_text "
+        "SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_spans UNION ALL "
+        f"SELECT 'wnet_augmented_' || CAST(i AS VARCHAR) AS tweet_id, text AS tweet, {_q(T.SPAN_PREFIX)}, text AS input_text, span AS target_text "
         "FROM h10_rank WHERE i < (SELECT n FROM q_plan2)",
         syn + "," + h10,
     )
@@ -606,7 +635,7 @@ h10_rank AS (SELECT *, row_number() OVER (ORDER BY rnd, md5('25:' || tweet_id),
               SELECT array_to_string(p[k - 2:k - 1], ' ') AS state, p[k] AS nxt FROM (
                 SELECT p, unnest(range(3, len(p) + 1)) AS k FROM (
                   SELECT ['___BEGIN__', '___BEGIN__'] || lw || ['___END__'] AS p FROM (
-                    SELECT {lines} AS lw FROM (SELECT unnest(string_split(input_text, chr(10))) AS l FROM pos_rows)) WHERE lw[1] <> '')))
+                    SELECT {lines} AS lw FROM (SELECT unnest(string_split({SENTENCES}, chr(10))) AS l FROM pos_rows)) WHERE lw[1] <> '')))
             GROUP BY ALL""",
         syn,
     )

@@ -73,8 +73,9 @@ def run_ensemble_config(spark: SparkSession, cfg_path: str, out_root: str | None
     """Config → selected runs → votes or span consensus → text back → CSV in
     ``<input_dir>/<output>`` (or ``out_root/<output>``)."""
     cfg = io.load_ensemble(spark, cfg_path)
-    runs = io.read_runs(spark, cfg["input_dir"], cfg["predictions"])
-    out = ensemble.run_ensemble(runs, cfg["predictions"], seed=seed)
+    present = io.present_runs(spark, cfg["input_dir"], cfg["predictions"])
+    runs = io.read_runs(spark, cfg["input_dir"], present)
+    out = ensemble.run_ensemble(runs, present, seed=seed)
     cols = ["tweet_id", "predicted_text", "counts", "tweet"] if "counts" in out.columns else ["tweet_id", "predicted_text", "tweet"]
     target = f"{(out_root or cfg['input_dir']).rstrip('/')}/{cfg['output']}/{io.PREDICTIONS_FILE}"
     io.write_csv(out, target, cols)
@@ -86,8 +87,7 @@ def submissions(spark: SparkSession, predictions_dir: str, out_dir: str, runs: l
     out = {}
     for run in runs:  # a handful of run folders, one lazy plan each
         df = io.read_runs(spark, predictions_dir, [run])
-        task = "classification" if run.startswith("assert") else "detection"
-        rows = submission.submission_rows(df, task)
+        rows = submission.submission_rows(df, T.task_of(run))
         io.write_submission(rows, f"{out_dir.rstrip('/')}/{run}.tsv")
         out[run] = rows
     return out

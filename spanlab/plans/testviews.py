@@ -7,7 +7,8 @@ and the id, so the same rows come out of DuckDB in ``spanlab.plans.oracle``.
 
 - texts: ``documents`` → ``(tweet_id, tweet)``
 - class labels: ``labels.toxic`` 1 → ADE, else NoADE
-- span labels: for toxic documents, words 2–4 and words 6–7 (split on one space)
+- span labels: for toxic documents, three words and two words (split on one space) at
+  md5-seeded places anywhere in the text
 - noisy texts: text + the page URL of the same id + a snake_case token + an emoji
 - runs: three classification and three extraction runs whose predictions are the
   gold, or a flipped / shortened / longer / reordered / missing answer, by md5
@@ -45,26 +46,9 @@ EMOJI_TABLE = [
 ]
 
 
-# Inputs of a planned size in [SPREAD_MIN_BYTES, SMALL_INPUT_BYTES) are spread over the
-# cores after the scan; tinier ones are not worth a shuffle, larger ones have splits.
-SPREAD_MIN_BYTES = 4 << 20
-SMALL_INPUT_BYTES = 256 << 20
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table. A small file may be a single Parquet row group, which one task
-    reads and then processes alone; when the planned size (Catalyst statistics, no
-    job) is between ``SPREAD_MIN_BYTES`` and ``SMALL_INPUT_BYTES`` the rows are spread
-    round-robin over the default parallelism. Large inputs keep their file splits and
-    are not shuffled; tiny ones are not worth a shuffle."""
-    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics unavailable: keep the file splits
-        size = SMALL_INPUT_BYTES
-    if SPREAD_MIN_BYTES <= size < SMALL_INPUT_BYTES:
-        df = df.repartition(spark.sparkContext.defaultParallelism)
-    return df
+    """A driver table; its file splits are the partitions."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _h(tag: str, *cols) -> Column:
@@ -109,19 +93,22 @@ def _words(text: str = "text") -> Column:
     return F.split(F.col(text), " ", -1)
 
 
-def _phrase(words: Column, start: int, length: int) -> Column:
-    return F.array_join(F.slice(words, start, length), " ")
+def _phrase(words: Column, tag: str, id_col, length: int) -> Column:
+    """``length`` words (fewer at the end of a short text) from a place that the tag and the id name."""
+    at = F.conv(F.substring(_h(tag, id_col), 1, 8), 16, 10).cast("bigint")
+    start = F.pmod(at, F.greatest(F.size(words) - length + 1, F.lit(1))) + 1
+    return F.array_join(F.slice(words, start.cast("int"), length), " ")
 
 
 def span_labels(spark, sf_dir) -> DataFrame:
-    """Two spans per toxic document: words 2–4 and words 6–7, with their first offsets."""
+    """Two spans per toxic document, anywhere in its text, with their first offsets."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     lab = table(spark, sf_dir, "labels").filter(F.col("toxic") == 1).select("doc_id")
     base = d.join(lab, "doc_id", "left_semi").withColumn("_w", _words())
     spans = base.select(
         "doc_id",
         "text",
-        F.explode(F.array(_phrase(F.col("_w"), 2, 3), _phrase(F.col("_w"), 6, 2))).alias("label"),
+        F.explode(F.array(_phrase(F.col("_w"), "a", "doc_id", 3), _phrase(F.col("_w"), "b", "doc_id", 2))).alias("label"),
     )
     begin = (F.instr(F.col("text"), F.col("label")) - 1).cast("int")
     return spans.select(
@@ -181,13 +168,6 @@ def class_runs(spark, sf_dir) -> DataFrame:
     return r.select("run", "tweet_id", "tweet", "prefix", "input_text", "target_text", pred.alias("predicted_text"))
 
 
-def span_gold(spark, sf_dir) -> DataFrame:
-    """``(tweet_id, tweet, gold)``: all spans of a text joined by ``'; '`` in begin order, else ``none``."""
-    return prepared_spans(spark, sf_dir, policy="join").select(
-        "tweet_id", "tweet", F.col("target_text").alias("gold")
-    )
-
-
 def span_runs(spark, sf_dir, with_gold: bool = False) -> DataFrame:
     """Three rule runs over the extraction rows, by the first md5 hex digit of (run, id).
 
@@ -204,18 +184,18 @@ def span_runs(spark, sf_dir, with_gold: bool = False) -> DataFrame:
     )
     r = prep.withColumn("run", F.explode(F.array(*[F.lit(x) for x in SPAN_RUNS])))
     w = _words("tweet")
-    s1 = _phrase(w, 2, 3)
+    s1 = _phrase(w, "a", "tweet_id", 3)
     d = F.substring(F.md5(F.concat(F.col("run"), F.lit(":"), F.col("tweet_id"))), 1, 1)
     g = F.col("gold")
     pred = (
         F.when(d.isin("0", "1", "2", "3", "4", "5"), g)
         .when(d.isin("6", "7"), s1)
-        .when(d.isin("8", "9"), _phrase(w, 2, 2))
+        .when(d.isin("8", "9"), _phrase(w, "c", "tweet_id", 2))
         .when(d.isin("a", "b"), F.lit(T.NEGATIVE_SPAN))
-        .when(d == "c", F.concat(_phrase(w, 6, 2), F.lit("; "), s1))
-        .when(d == "d", _phrase(w, 10, 2))
+        .when(d == "c", F.concat(_phrase(w, "b", "tweet_id", 2), F.lit("; "), s1))
+        .when(d == "d", F.concat_ws("; ", *[_phrase(w, f"many{k}", "tweet_id", 1 + k % 3) for k in range(6)]))
         .when(d == "e", F.concat(g, F.lit(".")))
-        .otherwise(F.concat(s1, F.lit(" "), F.coalesce(F.try_element_at(w, F.lit(5)), F.lit(""))))
+        .otherwise(F.concat(s1, F.lit(" "), F.element_at(w, -1)))
     )
     extra = ["gold"] if with_gold else []
     return r.select(

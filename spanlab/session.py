@@ -32,8 +32,8 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, app: str
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster the setting names a shared file system and is used as is. Only
-    where it is unset (tests, local runs) a fresh local folder is set.
+    On a cluster the setting names a shared file system and is used as is; without it
+    this raises. In a local run (tests) a fresh local folder is set where it is unset.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -43,6 +43,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     local = tempfile.mkdtemp(prefix="spanlab-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
@@ -70,9 +72,8 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``spanlab`` importable by the Python workers (once per Spark context).
 
-    Operators that run Python on the executors (model plug-in, progress-log fold,
-    legacy consensus) pickle functions that import this package; the package is
-    zipped on the driver and added with ``addPyFile``, as ``--py-files`` would.
+    Operators that run Python on the executors (model plug-in, progress-log fold)
+    pickle functions that import this package; it is zipped on the driver and added with ``addPyFile``, as ``--py-files`` would.
     """
     sc = spark.sparkContext
     app = sc.applicationId

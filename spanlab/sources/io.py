@@ -1,14 +1,15 @@
 """Readers and writers of the pipeline.
 
 All reads use explicit schemas (no inference pass over the data). CSV with
-quoted multi-line fields cannot be split, so large inputs should be converted to
-Parquet once (``to_parquet``) and read from there.
+quoted multi-line fields cannot be split, so large inputs should be written to
+Parquet once and read from there.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # Column layouts of the shared-task files.
 TEXT_SCHEMA = "tweet_id string, tweet string"
@@ -22,6 +23,7 @@ TASKS = {
     "task1b": (SPAN_SCHEMA, "spans"),
 }
 PREDICTIONS_FILE = "test_predictions.csv"
+RUN_OF_PATH = r"/([^/]+)/test_predictions\.csv(/[^/]*)?$"
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str, quoting: bool = True, multi_line: bool = False) -> DataFrame:
@@ -54,26 +56,51 @@ def read_splits(spark: SparkSession, data_dir: str, task: str) -> tuple[DataFram
     )
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = PREPARED_SCHEMA) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, schema: str | None = PREPARED_SCHEMA, multi_line: bool = True) -> DataFrame:
     """A3: CSV with header, UTF-8; quoted fields may hold commas, quotes and newlines.
 
-    With a schema, columns are taken by position; with ``schema=None`` they are named
-    by the header, all strings (no inference pass), as the pandas reader does.
+    Columns are found by their header name, in any order, as the pandas reader does (all
+    strings, no inference pass). With a schema, its columns are selected and cast; a column
+    that the header lacks raises. ``multi_line=False`` lets Spark split files whose fields
+    hold no line ends.
     """
-    r = spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').option("encoding", "UTF-8")
-    r = r.schema(schema) if schema else r.option("inferSchema", "false")
-    return r.csv(path)
+    r = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
+    df = r.option("encoding", "UTF-8").option("inferSchema", "false").csv(path)
+    if not schema:
+        return df
+    fields = _parse(spark, schema)
+    missing = [f.name for f in fields if f.name not in df.columns]
+    if missing:
+        raise ValueError(f"{path}: the header has no column {missing}")
+    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+
+
+def _parse(spark: SparkSession, schema: str) -> StructType:
+    return StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
 
-def read_runs(spark: SparkSession, root: str, runs: list[str] | None = None, schema: str | None = None) -> DataFrame:
+def present_runs(spark: SparkSession, root: str, runs: list[str]) -> list[str]:
+    """Those of the configured runs that have a predictions file under ``root``.
+
+    Only file names are listed (``binaryFile`` with its paths alone): no data is read.
+    """
+    pattern = f"{root.rstrip('/')}/{{{','.join(runs)}}}/{PREDICTIONS_FILE}"
+    files = spark.read.format("binaryFile").load(pattern).select(F.regexp_extract("path", RUN_OF_PATH, 1).alias("run"))
+    found = {r["run"] for r in files.distinct().collect()}  # run names, not rows
+    return [r for r in runs if r in found]
+
+
+def read_runs(
+    spark: SparkSession, root: str, runs: list[str] | None = None, schema: str | None = None, multi_line: bool = True
+) -> DataFrame:
     """A4: ``<root>/<run>/test_predictions.csv`` of all or the chosen runs in one scan,
     each row tagged with its run (folder) name. Columns come from the header (model
     outputs and ensemble outputs differ), unless a schema is given."""
     base = root.rstrip("/")
     pattern = f"{base}/{{{','.join(runs)}}}/{PREDICTIONS_FILE}" if runs else f"{base}/*/{PREDICTIONS_FILE}"
-    df = read_csv(spark, pattern, schema)
+    df = read_csv(spark, pattern, schema, multi_line)
     # <root>/<run>/test_predictions.csv, a file or a folder of part files
-    run = F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/test_predictions\.csv(/[^/]*)?$", 1)
+    run = F.regexp_extract(F.col("_metadata.file_path"), RUN_OF_PATH, 1)
     return df.withColumn("run", run)
 
 
@@ -109,11 +136,6 @@ def write_submission(df: DataFrame, path: str) -> None:
     )
 
 
-def to_parquet(df: DataFrame, path: str) -> None:
-    """Convert once to Parquet (splittable, column pruning, predicate pushdown)."""
-    df.write.mode("overwrite").parquet(path)
-
-
 def write_config(spark: SparkSession, path: str, input_dir: str, predictions: list[str], output: str) -> None:
     """Write an ensemble config as a one-object JSON file (through Spark, so any
     file system of the cluster works)."""

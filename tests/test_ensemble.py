@@ -50,11 +50,6 @@ def test_run_ensemble_rejects_mixed_tasks(spark):
         EN.run_ensemble(df, ["assert_a", "ner_b"])
 
 
-def test_common_span_legacy_keeps_reference_quirk(spark):
-    df = spark.createDataFrame([("1", ["severe joint pain now", "joint aches then pain"])], "tweet_id string, all_spans array<string>")
-    assert EN.common_span_legacy(df).first().predicted_text == "pain "
-
-
 def test_dedupe_by_key_repeated_and_unique(spark):
     from spanlab.operators import joins as JN
 
