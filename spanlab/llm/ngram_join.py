@@ -13,13 +13,15 @@ Steps:
    only thing that matters, that all documents sort by the same order.
 2. The first ``n - ceil(0.8 n) + 1`` shingles of each class go to the shingle's list: two
    sets that link share one of them. Lists with one class are dropped.
-3. In each list, sorted by size, each class is paired with the one before it. The pairs
-   are counted over the fragments, and links give first components (a group of near
-   copies collapses here with about one pair per member).
-4. All pairs of a list that are still in *different* components are then paired and
-   counted, subject to exact bounds on size and position; pairs inside one component
-   cannot change it. So no link between components is lost and no group is paired all
-   with all.
+3. In each list, the class with the least share of shingles of its own before this one is
+   the hub, and every other class is paired with it; pairs that meet in several lists are
+   counted over the fragments, and links give first components. A group of near copies
+   collapses here with about one pair per member.
+4. All pairs of a list that are still in *different* components are then paired, subject to
+   an exact bound: the first common shingle of two sets that link stands so early in both
+   that what follows it can still make up the overlap. Those not counted yet are counted.
+   Pairs inside one component cannot change it, so no link between components is lost and
+   no group is paired all with all.
 
 Defined results: a document without words (null, blank) has an empty set, links with
 nothing and is its own component; fewer than five words are one shingle (their whole
@@ -36,17 +38,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanlab.llm.arrays import WordHashes, bytes_column, has, id_filter, summed_vector, vector_rows, windows
-from spanlab.llm.common import table, written
+from spanlab.llm.common import table, temporary, written
 from spanlab.llm.graph import connected_components
 from spanlab.session import ship_package
 
 SHINGLE = 5
 PERCENT = 80
-BUCKET_BITS = 20
+BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
 FRAGMENTS = 4
 
@@ -75,7 +77,7 @@ def set_rows(docs: DataFrame, column: str = "text") -> DataFrame:
     """doc_id, n (set size), cls (class, null if empty), and rows of the shingle counts (chunk, cells)."""
 
     def one(batches: Iterator[pa.RecordBatch]):
-        hashes, counts = WordHashes(), np.zeros(BUCKETS, dtype=np.int64)
+        hashes, counts = WordHashes(), np.zeros(BUCKETS, dtype=np.int32)
         for b in batches:
             n, cls = [], []
             for text in bytes_column(b, column):
@@ -174,19 +176,53 @@ def _segments(c, f, t) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), tokens], names=["cls", "f", "tokens"])
 
 
-def counted_links(pairs: DataFrame, segments: DataFrame) -> DataFrame:
-    """The pairs (a, b, na, nb) that link: partial overlaps per fragment, summed per pair."""
+def counted_links(pairs: DataFrame, docs: DataFrame, order, column: str = "text") -> DataFrame:
+    """The pairs (a, b, na, nb) that link: partial overlaps per fragment, summed per pair.
+
+    Only the classes in ``pairs`` are cut into fragments: a bit field of fixed size picks
+    them in the scan, the join after it is exact.
+    """
+    spark = docs.sparkSession
+    ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+    ends = written(ends, "join-classes")
+    wanted = spark.sparkContext.broadcast(id_filter(ends, "cls"))
+    segments = segment_rows(docs, wanted, order, column).join(ends, "cls", "left_semi")
+    segments = written(segments.groupBy("cls", "f").agg(F.first("tokens").alias("tokens")), "join-segments")
     left = segments.select(F.col("cls").alias("a"), "f", F.col("tokens").alias("ta"))
     right = segments.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("tb"))
     partial = pairs.join(left, "a").join(right, ["b", "f"]).select(
         "a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part")
     )
     both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
-    return both.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common"))).select("a", "b")
+    linked = both.filter(100 * F.col("common") >= PERCENT * (F.col("na") + F.col("nb") - F.col("common")))
+    return written(linked.select("a", "b"), "join-links")
 
 
-def components(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id for every row of ``docs``."""
+def may_link(x: str, y: str, before) -> Column:
+    """Exact bound for two rows of one list: sizes, and what can still be common.
+
+    ``before`` bounds the common shingles ahead of this one (0 if it is the first)."""
+
+    def c(side, name):
+        return F.col(f"{side}.{name}")
+
+    room = before + 1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) - 1
+    near = 100 * F.least(c(x, "n"), c(y, "n")) >= PERCENT * F.greatest(c(x, "n"), c(y, "n"))
+    return near & ((100 + PERCENT) * room >= PERCENT * (c(x, "n") + c(y, "n")))
+
+
+def ordered_pair(x: str, y: str) -> list[Column]:
+    """a, b, na, nb of two rows, the lesser class first."""
+    swap = F.col(f"{y}.cls") < F.col(f"{x}.cls")
+
+    def pick(name, first, second):
+        return F.when(swap, F.col(f"{first}.{name}")).otherwise(F.col(f"{second}.{name}"))
+
+    return [pick("cls", y, x).alias("a"), pick("cls", x, y).alias("b"), pick("n", y, x).alias("na"), pick("n", x, y).alias("nb")]
+
+
+def labelled_sets(docs: DataFrame, column: str = "text") -> DataFrame:
+    """doc_id, n, cls and label (a class of the component) for every row of ``docs``, written."""
     spark = docs.sparkSession
     ship_package(spark)
     both = written(set_rows(docs, column), "join-sets")
@@ -194,31 +230,25 @@ def components(docs: DataFrame, column: str = "text") -> DataFrame:
     order = Order(summed_vector(both.filter("chunk IS NOT NULL").select("chunk", "cells"), BUCKETS))
     order = spark.sparkContext.broadcast(order)
 
-    in_list = Window.partitionBy("token").orderBy("n", "cls")
-    lists = (
-        prefix_rows(docs, order, column)
-        .withColumn("prev", F.lag(F.struct("cls", "n")).over(in_list))
-        .withColumn("next", F.lead("cls").over(in_list))
-        .filter((F.col("prev.cls") != F.col("cls")) | (F.col("next") != F.col("cls")))
-    )
-    lists = written(lists.select("token", "cls", "n", "pos", "prev"), "join-lists")
-
-    a, b = F.least("cls", "prev.cls"), F.greatest("cls", "prev.cls")
-    near = (F.col("prev.cls") != F.col("cls")) & (100 * F.col("prev.n") >= PERCENT * F.col("n"))
-    swap = F.col("cls") < F.col("prev.cls")
-    chain = lists.filter(near).select(
-        a.alias("a"),
-        b.alias("b"),
-        F.when(swap, F.col("n")).otherwise(F.col("prev.n")).alias("na"),
-        F.when(swap, F.col("prev.n")).otherwise(F.col("n")).alias("nb"),
-    )
-    chain = written(chain.distinct(), "join-chain")
-    listed = written(lists.select("cls").distinct(), "join-listed")
-    wanted = spark.sparkContext.broadcast(id_filter(listed, "cls"))
-    segments = segment_rows(docs, wanted, order, column)
-    segments = segments.join(listed, "cls", "left_semi").groupBy("cls", "f").agg(F.first("tokens").alias("tokens"))
-    segments = written(segments, "join-segments")
-    links = written(counted_links(chain, segments), "join-links")
+    # lists of several classes; a class that several tasks have sent stands in a list once
+    in_list = Window.partitionBy("token").orderBy("cls")
+    prev, after = F.lag("cls").over(in_list), F.lead("cls").over(in_list)
+    lists = prefix_rows(docs, order, column).select("*", prev.alias("prev"), after.alias("after"))
+    shared = (F.col("prev") != F.col("cls")) | (F.col("after") != F.col("cls"))
+    once = written(lists.filter(shared).select("token", "cls", "n", "pos"), "join-once")
+    lists = once.dropDuplicates(["token", "cls"])
+    # shared shingles of a class ahead of this one: only those can be common to a pair
+    ahead = F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1
+    lists = written(lists.withColumn("ahead", ahead), "join-ahead")
+
+    by_own = Window.partitionBy("token").orderBy((F.col("pos") - F.col("ahead")) / F.col("n"), "cls")
+    star = lists.withColumn("hub", F.first(F.struct("cls", "n", "pos", "ahead")).over(by_own))
+    star = star.select(F.struct("cls", "n", "pos", "ahead").alias("x"), F.col("hub").alias("y"))
+    met = star.filter((F.col("x.cls") != F.col("y.cls")) & may_link("x", "y", F.least("x.ahead", "y.ahead")))
+    met = met.select(*ordered_pair("x", "y")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
+    # what is left out here is paired below
+    tested = written(met.filter(4 * F.col("lists") >= 1 + F.least("na", "nb") / 25).drop("lists"), "join-star")
+    links = counted_links(tested, docs, order, column)
     first = connected_components(links)
 
     # lists that still hold several components: their pairs across components
@@ -228,27 +258,26 @@ def components(docs: DataFrame, column: str = "text") -> DataFrame:
     labelled = written(labelled, "join-labelled")
     split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
     open_lists = labelled.join(split, "token", "left_semi")
-    x, y = open_lists.alias("x"), open_lists.alias("y")
-    need = 100 + PERCENT
-    room = F.least(F.col("x.pos"), F.col("y.pos")) + 1 + F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) - 1
     across = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.cls") < F.col("y.cls"))
         & (F.col("x.comp") != F.col("y.comp"))
-        & (100 * F.least("x.n", "y.n") >= PERCENT * F.greatest("x.n", "y.n"))
-        & (need * room >= PERCENT * (F.col("x.n") + F.col("y.n")))
+        & may_link("x", "y", F.lit(0))
     )
-    rest = x.join(y, across).select(
-        F.col("x.cls").alias("a"), F.col("y.cls").alias("b"), F.col("x.n").alias("na"), F.col("y.n").alias("nb")
-    )
-    rest = rest.distinct().join(chain.select("a", "b"), ["a", "b"], "left_anti")
-    links = links.unionByName(counted_links(written(rest, "join-rest"), segments))
-    linked = connected_components(links)
+    rest = open_lists.alias("x").join(open_lists.alias("y"), across).select(*ordered_pair("x", "y")).distinct()
+    rest = written(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
+    linked = connected_components(links.unionByName(counted_links(rest, docs, order, column)))
 
     labels = sets.join(linked, F.col("cls") == F.col("node"), "left").select(
         "doc_id", "n", "cls", F.coalesce("component", "cls").alias("label")
     )
-    labels = written(labels, "join-labels")
+    return written(labels, "join-labels")
+
+
+def components(docs: DataFrame, column: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id for every row of ``docs``."""
+    with temporary() as scope:
+        labels = scope.keep(labelled_sets(docs, column))
     names = labels.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("least"))
     return labels.join(names, "label", "left").select(
         "doc_id",
@@ -268,7 +297,8 @@ def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Rows that repeat a doc_id are one document and stay together; null ids stay.
     """
     found = components(docs.select("doc_id", "text"))
-    gone = found.filter("component_id <> doc_id").select("doc_id").distinct()
+    # written first, so its size is known when the join is planned: a small list moves no text
+    gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "join-gone")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
