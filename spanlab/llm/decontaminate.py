@@ -177,6 +177,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that overlap a benchmark item go."""
     leaks = overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    # written first, so its size is known when the join is planned: a small list moves no text
+    leaks = written(leaks, "decon-leaks")
     return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*docs.columns)
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlab.llm.arrays import OTHER_STEP, WordHashes, bytes_column, has, id_filter, pack, unpack, windows
-from spanlab.llm.common import table, written
+from spanlab.llm.common import table, temporary, written
 from spanlab.session import ship_package
 
 K = 20
@@ -286,7 +286,12 @@ def passing(docs: DataFrame, field, wanted: bool) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
-    """Paths of every document that repeats something earlier (``PATHS``)."""
+    """Paths of every document that repeats something earlier (``PATHS``), written."""
+    with temporary() as scope:
+        return scope.keep(_repeated_spans(docs, column))
+
+
+def _repeated_spans(docs: DataFrame, column: str) -> DataFrame:
     spark = docs.sparkSession
     ship_package(spark)
     n = shards(spark)
