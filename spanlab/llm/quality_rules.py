@@ -2,13 +2,22 @@
 
 Each rule is a number per document that rises with doubt (share of symbols, share of
 repeated lines, share of repeated three-word windows, share of table bars, mean word
-length). A cutoff for a rule is chosen per stratum (language) on labelled holdouts:
-rejecting every document above the cutoff must falsely reject at most a share
-``alpha`` of the good ones. A cutoff is *certified* when the exact binomial tail
-``P(Bin(n, alpha / rules) <= false rejections)`` is at most ``delta`` divided by the
-number of tests (strata x rules x cutoffs, Bonferroni), so with probability
-``1 - delta`` every certified cutoff of every stratum keeps its promise. The lowest
-certified cutoff is used; a stratum without one keeps all its documents.
+length). Cutoffs are chosen per stratum (language) on labelled holdouts: rejecting every
+document above the cutoff of any rule must falsely reject at most a share ``alpha`` of the
+good ones, with probability ``1 - delta`` for all strata at once.
+
+All rules of a stratum share one allowance (Tukey's statistically equivalent blocks): the
+``n`` holdouts cut what can occur into ``n + 1`` blocks, and any ``b`` of them hold more
+than ``alpha`` with probability ``P(Bin(n, alpha) <= b - 1)`` only, so ``b`` is the largest
+number for which this exact tail is at most ``delta`` divided by the number of strata. The
+rules take their blocks in turn, in the order of ``rule_values``: an equal part of what is
+left, of the holdouts no earlier rule rejects. A rule with ``k`` blocks takes the lowest
+cutoff of its grid with fewer than ``k`` holdouts above it; blocks that even the lowest
+cutoff does not need go to the later rules. A stratum with no block keeps all its documents;
+no method can do better there, as without any false rejection the tail is still
+``(1 - alpha) ** n`` (219 holdouts for four strata). Strata that are too small even alone
+do not count as strata. Holdouts that tie with a cutoff stay in the later rules' sample,
+which can only raise their cutoffs.
 
 Defined results: a null or blank text has no words, so it fails the base rule; a null
 language is the stratum ``und``; no labels or an empty table: no cutoff. Repeated
@@ -147,43 +156,70 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(x >= m * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_top) * total))
 
 
+def allowed_blocks(n: Column, alpha: float, level: float) -> Column:
+    """Largest b with ``P(Bin(n, alpha) <= b - 1) <= level`` (0: none).
+
+    Searched within six deviations below the mean, where tails are above 1e-9 or b is 0.
+    """
+    mean = n * alpha
+    low = F.greatest(F.lit(0), F.floor(mean - 6 * F.sqrt(mean)) - 10).cast("bigint")
+    passed = F.filter(F.sequence(low, F.floor(mean).cast("bigint")), lambda k: binomial_tail(n, k, alpha) <= level)
+    return F.coalesce(F.array_max(passed) + 1, F.lit(0).cast("bigint"))
+
+
 def certified_cutoffs(values: DataFrame, alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Lowest certified cutoff per stratum and rule.
+    """Certified cutoff per stratum and rule.
 
     ``values`` has one row per labelled good document: ``stratum`` and ``rules``, an array
-    of (rule, value, grid). Returns stratum, rule, cutoff, n, false_rejections.
+    of (rule, value, grid). Returns stratum, rule, cutoff, n, false_rejections (those that
+    no earlier rule rejects).
     """
-    each = values.select("stratum", F.explode("rules").alias("r")).select("stratum", "r.*")
-    # documents by the number of cutoffs that they exceed: a small table, summed before the exchange
-    bins = each.groupBy("stratum", "rule", "grid", F.size(F.filter("grid", lambda c: c < F.col("value"))).alias("above")).agg(
-        F.count(F.lit(1)).alias("docs")
-    )
-    group = bins.groupBy("stratum", "rule", "grid").agg(
-        F.sum("docs").alias("n"), F.collect_list(F.struct("above", "docs")).alias("bins")
-    )
-    tests = group.select(
+    # documents by the number of cutoffs that they exceed in each rule: summed before the exchange
+    cells = values.groupBy(
         "stratum",
-        "rule",
-        "n",
-        F.posexplode("grid").alias("pos", "cutoff"),
-        "bins",
-    ).select(
-        "stratum",
-        "rule",
-        "n",
-        "cutoff",
-        # a document is above the cutoff at position p when it exceeds more than p cutoffs
-        F.aggregate(
-            F.filter("bins", lambda b: b["above"] > F.col("pos")), F.lit(0).cast("bigint"), lambda acc, b: acc + b["docs"]
-        ).alias("false_rejections"),
+        F.transform("rules", lambda r: F.size(F.filter(r["grid"], lambda c: c < r["value"]))).alias("above"),
+    ).agg(F.count(F.lit(1)).alias("docs"), F.first(F.transform("rules", lambda r: F.struct(r["rule"].alias("rule"), r["grid"].alias("grid")))).alias("tried"))
+    group = written(
+        cells.groupBy("stratum").agg(
+            F.sum("docs").alias("n"), F.collect_list(F.struct("above", "docs")).alias("cells"), F.first("tried").alias("tried")
+        ),
+        "quality-cells",
+    )
+    able = group.filter(F.col("n") * math.log1p(-alpha) <= math.log(delta)).count()
+    group = group.withColumn("left", allowed_blocks(F.col("n"), alpha, delta / max(able, 1)))
+
+    def docs(cells):
+        return F.aggregate(cells, F.lit(0).cast("bigint"), lambda acc, x: acc + x["docs"])
+
+    def step(acc, i):
+        tried = F.get("tried", i)
+
+        def above(p):
+            # a document is above the cutoff at position p when it exceeds more than p cutoffs
+            return docs(F.filter(acc["cells"], lambda x: F.get(x["above"], i) > p))
+
+        share = F.ceil(acc["left"] / (F.size("tried") - i)).cast("bigint")
+        positions = F.sequence(F.lit(0), F.size(tried["grid"]) - 1)
+        return let(
+            F.struct(share.alias("share"), F.array_min(F.filter(positions, lambda p: above(p) < share)).alias("p")),
+            lambda t: F.struct(
+                F.filter(acc["cells"], lambda x: t["p"].isNull() | (F.get(x["above"], i) <= t["p"])).alias("cells"),
+                (acc["left"] - F.least(t["share"], above(F.lit(0)) + 1)).alias("left"),
+                F.concat(
+                    acc["out"],
+                    F.array(F.struct(tried["rule"].alias("rule"), F.get(tried["grid"], t["p"]).alias("cutoff"), above(t["p"]).alias("false_rejections"))),
+                ).alias("out"),
+            ),
+        )
+
+    none = F.array().cast("array<struct<rule:string,cutoff:bigint,false_rejections:bigint>>")
+    start = F.struct(F.col("cells"), F.col("left"), none.alias("out"))
+    chosen = F.aggregate(F.sequence(F.lit(0), F.size("tried") - 1), start, step, lambda acc: acc["out"])
+    return (
+        group.select("stratum", "n", F.explode(chosen).alias("c"))
+        .filter("c.cutoff IS NOT NULL")
+        .select("stratum", "c.rule", "c.cutoff", "n", "c.false_rejections")
     )
-    number = tests.agg(F.count(F.lit(1)).alias("tests"), F.count_distinct("rule").alias("rules")).first()
-    if not number["tests"]:
-        return tests.limit(0)
-    tail = binomial_tail(F.col("n"), F.col("false_rejections"), alpha / number["rules"])
-    passed = tests.filter(tail <= delta / number["tests"])
-    first = F.min(F.struct("cutoff", "n", "false_rejections")).alias("c")
-    return passed.groupBy("stratum", "rule").agg(first).select("stratum", "rule", "c.*")
 
 
 def judge(

@@ -80,3 +80,68 @@ def test_empty_and_unlabelled(spark):
     assert Q.judge(docs, labels).count() == 0
     docs = spark.createDataFrame([(1, "w " * 60, "en"), (2, " ".join(map(str, range(60))), "en")], "doc_id long, text string, lang string")
     assert {r["doc_id"]: r["kept"] for r in Q.judge(docs, labels).collect()} == {1: False, 2: True}
+
+
+def test_a_few_hundred_holdouts_certify_with_the_production_parameters(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    bad = " ".join(f"word{i}###" for i in range(60))
+    strata = ["a", "b", "c", "d"]
+    rows = [(1000 * s + i, good + f" x{i}", lang) for s, lang in enumerate(strata) for i in range(300)]
+    rows += [(9000 + s, bad, lang) for s, lang in enumerate(strata)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(d, 1) for d, _, _ in rows if d < 9000], "doc_id long, quality int")
+    out = Q.judge(docs, labels).select("doc_id", "kept", "broken").collect()
+    assert {r["doc_id"] for r in out if not r["kept"]} == {9000, 9001, 9002, 9003}
+
+
+def plain_cutoffs(rows, names, grid, b):
+    out, rest = {}, list(rows)
+    for i, name in enumerate(names):
+        k = -(-b // (len(names) - i))
+        fit = [c for c in grid if sum(v[i] > c for v in rest) < k]
+        b -= min(k, 1 + sum(v[i] > grid[0] for v in rest))
+        if fit:
+            out[name] = (fit[0], sum(v[i] > fit[0] for v in rest))
+            rest = [v for v in rest if v[i] <= fit[0]]
+    return out
+
+
+def test_certified_cutoffs_follow_the_plain_procedure_and_keep_the_share(spark):
+    import random
+
+    draw, names, grid, alpha, delta = random.Random(5), ["a", "b", "c"], [5, 10, 20, 40, 60, 80, 95], 0.02, 0.05
+    sizes = {"p": 150, "q": 200, "r": 900, "s": 4000, "t": 20}
+
+    def some():
+        x = draw.random()
+        return [int(90 * max(x, draw.random()) ** 8), int(90 * x**20), int(90 * draw.random() ** 5)]
+
+    rows = {s: [some() for _ in range(n)] for s, n in sizes.items()}
+    flat = [(s, [(k, v, grid) for k, v in zip(names, r)]) for s, x in rows.items() for r in x]
+    values = spark.createDataFrame(flat, "stratum string, rules array<struct<rule:string,value:bigint,grid:array<bigint>>>")
+    got = {s: {} for s in sizes}
+    for r in Q.certified_cutoffs(values, alpha, delta).collect():
+        assert r["n"] == sizes[r["stratum"]]
+        got[r["stratum"]][r["rule"]] = (r["cutoff"], r["false_rejections"])
+    for s, n in sizes.items():
+        b = 0
+        while b < n * alpha and tail(n, b, alpha) <= delta / 4:  # four strata can certify anything
+            b += 1
+        assert got[s] == plain_cutoffs(rows[s], names, grid, b), s
+        assert sum(x for _, x in got[s].values()) < max(b, 1)
+    assert not got["t"] and not got["p"] and len(got["s"]) == 3
+
+
+def test_the_promise_holds_on_fresh_documents(spark):
+    import random
+
+    draw, names, grid = random.Random(7), ["a", "b"], list(range(0, 1000, 5))
+    rows = [(str(s), [(k, int(1000 * draw.random()), grid) for k in names]) for s in range(200) for _ in range(600)]
+    values = spark.createDataFrame(rows, "stratum string, rules array<struct<rule:string,value:bigint,grid:array<bigint>>>")
+    cuts = {}
+    for r in Q.certified_cutoffs(values, 0.05, 0.2).collect():
+        cuts.setdefault(r["stratum"], {})[r["rule"]] = r["cutoff"]
+    assert len(cuts) == 200
+    # uniform values: a cutoff c keeps the share (c + 1) / 1000 of its rule
+    risks = [1 - math.prod((c.get(k, 999) + 1) / 1000 for k in names) for c in cuts.values()]
+    assert sum(x > 0.05 for x in risks) == 0 and max(risks) > 0.02
