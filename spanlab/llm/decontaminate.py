@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanlab.llm.common import let, table, written
+from spanlab.llm.secret_scan import blob_id
 
 # Two masks of weight six that leave no window of 13 words with two changes unhit.
 MASKS = ["11101011", "110100111"]
@@ -176,10 +177,11 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage_decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that overlap a benchmark item go."""
-    leaks = overlaps(docs.select("doc_id", "text"), table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    # a row goes for its own text: rows that share an id (or have none) may hold different texts
+    leaks = overlaps(docs.select(blob_id(F.col("text")).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
     # written first, so its size is known when the join is planned: a small list moves no text
-    leaks = written(leaks, "decon-leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*docs.columns)
+    leaks = written(leaks.select(F.col("doc_id").alias("_blob")).distinct(), "decon-leaks")
+    return docs.join(leaks, blob_id(docs["text"]) == leaks["_blob"], "left_anti").select(*docs.columns)
 
 
 # Independent of the seeds: any window of 13 with two changes holds a run of four equal

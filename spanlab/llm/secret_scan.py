@@ -201,14 +201,15 @@ def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: secrets are replaced by ``[secret]``; every document stays.
 
-    The spans that the ledger found are cut out of the text; overlapping spans are
+    The spans that the ledger found in a row's text are cut out of it, whatever its id; overlapping spans are
     merged first. ``n_chars`` follows the new text. Null texts stay null.
     """
     by_path, _, _ = scan_versions(docs.select("doc_id", "text"), RULES, path="doc_id")
+    # spans belong to a text, not to an id: rows that share an id may hold different texts
     hits = by_path.filter(F.size("findings") > 0).select(
-        F.col("path").alias("doc_id"),
+        F.col("blob").alias("_blob"),
         F.sort_array(F.flatten(F.transform("findings", lambda f: f["spans"]))).alias("_spans"),
-    ).groupBy("doc_id").agg(F.first("_spans").alias("_spans"))
+    ).groupBy("_blob").agg(F.first("_spans").alias("_spans"))
     # written first, so its size is known when the join is planned: a small list moves no text
     hits = written(hits, "secret-hits")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
@@ -228,7 +229,7 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     )
     columns = docs.columns
     text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
-    out = docs.join(hits, docs["doc_id"].eqNullSafe(hits["doc_id"]), "left").drop(hits["doc_id"]).withColumn("text", text).drop("_spans")
+    out = docs.join(hits, blob_id(docs["text"]) == hits["_blob"], "left").withColumn("text", text).drop("_blob", "_spans")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*columns)

@@ -68,3 +68,11 @@ def test_whole_table_equals_sql(spark, sf):
     want = sorted(con.execute(D.ORACLE).fetchall())
     got = sorted(tuple(r) for r in D.op1_decontaminate(spark, sf).collect())
     assert got == want and got
+
+
+def test_stage_judges_each_row_by_its_own_text(spark, sf_small):
+    leak = spark.read.parquet(f"{sf_small}/benchmark.parquet").first()["text"]
+    rows = [(None, leak), (None, "clean words"), (None, None), (1, f"x {leak}"), (1, "other clean words"), (2, leak)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = [tuple(r) for r in D.stage_decontaminate(spark, docs, sf_small).collect()]
+    assert sorted(out, key=str) == sorted([(None, "clean words"), (None, None), (1, "other clean words")], key=str)

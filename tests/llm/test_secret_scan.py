@@ -96,3 +96,13 @@ def test_stage_replaces_spans(spark, sf_small):
     assert [r["text"] for r in out] == ["x [secret] y", None, "é [secret] z", "é [secret] z"]
     assert [r["n_chars"] for r in out] == [12, None, 12, 12]
     assert out[0].asDict().keys() == dict.fromkeys(["doc_id", "text", "lang", "findings", "n_chars"]).keys()
+
+
+def test_stage_cuts_each_row_by_its_own_text(spark):
+    rows = [(1, "token=abcdef1 x"), (1, "clean words that are long enough"), (1, "y password: hunter22 z")]
+    rows += [(None, "a secret=abcdefgh b"), (None, "nothing to hide in this one"), (None, None), (2, "token=abcdef1 x")]
+    docs = spark.createDataFrame([(i, x, x and len(x)) for i, x in rows], "doc_id long, text string, n_chars long")
+    out = sorted(((r["doc_id"], r["text"], r["n_chars"]) for r in S.stage_secrets(spark, docs, None).collect()), key=str)
+    want = [(1, "[secret] x"), (1, "clean words that are long enough"), (1, "y [secret] z")]
+    want += [(None, "a [secret] b"), (None, "nothing to hide in this one"), (None, None), (2, "[secret] x")]
+    assert out == sorted(((i, x, x and len(x)) for i, x in want), key=str)
