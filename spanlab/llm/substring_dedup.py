@@ -1,19 +1,22 @@
-"""Substring dedup by De Bruijn compaction (operator 3).
+"""Substring dedup by earliest-source runs of repeated k-mers (operator 3).
 
-The k-mers (runs of ``K`` words) of all documents are the edges of a De Bruijn graph over
-words. Only repeated edges matter. They are found and compacted as assemblers do it:
+This is not De Bruijn compaction: no node or degree is formed, and a run goes on over a
+branching node as long as its earliest source goes on with it. What is removed depends on
+which k-mers repeat an earlier one only, not on how they are grouped into runs. Repeated
+k-mers (runs of ``K`` words) are found and joined so:
 
 1. Every k-mer belongs to its minimizer, the least hash among the ``ANCHOR``-word runs
    inside it; equal k-mers have equal minimizers. First only the minimizers are dealt out
    (about one word in seven): those that occur once cannot lie in a repeated k-mer.
 2. The k-mers with a repeated minimizer are dealt out by minimizer, so neighbours in a
-   text mostly meet in one bucket. A bucket ties each edge to its source, the earliest
-   occurrence that it holds (least doc_id, then least start), and compacts edges that follow one another
-   both in the document and at the source into nonbranching paths: where the source's next
-   edge is another one, the path ends.
+   text mostly meet in one bucket. A bucket ties each k-mer to its source, the earliest
+   occurrence that it holds (least doc_id, then least start), and glues k-mers that follow one another
+   both in the document and at the source into runs: where the source's next
+   k-mer is another one, the run ends.
 3. The pieces of each document are joined on its id and glued across buckets where both
-   coordinates go on. A path of ``m`` edges is a verified repeat of ``m + K - 1`` words at
-   known coordinates in both places. Edges are compared by 64 + 32 independent hash bits.
+   coordinates go on. A run of ``m`` k-mers is a repeat of ``m + K - 1`` words at
+   known coordinates in both places. K-mers are compared by 64 + 32 bits that come from the
+   same 64-bit word hashes; the words of both places are not compared again.
 
 Every task first keeps the earliest occurrence of each k-mer it has read and answers the
 others itself (their source is that one; whether a k-mer occurs earlier at all does not
