@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from spanlab.llm import (
     decontaminate,
+    dialog_repair,
+    filter_audit,
     language_id,
     lm_quality,
     ngram_join,
@@ -15,6 +17,7 @@ from spanlab.llm import (
     quality_rules,
     secret_scan,
     substring_dedup,
+    token_counts,
     url_filter,
     warc,
 )
@@ -32,6 +35,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_packing": packing.op8_packing,
         "op9_secret_ledger": secret_scan.op9_secret_ledger,
         "op10_url_filter": url_filter.op10_url_filter,
+        "op11_dialog_repair": dialog_repair.op11_dialog_repair,
+        "op12_token_counts": token_counts.op12_token_counts,
+        "op13_filter_audit": filter_audit.op13_filter_audit,
     }
 
 
@@ -42,4 +48,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_ngram_join": ngram_join.ORACLE,
         "op7_warc": warc.ORACLE,
         "op10_url_filter": url_filter.ORACLE,
+        "op11_dialog_repair": dialog_repair.ORACLE,
+        "op13_filter_audit": filter_audit.ORACLE,
     }
