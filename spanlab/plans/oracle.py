@@ -382,6 +382,7 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
            UNION ALL SELECT CASE WHEN substr(md5('split:' || tweet_id), 1, 1) < 'd' THEN 'train' ELSE 'valid' END, 'label', tweet_id, label FROM class_labels"""
     )
     q["a3_csv_roundtrip"] = _with("SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_spans")
+    q["a3_parquet_roundtrip"] = q["a3_csv_roundtrip"]
     # A CSV round trip reads an empty field as null (as the pandas reader does).
     q["a4_read_runs"] = _with("SELECT run, tweet_id, NULLIF(predicted_text, '') AS predicted_text FROM span_runs")
     q["a6_load_ensemble"] = q["d2_attach_text"]

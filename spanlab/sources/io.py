@@ -7,9 +7,15 @@ Parquet once and read from there.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import csv
+import functools
+import io
+import re
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 # Column layouts of the shared-task files.
 TEXT_SCHEMA = "tweet_id string, tweet string"
@@ -59,20 +65,104 @@ def read_splits(spark: SparkSession, data_dir: str, task: str) -> tuple[DataFram
 def read_csv(spark: SparkSession, path: str, schema: str | None = PREPARED_SCHEMA, multi_line: bool = True) -> DataFrame:
     """A3: CSV with header, UTF-8; quoted fields may hold commas, quotes and newlines.
 
-    Columns are found by their header name, in any order, as the pandas reader does (all
-    strings, no inference pass). With a schema, its columns are selected and cast; a column
-    that the header lacks raises. ``multi_line=False`` lets Spark split files whose fields
-    hold no line ends.
+    Columns are found by the header name of **each file**, in any order, as a reader that
+    opens the files one by one does (all strings, no inference pass): files are grouped by
+    header, each group is one scan, and the scans are joined by name. With a schema, its
+    columns are selected and cast, and a file whose header lacks one raises; without, the
+    result has the columns of all headers, null where a file has none.
+    ``multi_line=False`` lets Spark split files whose fields hold no line ends.
+    """
+    return _by_name(_scans(spark, path, multi_line), _parse(spark, schema) if schema else None, {})
+
+
+def read_table(spark: SparkSession, path: str, schema: str | None = PREPARED_SCHEMA, fmt: str = "csv") -> DataFrame:
+    """A3 in either format: ``csv`` as above, or ``parquet``, whose files are split and pruned
+    by column whatever their fields hold (the format for large tables)."""
+    if fmt == "csv":
+        return read_csv(spark, path, schema)
+    if fmt != "parquet":
+        raise ValueError(f"unknown format {fmt!r}: expected csv or parquet")
+    fields = _parse(spark, schema) if schema else None
+    return _by_name([(path, spark.read.option("mergeSchema", "true").parquet(path))], fields, {})
+
+
+def _by_name(scans: list[tuple[str, DataFrame]], fields: StructType | None, extra: dict[str, Column]) -> DataFrame:
+    """Union of (example path, scan) pairs by column name, with ``extra`` columns of each scan."""
+    parts = []
+    for place, df in scans:
+        if fields is None:
+            names = [F.col(f"`{c}`") for c in df.columns]
+        else:
+            missing = [f.name for f in fields if f.name not in df.columns]
+            if missing:
+                raise ValueError(f"{place}: the header has no column {missing}")
+            names = [F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields]
+        parts.append(df.select(*names, *[c.alias(n) for n, c in extra.items()]))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=fields is None), parts)
+
+
+def _scans(spark: SparkSession, path: str, multi_line: bool) -> list[tuple[str, DataFrame]]:
+    """One scan per distinct header of the CSV files under ``path`` (a file, folder or pattern)."""
+    groups = header_groups(spark, path)
+    out = []
+    for names, files in groups.items():
+        r = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
+        r = r.option("encoding", "UTF-8").schema(StructType([StructField(n, StringType()) for n in names]))
+        if len(groups) == 1:
+            return [(path, r.csv(path))]
+        if _is_folder(spark, path):
+            r = r.option("basePath", path)  # folder names like prompt=p1 stay columns
+        out.append((files[0], r.csv([re.sub(r"([\\\[\]{}*?])", r"\\\1", f) for f in files])))
+    if not out:
+        raise ValueError(f"{path}: no file has a header")
+    return out
+
+
+def header_groups(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files under ``path`` by the column names of their first line (empty files have none).
+
+    The listing is a Spark job over names; of each file only the first line is read, as
+    Spark does itself for the first file of a scan.
     """
-    r = spark.read.option("header", "true").option("multiLine", str(multi_line).lower()).option("escape", '"')
-    df = r.option("encoding", "UTF-8").option("inferSchema", "false").csv(path)
-    if not schema:
-        return df
-    fields = _parse(spark, schema)
-    missing = [f.name for f in fields if f.name not in df.columns]
-    if missing:
-        raise ValueError(f"{path}: the header has no column {missing}")
-    return df.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])
+    rows = spark.read.format("binaryFile").load(path).filter("length > 0").select("path").collect()  # names, no content
+    files = sorted(r["path"] for r in rows)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    with ThreadPoolExecutor(HEADER_THREADS) as pool:
+        for file, names in zip(files, pool.map(functools.partial(_header, spark), files)):
+            groups.setdefault(names, []).append(file)
+    return groups
+
+
+HEADER_THREADS = 8
+
+
+def _header(spark: SparkSession, file: str) -> tuple[str, ...]:
+    """Column names of one CSV file: repeated names get ``.1``, ``.2``, empty ones their position."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    place = jvm.org.apache.hadoop.fs.Path(file)
+    stream = place.getFileSystem(conf).open(place)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(place)
+        plain = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(plain, "UTF-8"))
+        line = reader.readLine() or ""
+        while line.count('"') % 2 and (more := reader.readLine()) is not None:
+            line += "\n" + more
+    finally:
+        stream.close()
+    names, seen = [], {}
+    for i, name in enumerate(next(csv.reader(io.StringIO(line.removeprefix("\ufeff"))), [])):
+        name = name or f"_c{i}"
+        seen[name] = seen.get(name, -1) + 1
+        names.append(f"{name}.{seen[name]}" if seen[name] else name)
+    return tuple(names)
+
+
+def _is_folder(spark: SparkSession, path: str) -> bool:
+    if re.search(r"[*?{\[]", path):
+        return False
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
 
 
 def _parse(spark: SparkSession, schema: str) -> StructType:
@@ -93,15 +183,15 @@ def present_runs(spark: SparkSession, root: str, runs: list[str]) -> list[str]:
 def read_runs(
     spark: SparkSession, root: str, runs: list[str] | None = None, schema: str | None = None, multi_line: bool = True
 ) -> DataFrame:
-    """A4: ``<root>/<run>/test_predictions.csv`` of all or the chosen runs in one scan,
-    each row tagged with its run (folder) name. Columns come from the header (model
-    outputs and ensemble outputs differ), unless a schema is given."""
+    """A4: ``<root>/<run>/test_predictions.csv`` of all or the chosen runs, one scan per
+    distinct header, each row tagged with its run (folder) name. Columns come from each
+    file's header (model outputs and ensemble outputs differ in order and number); with a
+    schema exactly its columns."""
     base = root.rstrip("/")
     pattern = f"{base}/{{{','.join(runs)}}}/{PREDICTIONS_FILE}" if runs else f"{base}/*/{PREDICTIONS_FILE}"
-    df = read_csv(spark, pattern, schema, multi_line)
     # <root>/<run>/test_predictions.csv, a file or a folder of part files
     run = F.regexp_extract(F.col("_metadata.file_path"), RUN_OF_PATH, 1)
-    return df.withColumn("run", run)
+    return _by_name(_scans(spark, pattern, multi_line), _parse(spark, schema) if schema else None, {"run": run})
 
 
 def load_ensemble(spark: SparkSession, cfg_path: str) -> dict:
@@ -114,6 +204,18 @@ def load_ensemble(spark: SparkSession, cfg_path: str) -> dict:
     return {"input_dir": row["input_dir"], "predictions": list(row["predictions"] or []), "output": row["output"]}
 
 
+def write_table(
+    df: DataFrame, path: str, cols: list[str] | None = None, partition_by: list[str] | None = None, fmt: str = "csv"
+) -> None:
+    """A7 in either format of ``read_table``."""
+    if fmt == "csv":
+        return write_csv(df, path, cols, partition_by)
+    if fmt != "parquet":
+        raise ValueError(f"unknown format {fmt!r}: expected csv or parquet")
+    w = (df.select(*cols) if cols else df).write.mode("overwrite")
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+
+
 def write_csv(df: DataFrame, path: str, cols: list[str] | None = None, partition_by: list[str] | None = None) -> None:
     """CSV with header and a column subset; one folder per partition value if asked."""
     out = df.select(*cols) if cols else df
