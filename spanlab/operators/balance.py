@@ -31,19 +31,13 @@ def order_key(seed, id_col: str):
 
 def split_exact(df: DataFrame, id_col: str = "tweet_id", frac: float = 0.2, seed: int = 25, out: str = "split") -> DataFrame:
     """G1: ``ceil(frac · n)`` rows go to ``val``, the rest to ``train`` (shuffled, not stratified)."""
-    k = df.agg(F.ceil(F.lit(float(frac)) * F.count(F.lit(1))).cast("bigint").alias("_k"))
-    x = with_take_flag(df, order_key(seed, id_col), k, None, id_col, "_val")
+    x = with_take_flag(df, order_key(seed, id_col), lambda n: F.ceil(F.lit(float(frac)) * n), None, id_col, "_val")
     return x.withColumn(out, F.when(F.col("_val"), F.lit("val")).otherwise(F.lit("train"))).drop("_val")
 
 
 def first_half(df: DataFrame, id_col: str = "tweet_id", seed: int = 25, by=None) -> DataFrame:
     """flag ``_first`` = the row is in the first ``n // 2`` rows (per group) in key order."""
-    groups = [by] if isinstance(by, str) else list(by or [])
-    if groups:
-        k = df.groupBy(*groups).agg(F.floor(F.count(F.lit(1)) / 2).cast("bigint").alias("_k"))
-    else:
-        k = df.agg(F.floor(F.count(F.lit(1)) / 2).cast("bigint").alias("_k"))
-    return with_take_flag(df, order_key(seed, id_col), k, groups or None, id_col, "_first")
+    return with_take_flag(df, order_key(seed, id_col), lambda n: F.floor(n / 2), by, id_col, "_first")
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
@@ -94,10 +88,9 @@ def undersample(df: DataFrame, label: str, id_col: str = "tweet_id", seed: int =
     """Cut every larger class to the smallest, without replacement (exact size)."""
     if "draw" not in df.columns:
         df = df.withColumn("draw", F.lit(None).cast("bigint"))
-    sizes = class_sizes(df, label)
-    k = sizes.select(label, F.min("_n").over(Window.partitionBy()).alias("_k"))
     key = seeded_key(seed, F.lit("under"), F.col(id_col), F.coalesce(F.col("draw"), F.lit(-1)))
-    return take_first(df, key, k, label, [id_col, "draw"])
+    smallest = Window.partitionBy()  # over the table of class sizes
+    return take_first(df, key, lambda n: F.min(n).over(smallest), label, [id_col, "draw"])
 
 
 def balance_two_stage(df: DataFrame, label: str, negative: str, id_col: str = "tweet_id", seed: int = 25) -> DataFrame:

@@ -66,6 +66,23 @@ def materialize(df):
     return df.checkpoint(eager=True)
 
 
+def write_once(df, name: str):
+    """``df`` written as Parquet in the shared checkpoint folder and read back, and its path.
+
+    Unlike a checkpoint the table read back has a known size, so the planner can choose
+    between joins, and it can be deleted with ``remove_path`` when nothing reads it any more.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 _SHIPPED: set[str] = set()
 
 

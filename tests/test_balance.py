@@ -75,3 +75,35 @@ def test_straddling_bucket_path(spark, monkeypatch):
     assert per == set(want_a) | set(want_b) and want
     idx = {r.tweet_id: r.idx for r in exactk.dense_index(df.repartition(3), key, None, "tweet_id").collect()}
     assert [t for t, _ in sorted(idx.items(), key=lambda kv: kv[1])] == ordered
+
+
+def test_refined_histogram_groups_nulls_and_equal_rows(spark, monkeypatch):
+    """Ranking one row at most makes every round of the selection run. Null
+    keys, null groups, null tie-breaks and rows that are wholly alike stand on both sides."""
+    from pyspark.sql import Window
+
+    from spanlab.operators import exactk
+
+    monkeypatch.setattr(exactk, "BUCKET_DIGITS", 8)
+    monkeypatch.setattr(exactk, "RANK_ROWS", 1)
+    rows = [(None if i % 11 == 0 else str(i % 150), ["a", "b", None, "once"][i % 3 if i else 3], None if i % 7 == 0 else i % 4) for i in range(400)]
+    df = spark.createDataFrame(rows, "tweet_id string, label string, t long").repartition(7)
+    key = BA.order_key(3, "tweet_id")
+    order = [F.coalesce(key, F.lit(exactk.LAST_KEY)), "t"]
+
+    def counted(flagged):
+        out = {}
+        for r in flagged.collect():
+            out[r.tweet_id, r.label, r.t, r._take] = out.get((r.tweet_id, r.label, r.t, r._take), 0) + 1
+        return out
+
+    ks = spark.createDataFrame([("a", 20), (None, 500), ("b", 0)], "label string, _k long")
+    for k, expected in [(17, F.lit(17)), (lambda n: F.floor(n / 2), F.floor(F.col("_n") / 2)), (ks, F.expr("case when label = 'a' then 20 when label is null then 500 else 0 end"))]:
+        w = Window.partitionBy("label")
+        want = df.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_take", F.row_number().over(w.orderBy(*order)) <= expected).drop("_n")
+        assert counted(exactk.with_take_flag(df, key, k, "label", "t")) == counted(want)
+    for k in (0, 33, 380, 1000):
+        w = Window.orderBy(*order, "label")
+        assert counted(exactk.with_take_flag(df, key, k, None, ["t", "label"])) == counted(df.withColumn("_take", F.row_number().over(w) <= k)), k
+    assert exactk.with_take_flag(df.limit(0), key, 5, None, "t").collect() == []
+    assert exactk.with_take_flag(df.limit(0), key, 5, "label", "t").collect() == []

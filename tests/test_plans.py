@@ -25,13 +25,36 @@ def test_no_python_in_core_queries(spark, sf_small):
         assert "PythonUDF" not in p and "MapInPandas" not in p and "BatchEvalPython" not in p, name
 
 
-def test_exact_cut_has_no_global_window_over_rows(spark, sf_small):
-    df = catalog.queries()["g1_split_exact"](spark, sf_small)
-    p = df._jdf.queryExecution().optimizedPlan().toString()
-    # every Window over the rows is partitioned (by bucket); only the small count table has none
-    for line in p.splitlines():
-        if "Window [" in line and "row_number()" in line:
-            assert "_xb" in line, line
+def test_exact_cut_is_one_filter_pass(spark, tmp_path, monkeypatch):
+    """A plain table is scanned once for the bound (keys only) and once for the rows; rows are
+    neither shuffled nor joined, nor sorted by a global window."""
+    from spanlab.operators import balance, exactk
+
+    path = str(tmp_path / "plain.parquet")
+    spark.range(5000).selectExpr("cast(id as string) AS tweet_id", "repeat('text ', 20) AS tweet", "id % 3 AS label").write.parquet(path)
+    plain = spark.read.parquet(path)
+    written = []
+
+    def spy(df, name, real=exactk.write_once):
+        written.append(plan(df))
+        return real(df, name)
+
+    monkeypatch.setattr(exactk, "write_once", spy)
+    out = balance.split_exact(plain)
+    result = plan(out)
+    def scans(p):
+        return p.count("ReadSchema: struct<tweet_id:string")
+
+    assert [scans(p) for p in written] == [1] + [0] * (len(written) - 1) and "ReadSchema: struct<tweet_id:string>" in written[0]
+    assert scans(result) == 1
+    for node in ("Join", "Exchange", "Window", "Sort"):
+        assert node not in result, node
+    assert all("NestedLoop" not in p for p in written)
+    assert out.filter("split = 'val'").count() == 1000
+    written.clear()
+    result = plan(balance.undersample(plain, "label"))
+    assert sum(map(scans, written)) == 1 and scans(result) == 1
+    assert "BroadcastHashJoin" in result and "Exchange hash" not in result and "NestedLoop" not in result
 
 
 def _scans(df, table):
