@@ -6,6 +6,7 @@ and run on the executors. A null input gives a null output unless said otherwise
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column
@@ -67,23 +68,45 @@ def map_target(c, mapping: Mapping[str, str] | str | None, strict: bool = True)
     return F.coalesce(looked, F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(_c(c).cast("string"), F.lit("NULL")))))
 
 
+def emoji_pattern(emoji: Iterable[str]) -> str:
+    """One pattern that matches the longest sequence of the table at each place.
+
+    Sequences are grouped by their first code point and stand longest first, behind a look
+    at the first code point, so ordinary characters are passed by with one class test.
+    """
+
+    def quoted(code_points: str) -> str:
+        return "".join(f"\\x{{{ord(ch):X}}}" for ch in code_points)
+
+    rest: dict[str, list[str]] = {}
+    for e in emoji:
+        rest.setdefault(e[0], []).append(e[1:])
+    groups = []
+    for first, tails in sorted(rest.items()):
+        longer = "|".join(quoted(t) for t in sorted(tails, key=lambda t: (-len(t), t)))
+        groups.append(quoted(first) + (f"(?:{longer})" if longer else ""))
+    firsts = "".join(quoted(f) for f in sorted(rest))
+    return f"(?=[{firsts}])(?:{'|'.join(groups)})"
+
+
 def demojize(c, emoji_pairs: Iterable[tuple[str, str]]) -> Column:
-    """Every emoji sequence → ``:name:``, longest sequence first.
+    """Every emoji sequence → ``:name:``, the longest sequence at each place from the left.
 
-    ``emoji_pairs`` is the (emoji, name) lookup table (library data, a bounded list).
-    Names are ASCII and emoji are not, so a replaced name is never matched again.
+    ``emoji_pairs`` is the (emoji, name) lookup table (library data, a bounded list). The text
+    is cut at the matches of one pattern, their names come from a constant map, and the pieces
+    are put together again: the expression is as deep for thousands of emoji as for one.
     """
-    pairs = sorted(emoji_pairs, key=lambda p: (-len(p[0]), p[0]))
-    if not pairs:
-        return _c(c)
-    out = _c(c)
-    for emo, name in pairs:
-        out = F.replace(out, F.lit(emo), F.lit(f":{name}:"))
-    # One scan for the first code points of the table: a text with none of them is
-    # returned as is, without the chain of replacements.
-    firsts = sorted({ord(e[0]) for e, _ in pairs})
-    guard = "[" + "".join(f"\\x{{{cp:X}}}" for cp in firsts) + "]"
-    return F.when(_c(c).rlike(guard), out).otherwise(_c(c))
+    names = {e: f":{name}:" for e, name in emoji_pairs if e}
+    text = _c(c)
+    if not names:
+        return text
+    pattern = emoji_pattern(names)
+    # one JSON constant, folded to a map once, instead of two literals for each entry
+    table = F.from_json(F.lit(json.dumps(names, ensure_ascii=False)), "map<string,string>")
+    named = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda e: F.try_element_at(table, e))
+    pieces = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), named.alias("name"))
+    joined = F.array_join(F.transform(pieces, lambda p: F.concat(p["gap"], F.coalesce(p["name"], F.lit("")))), "")
+    return F.when(text.rlike(pattern), joined).otherwise(text)
 
 
 def strip_urls(c) -> Column:

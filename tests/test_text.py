@@ -86,3 +86,67 @@ def test_span_offsets_slice_equals_span(spark, sf_small):
     x = r.select("tweet", "p", T.span_start("tweet", "p").alias("s"), T.span_end("tweet", "p").alias("e")).filter("s >= 0")
     bad = x.filter(F.lower(F.expr("substring(tweet, s + 1, e - s)")) != F.lower(F.col("p"))).count()
     assert x.count() > 0 and bad == 0
+
+
+def _emoji_table():
+    """4,000 made-up sequences: single code points, skin tones, joined pairs, flags, keycaps."""
+    tones = [chr(0x1F3FB + i) for i in range(5)]
+    table = {chr(0x1F300 + i): f"e{i}" for i in range(0xE0)}
+    for i in range(500):
+        base = chr(0x1F400 + i)
+        table.setdefault(base, f"base{i}")
+        for k, tone in enumerate(tones):
+            table[base + tone] = f"base{i}_tone{k}"
+        table[base + "‍❤️‍" + base] = f"pair{i}"
+    for a in range(26):
+        for b in range(20):
+            table[chr(0x1F1E6 + a) + chr(0x1F1E6 + b)] = f"flag_{a}_{b}"
+    for ch in "0123456789#*":
+        table[ch + "️⃣"] = f"keycap_{ch}"
+    return dict(list(table.items())[:4000]) | {"#️⃣": "keycap"}
+
+
+def _replace_longest(text, table):
+    out, i, longest = [], 0, max(map(len, table))
+    while i < len(text):
+        for n in range(min(longest, len(text) - i), 0, -1):
+            if text[i : i + n] in table:
+                out.append(f":{table[text[i:i + n]]}:")
+                i += n
+                break
+        else:
+            out.append(text[i])
+            i += 1
+    return "".join(out)
+
+
+def test_demojize_four_thousand_entries(spark):
+    import random
+
+    table = _emoji_table()
+    assert len(table) > 3500
+    r = random.Random(2)
+    keys = list(table)
+    texts = [None, "", "no emoji # 1", "".join(keys[:300]), "\U0001F1E6\U0001F1E7\U0001F1E6", "1️⃣2️", "\U0001F3FB" * 3]
+    for _ in range(200):
+        texts.append("".join(r.choice([r.choice(keys), r.choice(keys)[:1], r.choice(["a", " ", "‍", "️", "é", "$1", "\\"])]) for _ in range(r.randint(1, 30))))
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    out = df.select("i", "t", T.demojize("t", table.items()).alias("o"))
+    for row in out.collect():
+        assert row.o == (None if row.t is None else _replace_longest(row.t, table)), row.t
+
+
+def test_demojize_expression_does_not_deepen(spark):
+    def depth(n):
+        table = [(chr(0x1F300 + i), f"e{i}") for i in range(n)]
+        plan = spark.range(1).selectExpr("string(id) t").select(T.demojize("t", table).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("replace("), plan.count("CASE WHEN"), plan.count("transform(")
+
+    assert depth(3) == depth(900)
+
+
+def test_demojize_long_text_in_one_pass(spark):
+    long = ("word \U0001F600 and \U0001F44D\U0001F3FD " * 20_000).strip()
+    table = {"\U0001F600": "grin", "\U0001F44D": "up", "\U0001F44D\U0001F3FD": "up_medium"}
+    got = spark.createDataFrame([(long,)], "t string").select(T.demojize("t", table.items())).first()[0]
+    assert got == long.replace("\U0001F600", ":grin:").replace("\U0001F44D\U0001F3FD", ":up_medium:")
