@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from spanlab.functions import text as T
 from spanlab.functions.keys import draw, seeded_key, unit
 from spanlab.operators.exactk import dense_index, with_take_flag
-from spanlab.session import materialize
+from spanlab.session import materialize, remove_path, write_once
 
 # Fixed value: the mask that protects a span while its text is augmented.
 SPAN_MASK = "@@span@@"
@@ -248,6 +248,34 @@ def markov_table(df: DataFrame, text_col: str = "input_text", order: int = 2) ->
     return trans.groupBy("state", "next").agg(F.count(F.lit(1)).alias("count"))
 
 
+SLOT = 64  # draws that one row of the chain answers, and the most transitions it holds
+STEPS_PER_TABLE = 9  # steps of the walks between two written tables
+
+
+def markov_chain(counts: DataFrame, order: int = 2) -> DataFrame:
+    """H8's ``(state, next, count)`` as a table to draw from: ``(state, slot, entries)``.
+
+    A state's transitions stand in the order of their words, each with the range of draws
+    that its count gives it. Slot k of a state holds the transitions whose ranges meet the
+    draws from ``k · SLOT`` on: at most ``SLOT`` of them, however many a state has, and a
+    frequent transition is one entry in each slot it fills. An entry carries the state it
+    leads to and that state's total, so a step needs one join. The end of a sentence leads
+    nowhere and takes no part in the join for totals.
+    """
+    by_state = Window.partitionBy("state").orderBy("next")
+    upto = counts.select("state", "next", F.sum("count").over(by_state).alias("upto"), "count")
+    totals = counts.groupBy("state").agg(F.sum("count").alias("total"))
+    words = F.split("state", " ", -1)
+    leads = F.when(F.lit(order) == 1, F.col("next")).otherwise(F.array_join(F.concat(F.slice(words, 2, order - 1), F.array("next")), " "))
+    going = upto.filter(F.col("next") != END).withColumn("leads", leads)
+    going = going.join(totals.select(F.col("state").alias("leads"), "total"), "leads")
+    ending = upto.filter(F.col("next") == END).select("*", F.lit(None).cast("string").alias("leads"), F.lit(None).cast("bigint").alias("total"))
+    slots = F.sequence(F.floor((F.col("upto") - F.col("count")) / SLOT), F.floor((F.col("upto") - 1) / SLOT))
+    rows = going.unionByName(ending).withColumn("slot", F.explode(slots))
+    entries = F.sort_array(F.collect_list(F.struct("upto", "next", "leads", "total")))
+    return rows.groupBy("state", "slot").agg(entries.alias("entries"))
+
+
 def markov_generate(
     df: DataFrame,
     n: int,
@@ -260,67 +288,64 @@ def markov_generate(
 ) -> DataFrame:
     """H9: ``n`` sentences of ``min_words``–``max_words`` words walked over the chain.
 
-    Each transition occurrence gets a dense index inside its state, so a weighted
-    step is an equi-join on (state, draw mod state total). ``n × tries`` walks run
-    in parallel for at most ``max_words + 1`` steps; each step is checkpointed (the
-    loop's lineage stays one step deep) and finished walks are set aside. Per
-    sentence the first try that ends inside the length bounds and is not a sentence
-    of the corpus wins. One refill round covers duplicates; the result is distinct.
+    A step draws a number below the state's total and meets the one entry of the state's
+    slot whose range holds it. ``n × tries`` walks run in parallel for ``max_words + 1``
+    steps. The chain is dealt and sorted by (state, slot) once, so a step moves and sorts
+    only the walks; finished walks keep their place under a key of their own. Walks are cut
+    from their lineage every ``STEPS_PER_TABLE`` steps. Per sentence the first try that ends
+    inside the length bounds and is not a sentence of the corpus wins. One refill round
+    covers duplicates; it walks along with the first, so the chain is read once a step. The
+    result is distinct.
     """
-    occ = materialize(_occurrences(df, text_col, order))
-    totals = occ.groupBy("state").agg(F.count(F.lit(1)).alias("_tot"))
-    # Each occurrence also carries the state it leads to and that state's total, so a
-    # step is one join: draw with the carried total, join (state, idx), carry on.
-    nstate = F.array_join(F.slice(F.concat(F.split(F.col("state"), " ", -1), F.array(F.col("next"))), 2, order), " ")
-    occ = materialize(
-        occ.withColumn("_nstate", F.when(F.col("next") != END, nstate))
-        .join(totals.select(F.col("state").alias("_nstate"), F.col("_tot").alias("_ntot")), "_nstate", "left")
-    )
+    spark = df.sparkSession
+    counts, counts_path = write_once(markov_table(df, text_col, order), "markov-counts")
+    dealt = markov_chain(counts, order).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "state", "slot")
+    chain = materialize(dealt.sortWithinPartitions("state", "slot"))
     begin = " ".join([BEGIN] * order)
-    start = totals.filter(F.col("state") == begin).select("_tot").first()
-    start_tot = int(start["_tot"]) if start else 0
+    start = counts.filter(F.col("state") == begin).agg(F.sum("count")).first()[0] or 0
     known = _sentences(df, text_col).select(F.array_join("_w", " ").alias("_known")).distinct()
-    spark = df.sparkSession
-
-    def run(ids_from: int, count: int, round_no: int) -> DataFrame:
-        walks = spark.range(ids_from, ids_from + count).withColumnRenamed("id", "sent")
-        walks = walks.withColumn("try", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-        walks = walks.select(
-            "sent", "try", F.array().cast("array<string>").alias("words"),
-            F.lit(begin).alias("state"), F.lit(start_tot).cast("bigint").alias("_tot"),
-        ).filter(F.col("_tot") > 0)
-        finished = []
-        for step in range(max_words + 1):
-            r = draw(seeded_key(seed, F.lit("walk"), F.lit(round_no), F.col("sent"), F.col("try"), F.lit(step)), F.col("_tot"))
-            # every index below a state's total exists: an inner join loses nothing,
-            # and the small walk side can be broadcast instead of moving the occurrences
-            active = walks.withColumn("idx", r).join(occ, ["state", "idx"])
-            nxt = F.col("next")
-            new_words = F.when(nxt == END, F.col("words")).otherwise(F.concat("words", F.array(nxt)))
-            stepped = materialize(active.select(
-                "sent", "try", new_words.alias("words"), F.col("_nstate").alias("state"), F.col("_ntot").alias("_tot"),
-                ((nxt == END) | (F.size(new_words) > max_words)).alias("done"),
-            ))
-            finished.append(stepped.filter("done").drop("done", "state", "_tot"))
-            walks = stepped.filter(~F.col("done")).drop("done")
-            if (step + 1) % 4 == 0 and walks.isEmpty():  # a cheap check, not every step
-                break
-        ended = finished[0]
-        for part in finished[1:]:
-            ended = ended.unionByName(part)
-        ok = ended.filter((F.size("words") >= min_words) & (F.size("words") <= max_words)).select(
-            "sent", "try", F.array_join("words", " ").alias("text")
+    made = [counts_path]
+
+    def step(walks: DataFrame, number: int) -> DataFrame:
+        at = draw(seeded_key(seed, F.lit("walk"), F.col("round"), F.col("sent"), F.col("try"), F.lit(number)), F.col("_tot"))
+        done = F.col("done")
+        drawn = walks.select(
+            "round", "sent", "try", "words", "done", at.alias("_at"),
+            # no slot is negative: finished walks meet nothing, each under its own key
+            F.when(done, F.col("sent").cast("string")).otherwise(F.col("state")).alias("state"),
+            F.when(done, F.lit(-1).cast("bigint")).otherwise(F.floor(at / SLOT)).alias("slot"),
+        )
+        met = drawn.join(chain.hint("merge"), ["state", "slot"], "left")
+        entry = F.get(F.filter("entries", lambda e: e["upto"] > F.col("_at")), F.lit(0))
+        ends = entry["next"] == END
+        words = F.when(done | ends, F.col("words")).otherwise(F.concat("words", F.array(entry["next"])))
+        return met.select(
+            "round", "sent", "try", words.alias("words"), entry["leads"].alias("state"), entry["total"].alias("_tot"),
+            (done | ends | (F.size(words) > max_words)).alias("done"),
         )
-        ok = ok.join(known, ok["text"] == known["_known"], "left_anti")
-        return ok.groupBy("sent").agg(F.min_by("text", F.col("try")).alias("text"))
 
-    first = materialize(run(0, n, 0))
-    have = first.select("text").distinct().count()
-    out = first.select("text")
-    if 0 < have < n:
-        more = run(n, n - have, 1).select("text")
-        out = out.unionByName(more)
-    return out.distinct()
+    # both rounds walk at once: the second has a sentence for each of the first that may be missing
+    walks = spark.range(0, 2 * n).select(
+        F.floor(F.col("id") / max(n, 1)).cast("int").alias("round"), F.col("id").alias("sent"),
+        F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"), F.array().cast("array<string>").alias("words"),
+        F.lit(begin).alias("state"), F.lit(start).cast("bigint").alias("_tot"), F.lit(False).alias("done"),
+    ).filter(F.col("_tot") > 0)
+    for number in range(max_words + 1):
+        walks = step(walks, number)
+        if (number + 1) % STEPS_PER_TABLE == 0 and number < max_words:
+            walks, path = write_once(walks, "markov-walks")
+            made.append(path)
+    # a walk that is done has its end or a word too many
+    ok = walks.filter((F.size("words") >= min_words) & (F.size("words") <= max_words)).select(
+        "round", "sent", "try", F.array_join("words", " ").alias("text")
+    )
+    ok = ok.join(known, ok["text"] == known["_known"], "left_anti")
+    texts, _ = write_once(ok.groupBy("round", "sent").agg(F.min_by("text", F.col("try")).alias("text")), "markov-sentences")
+    have = texts.filter("round = 0").select("text").distinct().count()
+    for path in made:
+        remove_path(spark, path)
+    refill = n - have if have else 0
+    return texts.filter((F.col("round") == 0) | (F.col("sent") < n + refill)).select("text").distinct()
 
 
 def _sentences(df: DataFrame, text_col: str) -> DataFrame:
@@ -334,23 +359,6 @@ def _sentences(df: DataFrame, text_col: str) -> DataFrame:
     return lines.select(words_of("_l").alias("_w")).filter(F.element_at("_w", 1) != "")
 
 
-def _occurrences(df: DataFrame, text_col: str, order: int) -> DataFrame:
-    sent = _sentences(df, text_col)
-    padded = F.concat(F.array_repeat(F.lit(BEGIN), order), F.col("_w"), F.array(F.lit(END)))
-    steps = F.transform(
-        F.sequence(F.lit(order + 1), F.size("_p")),
-        lambda i: F.struct(
-            F.array_join(F.slice(F.col("_p"), i - order, order), " ").alias("state"),
-            F.element_at(F.col("_p"), i).alias("next"),
-            i.alias("_pos"),
-        ),
-    )
-    trans = sent.select(padded.alias("_p"), F.md5(F.array_join("_p", " ")).alias("_sid")).select("_sid", F.inline(steps))
-    return dense_index(trans, F.md5(F.concat_ws(":", "_sid", F.col("_pos").cast("string"))), "state", ["_sid", "_pos"], "idx").drop(
-        "_sid", "_pos"
-    )
-
-
 def augment_spans(
     df: DataFrame,
     syn: DataFrame,

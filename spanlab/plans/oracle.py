@@ -437,7 +437,7 @@ l3_table AS (SELECT tweet_id, target_text, {unwrap('target_text')} AS gold_label
 
 
 def h9_sql(tries: int = 10, min_words: int = 10, max_words: int = 25) -> str:
-    """H9 replayed: occurrences numbered per state, walks as a recursive CTE per round."""
+    """H9 replayed: ranges of draws per state and next word, walks as a recursive CTE per round."""
     ws = _q(T.WHITESPACE_RUN)
     b, e = "'___BEGIN__'", "'___END__'"
     n = "(SELECT n FROM h9_n)"
@@ -453,7 +453,7 @@ def h9_sql(tries: int = 10, min_words: int = 10, max_words: int = 25) -> str:
   SELECT w.sent, w.try, w.step + 1, {new_words},
          array_to_string(list_append(string_split(w.state, ' '), {nxt})[2:3], ' '),
          {nxt} = {e} OR len({new_words}) > {max_words}
-  FROM {name} w JOIN h9_tot t ON t.state = w.state LEFT JOIN h9_occ o ON o.state = w.state AND o.idx = {draw}
+  FROM {name} w JOIN h9_tot t ON t.state = w.state LEFT JOIN h9_cum o ON o.state = w.state AND o.lo <= {draw} AND {draw} < o.hi
   WHERE NOT w.done AND w.step <= {max_words})"""
 
     def firsts(name: str) -> str:
@@ -466,11 +466,12 @@ def h9_sql(tries: int = 10, min_words: int = 10, max_words: int = 25) -> str:
 h9_pos AS (SELECT input_text FROM prepared_class WHERE target_text = {_q(T.POSITIVE_CLASS_TEXT)}),
 h9_sent AS (SELECT w FROM (SELECT string_split(trim(regexp_replace(l, {ws}, ' ', 'g')), ' ') AS w
                            FROM (SELECT unnest(string_split({SENTENCES}, chr(10))) AS l FROM h9_pos)) WHERE w[1] <> ''),
-h9_p AS (SELECT p, md5(array_to_string(p, ' ')) AS sid FROM (SELECT [{b}, {b}] || w || [{e}] AS p FROM h9_sent)),
-h9_occ0 AS (SELECT sid, k AS pos, array_to_string(p[k - 2:k - 1], ' ') AS state, p[k] AS nxt
-            FROM (SELECT sid, p, unnest(range(3, len(p) + 1)) AS k FROM h9_p)),
-h9_occ AS (SELECT state, nxt, row_number() OVER (PARTITION BY state ORDER BY md5(sid || ':' || CAST(pos AS VARCHAR)), sid, pos) - 1 AS idx FROM h9_occ0),
-h9_tot AS (SELECT state, count(*) AS tot FROM h9_occ GROUP BY state),
+h9_p AS (SELECT [{b}, {b}] || w || [{e}] AS p FROM h9_sent),
+h9_occ0 AS (SELECT array_to_string(p[k - 2:k - 1], ' ') AS state, p[k] AS nxt
+            FROM (SELECT p, unnest(range(3, len(p) + 1)) AS k FROM h9_p)),
+h9_cnt AS (SELECT state, nxt, count(*) AS c FROM h9_occ0 GROUP BY state, nxt),
+h9_cum AS (SELECT state, nxt, CAST(sum(c) OVER (PARTITION BY state ORDER BY nxt) AS BIGINT) - c AS lo, CAST(sum(c) OVER (PARTITION BY state ORDER BY nxt) AS BIGINT) AS hi FROM h9_cnt),
+h9_tot AS (SELECT state, CAST(sum(c) AS BIGINT) AS tot FROM h9_cnt GROUP BY state),
 h9_known AS (SELECT DISTINCT array_to_string(w, ' ') AS known FROM h9_sent),
 h9_n AS (SELECT greatest(0, (SELECT count(*) FROM prepared_class) // 5 - (SELECT count(*) FROM h9_pos)) AS n),
 {walk("walk0", 0, f"SELECT unnest(range(0, {n})) AS sent")},
