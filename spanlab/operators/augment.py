@@ -3,9 +3,9 @@
 The per-sentence augmenters of the reference are re-aimed:
 
 - a text is an array of whitespace tokens;
-- synonyms come from a ``(word, pos, synonym)`` table joined to the distinct words
-  of each text (a broadcast-size lookup table, or a shuffle join when it is large);
-  per text this yields a small word → synonym map that is applied inside the row;
+- synonyms come from a ``(word, pos, synonym)`` table. It is joined to the word positions
+  of the texts once (``annotate``), so every position carries its synonyms; an edit, and
+  every further round of edits, is then an expression inside the row;
 - every random choice is ``md5(seed ':' tag ':' id ':' …)``, so a round of
   augmentation is repeatable and independent of partitioning.
 
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spanlab.functions import text as T
 from spanlab.functions.keys import draw, seeded_key, unit
-from spanlab.operators.exactk import dense_index, with_take_flag
+from spanlab.operators.exactk import dense_index, dense_order, with_take_flag
 from spanlab.session import materialize, remove_path, write_once
 
 # Fixed value: the mask that protects a span while its text is augmented.
@@ -38,54 +38,99 @@ def synonym_table_from_corpus(df: DataFrame, text_col: str = "input_text") -> Da
     All words are ranked 1..N in the order of ``md5(word)``, then word (dense numbering
     without a global window); word r gets two synonyms: its pair partner (1↔2, 3↔4, …)
     and the next rank (N wraps to 1). Part of speech: ``v`` when r is a multiple of 3,
-    else ``n``. A partner beyond N is left out.
+    else ``n``. A partner beyond N is left out. The corpus is read once: its words are written
+    in order, and that table is read for both sides of the pairs.
     """
-    words = df.select(F.explode(words_of(text_col)).alias("word")).filter(F.col("word") != "").distinct()
-    ranked = dense_index(words, F.md5("word"), None, "word", "r").withColumn("r", F.col("r") + 1)
-    ranked = materialize(ranked)  # read twice below, and for its size
-    size = ranked.agg(F.count(F.lit(1))).scalar()
+    found = df.select(F.explode(words_of(text_col)).alias("word")).filter(F.col("word") != "").distinct()
+    ranked = dense_order(found, [F.md5("word"), "word"], "r").withColumn("r", F.col("r") + 1)
+    n = ranked.count()
     partner = F.when(F.col("r") % 2 == 1, F.col("r") + 1).otherwise(F.col("r") - 1)
-    nxt = F.col("r") % F.col("_size") + 1
-    pairs = ranked.withColumn("_size", size).select("word", "r", F.explode(F.array(partner, nxt)).alias("pr"))
+    nxt = F.col("r") % F.lit(n) + 1
+    pairs = ranked.select("word", "r", F.explode(F.array_distinct(F.array(partner, nxt))).alias("pr"))
     names = ranked.select(F.col("r").alias("pr"), F.col("word").alias("synonym"))
     out = pairs.join(names, "pr").select(
         "word", F.when(F.col("r") % 3 == 0, F.lit("v")).otherwise(F.lit("n")).alias("pos"), "synonym"
     )
-    return out.filter(F.col("word") != F.col("synonym")).distinct()
+    return out.filter(F.col("word") != F.col("synonym"))
 
 
-def _choices(df: DataFrame, id_col: str, syn: DataFrame, seed, tag: str, pos: str | None = None) -> DataFrame:
-    """Per (id, word) that has synonyms: the chosen synonym (lowest seeded hash)."""
+def annotate(df: DataFrame, syn: DataFrame, text_col: str = "input_text", pos: str | None = None) -> DataFrame:
+    """Rows with ``_a``: their words in order, each ``(at, word, syns)`` with all its synonyms.
+
+    The rows are written once with a number of their own; word positions meet the lexicon
+    (one row per word) in one join, are grouped by that number and come back to their row.
+    A word that fills many positions is dealt by Spark's skew join.
+    """
     s = syn if pos is None else syn.filter(F.col("pos") == F.lit(pos))
-    s = s.select("word", "synonym").distinct()
-    distinct_words = df.select(id_col, F.explode(F.array_distinct(F.col("_w"))).alias("word"))
-    j = distinct_words.join(s, "word")
-    return j.groupBy(id_col, "word").agg(
-        F.min_by("synonym", seeded_key(seed, F.lit(tag), F.col(id_col), F.col("word"), F.col("synonym"))).alias("synonym")
+    lexicon = s.groupBy("word").agg(F.sort_array(F.collect_set("synonym")).alias("syns"))
+    rows, _ = write_once(df.withColumn("_uid", F.monotonically_increasing_id()), "annotate-rows")
+    places = rows.select("_uid", F.posexplode(words_of(text_col)).alias("at", "word"))
+    none = F.array().cast("array<string>")
+    met = places.join(lexicon, "word", "left").withColumn("syns", F.coalesce("syns", none))
+    per_row = met.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("at", "word", "syns"))).alias("_a"))
+    return rows.join(per_row, "_uid", "left").drop("_uid")
+
+
+def _chosen(x: Column, id_col: str, seed, tag: str) -> Column:
+    """The synonym of an annotated word in a row: the lowest seeded hash; null without synonyms."""
+    ranked = F.transform(
+        x["syns"], lambda s: F.struct(seeded_key(seed, F.lit(tag), F.col(id_col), x["word"], s).alias("key"), s.alias("synonym"))
     )
+    return F.array_min(ranked)["synonym"]
 
 
-def _with_map(df: DataFrame, chosen: DataFrame, id_col: str) -> DataFrame:
-    m = chosen.groupBy(id_col).agg(F.map_from_entries(F.collect_list(F.struct("word", "synonym"))).alias("_m"))
-    return df.join(m, id_col, "left")
+def _candidates(id_col: str, seed, tag: str) -> Column:
+    """Words of a row that have synonyms, as ``(pick key, word, chosen synonym)``."""
+    return F.transform(
+        F.filter("_a", lambda x: F.size(x["syns"]) > 0),
+        lambda x: F.struct(
+            seeded_key(seed, F.lit(tag + "-pick"), F.col(id_col), x["word"]).alias("key"),
+            x["word"].alias("word"),
+            _chosen(x, id_col, seed, tag).alias("synonym"),
+        ),
+    )
 
 
-def _prepare(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.withColumn("_w", words_of(text_col))
+def _replaced(id_col: str, seed, n: int = 1, tag: str = "sr") -> Column:
+    picked = F.slice(F.array_sort(F.array_distinct(_candidates(id_col, seed, tag))), 1, n)
+    # the few picked words are bound once, beside the row's words
+    return F.flatten(
+        F.transform(
+            F.array(picked),
+            lambda some: F.transform(
+                "_a", lambda x: F.coalesce(F.get(F.filter(some, lambda c: c["word"] == x["word"]), F.lit(0))["synonym"], x["word"])
+            ),
+        )
+    )
 
 
-def _finish(df: DataFrame, words: Column, out: str) -> DataFrame:
-    return df.withColumn(out, F.array_join(words, " ")).drop("_w", "_m")
+def _inserted(id_col: str, seed, tag: str = "ri") -> Column:
+    words = F.transform("_a", lambda x: x["word"])
+    insert = F.array_min(_candidates(id_col, seed, tag))["synonym"]
+    at = (draw(seeded_key(seed, F.lit(tag + "-pos"), F.col(id_col)), F.size("_a") + 1) + 1).cast("int")
+    return F.when(insert.isNull(), words).otherwise(F.array_insert(words, at, insert))
+
+
+def _lexical(id_col: str, seed, p: float = 0.5, tag: str = "wn") -> Column:
+    def word(x, i):
+        hit = unit(seeded_key(seed, F.lit(tag), F.col(id_col), i)) < F.lit(float(p))
+        return F.when(hit & (F.size(x["syns"]) > 0), _chosen(x, id_col, seed, tag)).otherwise(x["word"])
+
+    return F.transform("_a", word)
 
 
 def synonym_replace(df, syn, id_col="tweet_id", text_col="input_text", n=1, seed=25, out="augmented", tag="sr"):
     """H1: replace (every occurrence of) ``n`` distinct words that have synonyms, each by one synonym."""
-    x = _prepare(df, id_col, text_col)
-    chosen = _choices(x, id_col, syn, seed, tag)
-    w = Window.partitionBy(id_col).orderBy(seeded_key(seed, F.lit(tag + "-pick"), F.col(id_col), F.col("word")), "word")
-    chosen = chosen.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
-    x = _with_map(x, chosen, id_col)
-    return _finish(x, F.transform("_w", lambda t: F.coalesce(F.try_element_at(F.col("_m"), t), t)), out)
+    x = annotate(df, syn, text_col)
+    return x.withColumn(out, F.array_join(_replaced(id_col, seed, n, tag), " ")).drop("_a")
+
+
+def _prepare(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.withColumn("_w", words_of(text_col))
+
+
+def _finish(df: DataFrame, words: Column, out: str) -> DataFrame:
+    return df.withColumn(out, F.array_join(words, " ")).drop("_w")
 
 
 def random_delete(df, id_col="tweet_id", text_col="input_text", p=0.2, seed=25, out="augmented", tag="rd"):
@@ -115,39 +160,36 @@ def random_swap(df, id_col="tweet_id", text_col="input_text", seed=25, out="augm
 
 def random_insert(df, syn, id_col="tweet_id", text_col="input_text", seed=25, out="augmented", tag="ri"):
     """H4: insert a synonym of a random word (one that has synonyms) at a random position."""
-    x = _prepare(df, id_col, text_col)
-    chosen = _choices(x, id_col, syn, seed, tag)
-    one = chosen.groupBy(id_col).agg(
-        F.min_by("synonym", F.struct(seeded_key(seed, F.lit(tag + "-pick"), F.col(id_col), F.col("word")), F.col("word"))).alias("_ins")
-    )
-    x = x.join(one, id_col, "left")
-    at = (draw(seeded_key(seed, F.lit(tag + "-pos"), F.col(id_col)), F.size("_w") + 1) + 1).cast("int")
-    words = F.when(F.col("_ins").isNull(), F.col("_w")).otherwise(F.array_insert("_w", at, F.col("_ins")))
-    return _finish(x, words, out).drop("_ins")
+    x = annotate(df, syn, text_col)
+    return x.withColumn(out, F.array_join(_inserted(id_col, seed, tag), " ")).drop("_a")
 
 
 def lexical_replace(df, syn, id_col="tweet_id", text_col="input_text", pos="v", p=0.5, seed=25, out="augmented", tag="wn"):
     """H5: each word of part of speech ``pos`` that has a synonym is replaced with probability ``p``."""
-    x = _prepare(df, id_col, text_col)
-    chosen = _choices(x, id_col, syn, seed, tag, pos)
-    x = _with_map(x, chosen, id_col)
-    words = F.transform(
-        "_w",
-        lambda t, i: F.when(
-            (unit(seeded_key(seed, F.lit(tag), F.col(id_col), i)) < F.lit(float(p))) & F.try_element_at(F.col("_m"), t).isNotNull(),
-            F.try_element_at(F.col("_m"), t),
-        ).otherwise(t),
-    )
-    return _finish(x, words, out)
+    x = annotate(df, syn, text_col, pos)
+    return x.withColumn(out, F.array_join(_lexical(id_col, seed, p, tag), " ")).drop("_a")
+
+
+# The kinds' names. A kind is the part of speech its lexicon is cut to (None: all;
+# no lexicon for the last two) and what it makes of a row.
+LEXICON_KINDS = {"sr": (None, _replaced), "ri": (None, _inserted), "Wordnet": ("v", _lexical)}
+PLAIN_KINDS = {"rd": random_delete, "rs": random_swap}
+
+
+def annotate_for(df: DataFrame, kind: str, syn: DataFrame | None, text_col: str = "input_text") -> DataFrame:
+    """The rows as ``augment_rows`` needs them for any number of rounds of ``kind``."""
+    if kind in PLAIN_KINDS:
+        return df
+    if kind not in LEXICON_KINDS:
+        raise ValueError(f"unknown kind {kind!r}: expected one of {sorted([*LEXICON_KINDS, *PLAIN_KINDS])}")
+    return annotate(df, syn, text_col, LEXICON_KINDS[kind][0])
 
 
-METHODS = {
-    "sr": lambda df, syn, **kw: synonym_replace(df, syn, **kw),
-    "ri": lambda df, syn, **kw: random_insert(df, syn, **kw),
-    "rd": lambda df, syn, **kw: random_delete(df, **kw),
-    "rs": lambda df, syn, **kw: random_swap(df, **kw),
-    "Wordnet": lambda df, syn, **kw: lexical_replace(df, syn, **kw),
-}
+def augment_rows(df: DataFrame, kind: str, id_col: str, text_col: str = "input_text", seed=25, out: str = "augmented") -> DataFrame:
+    """One edit of each row of ``annotate_for``; the id seeds its choices."""
+    if kind in PLAIN_KINDS:
+        return PLAIN_KINDS[kind](df, id_col=id_col, text_col=text_col, seed=seed, out=out)
+    return df.withColumn(out, F.array_join(LEXICON_KINDS[kind][1](id_col, seed), " "))
 
 
 def quota_plan(n: int, size: int) -> tuple[int, int]:
@@ -170,7 +212,7 @@ def augment_to(df, n: int, kind: str, syn=None, id_col="tweet_id", text_col="inp
     Rows are ordered by ``md5(seed ':' id)``. The size and the distinct count are
     scalars computed by aggregation; the texts never leave the executors.
     """
-    df = materialize(df)  # read by several passes below
+    df = materialize(annotate_for(df, kind, syn, text_col))  # every round below reads it
     size = df.count()
     full, rem = quota_plan(n, size)
     key = seeded_key(seed, F.col(id_col))
@@ -182,7 +224,7 @@ def augment_to(df, n: int, kind: str, syn=None, id_col="tweet_id", text_col="inp
         rounds.append(head.withColumn("_round", F.lit(full)))
     out = None
     for r in rounds:
-        aug = _augment_rounds(r, kind, syn, id_col, text_col, seed)
+        aug = _augment_rounds(r, kind, id_col, text_col, seed)
         out = aug if out is None else out.unionByName(aug)
     if out is None:
         have = 0
@@ -194,17 +236,16 @@ def augment_to(df, n: int, kind: str, syn=None, id_col="tweet_id", text_col="inp
         n_left = min(n - have, size)
         rev = F.translate(key, "0123456789abcdef", "fedcba9876543210")
         tail = with_take_flag(df, rev, n_left, None, id_col, "_t").filter("_t").drop("_t")
-        top = _augment_rounds(tail.withColumn("_round", F.lit(full + 1)), kind, syn, id_col, text_col, seed)
+        top = _augment_rounds(tail.withColumn("_round", F.lit(full + 1)), kind, id_col, text_col, seed)
         top = top.select("augmented")
         loop = top if loop is None else loop.unionByName(top)
     return loop.distinct() if loop is not None else df.sparkSession.createDataFrame([], "augmented string")
 
 
-def _augment_rounds(df, kind, syn, id_col, text_col, seed):
+def _augment_rounds(df, kind, id_col, text_col, seed):
     """Apply augmenter ``kind`` with the round number folded into the row key."""
     x = df.withColumn("_rid", F.concat(F.col(id_col), F.lit("#"), F.col("_round").cast("string")))
-    res = METHODS[kind](x, syn, id_col="_rid", text_col=text_col, seed=seed)
-    return res.select(F.col(id_col), "_round", "augmented")
+    return augment_rows(x, kind, "_rid", text_col, seed).select(F.col(id_col), "_round", "augmented")
 
 
 def append_augmented(corpus: DataFrame, texts: DataFrame, kind: str, prefix: str, target: str = T.POSITIVE_CLASS_TEXT, seed=25) -> DataFrame:
@@ -373,8 +414,8 @@ def augment_spans(
 ) -> DataFrame:
     """Span-preserving augmentation of span rows: the new rows only.
 
-    Lower-case text and span, mask every occurrence of the span, augment (H5) in
-    rounds, keep changed texts, unmask, reject texts equal to an original positive
+    Lower-case text and span, mask every occurrence of the span, give the words their
+    synonyms once, augment (H5) in rounds, keep changed texts, unmask, reject texts equal to an original positive
     text (anti join), target = span; the first ``n`` by (round, md5 order) are kept
     and numbered ``<kind>_augmented_<i>``. Rounds go on until there are ``n`` rows or a
     round adds none. ``require_span`` drops rows whose span is not in the text (the
@@ -385,26 +426,32 @@ def augment_spans(
         pos_rows = pos_rows.filter(F.contains(F.lower("input_text"), F.lower("target_text")))
     low_t, low_s = F.lower("input_text"), F.lower("target_text")
     known = pos_rows.select(F.col("input_text").alias("_known")).distinct()
-    base = materialize(pos_rows.select(id_col, low_s.alias("_span"), F.replace(low_t, low_s, F.lit(SPAN_MASK)).alias("_masked")))
-    rounds, have = [], 0
-    while have < n:
-        masked = base.withColumn("_round", F.lit(len(rounds)))
-        masked = masked.withColumn("_rid", F.concat(F.col(id_col), F.lit("#"), F.col("_round").cast("string")))
-        aug = lexical_replace(masked, syn, id_col="_rid", text_col="_masked", pos=pos, p=p, seed=seed, out="_new")
-        changed = aug.filter(F.trim("_masked") != F.trim("_new"))
-        un = changed.withColumn("_text", F.replace("_new", F.lit(SPAN_MASK), F.col("_span")))
-        un = un.join(known, un["_text"] == known["_known"], "left_anti")
-        # Ranking reads the candidates three times (bucket counts, ranks, round offsets).
-        un = materialize(un.select(id_col, "_round", "_span", "_text"))
-        got = un.count()
-        if not got:
-            break
-        rounds.append(un)
-        have += got
-    if not rounds:
+    base = pos_rows.select(id_col, low_s.alias("_span"), F.replace(low_t, low_s, F.lit(SPAN_MASK)).alias("_masked"))
+    base = materialize(annotate(base, syn, "_masked", pos))  # synonyms are joined once, whatever the rounds
+
+    def rounds(first: int, last: int) -> DataFrame:
+        """Changed texts of the rounds from ``first`` up to ``last``, one expression per row and round."""
+        x = base.withColumn("_round", F.explode(F.sequence(F.lit(first), F.lit(last - 1))))
+        x = x.withColumn("_rid", F.concat(F.col(id_col), F.lit("#"), F.col("_round").cast("string")))
+        x = x.select(id_col, "_round", "_span", "_masked", F.array_join(_lexical("_rid", seed, p), " ").alias("_new"))
+        text = F.replace("_new", F.lit(SPAN_MASK), F.col("_span"))
+        x = x.filter(F.trim("_masked") != F.trim("_new")).select(id_col, "_round", "_span", text.alias("_text"))
+        return x.join(known, x["_text"] == known["_known"], "left_anti")
+
+    size = base.count()
+    # a round adds at most a row per text: that many rounds at least, and as many again while rows are missing
+    parts, have, done, last = [], 0, 0, -(-n // size) if n > 0 and size else 0
+    while done < last:
+        block, _ = write_once(rounds(done, last), "augmented-rounds")
+        per_round = {r["_round"]: r["count"] for r in block.groupBy("_round").count().collect()}  # a row per round
+        empty = next((r for r in range(done, last) if r not in per_round), None)
+        parts.append(block if empty is None else block.filter(F.col("_round") < empty))
+        have += sum(c for r, c in per_round.items() if empty is None or r < empty)
+        done, last = last, last + (0 if empty is not None or have >= n else min(2 * last, -(-(n - have) * last // max(have, 1)) + 1))
+    if not have:
         return df.sparkSession.createDataFrame([], "tweet_id string, tweet string, prefix string, input_text string, target_text string")
-    every = rounds[0]
-    for more in rounds[1:]:
+    every = parts[0]
+    for more in parts[1:]:
         every = every.unionByName(more)
     out = _rank_by_round(every, id_col, seed).filter(F.col("_i") < n)
     return out.select(

@@ -346,6 +346,41 @@ def q_h6_augment_to(spark, sf):
     return AU.augment_to(_positives(spark, sf), _quota(spark, sf), "rd")
 
 
+def _augmented(spark, sf, kind):
+    return AU.augment_to(_positives(spark, sf), _quota(spark, sf), kind, _synonyms(spark, sf))
+
+
+def q_h6_augment_to_sr(spark, sf):
+    return _augmented(spark, sf, "sr")
+
+
+def q_h6_augment_to_ri(spark, sf):
+    return _augmented(spark, sf, "ri")
+
+
+def q_h6_augment_to_wordnet(spark, sf):
+    return _augmented(spark, sf, "Wordnet")
+
+
+def q_h7_append_sr(spark, sf):
+    """H6 into H7: the quota of the rare class filled with synonym replacements."""
+    return AU.append_augmented(V.prepared_class(spark, sf), _augmented(spark, sf, "sr"), "sr", T.CLASS_PREFIX)
+
+
+def q_h7_append_ri(spark, sf):
+    return AU.append_augmented(V.prepared_class(spark, sf), _augmented(spark, sf, "ri"), "ri", T.CLASS_PREFIX)
+
+
+def q_h7_append_wordnet(spark, sf):
+    return AU.append_augmented(V.prepared_class(spark, sf), _augmented(spark, sf, "Wordnet"), "Wordnet", T.CLASS_PREFIX)
+
+
+def q_h7_append_markov(spark, sf):
+    """H9 into H7: walked sentences appended to the corpus."""
+    texts = AU.markov_generate(_positives(spark, sf), _quota(spark, sf)).select(F.col("text").alias("augmented"))
+    return AU.append_augmented(V.prepared_class(spark, sf), texts, "markov", T.CLASS_PREFIX)
+
+
 def q_h7_append_augmented(spark, sf):
     texts = AU.random_delete(_positives(spark, sf)).select("augmented").distinct()
     return AU.append_augmented(V.prepared_class(spark, sf), texts, "rd", T.CLASS_PREFIX)

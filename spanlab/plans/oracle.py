@@ -436,7 +436,9 @@ l3_table AS (SELECT tweet_id, target_text, {unwrap('target_text')} AS gold_label
     q["l3_evaluate_run"] = _with("SELECT * FROM scores", l3 + "," + _eval_spans_sql("tweet_id", "l3_table") + "," + _scores_sql(""))
 
 
-def h9_sql(tries: int = 10, min_words: int = 10, max_words: int = 25) -> str:
+def h9_sql(
+    last: str = "SELECT text FROM first0 UNION SELECT text FROM first1", tries: int = 10, min_words: int = 10, max_words: int = 25
+) -> str:
     """H9 replayed: ranges of draws per state and next word, walks as a recursive CTE per round."""
     ws = _q(T.WHITESPACE_RUN)
     b, e = "'___BEGIN__'", "'___END__'"
@@ -479,7 +481,7 @@ first0 AS {firsts("walk0")},
 have0 AS (SELECT count(DISTINCT text) AS have FROM first0),
 {walk("walk1", 1, f"SELECT unnest(range({n}, {n} + {n} - (SELECT have FROM have0))) AS sent WHERE (SELECT have FROM have0) BETWEEN 1 AND {n} - 1")},
 first1 AS {firsts("walk1")}
-SELECT text FROM first0 UNION SELECT text FROM first1"""
+{last}"""
 
 
 def m1_sql(patience: int = 3, delta: float = 0.0) -> str:
@@ -604,6 +606,41 @@ h6_have AS (SELECT count(*) AS have FROM h6_aug),
 h6_top AS (SELECT DISTINCT {rd("(r.tweet_id || '#' || CAST(p.nfull + 1 AS VARCHAR))")} AS augmented
            FROM h6_ranked r, q_plan2 p, h6_have h WHERE h.have < p.n AND r.rn_desc <= least(p.n - h.have, p.size))"""
     q["h6_augment_to"] = _with("SELECT augmented FROM h6_aug UNION SELECT augmented FROM h6_top", syn + "," + h6)
+    def edited(kind: str, src: str, out: str) -> str:
+        """``out(rid, augmented)``: one edit of kind ``kind`` of each row of ``src(rid, w)``."""
+        tag = {"sr": "sr", "ri": "ri", "Wordnet": "wn"}[kind]
+        lex = "WHERE pos = 'v'" if kind == "Wordnet" else ""
+        ch = f"""
+{out}_ch AS (SELECT d.rid, d.word, arg_min(s.synonym, {_key(_q(tag), 'd.rid', 'd.word', 's.synonym')}) AS synonym
+             FROM (SELECT DISTINCT rid, unnest(w) AS word FROM {src}) d JOIN (SELECT DISTINCT word, synonym FROM synonyms {lex}) s USING (word) GROUP BY ALL)"""
+        if kind == "sr":
+            body = f"""SELECT p.rid, array_to_string(list_transform(p.w, lambda t: CASE WHEN t = c.word THEN c.synonym ELSE t END), ' ') AS augmented
+  FROM {src} p LEFT JOIN (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY {_key(_q('sr-pick'), 'rid', 'word')}, word) AS rn FROM {out}_ch) WHERE rn = 1) c USING (rid)"""
+        elif kind == "ri":
+            at = f"CAST({_draw(_key(_q('ri-pos'), 'p.rid'), 'len(p.w) + 1')} + 1 AS BIGINT)"
+            body = f"""SELECT p.rid, array_to_string(CASE WHEN c.synonym IS NULL THEN p.w ELSE list_concat(p.w[1:{at} - 1], [c.synonym], p.w[{at}:]) END, ' ') AS augmented
+  FROM {src} p LEFT JOIN (SELECT rid, arg_min(synonym, ({_key(_q('ri-pick'), 'rid', 'word')}, word)) AS synonym FROM {out}_ch GROUP BY rid) c USING (rid)"""
+        else:
+            body = f"""SELECT p.rid, array_to_string(list_transform(p.w, lambda t, i: CASE WHEN {_unit(_key(_q('wn'), 'p.rid', 'CAST(i - 1 AS VARCHAR)'))} < 0.5::DOUBLE
+                   AND len(list_filter(coalesce(c.m, []), lambda e: e.word = t)) > 0 THEN list_filter(c.m, lambda e: e.word = t)[1].synonym ELSE t END), ' ') AS augmented
+  FROM {src} p LEFT JOIN (SELECT rid, list({{'word': word, 'synonym': synonym}}) AS m FROM {out}_ch GROUP BY rid) c USING (rid)"""
+        return f"{ch},\n{out} AS ({body})"
+
+    for kind, name in (("sr", "sr"), ("ri", "ri"), ("Wordnet", "wordnet")):
+        ctes = f"""{quota},
+h6_ranked AS (SELECT *, row_number() OVER (ORDER BY md5('25:' || tweet_id), tweet_id) AS rn_asc,
+                        row_number() OVER (ORDER BY md5('25:' || tweet_id) DESC, tweet_id) AS rn_desc FROM pos_rows),
+h6_in AS (SELECT r.tweet_id || '#' || CAST(g.rnd AS VARCHAR) AS rid, r.w FROM h6_ranked r, (SELECT unnest(range(0, (SELECT nfull FROM q_plan2))) AS rnd) g
+          UNION ALL SELECT r.tweet_id || '#' || CAST(p.nfull AS VARCHAR), r.w FROM h6_ranked r, q_plan2 p WHERE r.rn_asc <= p.rem),
+{edited(kind, 'h6_in', 'h6_loop')},
+h6_have AS (SELECT count(DISTINCT augmented) AS have FROM h6_loop),
+h6_last AS (SELECT r.tweet_id || '#' || CAST(p.nfull + 1 AS VARCHAR) AS rid, r.w
+            FROM h6_ranked r, q_plan2 p, h6_have h WHERE h.have < p.n AND r.rn_desc <= least(p.n - h.have, p.size)),
+{edited(kind, 'h6_last', 'h6_top')},
+h6_all AS (SELECT augmented FROM h6_loop UNION SELECT augmented FROM h6_top)"""
+        q[f"h6_augment_to_{name}"] = _with("SELECT augmented FROM h6_all", syn + "," + ctes)
+        q[f"h7_append_{name}"] = _with(_appended_sql(kind, "h6_all"), syn + "," + ctes)
+    q["h7_append_markov"] = h9_sql(_appended_sql("markov", "(SELECT text AS augmented FROM first0 UNION SELECT text FROM first1)"))
     h10 = f"""{quota},
 h10_pos AS (SELECT tweet_id, input_text, lower(input_text) AS lt, lower(target_text) AS ls FROM prepared_spans WHERE target_text IS DISTINCT FROM 'none'),
 h10_m AS (SELECT tweet_id, ls AS span, CASE WHEN ls = '' THEN lt ELSE replace(lt, ls, '@@span@@') END AS masked, r.rnd
@@ -643,6 +680,13 @@ h10_rank AS (SELECT *, row_number() OVER (ORDER BY rnd, md5('25:' || tweet_id),
     )
 
 
+def _appended_sql(kind: str, src: str) -> str:
+    """H7: the class corpus and the rows of ``src(augmented)`` numbered in md5 order."""
+    return f"""SELECT tweet_id, tweet, prefix, input_text, target_text FROM prepared_class
+            UNION ALL SELECT '{kind}_augmented_' || CAST(row_number() OVER (ORDER BY md5('25:' || augmented), augmented) - 1 AS VARCHAR), augmented,
+                   {_q(T.CLASS_PREFIX)}, augmented, {_q(T.POSITIVE_CLASS_TEXT)} FROM {src}"""
+
+
 def _over_sql(src: str, label: str, out: str, seed: int = 25) -> str:
     """Oversampling of ``src(tweet_id, <label>)`` → ``out(tweet_id, <label>, draw)``."""
     return f"""

@@ -78,3 +78,51 @@ def test_encode_fixed_keeps_copies(spark):
     out = sorted((r.tweet_id, r.input_ids, r.attention_mask, r.labels) for r in EC.encode_fixed(df, vocab, max_len=5).collect())
     assert out[0] == out[1] == ("1", [6, 3, 4, 1, 0], [1, 1, 1, 1, 0], [5, 1, -100, -100, -100])
     assert out[2] == ("2", [6, 2, 1, 0, 0], [1, 1, 1, 0, 0], [2, 1, -100, -100, -100])
+
+
+def test_annotated_words_carry_all_their_synonyms(spark):
+    rows = [("1", "the cat  sat"), ("1", "the cat  sat"), (None, None), ("4", ""), ("5", "cat " * 5000 + "mat")]
+    df = spark.createDataFrame(rows, "tweet_id string, input_text string").repartition(3)
+    syn = _syn(spark).unionByName(spark.createDataFrame([("cat", "n", "dog"), ("cat", "v", "purr")], "word string, pos string, synonym string"))
+    out = AU.annotate(df, syn).collect()
+    assert len(out) == len(rows)
+    by = {r.tweet_id: r for r in out}
+    assert [(a.at, a.word, a.syns) for a in by["1"]._a] == [(0, "the", []), (1, "cat", ["dog", "purr"]), (2, "sat", ["rested"])]
+    assert len(by["5"]._a) == 5001 and by[None]._a is None and [a.word for a in by["4"]._a] == [""]
+    assert [(a.word, a.syns) for a in AU.annotate(df.limit(0), syn).collect()] == []
+
+
+def test_every_kind_by_rounds_equals_single_rounds(spark):
+    """Rounds taken together in the rows are the rounds taken one by one."""
+    df = _texts(spark)
+    for kind, single in (("sr", AU.synonym_replace), ("ri", AU.random_insert), ("Wordnet", AU.lexical_replace)):
+        base = AU.annotate_for(df, kind, _syn(spark)).withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(3))))
+        base = base.withColumn("rid", F.concat("tweet_id", F.lit("#"), F.col("round").cast("string")))
+        together = {r.rid: r.augmented for r in AU.augment_rows(base, kind, "rid").collect()}
+        for k in range(4):
+            one = df.withColumn("rid", F.concat("tweet_id", F.lit(f"#{k}")))
+            assert {r.rid: r.augmented for r in single(one, _syn(spark), id_col="rid").collect()}.items() <= together.items(), kind
+
+
+def test_markov_chain_slots_give_each_transition_its_count(spark):
+    rows = [("a b", "x", 1000), ("a b", "y", 1), ("a b", AU.END, 70), ("b x", AU.END, 1000), ("b y", "z", 1), ("y z", AU.END, 1)]
+    chain = AU.markov_chain(spark.createDataFrame(rows, "state string, next string, count long")).collect()
+    assert all(len(r.entries) <= AU.SLOT for r in chain) and len(chain) == len({(r.state, r.slot) for r in chain})
+    slots = {(r.state, r.slot): r.entries for r in chain}
+    drawn = {}
+    for state, total in (("a b", 1071), ("b x", 1000), ("b y", 1)):
+        for at in range(total):
+            e = next(e for e in slots[state, at // AU.SLOT] if e.upto > at)
+            drawn[state, e.next] = drawn.get((state, e.next), 0) + 1
+            assert (e.leads, e.total) == {"x": ("b x", 1000), "y": ("b y", 1), "z": ("y z", 1), AU.END: (None, None)}[e.next]
+    assert drawn == {(s, n): c for s, n, c in rows if s != "y z"}
+
+
+def test_dense_order_over_ranges(spark):
+    from spanlab.operators.exactk import dense_order
+
+    df = spark.range(1000).selectExpr("cast(id % 997 as string) AS w", "id").repartition(9)
+    got = [(r.idx, r.w, r.id) for r in dense_order(df, [F.md5("w"), "id"]).collect()]
+    want = [(r.w, r.id) for r in df.orderBy(F.md5("w"), "id").collect()]
+    assert sorted(got) == [(i, *x) for i, x in enumerate(want)]
+    assert dense_order(df.limit(0), ["w"]).collect() == []
