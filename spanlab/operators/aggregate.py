@@ -28,11 +28,6 @@ def class_sizes(df: DataFrame, label: str = "label") -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
 
 
-def distinct_texts(df: DataFrame, col: str) -> DataFrame:
-    """The distinct texts (nulls dropped)."""
-    return df.select(col).filter(F.col(col).isNotNull()).distinct()
-
-
 def distinct_count(df: DataFrame, col: str) -> DataFrame:
     """Size of the distinct set."""
     return df.agg(F.count_distinct(F.col(col)).alias("n_distinct"))

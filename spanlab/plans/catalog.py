@@ -299,6 +299,12 @@ def q_g4_balanced_sizes(spark, sf):
     return AG.class_sizes(BA.balance_two_stage(p, "label", T.NEGATIVE_SPAN), "label")
 
 
+def q_g4_balance_class(spark, sf):
+    """G4 for the classification task: the class texts are the labels."""
+    p = V.prepared_class(spark, sf).select("tweet_id", T.label_name("target_text", "class").alias("label"))
+    return BA.balance_two_stage(p, "label", T.NEGATIVE_CLASS_TEXT)
+
+
 # --- augmentation (§2.10) ---------------------------------------------------
 from spanlab.operators import augment as AU  # noqa: E402
 
@@ -423,6 +429,22 @@ def q_l1_predict_batches(spark, sf):
     return PD.predict_batches(p, PD.rule_factory("classification")).select("tweet_id", "predicted_text")
 
 
+class _TwoAnswers:
+    """The rule predictor's answer and the input's length, as two outputs per input."""
+
+    def __init__(self):
+        self.rule = PD.RulePredictor("classification")
+
+    def __call__(self, texts):
+        return [None if t is None else [answer, str(len(t))] for t, answer in zip(texts, self.rule(texts))]
+
+
+def q_l1_predict_k(spark, sf):
+    """L1 with several outputs per input, one row each."""
+    p = PD.predict_batches(V.prepared_class(spark, sf), _TwoAnswers, k=2)
+    return p.select("tweet_id", F.posexplode("predicted_text").alias("nth", "predicted_text"))
+
+
 def _l3(spark, sf):
     rows = PR.apply_prompts(V.prepared_spans(spark, sf)).filter(F.col("prompt") == "prompt2")
     return PD.evaluate_run(rows, PD.rule_factory("prompt", "prompt2"), prompt="prompt2")
@@ -525,6 +547,27 @@ def q_a6_load_ensemble(spark, sf):
     return EN.run_ensemble(runs, present).select("tweet_id", "predicted_text", "tweet")
 
 
+def q_f1_ordered_votes(spark, sf):
+    """the majority votes written in id order and read back with their place."""
+    path = scratch_path(spark, "ordered-votes")
+    votes = EN.majority_vote(EN.normalise_runs(V.class_runs(spark, sf)))
+    IO.write_ordered(votes, path, ["tweet_id"])
+    return IO.read_ordered(spark, path, "tweet_id string, predicted_text string, counts bigint")
+
+
+def q_a9_ordered_metrics(spark, sf):
+    """A9 at the sink: metric lines in key order, as the result file of a run has them."""
+    path = scratch_path(spark, "ordered-metrics")
+    IO.write_ordered(q_a9_metrics_long(spark, sf), path, ["metric"])
+    return IO.read_ordered(spark, path, "metric string, value double")
+
+
+def q_a5_run_names(spark, sf):
+    """A5: task and model of every run, from its name."""
+    runs = V.class_runs(spark, sf).select("run").unionByName(V.span_runs(spark, sf).select("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
+    return runs.select("run", T.run_task("run").alias("task"), T.run_model("run").alias("model"), "n")
+
+
 def q_a8_write_submission(spark, sf):
     path = scratch_path(spark, "submission")
     ens = EN.run_ensemble(V.span_runs(spark, sf), V.SPAN_RUNS)

@@ -393,6 +393,15 @@ serr2 AS (SELECT *, gold_text IS DISTINCT FROM predicted_text AS mismatch,
         )
     )
     q["a8_write_submission"] = q["b14_submission_spans"]
+    q["f1_ordered_votes"] = _with(
+        "SELECT tweet_id, predicted_text, counts, row_number() OVER (ORDER BY tweet_id) - 1 AS position FROM class_vote"
+    )
+    q["a9_ordered_metrics"] = f"SELECT metric, value, row_number() OVER (ORDER BY metric) - 1 AS position FROM ({q['a9_metrics_long']})"
+    q["a5_run_names"] = _with(
+        """SELECT run, CASE WHEN starts_with(run, 'assert') THEN 'classification' ELSE 'detection' END AS task,
+                  CASE WHEN starts_with(run, 'ner') THEN replace(run, 'ner_', '') WHEN starts_with(run, 'assert') THEN replace(run, 'assert_', '') ELSE run END AS model,
+                  count(*) AS n FROM (SELECT run FROM class_runs UNION ALL SELECT run FROM span_runs) GROUP BY run"""
+    )
     return q
 
 
@@ -417,6 +426,11 @@ grouped AS (SELECT tweet_id, list(id ORDER BY pos) FILTER (WHERE side = 0) AS s,
     q["l1_predict_batches"] = _with(
         f"SELECT tweet_id, CASE WHEN substr(md5({mi}), 1, 1) IN ('0','1','2','3') THEN {_q(T.POSITIVE_CLASS_TEXT)} ELSE {_q(T.NEGATIVE_CLASS_TEXT)} END AS predicted_text FROM prepared_class"
     )
+    q["l1_predict_k"] = _with(
+        f"""SELECT tweet_id, CAST(nth AS INTEGER) AS nth, CASE WHEN nth = 1 THEN CAST(length({mi}) AS VARCHAR)
+                   WHEN substr(md5({mi}), 1, 1) IN ('0','1','2','3') THEN {_q(T.POSITIVE_CLASS_TEXT)} ELSE {_q(T.NEGATIVE_CLASS_TEXT)} END AS predicted_text
+            FROM prepared_class, (SELECT unnest([0, 1]) AS nth)"""
+    )
     p2 = next(p for p in PR.PROMPTS if p["prompt"] == "prompt2")
     marker = _q(p2["marker"])
     unwrap = lambda e: f"CASE WHEN contains({e}, {marker}) THEN trim(replace({e}, {marker}, ''), '.') ELSE 'none' END"
@@ -737,4 +751,9 @@ stage2 AS (SELECT * FROM over2 UNION ALL SELECT tweet_id, label, NULL::BIGINT FR
         + _under_sql("stage2", "label", "bal")
     )
     q["g4_balance_two_stage"] = _with("SELECT * FROM bal", two)
+    lab_class = "lab AS (SELECT tweet_id, target_text AS label FROM prepared_class)"
+    two_class = two.replace(lab, lab_class, 1).replace("label = 'none'", f"label = {_q(T.NEGATIVE_CLASS_TEXT)}").replace(
+        "label IS DISTINCT FROM 'none'", f"label IS DISTINCT FROM {_q(T.NEGATIVE_CLASS_TEXT)}"
+    )
+    q["g4_balance_class"] = _with("SELECT * FROM bal", two_class)
     q["g4_balanced_sizes"] = _with("SELECT label, count(*) AS n FROM bal GROUP BY 1", two)

@@ -13,7 +13,7 @@ import io
 import re
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -228,6 +228,33 @@ def write_csv(df: DataFrame, path: str, cols: list[str] | None = None, partition
     w.csv(path)
 
 
+def write_ordered(df: DataFrame, path: str, by: list[str], cols: list[str] | None = None, fmt: str = "csv") -> None:
+    """rows in the order of ``by`` over the part files and inside them.
+
+    Rows are dealt by range, so no task sorts the whole table; the part files, read in the
+    order of their names, are the ordered result. Rows alike in ``by`` stay together but
+    may stand in any order, unless ``by`` tells them apart.
+    """
+    write_table(df.repartitionByRange(*by).sortWithinPartitions(*by), path, cols, fmt=fmt)
+
+
+def read_ordered(spark: SparkSession, path: str, schema: str, fmt: str = "csv") -> DataFrame:
+    """Rows of ``write_ordered`` with ``position``, their 0-based place in the ordered result.
+
+    A row's place in its file is added to the number of rows in the files before it (a table
+    of one row per file).
+    """
+    fields = _parse(spark, schema)
+    scans = _scans(spark, path, True) if fmt == "csv" else [(path, spark.read.parquet(path))]
+    rows = _by_name(scans, fields, {"_file": F.col("_metadata.file_name"), "_row": F.monotonically_increasing_id()})
+    within = Window.partitionBy("_file").orderBy("_row")  # a file is one task's rows
+    counts = rows.groupBy("_file").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_at", F.row_number().over(within) - 1).join(offsets, "_file")
+    return placed.withColumn("position", (F.col("_before") + F.col("_at")).cast("bigint")).select(*fields.names, "position")
+
+
 def write_submission(df: DataFrame, path: str) -> None:
     """Headerless TSV of the five submission columns."""
     cols = ["tweet_id", "predicted_class", "span_start", "span_end", "span"]
