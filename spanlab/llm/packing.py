@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
 import zlib
 
 import numpy as np
@@ -43,7 +44,13 @@ WINDOW = 2048
 UNIT = 64
 DEPTH = 4
 END = 1
-MEMO = 400_000  # words whose ids a Python worker remembers
+MEMO = 300_000  # words, and pre-tokens, in a generation of what a Python worker remembers
+LINE = 2000  # pre-tokens that the tokenizer gets at a time
+# The vocabulary's mark of a word's end, and its split, for characters that are letters, digits 0-9 or signs
+# in every Unicode version and that composition and lower case map one to one.
+WORD_END = "</w>"
+PRE_TOKEN = re.compile(r"\x20|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\w\s]+(?:_|[^\w\s])*|_(?:_|[^\w\s])*")
+PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -55,12 +62,48 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class Generation:
+    """Ids of words (or pre-tokens) as flat arrays: ``flat[first[i] : first[i] + size[i]]`` for number i."""
+
+    def __init__(self):
+        self.index: dict = {}
+        self.flat = np.empty(0, np.uint16)
+        self.first = np.zeros(0, np.int64)
+        self.size = np.zeros(0, np.int64)
+
+    def add(self, keys: list, flat: np.ndarray, size: np.ndarray) -> None:
+        first = len(self.flat) + np.cumsum(size) - size
+        self.index.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
+        self.flat = np.concatenate([self.flat, flat])
+        self.first = np.concatenate([self.first, first])
+        self.size = np.concatenate([self.size, size])
+
+    def take(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the keys one after the other, and how many each has."""
+        k = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+        n = self.size[k]
+        ends = np.cumsum(n)
+        at = np.repeat(self.first[k] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at], n
+
+    def missing(self, keys: set, older: "Generation") -> list:
+        """Keys that neither generation holds, in a stable order; those of the older are taken over."""
+        keys = keys.difference(self.index)
+        if known := [k for k in keys if k in older.index]:
+            self.add(known, *older.take(known))
+        return list(keys.difference(self.index))
+
+
 class WordIds:
     """Ids of texts, word by word: white space always ends a token in this vocabulary.
 
-    Words are runs between ASCII white space; a word's ids do not depend on its
-    neighbours, so each distinct word goes through the tokenizer once (as long as there is
-    room to remember it) and a text is put together from arrays.
+    Words are runs between ASCII white space; a word's ids do not depend on its neighbours,
+    so a text is put together from remembered words. A word that is not remembered is made
+    of its pre-tokens, which are fewer: case is folded and punctuation cut off before the
+    vocabulary's merges begin, so each lower-cased pre-token goes through the tokenizer once.
+    That holds for words of ``PLAIN`` characters, which normalisation maps one by one; any
+    other word goes through the tokenizer whole. Both memories have two generations, of
+    which the older goes when the younger is full, so frequent words stay.
     """
 
     held: dict[str, "WordIds"] = {}  # one per vocabulary and Python worker
@@ -72,7 +115,11 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.clear()
+        self.words, self.old_words = Generation(), Generation()
+        self.parts, self.old_parts = Generation(), Generation()
+        # the last id of a pre-token is one that ends a word
+        self.last = np.zeros(1 << 16, bool)
+        self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
     @classmethod
     def of(cls, path: str) -> "WordIds":
@@ -80,36 +127,63 @@ class WordIds:
             cls.held[path] = cls(path)
         return cls.held[path]
 
-    def clear(self) -> None:
-        self.index: dict[bytes, int] = {}
-        self.flat = np.empty(0, np.uint16)
-        self.first = np.zeros(0, np.int64)
-        self.size = np.zeros(0, np.int64)
+    def tokenized(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts one after the other, and how many each has."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        size = np.fromiter(map(len, ids), np.int64, len(ids))
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(size.sum())), size
+
+    def learn_parts(self, found: set[str]) -> None:
+        """Remember pre-tokens; they are encoded in long lines, and the ids tell where each ends."""
+        new = self.parts.missing(found, self.old_parts)
+        if not new:
+            return
+        lines = [" ".join(new[i : i + LINE]) for i in range(0, len(new), LINE)]
+        flat, _ = self.tokenized(lines)
+        ends = np.flatnonzero(self.last[flat]) + 1
+        if len(ends) != len(new):
+            raise ValueError("the vocabulary does not mark the end of each pre-token")
+        self.parts.add(new, flat, np.diff(ends, prepend=0))
+
+    def learn(self, found: set[bytes]) -> None:
+        """Remember the words that the younger generation does not hold."""
+        new = self.words.missing(found, self.old_words)
+        if not new:
+            return
+        texts = b" ".join(new).decode("utf-8", "replace").split(" ")
+        plain = [i for i, t in enumerate(texts) if is_plain(t)]
+        if plain:
+            # pre-tokens of all words in one go; a space ends each word
+            tokens = PRE_TOKEN.findall(" ".join([texts[i] for i in plain]).lower())
+            self.learn_parts(set(tokens).difference(" "))
+            parts = [t for t in tokens if t != " "]
+            gap = np.fromiter(map(" ".__eq__, tokens), bool, len(tokens))
+            flat, n = self.parts.take(parts)
+            size = np.bincount(np.cumsum(gap)[~gap], weights=n, minlength=len(plain)).astype(np.int64)
+            self.words.add([new[i] for i in plain], flat, size)
+        if len(plain) < len(new):
+            rest = sorted(set(range(len(new))).difference(plain))
+            self.words.add([new[i] for i in rest], *self.tokenized([texts[i] for i in rest]))
 
     def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
         """uint16 ids of each text."""
+        if len(self.words.index) > MEMO:
+            self.words, self.old_words = Generation(), self.words
+        if len(self.parts.index) > MEMO:
+            self.parts, self.old_parts = Generation(), self.parts
         split = [(t or b"").split() for t in texts]
-        new = set(itertools.chain.from_iterable(split)).difference(self.index)
-        if len(self.index) + len(new) > MEMO and self.index:
-            self.clear()
-            new = set(itertools.chain.from_iterable(split))
-        if new:
-            words = list(new)
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)]
-            size = np.fromiter(map(len, ids), np.int64, len(ids))
-            first = len(self.flat) + np.cumsum(size) - size
-            self.index.update(zip(words, range(len(self.size), len(self.size) + len(words))))
-            self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(size.sum()))])
-            self.first = np.concatenate([self.first, first])
-            self.size = np.concatenate([self.size, size])
-        out = []
-        for words in split:
-            w = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
-            n = self.size[w]
-            ends = np.cumsum(n)
-            at = np.repeat(self.first[w] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(self.flat[at])
-        return out
+        words = list(itertools.chain.from_iterable(split))
+        self.learn(set(words))
+        ids, n = self.words.take(words)
+        edges = np.cumsum([0, *map(len, split)])  # words before each text
+        before = np.concatenate([[0], np.cumsum(n)])[edges]  # ids before each text
+        return [ids[a:b] for a, b in zip(before[:-1], before[1:])]
+
+
+def is_plain(word: str) -> bool:
+    if word.isascii():
+        return word.isprintable() and "<|" not in word
+    return PLAIN.fullmatch(word) is not None and "<|" not in word
 
 
 def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:

@@ -101,3 +101,24 @@ def test_plan_places_every_piece_once():
             at += size
         assert at == P.WINDOW and 10 <= seq < plan.stream
     assert plan.used[1:].sum() > 0.8 * h[1:].sum()  # few mains are left over
+
+
+def test_words_from_pre_tokens_equal_the_tokenizer(tokenizer, monkeypatch):
+    """Every plain character beside every kind of neighbour, and memories that turn over all the time."""
+    plain = [chr(c) for c in range(0x21, 0x180) if P.PLAIN.fullmatch(chr(c))]
+    kinds = ["", "a", "Z", "7", "_", "'", "'s", "'LL", "''", "<|", "é", "Ÿ"]
+    words = [a + c + b for c in plain for a in kinds for b in kinds]
+    words += ["don't've'LL", "'S'T'RE", "<|endoftext|>x", "a<|b", "Ünïcode_text__x1234", "éa", "ſİ²½ª×÷ŉ", "ΣΑΣ", "...''s"]
+    texts = [" ".join(words[i : i + 50]).encode() for i in range(0, len(words), 50)]
+    want = [e.ids for e in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
+    assert [x.tolist() for x in P.WordIds(P.default_tokenizer()).encode(texts)] == want
+    monkeypatch.setattr(P, "MEMO", 40)
+    small = P.WordIds(P.default_tokenizer())
+    assert [small.encode([t])[0].tolist() for t in texts * 2] == want * 2
+    assert len(small.words.index) < 200 and len(small.parts.index) < 300
+
+
+def test_whole_documents_equal_the_tokenizer(spark, tokenizer):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    got = P.WordIds(P.default_tokenizer()).encode([t.encode() for t in texts])
+    assert [x.tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
