@@ -44,13 +44,14 @@ WINDOW = 2048
 UNIT = 64
 DEPTH = 4
 END = 1
-MEMO = 300_000  # words, and pre-tokens, in a generation of what a Python worker remembers
+MEMO = 200_000  # words, and pre-tokens, in a generation of what a Python worker remembers
 LINE = 2000  # pre-tokens that the tokenizer gets at a time
 # The vocabulary's mark of a word's end, and its split, for characters that are letters, digits 0-9 or signs
 # in every Unicode version and that composition and lower case map one to one.
 WORD_END = "</w>"
 PRE_TOKEN = re.compile(r"\x20|'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|[^\w\s]+(?:_|[^\w\s])*|_(?:_|[^\w\s])*")
-PLAIN = re.compile("[!-~À-ÖØ-öø-įı-ňŊ-ž]+")
+PLAIN = "!-~À-ÖØ-öø-įı-ňŊ-ž"
+NOT_PLAIN = re.compile(f"[^ ]*[^ {PLAIN}][^ ]*")
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -91,7 +92,8 @@ class Generation:
         keys = keys.difference(self.index)
         if known := [k for k in keys if k in older.index]:
             self.add(known, *older.take(known))
-        return list(keys.difference(self.index))
+            keys = keys.difference(known)
+        return list(keys)
 
 
 class WordIds:
@@ -150,8 +152,11 @@ class WordIds:
         new = self.words.missing(found, self.old_words)
         if not new:
             return
-        texts = b" ".join(new).decode("utf-8", "replace").split(" ")
-        plain = [i for i, t in enumerate(texts) if is_plain(t)]
+        line = b" ".join(new).decode("utf-8", "replace")
+        texts, other = line.split(" "), set(NOT_PLAIN.findall(line))
+        if "<|" in line:
+            other.update(t for t in texts if "<|" in t)  # may be a special token
+        plain = [i for i, t in enumerate(texts) if t not in other] if other else list(range(len(texts)))
         if plain:
             # pre-tokens of all words in one go; a space ends each word
             tokens = PRE_TOKEN.findall(" ".join([texts[i] for i in plain]).lower())
@@ -180,12 +185,6 @@ class WordIds:
         return [ids[a:b] for a, b in zip(before[:-1], before[1:])]
 
 
-def is_plain(word: str) -> bool:
-    if word.isascii():
-        return word.isprintable() and "<|" not in word
-    return PLAIN.fullmatch(word) is not None and "<|" not in word
-
-
 def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
     """Tokens of each document with its running numbers in its partition.
 
