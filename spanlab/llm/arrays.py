@@ -17,11 +17,15 @@ OTHER_STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class WordHashes(dict):
-    """64-bit hash of a word (bytes), remembered for the first ``MEMO`` words of a task."""
+    """64-bit hash of a word (bytes), remembered for the first ``most`` words of a task."""
+
+    def __init__(self, most: int = MEMO):
+        super().__init__()
+        self.most = most
 
     def __missing__(self, word: bytes) -> int:
         value = xxhash.xxh64_intdigest(word)
-        if len(self) < MEMO:
+        if len(self) < self.most:
             self[word] = value
         return value
 
@@ -62,6 +66,13 @@ def unpack(b: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def sliced(batches, rows: int = 512):
+    """Arrow batches cut into small ones without a copy, so that only a few texts are Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def bytes_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
     return batch.column(name).cast(pa.binary()).to_pylist()

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import CHUNK, WordHashes, bytes_column, has, id_filter, mix, pack, summed_vector, unpack, vector_rows
+from spanlab.llm.arrays import CHUNK, WordHashes, bytes_column, has, id_filter, mix, pack, sliced, summed_vector, unpack, vector_rows
 from spanlab.llm.common import table, temporary, written
 from spanlab.session import ship_package
 
@@ -57,6 +57,7 @@ HELD_OUT = 5  # one trusted document of so many sets thresholds
 QUANTILE = 0.995
 PRIOR = 20
 BLOCK_WORDS = 500_000  # words whose bigrams are packed together
+MEMO = 150_000  # words whose hash a task remembers
 UNKNOWN = "und"
 NOWHERE = np.iinfo(np.int64).min  # stands for a null doc_id
 
@@ -117,8 +118,8 @@ def training_rows(docs: DataFrame, trusted: DataFrame, column: str = "text") ->
     field = docs.sparkSession.sparkContext.broadcast(id_filter(trusted, "doc_id"))
 
     def one(batches):
-        hashes, bits = WordHashes(), field.value
-        for b in batches:
+        hashes, bits = WordHashes(MEMO), field.value
+        for b in sliced(batches):
             ids, keys, counts = [], [], []
             for i, text in zip(b.column("doc_id").to_pylist(), bytes_column(b, column)):
                 if i is None or not has(bits, i):
@@ -271,10 +272,11 @@ def request_rows(docs: DataFrame, model, bits: int, column: str = "text") -> Dat
     kinds = [pa.int32(), pa.int32(), pa.int64(), *[pa.binary()] * 5]
 
     def one(batches):
-        hashes, m, number = WordHashes(), model.value, TaskContext.get().partitionId() << 32
+        hashes, m, number = WordHashes(MEMO), model.value, TaskContext.get().partitionId() << 32
         for b in batches:
             ids, words, held = [], [], 0
-            for i, text in zip(b.column("doc_id").to_pylist(), bytes_column(b, column)):
+            rows = (row for part in sliced([b]) for row in zip(part.column("doc_id").to_pylist(), bytes_column(part, column)))
+            for i, text in rows:
                 ids.append(i)
                 words.append(classes_of(text, hashes))
                 held += len(words[-1])
