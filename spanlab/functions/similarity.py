@@ -1,9 +1,9 @@
 """String similarity, pair status and longest common block as Catalyst expressions.
 
-Spans are short phrases, so the quadratic character programmes below run inside one
-row with higher-order functions (``aggregate`` / ``transform``); no Python UDF.
-The builders return SQL text over given sub-expressions so they can be nested in
-other lambdas (span matching, ensembles).
+Spans are short phrases, so the character programmes below run inside one row with
+higher-order functions (``aggregate`` / ``transform``); no Python UDF. The builders
+return SQL text over given sub-expressions so they can be nested in other lambdas
+(span matching, ensembles).
 """
 
 from __future__ import annotations
@@ -17,62 +17,65 @@ COR, INC, PAR, MIS, SPU = "COR", "INC", "PAR", "MIS", "SPU"
 MIN_COMMON_BLOCK = 5
 
 
-# Strings up to this many characters use the bit-parallel LCS on one bigint.
+# Bits of a bigint in use per word of a bit vector: the sum of two words and a carry fits.
 BITS = 62
+ONES = f"{(1 << BITS) - 1}L"
 
 
-def lcs_length_dp_sql(a: str, b: str) -> str:
-    """Length of the longest common subsequence (code points), row-by-row programme.
+def masks_sql(b: str) -> str:
+    """Match masks of a text: per distinct character, one bit per position, ``BITS`` to a bigint.
 
-    The outer fold walks the characters of ``a`` and carries the previous row; the
-    inner fold builds the current row over ``b``. Callers guard empty inputs
-    (``sequence(1, 0)`` counts down).
+    Made once per text, however many texts it is compared with. Callers guard empty texts.
     """
+    bits = (
+        f"aggregate(transform(slice(_mc, _mw * {BITS} + 1, {BITS}), (_mx, _mi) -> "
+        "IF(_mx = _mk, shiftleft(1L, _mi), 0L)), 0L, (_ma, _my) -> _ma | _my)"
+    )
+    words = f"transform(sequence(0, CAST((size(_mc) - 1) DIV {BITS} AS INT)), _mw -> {bits})"
     return (
-        f"element_at(aggregate(sequence(1, length({a})), array_repeat(0, length({b}) + 1), "
-        f"(_lp, _li) -> aggregate(sequence(1, length({b})), array(0), "
-        f"(_lc, _lj) -> concat(_lc, array(IF(substring({a}, _li, 1) = substring({b}, _lj, 1), "
-        f"element_at(_lp, _lj) + 1, greatest(element_at(_lp, _lj + 1), element_at(_lc, _lj))))))), "
-        f"length({b}) + 1)"
+        f"transform(array(split({b}, '')), _mc -> map_from_arrays(array_distinct(_mc), "
+        f"transform(array_distinct(_mc), _mk -> {words})))[0]"
     )
 
 
-def lcs_length_bits_sql(a: str, b: str) -> str:
-    """Bit-parallel LCS length (Hyyrö 2004) for ``length(b) <= 62``.
+def lcs_length_sql(a: str, masks: str) -> str:
+    """Length of the longest common subsequence (code points) of ``a`` and the text of ``masks``.
 
-    ``V`` holds one bit per character of ``b`` (all ones at the start); for each
-    character of ``a`` with match mask ``M``: ``V = (V + (V & M)) | (V & ~M)``,
-    kept to ``length(b)`` bits. The LCS length is the number of zero bits of ``V``.
-    One bigint per row of the programme instead of an array.
+    Bit-parallel (Hyyrö 2004) over as many words as the text needs: ``V`` holds one bit per
+    character of the text (all ones at the start); for each character of ``a`` with match mask
+    ``M``: ``V = (V + (V & M)) | (V & ~M)``, the carry of a word going into the next. The length
+    is the number of zero bits of ``V``; a character without a mask leaves ``V`` as it is.
     """
-    mask = f"(shiftleft(1L, length({b})) - 1L)"
-    match = (
-        f"aggregate(sequence(1, length({b})), 0L, (_bm, _bj) -> _bm | "
-        f"IF(substring({a}, _bi, 1) = substring({b}, _bj, 1), shiftleft(1L, _bj - 1), 0L))"
+    word = (
+        "transform(array(_lz.v + (_lz.v & _lz.m) + _ls.c), _lt -> named_struct('c', shiftright(_lt, "
+        f"{BITS}), 'o', concat(_ls.o, array((_lt & {ONES}) | (_lz.v & ~_lz.m)))))[0]"
+    )
+    step = (
+        "aggregate(zip_with(_lv, _lm, (_lx, _ly) -> named_struct('v', _lx, 'm', _ly)), "
+        f"named_struct('c', 0L, 'o', CAST(array() AS array<bigint>)), (_ls, _lz) -> {word}, _ls -> _ls.o)"
     )
     fold = (
-        f"aggregate(sequence(1, length({a})), {mask}, (_bv, _bi) -> "
-        f"((_bv + (_bv & {match})) | (_bv & ~{match})) & {mask})"
+        f"aggregate(split({a}, ''), transform(map_values({masks})[0], _l1 -> {ONES}), "
+        f"(_lv, _lc) -> transform(array(try_element_at({masks}, _lc)), _lm -> IF(_lm IS NULL, _lv, {step}))[0])"
     )
-    return f"(length({b}) - bit_count({fold}))"
-
-
-def lcs_length_sql(a: str, b: str) -> str:
-    """LCS length: bit-parallel when ``b`` fits one bigint, else the row programme."""
-    return f"(CASE WHEN length({b}) <= {BITS} THEN {lcs_length_bits_sql(a, b)} ELSE {lcs_length_dp_sql(a, b)} END)"
+    return f"aggregate({fold}, 0, (_ln, _lw) -> _ln + {BITS} - CAST(bit_count(_lw) AS INT))"
 
 
-def similarity_sql(a: str, b: str) -> str:
+def similarity_sql(a: str, b: str, masks: str | None = None) -> str:
     """Integer 0–100, ``round_half_even(100 · 2·LCS / (len a + len b))``.
 
     Equal texts score 100 and an empty side scores 0 (checked in that order); null
-    gives 0.
+    gives 0. ``masks`` are those of ``b`` where the caller has made them already.
     """
+    if masks is None:
+        lcs = f"transform(array({masks_sql(b)}), _sm -> {lcs_length_sql(a, '_sm')})[0]"
+    else:
+        lcs = lcs_length_sql(a, masks)
     return (
         f"(CASE WHEN {a} IS NULL OR {b} IS NULL THEN 0 "
         f"WHEN {a} = {b} THEN 100 "
         f"WHEN length({a}) = 0 OR length({b}) = 0 THEN 0 "
-        f"ELSE CAST(bround(100D * (CAST(2 * {lcs_length_sql(a, b)} AS DOUBLE) / "
+        f"ELSE CAST(bround(100D * (CAST(2 * {lcs} AS DOUBLE) / "
         f"CAST(length({a}) + length({b}) AS DOUBLE)), 0) AS INT) END)"
     )
 
@@ -112,30 +115,33 @@ def pair_status(g, p) -> Column:
 def common_block_sql(a: str, b: str) -> str:
     """Longest common block of ``lower(a)`` and ``lower(b)``, cut from ``a`` (original case).
 
-    Cell (i, j) = length of the common run ending at ``a[i]``, ``b[j]``; it needs only
-    the previous row, so each row is one ``transform`` (O(len a · len b) overall).
-    The fold carries the row, the best length and where it ends in ``a``; only a
-    strictly longer block replaces the best, so ties keep the earliest block in
-    ``a``. Returns ``''`` when nothing is shared.
+    Binary search on the length (a common block of n characters holds one of n - 1): a length
+    is common when the hash sets of both texts' blocks of it meet, compared by their characters.
+    ``array_intersect`` keeps the order of ``a``, so ties keep the earliest block in ``a``.
+    Returns ``''`` when nothing is shared.
     """
-    la, lb = f"lower({a})", f"lower({b})"
-    row = (
-        f"concat(array(0), transform(sequence(1, length({b})), "
-        f"_cj -> IF(substring({la}, _ci, 1) = substring({lb}, _cj, 1), element_at(_ca.r, _cj) + 1, 0)))"
-    )
-    # transform(array(x), f)[0] binds the new row once for the three fields.
-    step = (
-        f"transform(array({row}), _cr -> named_struct('r', _cr, "
-        f"'n', IF(array_max(_cr) > _ca.n, array_max(_cr), _ca.n), "
-        f"'e', IF(array_max(_cr) > _ca.n, _ci, _ca.e)))[0]"
+
+    def blocks(x: str, n: str) -> str:
+        return f"transform(sequence(1, length({x}) - {n} + 1), _cp -> substring({x}, _cp, {n}))"
+
+    mid = "CAST((_ca.lo + _ca.hi) DIV 2 AS INT)"
+    probe = (
+        f"IF(_ca.hi - _ca.lo < 2, _ca, transform(array({mid}), _cn -> "
+        f"IF(arrays_overlap({blocks('_ct.a', '_cn')}, {blocks('_ct.b', '_cn')}), "
+        "named_struct('lo', _cn, 'hi', _ca.hi), named_struct('lo', _ca.lo, 'hi', _cn)))[0])"
     )
-    fold = (
-        f"aggregate(sequence(1, length({a})), "
-        f"named_struct('r', array_repeat(0, length({b}) + 1), 'n', 0, 'e', 0), (_ca, _ci) -> {step})"
+    # lo: a length that is common, hi: one that is not; each round halves what lies between
+    least = "least(length(_ct.a), length(_ct.b))"
+    longest = (
+        f"aggregate(sequence(1, length(bin({least})) + 1), named_struct('lo', 0, 'hi', {least} + 1), "
+        f"(_ca, _ci) -> {probe}, _ca -> _ca.lo)"
     )
+    first = f"array_intersect({blocks('_ct.a', '_cl')}, {blocks('_ct.b', '_cl')})[0]"
+    cut = f"transform(array({longest}), _cl -> IF(_cl = 0, '', substring({a}, instr(_ct.a, {first}), _cl)))[0]"
+    texts = f"named_struct('a', left(lower({a}), length({a})), 'b', left(lower({b}), length({b})))"
     return (
         f"(CASE WHEN {a} IS NULL OR {b} IS NULL OR length({a}) = 0 OR length({b}) = 0 THEN '' "
-        f"ELSE transform(array({fold}), _cb -> substring({a}, _cb.e - _cb.n + 1, _cb.n))[0] END)"
+        f"ELSE transform(array({texts}), _ct -> {cut})[0] END)"
     )
 
 

@@ -18,23 +18,47 @@ _MATCH_TYPE = "array<struct<gold:string,pred:string,partial:string,exact:string,
 
 
 def gold_pred_pairs_sql(g: str, p: str) -> str:
-    """All (gold, prediction) index pairs of a row with their similarity key."""
+    """All (gold, prediction) index pairs of a row with their similarity key.
+
+    The match masks of a prediction are made once and meet every gold span.
+    """
+    sim = S.similarity_sql("_gt", "_pt.t", "_pt.m")
+    preds = f"transform({p}, _pp -> named_struct('t', _pp, 'm', IF(length(_pp) > 0, {S.masks_sql('_pp')}, NULL)))"
     return (
         f"IF(size({g}) = 0 OR size({p}) = 0, CAST(array() AS array<struct<ns:int,gi:int,pj:int>>), "
-        f"flatten(transform(sequence(0, size({g}) - 1), _gi -> transform(sequence(0, size({p}) - 1), "
-        f"_pj -> named_struct('ns', -{S.similarity_sql(f'element_at({g}, _gi + 1)', f'element_at({p}, _pj + 1)')}, "
-        f"'gi', _gi, 'pj', _pj)))))"
+        f"transform(array({preds}), _pa -> flatten(transform({g}, (_gt, _gi) -> transform(_pa, "
+        f"(_pt, _pj) -> named_struct('ns', -{sim}, 'gi', _gi, 'pj', _pj)))))[0])"
+    )
+
+
+def _used_sql(words: str, k: str) -> str:
+    """Whether bit ``k`` of a bit vector is set."""
+    return f"(shiftright(element_at({words}, CAST({k} DIV {S.BITS} AS INT) + 1), {k} % {S.BITS}) & 1L) = 1L"
+
+
+def _use_sql(words: str, k: str) -> str:
+    """The bit vector with bit ``k`` set."""
+    return (
+        f"transform({words}, (_uw, _ui) -> IF(_ui = CAST({k} DIV {S.BITS} AS INT), "
+        f"_uw | shiftleft(1L, {k} % {S.BITS}), _uw))"
     )
 
 
 def _greedy_sql(g: str, p: str) -> str:
-    """I3 fold: take pairs in sorted order while neither side is used."""
+    """I3 fold: take pairs in sorted order while neither side is used.
+
+    Used sides are bits, so a pair that is passed over costs two look-ups whatever the sizes.
+    """
+
+    def none_used(x: str) -> str:
+        return f"array_repeat(0L, CAST(size({x}) DIV {S.BITS} AS INT) + 1)"
+
     return (
         f"aggregate(array_sort({gold_pred_pairs_sql(g, p)}), "
-        f"named_struct('ug', CAST(array() AS array<int>), 'up', CAST(array() AS array<int>), "
+        f"named_struct('ug', {none_used(g)}, 'up', {none_used(p)}, "
         f"'m', CAST(array() AS array<struct<gi:int,pj:int>>)), "
-        f"(_acc, _x) -> IF(array_contains(_acc.ug, _x.gi) OR array_contains(_acc.up, _x.pj), _acc, "
-        f"named_struct('ug', concat(_acc.ug, array(_x.gi)), 'up', concat(_acc.up, array(_x.pj)), "
+        f"(_acc, _x) -> IF({_used_sql('_acc.ug', '_x.gi')} OR {_used_sql('_acc.up', '_x.pj')}, _acc, "
+        f"named_struct('ug', {_use_sql('_acc.ug', '_x.gi')}, 'up', {_use_sql('_acc.up', '_x.pj')}, "
         f"'m', concat(_acc.m, array(named_struct('gi', _x.gi, 'pj', _x.pj))))))"
     )
 
@@ -48,11 +72,11 @@ def match_rows_sql(g: str, p: str, fold: str) -> str:
     ge, pe = "element_at(" + g + ", _q.gi + 1)", "element_at(" + p + ", _q.pj + 1)"
     matched = f"transform({fold}.m, _q -> {_row(ge, pe, S.partial_status_sql(ge, pe), S.exact_status_sql(ge, pe))})"
     left_g = (
-        f"transform(filter(sequence(0, size({g}) - 1), _k -> NOT array_contains({fold}.ug, _k)), "
+        f"transform(filter(sequence(0, size({g}) - 1), _k -> NOT {_used_sql(fold + '.ug', '_k')}), "
         f"_k -> {_row(f'element_at({g}, _k + 1)', repr(T.NEGATIVE_SPAN), repr(S.MIS), repr(S.MIS))})"
     )
     left_p = (
-        f"transform(filter(sequence(0, size({p}) - 1), _k -> NOT array_contains({fold}.up, _k)), "
+        f"transform(filter(sequence(0, size({p}) - 1), _k -> NOT {_used_sql(fold + '.up', '_k')}), "
         f"_k -> {_row(repr(T.NEGATIVE_SPAN), f'element_at({p}, _k + 1)', repr(S.SPU), repr(S.SPU))})"
     )
     return f"concat({matched}, {left_g}, {left_p})"

@@ -109,3 +109,63 @@ def test_classification_report_zero_division(spark):
     assert rep["accuracy"].f1_score == pytest.approx(0.5) and rep["accuracy"].support == 4
     assert rep["A"].precision == pytest.approx(0.5) and rep["A"].recall == pytest.approx(0.5)
     assert rep["macro avg"].support == 4
+
+
+def _words_of_length(rnd, alphabet, lengths):
+    return "".join(rnd.choice(alphabet) for _ in range(rnd.choice(lengths)))
+
+
+def test_similarity_over_several_words(spark):
+    import random
+
+    rnd = random.Random(11)
+    lengths = [1, 61, 62, 63, 123, 124, 125, 186, 187, 400]
+    pairs = [(_words_of_length(rnd, al, lengths), _words_of_length(rnd, al, lengths)) for al in ("ab", "abcd é😀", "aaab") for _ in range(25)]
+    pairs += [("a" * 400, "a" * 399), ("ab" * 100, "ba" * 100), ("x" * 200, "y" * 200)]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(S.similarity("a", "b")).collect()]
+    assert got == [py_sim(a, b) for a, b in pairs]
+
+
+def py_block(a, b):
+    la, lb = a.lower(), b.lower()
+    for n in range(min(len(a), len(b)), 0, -1):
+        for i in range(len(a) - n + 1):
+            if la[i : i + n] in lb:
+                return a[i : i + n]
+    return ""
+
+
+def test_common_block_brute_force(spark):
+    import random
+
+    rnd = random.Random(12)
+    lengths = [0, 1, 2, 7, 30, 64, 200]
+    pairs = [(_words_of_length(rnd, al, lengths), _words_of_length(rnd, al, lengths)) for al in ("aB", "Abcdé 😀") for _ in range(40)]
+    pairs += [("xyABab", "ab zz xy"), ("a" * 300, "A" * 299), ("abc", "xyz")]
+    df = spark.createDataFrame(pairs, "a string, b string")
+    got = [r[0] for r in df.select(F.expr(S.common_block_sql("a", "b"))).collect()]
+    assert got == [py_block(a, b) for a, b in pairs]
+
+
+def py_greedy(gold, pred):
+    order = sorted((-py_sim(g, p), i, j) for i, g in enumerate(gold) for j, p in enumerate(pred))
+    used_g, used_p, out = set(), set(), []
+    for _, i, j in order:
+        if i not in used_g and j not in used_p:
+            used_g.add(i)
+            used_p.add(j)
+            out.append((i, j))
+    return out
+
+
+def test_greedy_matching_equals_plain_fold(spark):
+    import random
+
+    rnd = random.Random(13)
+    rows = []
+    for n in (1, 3, 61, 62, 63, 130):
+        rows.append(([_words_of_length(rnd, "abc", [1, 2, 3]) for _ in range(n)], [_words_of_length(rnd, "abc", [1, 2, 3]) for _ in range(max(1, 130 - n))]))
+    df = spark.createDataFrame(rows, "g array<string>, p array<string>")
+    got = [[(m.gi, m.pj) for m in r[0].m] for r in df.select(F.expr(MA._greedy_sql("g", "p"))).collect()]
+    assert got == [py_greedy(g, p) for g, p in rows]
