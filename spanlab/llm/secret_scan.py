@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.common import table, written
+from spanlab.llm.common import let, table, written
 
 
 @dataclass(frozen=True)
@@ -61,8 +61,22 @@ def blob_id(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+# Elements of a fold that grow one array or string; longer lists fold run by run.
+RUN = 256
+
+
+def runs_of(items: Column) -> Column:
+    """An array cut into runs of ``RUN`` elements (an empty one: a single empty run)."""
+    last = F.floor(F.greatest(F.size(items) - 1, F.lit(0)) / RUN).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(items, k * RUN + 1, RUN))
+
+
 def rule_spans(text: Column, rule: Rule) -> Column:
-    """Spans of one rule: leftmost, non-overlapping matches that pass its minimum."""
+    """Spans of one rule: leftmost, non-overlapping matches that pass its minimum.
+
+    Offsets are running sums over the gaps and matches, folded run by run, so that the work
+    is linear in the matches of a text but for one short list per run.
+    """
     pattern = F.lit(rule.pattern)
     full = F.regexp_extract_all(text, pattern, F.lit(0))
     measured = full if rule.group == 0 else F.regexp_extract_all(text, pattern, F.lit(rule.group))
@@ -73,21 +87,56 @@ def rule_spans(text: Column, rule: Rule) -> Column:
         F.transform(measured, lambda m: F.char_length(m)).alias("size"),
     )
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    # the accumulator holds where the last match ended and what was kept
-    start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
+    no_runs = F.array().cast("array<array<struct<start:int,end:int>>>")
+
+    def state(at, out):
+        # where the last match ended and what was kept
+        return F.struct(at.alias("at"), out.alias("out"))
 
     def step(acc, x):
         begin = acc["at"] + x["gap"]
         end = begin + x["len"]
         keep = F.array(F.struct(begin.alias("start"), end.alias("end")))
-        out = F.when(x["size"] >= rule.least, F.concat(acc["out"], keep)).otherwise(acc["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        return state(end, F.when(x["size"] >= rule.least, F.concat(acc["out"], keep)).otherwise(acc["out"]))
+
+    def run(acc, xs):
+        inner = F.aggregate(xs, state(acc["at"], empty), step)
+        return let(inner, lambda r: state(r["at"], F.concat(acc["out"], F.array(r["out"]))))
 
     matched = F.filter(rows, lambda x: x["len"].isNotNull())
-    spans = F.aggregate(matched, start, step, lambda acc: acc["out"])
+    spans = let(matched, lambda m: F.aggregate(runs_of(m), state(F.lit(0), no_runs), run, lambda acc: F.flatten(acc["out"])))
     return F.when(text.rlike(rule.pattern), spans).otherwise(empty)
 
 
+def cut_spans(text: Column, spans: Column, mark: str = "[secret]") -> Column:
+    """``text`` with each of the sorted ``spans`` replaced by ``mark``; overlapping ones are merged.
+
+    The text is cut into one piece per run of spans first, so that no span looks from the
+    start of a long text.
+    """
+
+    def run(acc, xs):
+        piece = F.substring(text, acc["at"] + 1, F.element_at(xs, -1)["start"] - acc["at"])
+
+        def step(inner, s):
+            # a span that starts inside the last one only moves the end on
+            gap = F.substring(inner["piece"], inner["at"] - acc["at"] + 1, s["start"] - inner["at"])
+            out = F.when(s["start"] >= inner["at"], F.concat(inner["out"], gap, F.lit(mark))).otherwise(inner["out"])
+            return F.struct(F.greatest(inner["at"], s["end"]).alias("at"), inner["piece"].alias("piece"), out.alias("out"))
+
+        start = F.struct(acc["at"].alias("at"), piece.alias("piece"), F.lit("").alias("out"))
+        return let(
+            F.aggregate(xs, start, step),
+            lambda r: F.struct(r["at"].alias("at"), F.concat(acc["out"], F.array(r["out"])).alias("out")),
+        )
+
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    rest = F.aggregate(
+        runs_of(spans), none, run, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.char_length(text)))
+    )
+    return F.when(F.size(spans) > 0, rest).otherwise(text)
+
+
 def scan_versions(
     versions: DataFrame,
     rules: list[Rule] = RULES,
@@ -212,23 +261,8 @@ def stage_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     ).groupBy("_blob").agg(F.first("_spans").alias("_spans"))
     # written first, so its size is known when the join is planned: a small list moves no text
     hits = written(hits, "secret-hits")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc, s):
-        # a span that starts inside the last one only moves the end on
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], gap, F.lit("[secret]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    cut = F.aggregate(
-        F.col("_spans"),
-        start,
-        step,
-        lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.char_length("text"))),
-    )
     columns = docs.columns
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut)
+    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(cut_spans(F.col("text"), F.col("_spans")))
     out = docs.join(hits, blob_id(docs["text"]) == hits["_blob"], "left").withColumn("text", text).drop("_blob", "_spans")
     if "n_chars" in columns:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))

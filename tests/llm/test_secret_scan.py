@@ -106,3 +106,37 @@ def test_stage_cuts_each_row_by_its_own_text(spark):
     want = [(1, "[secret] x"), (1, "clean words that are long enough"), (1, "y [secret] z")]
     want += [(None, "a [secret] b"), (None, "nothing to hide in this one"), (None, None), (2, "[secret] x")]
     assert out == sorted(((i, x, x and len(x)) for i, x in want), key=str)
+
+
+def test_many_matches_in_one_text(spark):
+    import time
+
+    text = "".join(f"{i:024x} token=abc{i:07d} é " for i in range(50_000))
+    df = spark.createDataFrame([(1, text)], "path long, text string")
+    t0 = time.time()
+    by_path, _, _ = S.scan_versions(df)
+    got = by_path.select(S.spans_string(by_path["findings"], [r.kind for r in S.BASE_RULES])).first()[0]
+    assert got == ",".join(f"{k}:{s}:{e}" for s, _, k, e in brute(text)) and got.count(":") == 200_000
+    assert time.time() - t0 < 60
+
+
+def test_cut_spans_over_several_runs(spark):
+    from pyspark.sql import functions as F
+
+    rows = []
+    for n in (0, 1, S.RUN - 1, S.RUN, S.RUN + 1, 3 * S.RUN + 7):
+        text = "é🎉abc" * (4 * n + 2)
+        spans = sorted((7 * i + i % 3, 7 * i + i % 3 + (1, 4, 9)[i % 3]) for i in range(n))
+        rows.append((text, spans))
+    df = spark.createDataFrame(rows, "text string, spans array<struct<start:int,end:int>>")
+    got = [r[0] for r in df.select(S.cut_spans(F.col("text"), F.col("spans"))).collect()]
+
+    def plain(text, spans):
+        out, at = "", 0
+        for s, e in spans:
+            if s >= at:
+                out += text[at:s] + "[secret]"
+            at = max(at, e)
+        return out + text[at:]
+
+    assert got == [plain(t, s) for t, s in rows]
