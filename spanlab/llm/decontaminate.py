@@ -9,7 +9,8 @@ item if it is shorter) agrees in at least ``share`` of its words.
 
 The default masks hit every such window of 13 words with up to two changed words (a
 test tries all), so for items of 13 words or more the result does not depend on them.
-Items shorter than the shortest mask cannot be found.
+An item shorter than the window is laid whole; it has masks of its own length that leave
+none of its allowed changes unhit (``short_masks``), so items of any length are found.
 
 Only built-in SQL runs here. Before the join, document windows are held against a bit
 field of the benchmark's hashes (fixed size, at most ``MAX_BITS``; it changes the amount
@@ -22,6 +23,9 @@ each of their ids (a null id: -1); empty tables give an empty result; extra colu
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +43,17 @@ BITS_PER_SEED = 128
 PROBES = 3
 
 
+def short_masks(length: int, share: float = SHARE) -> list[str]:
+    """Masks as long as a short item: one of them ignores any set of words that ``share`` allows to change.
+
+    With e changes the item is cut into e + 2 even parts and each mask ignores e of them.
+    """
+    changes = length - math.ceil(round(length * share, 9))
+    parts = min(changes + 2, length)
+    part = [k * parts // length for k in range(length)]
+    return ["".join("0" if p in gone else "1" for p in part) for gone in combinations(range(parts), min(changes, parts - 1))]
+
+
 def word_hashes(text: Column) -> Column:
     """64-bit hashes of the lower-cased runs of letters and digits."""
     w = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
@@ -51,15 +66,15 @@ def mask_hash(h: Column, i: Column, mask: str, number: int) -> Column:
     return F.xxhash64(*[F.get(h, i + k) for k in ones], F.lit(number))
 
 
-def seeds(h: Column, masks: list[str] = MASKS) -> Column:
-    """All (position, hash) of all masks, as one array."""
+def seeds(h: Column, masks: list[str] = MASKS, number: int = 0) -> Column:
+    """All (position, hash) of all masks, numbered from ``number``, as one array."""
 
     def of(mask: str, number: int) -> Column:
         last = F.size(h) - len(mask)
         at = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
         return F.transform(at, lambda i: F.struct(i.alias("pos"), mask_hash(h, i, mask, number).alias("hash")))
 
-    return F.concat(*[of(m, k) for k, m in enumerate(masks)])
+    return F.concat(*[of(m, number + k) for k, m in enumerate(masks)])
 
 
 def _probe(hash_: Column, k: int, bits: int) -> Column:
@@ -98,8 +113,17 @@ def overlaps(
     """
     bench = items.select(F.coalesce("item_id", F.lit(-1)).alias("item_id"), word_hashes(F.col("text")).alias("h"))
     bench = written(bench.filter(F.size("h") > 0).distinct(), "decon-items")
+    # items shorter than the window: one group of masks for each length there is (fewer than the window)
+    lengths = sorted(r["n"] for r in bench.select(F.size("h").alias("n")).filter(F.col("n") < window).distinct().collect())
+    groups, number = {}, len(masks)
+    for n in lengths:
+        groups[n] = (short_masks(n, share), number)
+        number += len(groups[n][0])
+    laid_out = seeds(F.col("h"), masks)
+    for n, (own, first) in groups.items():
+        laid_out = F.when(F.size("h") == n, seeds(F.col("h"), own, first)).otherwise(laid_out)
     marks = written(
-        bench.select("item_id", F.explode(seeds(F.col("h"), masks)).alias("s")).select(
+        bench.select("item_id", F.explode(laid_out).alias("s")).select(
             "item_id", F.col("s.pos").alias("item_pos"), F.col("s.hash").alias("hash")
         ),
         "decon-seeds",
@@ -119,9 +143,12 @@ def overlaps(
             test = test & (F.getbit(cell, spot.bitwiseAND(F.lit(63)).cast("int")) == 1)
         return test
 
+    def every(h):
+        return F.concat(seeds(h, masks), *[seeds(h, own, first) for own, first in groups.values()])
+
     # one array element per document with a hit, none for the others: words and hits are computed once
     scanned = let(
-        word_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), F.filter(seeds(h, masks), passes).alias("hits"))
+        word_hashes(F.col("text")), lambda h: F.struct(h.alias("h"), F.filter(every(h), passes).alias("hits"))
     )
     hit = docs.select("doc_id", "text", field.alias("field")).select(
         "doc_id", F.explode(F.filter(F.array(scanned), lambda x: F.size(x["hits"]) > 0)).alias("x")

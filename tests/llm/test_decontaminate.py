@@ -76,3 +76,32 @@ def test_stage_judges_each_row_by_its_own_text(spark, sf_small):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = [tuple(r) for r in D.stage_decontaminate(spark, docs, sf_small).collect()]
     assert sorted(out, key=str) == sorted([(None, "clean words"), (None, None), (1, "other clean words")], key=str)
+
+
+@pytest.mark.parametrize("length", range(1, 13))
+def test_short_masks_hit_all_allowed_changes(length):
+    changes = length - -(-length * 8 // 10)
+    masks = D.short_masks(length)
+    assert all(len(m) == length and "1" in m for m in masks)
+    for changed in itertools.combinations(range(length), changes):
+        assert any(all(k not in changed for k, c in enumerate(m) if c == "1") for m in masks), changed
+
+
+def test_short_items_are_found_with_their_allowed_changes(spark):
+    texts = {n: [f"item{n}word{i}" for i in range(n)] for n in range(1, 14)}
+    docs, wanted = [], set()
+    for n, w in texts.items():
+        allowed = n - -(-n * 8 // 10)
+        for c in range(allowed + 2):
+            for at, changed in enumerate(itertools.combinations(range(n), c)):
+                if c > allowed and at > 3:
+                    break
+                doc_id = len(docs)
+                body = ["other" if i in changed else x for i, x in enumerate(w)]
+                docs.append((doc_id, " ".join(["lead", "in"] + body + ["tail"])))
+                if c <= allowed:
+                    wanted.add((doc_id, n, 2, n - c))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(w)) for n, w in texts.items()], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"], r["start"], r["n_matched"]) for r in D.overlaps(df, bench).collect()}
+    assert got == wanted
