@@ -33,8 +33,8 @@ Defined results: a document without words (null, blank) has no perplexity and is
 by the classifier's query flag ``kept`` (nothing speaks against it); a null language is
 the stratum ``und``; a language without trusted documents uses the threshold of
 all languages together, and without any trusted document nothing is rejected. Rows that
-repeat a doc_id are scored as one document; rows with a null doc_id are scored together
-under null and always kept in the pipeline. Ties with the threshold are kept.
+repeat a doc_id are scored as one document by the query, rows with a null doc_id together
+under null; the pipeline's stage judges every text by itself. Ties with the threshold are kept.
 """
 
 from __future__ import annotations
@@ -470,8 +470,16 @@ def op2_quality_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents whose perplexity is above their language's threshold go."""
-    verdict = classify(docs.select("doc_id", "text", "lang"), table(spark, sf_dir, "labels"))
+    """Pipeline stage: documents whose perplexity is above their language's threshold go.
+
+    A document is an id (or none) with its text, told apart by a 64-bit hash of both: texts
+    that share an id are judged apart, and so is every text without an id. A label counts for
+    all texts of its id.
+    """
+    version = F.xxhash64("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").join(docs.select("doc_id", version.alias("_version")), "doc_id")
+    labels = labels.select(F.col("_version").alias("doc_id"), "quality")
+    verdict = classify(docs.select(version.alias("doc_id"), "text", "lang"), labels)
     # written first, so its size is known when the join is planned: a small list moves no text
-    gone = written(verdict.filter(~F.col("kept")).filter("doc_id IS NOT NULL").select("doc_id"), "lm-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(verdict.filter(~F.col("kept")).select(F.col("doc_id").alias("_version")), "lm-gone")
+    return docs.join(gone, F.xxhash64(docs["doc_id"], docs["text"]) == gone["_version"], "left_anti").select(*docs.columns)

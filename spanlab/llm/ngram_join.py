@@ -44,6 +44,7 @@ from pyspark.sql import functions as F
 from spanlab.llm.arrays import WordHashes, bytes_column, has, id_filter, summed_vector, vector_rows, windows
 from spanlab.llm.common import table, temporary, written
 from spanlab.llm.graph import connected_components
+from spanlab.llm.secret_scan import blob_id
 from spanlab.session import ship_package
 
 SHINGLE = 5
@@ -73,8 +74,12 @@ def buckets_of(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
-def set_rows(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, n (set size), cls (class, null if empty), and rows of the shingle counts (chunk, cells)."""
+def set_rows(docs: DataFrame, column: str = "text", mark: str | None = None) -> DataFrame:
+    """doc_id, n (set size), cls (class, null if empty), and rows of the shingle counts (chunk, cells).
+
+    ``mark``: a binary column that goes along with each row.
+    """
+    names = ["doc_id", "n", "cls", "chunk", "cells"] + ([mark] if mark else [])
 
     def one(batches: Iterator[pa.RecordBatch]):
         hashes, counts = WordHashes(), np.zeros(BUCKETS, dtype=np.int32)
@@ -87,19 +92,22 @@ def set_rows(docs: DataFrame, column: str = "text") -> DataFrame:
                 np.add.at(counts, buckets_of(s), 1)
             rows = len(n)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())],
-                names=["doc_id", "n", "cls", "chunk", "cells"],
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                + ([b.column(mark)] if mark else []),
+                names=names,
             )
         v = vector_rows(counts)
         if v:
             k = len(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([c for c, _ in v], pa.int32()), pa.array([x for _, x in v], pa.binary())],
-                names=["doc_id", "n", "cls", "chunk", "cells"],
+                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([c for c, _ in v], pa.int32()), pa.array([x for _, x in v], pa.binary())]
+                + ([pa.nulls(k, pa.binary())] if mark else []),
+                names=names,
             )
 
-    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column))
-    return src.mapInArrow(one, "doc_id long, n long, cls long, chunk int, cells binary")
+    marks = [F.col(mark)] if mark else []
+    src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column), *marks)
+    return src.mapInArrow(one, "doc_id long, n long, cls long, chunk int, cells binary" + (f", {mark} binary" if mark else ""))
 
 
 class Order:
@@ -221,12 +229,16 @@ def ordered_pair(x: str, y: str) -> list[Column]:
     return [pick("cls", y, x).alias("a"), pick("cls", x, y).alias("b"), pick("n", y, x).alias("na"), pick("n", x, y).alias("nb")]
 
 
-def labelled_sets(docs: DataFrame, column: str = "text") -> DataFrame:
-    """doc_id, n, cls and label (a class of the component) for every row of ``docs``, written."""
+def labelled_sets(docs: DataFrame, column: str = "text", mark: str | None = None) -> DataFrame:
+    """doc_id, n, cls and label (a class of the component) for every row of ``docs``, written.
+
+    ``mark``: a binary column of ``docs`` that the result carries too.
+    """
     spark = docs.sparkSession
     ship_package(spark)
-    both = written(set_rows(docs, column), "join-sets")
-    sets = both.filter("chunk IS NULL").select("doc_id", "n", "cls")
+    marks = [mark] if mark else []
+    both = written(set_rows(docs, column, mark), "join-sets")
+    sets = both.filter("chunk IS NULL").select("doc_id", "n", "cls", *marks)
     order = Order(summed_vector(both.filter("chunk IS NOT NULL").select("chunk", "cells"), BUCKETS))
     order = spark.sparkContext.broadcast(order)
 
@@ -269,7 +281,7 @@ def labelled_sets(docs: DataFrame, column: str = "text") -> DataFrame:
     linked = connected_components(links.unionByName(counted_links(rest, docs, order, column)))
 
     labels = sets.join(linked, F.col("cls") == F.col("node"), "left").select(
-        "doc_id", "n", "cls", F.coalesce("component", "cls").alias("label")
+        "doc_id", "n", "cls", F.coalesce("component", "cls").alias("label"), *marks
     )
     return written(labels, "join-labels")
 
@@ -294,12 +306,25 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each component the document with the least doc_id stays.
 
-    Rows that repeat a doc_id are one document and stay together; null ids stay.
+    A document is an id with its text: texts that share an id are judged apart (of one id the
+    least hash stays), rows that repeat both are one document and stay together. Rows without
+    an id come after all ids and are documents of their own, so of equal ones one stays.
     """
-    found = components(docs.select("doc_id", "text"))
+    version = F.substring(blob_id(F.col("text")), 1, 16)
+    with temporary() as scope:
+        labels = scope.keep(labelled_sets(docs.select("doc_id", "text", version.alias("_version")), "text", "_version"))
+    labels = labels.filter("label IS NOT NULL").select("label", F.struct(F.isnull("doc_id").alias("last"), "doc_id", "_version").alias("d"))
+    least = labels.groupBy("label").agg(F.min("d").alias("least"))
+    gone = labels.join(least, "label").filter("d <> least").select(F.col("d.doc_id").alias("_id"), "d._version").distinct()
     # written first, so its size is known when the join is planned: a small list moves no text
-    gone = written(found.filter("component_id <> doc_id").select("doc_id").distinct(), "join-gone")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    gone = written(gone, "join-gone")
+    same = docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]) & (F.substring(blob_id(docs["text"]), 1, 16) == gone["_version"])
+    left = docs.join(gone, same, "left_anti").select(*docs.columns)
+    # what is left without an id can still repeat a text; texts without words are linked with nothing
+    plain = F.col("doc_id").isNotNull() | ~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    row = F.struct(*docs.columns)
+    one = left.filter(~plain).groupBy(blob_id(F.col("text"))).agg(F.min_by(row, F.xxhash64(*docs.columns)).alias("r")).select("r.*")
+    return left.filter(plain).unionByName(one)
 
 
 # Shingle sets and links stated plainly; components by the least reachable id.

@@ -71,3 +71,32 @@ def test_stages_take_nulls_repeats_and_empty_tables(spark):
         if name != "packing":
             assert out.columns == df.columns and out.count() == len(rows), name
         assert stage(spark, df.limit(0), SF).count() == 0, name
+
+
+def test_near_duplicates_by_id_and_text(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    near = text + " more"
+    rows = [
+        (None, text), (None, text), (None, near), (None, ""), (None, ""), (None, None),
+        (7, "one text of an id that has two"), (7, "quite another text under the same id"), (3, "one text of an id that has two"),
+        (None, "alone without an id"), (None, "alone without an id"), (9, "said twice"), (9, "said twice"), (None, "said twice"),
+    ]
+    df = spark.createDataFrame([(a, b, "en", "s", i) for i, (a, b) in enumerate(rows)], "doc_id long, text string, lang string, source string, n_chars long")
+    out = sorted(((r["doc_id"] or 0, r["text"] or "") for r in ngram_join.stage_near_duplicates(spark, df, SF).collect()))
+    blocks = [t for d, t in out if d == 0 and t.startswith("w0")]
+    assert len(blocks) == 1
+    assert [x for x in out if not x[1].startswith("w0")] == sorted(
+        [(0, ""), (0, ""), (0, ""), (0, "alone without an id"), (3, "one text of an id that has two"), (7, "quite another text under the same id"), (9, "said twice"), (9, "said twice")]
+    )
+
+
+def test_quality_stage_judges_texts_not_ids(spark):
+    docs = C.table(spark, SF, "documents")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    good = [r["doc_id"] for r in labels.filter("quality = 1").join(docs.filter("lang = 'en'"), "doc_id").orderBy("doc_id").limit(3).collect()]
+    clean = {r["doc_id"]: r["text"] for r in docs.filter(docs["doc_id"].isin(good)).collect()}
+    junk = " ".join(f"zq{i}xv" for i in range(300))
+    extra = [(None, junk, "en", "x", 1), (None, clean[good[0]], "en", "x", 1), (good[1], junk + " again", "en", "x", 1)]
+    out = lm_quality.stage_quality(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), SF)
+    left = {(r["doc_id"], r["text"]) for r in out.filter(out["doc_id"].isNull() | out["doc_id"].isin(good)).collect()}
+    assert (None, junk) not in left and (None, clean[good[0]]) in left and (good[1], clean[good[1]]) in left
