@@ -90,13 +90,13 @@ def test_near_duplicates_by_id_and_text(spark):
     )
 
 
-def test_quality_stage_judges_texts_not_ids(spark):
-    docs = C.table(spark, SF, "documents")
-    labels = spark.read.parquet(f"{SF}/labels.parquet")
-    good = [r["doc_id"] for r in labels.filter("quality = 1").join(docs.filter("lang = 'en'"), "doc_id").orderBy("doc_id").limit(3).collect()]
-    clean = {r["doc_id"]: r["text"] for r in docs.filter(docs["doc_id"].isin(good)).collect()}
-    junk = " ".join(f"zq{i}xv" for i in range(300))
-    extra = [(None, junk, "en", "x", 1), (None, clean[good[0]], "en", "x", 1), (good[1], junk + " again", "en", "x", 1)]
-    out = lm_quality.stage_quality(spark, docs.unionByName(spark.createDataFrame(extra, docs.schema)), SF)
-    left = {(r["doc_id"], r["text"]) for r in out.filter(out["doc_id"].isNull() | out["doc_id"].isin(good)).collect()}
-    assert (None, junk) not in left and (None, clean[good[0]]) in left and (good[1], clean[good[1]]) in left
+def test_quality_stage_judges_texts_not_ids(spark, stages):
+    docs, labels = stages[0].filter("lang = 'en'"), spark.read.parquet(f"{SF}/labels.parquet")
+    bad = docs.join(stages[1], "doc_id", "left_anti").join(labels.filter("quality = 0"), "doc_id").orderBy("doc_id").first()["text"]
+    kept = docs.join(stages[1].select("doc_id"), "doc_id", "left_semi")
+    plain = kept.join(labels, "doc_id", "left_anti").filter("n_chars > 500").orderBy("doc_id").first()
+    clean = plain["text"]
+    extra = [(None, bad, "en", "x", 1), (None, clean, "en", "x", 1), (plain["doc_id"], bad, "en", "x", 1)]
+    out = lm_quality.stage_quality(spark, stages[0].unionByName(spark.createDataFrame(extra, docs.schema)), SF)
+    left = {(r["doc_id"], r["text"]) for r in out.filter(out["doc_id"].isNull() | (out["doc_id"] == plain["doc_id"])).collect()}
+    assert left == {(None, clean), (plain["doc_id"], clean)}
