@@ -29,6 +29,7 @@ import itertools
 import os
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import bytes_column, pack, unpack
+from spanlab.llm.arrays import bytes_column, pack, sliced, unpack
 from spanlab.llm.common import table, written
 from spanlab.session import ship_package
 
@@ -45,6 +46,7 @@ UNIT = 64
 DEPTH = 4
 END = 1
 MEMO = 200_000  # words, and pre-tokens, in a generation of what a Python worker remembers
+GROUP_BYTES = 1 << 20  # of texts that are split into words at a time
 LINE = 2000  # pre-tokens that the tokenizer gets at a time
 # The vocabulary's mark of a word's end, and its split, for characters that are letters, digits 0-9 or signs
 # in every Unicode version and that composition and lower case map one to one.
@@ -185,6 +187,19 @@ class WordIds:
         return [ids[a:b] for a, b in zip(before[:-1], before[1:])]
 
 
+def groups(doc_ids: list, texts: list[bytes | None]) -> Iterator[tuple[list, list]]:
+    """Runs of documents of about ``GROUP_BYTES`` (a longer text alone): their words are Python objects together."""
+    first, held = 0, 0
+    for i, text in enumerate(texts):
+        size = len(text or b"")
+        if i > first and held + size > GROUP_BYTES:
+            yield doc_ids[first:i], texts[first:i]
+            first, held = i, 0
+        held += size
+    if texts:
+        yield doc_ids[first:], texts[first:]
+
+
 def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
     """Tokens of each document with its running numbers in its partition.
 
@@ -196,11 +211,10 @@ def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFra
     def one(batches):
         words, part = WordIds.of(tokenizer), TaskContext.get().partitionId()
         seen, wholes, tails = np.zeros(WINDOW // UNIT, np.int64), 0, 0
-        for b in batches:
-            texts, doc_ids = bytes_column(b, column), b.column("doc_id").to_pylist()
-            for at in range(0, len(texts), 256):
+        for b in sliced(batches, 256):
+            for doc_ids, texts in groups(b.column("doc_id").to_pylist(), bytes_column(b, column)):
                 rows = []
-                for doc, ids in zip(doc_ids[at : at + 256], words.encode(texts[at : at + 256])):
+                for doc, ids in zip(doc_ids, words.encode(texts)):
                     ids = np.append(ids, np.uint16(END))
                     unit = len(ids) % WINDOW // UNIT
                     rows.append((part, doc, len(ids), pack(ids), unit, int(seen[unit]), wholes, tails))

@@ -122,3 +122,12 @@ def test_whole_documents_equal_the_tokenizer(spark, tokenizer):
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
     got = P.WordIds(P.default_tokenizer()).encode([t.encode() for t in texts])
     assert [x.tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_groups_hold_every_text_once():
+    from spanlab.llm import packing
+
+    texts = [b"x" * 10, None, b"", b"y" * (packing.GROUP_BYTES + 5), b"z" * packing.GROUP_BYTES, b"w", None]
+    out = list(packing.groups(list(range(7)), texts))
+    assert [d for ids, _ in out for d in ids] == list(range(7)) and [t for _, ts in out for t in ts] == texts
+    assert [len(ids) for ids, _ in out] == [3, 1, 1, 2] and list(packing.groups([], [])) == []
