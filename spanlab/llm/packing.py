@@ -33,11 +33,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import bytes_column, pack, sliced, unpack
+from spanlab.llm.arrays import pack, unpack
 from spanlab.llm.common import table, written
 from spanlab.session import ship_package
 
@@ -46,7 +47,7 @@ UNIT = 64
 DEPTH = 4
 END = 1
 MEMO = 200_000  # words, and pre-tokens, in a generation of what a Python worker remembers
-GROUP_BYTES = 1 << 20  # of texts that are split into words at a time
+GROUP_BYTES = 1 << 22  # of texts that are split into words at a time
 LINE = 2000  # pre-tokens that the tokenizer gets at a time
 # The vocabulary's mark of a word's end, and its split, for characters that are letters, digits 0-9 or signs
 # in every Unicode version and that composition and lower case map one to one.
@@ -69,45 +70,73 @@ class Generation:
     """Ids of words (or pre-tokens) as flat arrays: ``flat[first[i] : first[i] + size[i]]`` for number i."""
 
     def __init__(self):
-        self.index: dict = {}
+        self.index: dict[str, int] = {}
         self.flat = np.empty(0, np.uint16)
         self.first = np.zeros(0, np.int64)
         self.size = np.zeros(0, np.int64)
 
-    def add(self, keys: list, flat: np.ndarray, size: np.ndarray) -> None:
-        first = len(self.flat) + np.cumsum(size) - size
-        self.index.update(zip(keys, range(len(self.size), len(self.size) + len(keys))))
+    def find(self, keys: list[str]) -> np.ndarray:
+        """Number of each key, -1 for those not held."""
+        return np.fromiter(map(self.index.get, keys, itertools.repeat(-1)), np.int64, len(keys))
+
+    def add(self, keys: list[str], flat: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The new keys' numbers."""
+        first, held = len(self.flat) + np.cumsum(size) - size, len(self.size)
+        self.index.update(zip(keys, range(held, held + len(keys))))
         self.flat = np.concatenate([self.flat, flat])
         self.first = np.concatenate([self.first, first])
         self.size = np.concatenate([self.size, size])
+        return np.arange(held, held + len(keys))
 
-    def take(self, keys: list) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the keys one after the other, and how many each has."""
-        k = np.fromiter(map(self.index.__getitem__, keys), np.int64, len(keys))
+    def take(self, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the numbers one after the other, and how many each has."""
         n = self.size[k]
         ends = np.cumsum(n)
         at = np.repeat(self.first[k] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)
         return self.flat[at], n
 
-    def missing(self, keys: set, older: "Generation") -> list:
-        """Keys that neither generation holds, in a stable order; those of the older are taken over."""
-        keys = keys.difference(self.index)
-        if known := [k for k in keys if k in older.index]:
-            self.add(known, *older.take(known))
-            keys = keys.difference(known)
-        return list(keys)
+
+class Memory:
+    """What ``make`` gives for a list of keys, remembered in two generations of ``MEMO`` keys.
+
+    ``make`` returns the ids of all keys one after the other and how many each has. The
+    older generation goes when the younger is full, so frequent keys stay.
+    """
+
+    def __init__(self, make):
+        self.make = make
+        self.young, self.old = Generation(), Generation()
+
+    def age(self) -> None:
+        """Between groups only: the numbers given out are those of the younger generation."""
+        if len(self.young.index) > MEMO:
+            self.young, self.old = Generation(), self.young
+
+    def numbers(self, keys: list[str]) -> np.ndarray:
+        """Numbers in the younger generation of distinct keys; what it does not hold is made."""
+        k = self.young.find(keys)
+        new = np.flatnonzero(k < 0)
+        if len(new):
+            names = [keys[i] for i in new.tolist()]
+            older = self.old.find(names)
+            known, other = np.flatnonzero(older >= 0), np.flatnonzero(older < 0)
+            k[new[known]] = self.young.add([names[i] for i in known.tolist()], *self.old.take(older[known]))
+            if len(other):
+                names = [names[i] for i in other.tolist()]
+                k[new[other]] = self.young.add(names, *self.make(names))
+        return k
 
 
 class WordIds:
     """Ids of texts, word by word: white space always ends a token in this vocabulary.
 
     Words are runs between ASCII white space; a word's ids do not depend on its neighbours,
-    so a text is put together from remembered words. A word that is not remembered is made
-    of its pre-tokens, which are fewer: case is folded and punctuation cut off before the
-    vocabulary's merges begin, so each lower-cased pre-token goes through the tokenizer once.
-    That holds for words of ``PLAIN`` characters, which normalisation maps one by one; any
-    other word goes through the tokenizer whole. Both memories have two generations, of
-    which the older goes when the younger is full, so frequent words stay.
+    so a text is put together from remembered words. Arrow splits the texts of a group and
+    numbers their distinct words, so only those become Python strings. A word that is not
+    remembered is made of its pre-tokens, which are fewer: case is folded and punctuation
+    cut off before the vocabulary's merges begin, so each lower-cased pre-token goes through
+    the tokenizer once. That holds for words of ``PLAIN`` characters, which normalisation
+    maps one by one; any other word goes through the tokenizer whole.
     """
 
     held: dict[str, "WordIds"] = {}  # one per vocabulary and Python worker
@@ -119,8 +148,7 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.words, self.old_words = Generation(), Generation()
-        self.parts, self.old_parts = Generation(), Generation()
+        self.words, self.parts = Memory(self.word_ids), Memory(self.part_ids)
         # the last id of a pre-token is one that ends a word
         self.last = np.zeros(1 << 16, bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
@@ -137,67 +165,66 @@ class WordIds:
         size = np.fromiter(map(len, ids), np.int64, len(ids))
         return np.fromiter(itertools.chain.from_iterable(ids), np.uint16, int(size.sum())), size
 
-    def learn_parts(self, found: set[str]) -> None:
-        """Remember pre-tokens; they are encoded in long lines, and the ids tell where each ends."""
-        new = self.parts.missing(found, self.old_parts)
-        if not new:
-            return
-        lines = [" ".join(new[i : i + LINE]) for i in range(0, len(new), LINE)]
-        flat, _ = self.tokenized(lines)
+    def part_ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pre-tokens; they are encoded in long lines, and the ids tell where each ends."""
+        # the library's encodings are large objects: one line's at a time
+        lines = (" ".join(new[i : i + LINE]) for i in range(0, len(new), LINE))
+        flat = np.concatenate([np.empty(0, np.uint16), *(self.tokenized([line])[0] for line in lines)])
         ends = np.flatnonzero(self.last[flat]) + 1
         if len(ends) != len(new):
             raise ValueError("the vocabulary does not mark the end of each pre-token")
-        self.parts.add(new, flat, np.diff(ends, prepend=0))
-
-    def learn(self, found: set[bytes]) -> None:
-        """Remember the words that the younger generation does not hold."""
-        new = self.words.missing(found, self.old_words)
-        if not new:
-            return
-        line = b" ".join(new).decode("utf-8", "replace")
-        texts, other = line.split(" "), set(NOT_PLAIN.findall(line))
+        return flat, np.diff(ends, prepend=0)
+
+    def word_ids(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words."""
+        line = " ".join(new)
+        other = set(NOT_PLAIN.findall(line))
         if "<|" in line:
-            other.update(t for t in texts if "<|" in t)  # may be a special token
-        plain = [i for i, t in enumerate(texts) if t not in other] if other else list(range(len(texts)))
-        if plain:
-            # pre-tokens of all words in one go; a space ends each word
-            tokens = PRE_TOKEN.findall(" ".join([texts[i] for i in plain]).lower())
-            self.learn_parts(set(tokens).difference(" "))
-            parts = [t for t in tokens if t != " "]
-            gap = np.fromiter(map(" ".__eq__, tokens), bool, len(tokens))
-            flat, n = self.parts.take(parts)
-            size = np.bincount(np.cumsum(gap)[~gap], weights=n, minlength=len(plain)).astype(np.int64)
-            self.words.add([new[i] for i in plain], flat, size)
-        if len(plain) < len(new):
-            rest = sorted(set(range(len(new))).difference(plain))
-            self.words.add([new[i] for i in rest], *self.tokenized([texts[i] for i in rest]))
-
-    def encode(self, texts: list[bytes | None]) -> list[np.ndarray]:
+            other.update(t for t in new if "<|" in t)  # may be a special token
+        plain = np.array([t not in other for t in new], bool) if other else np.ones(len(new), bool)
+        # pre-tokens of all plain words in one go; a space ends each word
+        tokens = PRE_TOKEN.findall(" ".join(itertools.compress(new, plain)).lower())
+        distinct = list(set(tokens).difference(" "))
+        self.parts.numbers(distinct)
+        k = self.parts.young.find(tokens)  # -1 for the spaces
+        flat, n = self.parts.young.take(k[k >= 0])
+        size = np.zeros(len(new), np.int64)
+        size[plain] = np.bincount(np.cumsum(k < 0)[k >= 0], weights=n, minlength=int(plain.sum()))[: plain.sum()]
+        if plain.all():
+            return flat, size
+        whole, size[~plain] = self.tokenized(list(itertools.compress(new, ~plain)))
+        ids = np.empty(int(size.sum()), np.uint16)
+        from_plain = np.repeat(plain, size)
+        ids[from_plain], ids[~from_plain] = flat, whole
+        return ids, size
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """uint16 ids of each text."""
-        if len(self.words.index) > MEMO:
-            self.words, self.old_words = Generation(), self.words
-        if len(self.parts.index) > MEMO:
-            self.parts, self.old_parts = Generation(), self.parts
-        split = [(t or b"").split() for t in texts]
-        words = list(itertools.chain.from_iterable(split))
-        self.learn(set(words))
-        ids, n = self.words.take(words)
-        edges = np.cumsum([0, *map(len, split)])  # words before each text
+        self.words.age()
+        self.parts.age()
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        found = split.flatten().dictionary_encode()
+        # no word holds a space, so all of them become strings in one go
+        line = pc.binary_join(pa.ListArray.from_arrays([0, len(found.dictionary)], found.dictionary), " ")
+        words = line.cast(pa.binary())[0].as_py().decode("utf-8", "replace").split(" ")
+        k = self.words.numbers(words if len(found.dictionary) else [])
+        ids, n = self.words.young.take(k[found.indices.to_numpy()])
+        edges = split.offsets.to_numpy() - split.offsets[0].as_py()  # words before each text
         before = np.concatenate([[0], np.cumsum(n)])[edges]  # ids before each text
         return [ids[a:b] for a, b in zip(before[:-1], before[1:])]
 
 
-def groups(doc_ids: list, texts: list[bytes | None]) -> Iterator[tuple[list, list]]:
-    """Runs of documents of about ``GROUP_BYTES`` (a longer text alone): their words are Python objects together."""
+def groups(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``GROUP_BYTES`` of text (a longer text alone)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
     first, held = 0, 0
-    for i, text in enumerate(texts):
-        size = len(text or b"")
+    for i, size in enumerate(sizes):
         if i > first and held + size > GROUP_BYTES:
-            yield doc_ids[first:i], texts[first:i]
+            yield batch.slice(first, i - first)
             first, held = i, 0
         held += size
-    if texts:
-        yield doc_ids[first:], texts[first:]
+    if sizes:
+        yield batch.slice(first)
 
 
 def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFrame:
@@ -211,10 +238,10 @@ def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFra
     def one(batches):
         words, part = WordIds.of(tokenizer), TaskContext.get().partitionId()
         seen, wholes, tails = np.zeros(WINDOW // UNIT, np.int64), 0, 0
-        for b in sliced(batches, 256):
-            for doc_ids, texts in groups(b.column("doc_id").to_pylist(), bytes_column(b, column)):
+        for batch in batches:
+            for b in groups(batch, column):
                 rows = []
-                for doc, ids in zip(doc_ids, words.encode(texts)):
+                for doc, ids in zip(b.column("doc_id").to_pylist(), words.encode(b.column(column))):
                     ids = np.append(ids, np.uint16(END))
                     unit = len(ids) % WINDOW // UNIT
                     rows.append((part, doc, len(ids), pack(ids), unit, int(seen[unit]), wholes, tails))

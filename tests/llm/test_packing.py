@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -69,7 +70,7 @@ def test_forgetting_words_changes_nothing(monkeypatch, tokenizer):
     texts = [b"the cat sat on the mat, really", b"other words come in now and then", b""]
     for _ in range(2):
         for t in texts:
-            assert words.encode([t])[0].tolist() == tokenizer.encode(t.decode(), add_special_tokens=False).ids
+            assert words.encode(pa.array([t.decode()]))[0].tolist() == tokenizer.encode(t.decode(), add_special_tokens=False).ids
 
 
 def test_nnls_against_enumeration():
@@ -111,23 +112,32 @@ def test_words_from_pre_tokens_equal_the_tokenizer(tokenizer, monkeypatch):
     words += ["don't've'LL", "'S'T'RE", "<|endoftext|>x", "a<|b", "Ünïcode_text__x1234", "éa", "ſİ²½ª×÷ŉ", "ΣΑΣ", "...''s"]
     texts = [" ".join(words[i : i + 50]).encode() for i in range(0, len(words), 50)]
     want = [e.ids for e in tokenizer.encode_batch([t.decode() for t in texts], add_special_tokens=False)]
-    assert [x.tolist() for x in P.WordIds(P.default_tokenizer()).encode(texts)] == want
+    assert [x.tolist() for x in P.WordIds(P.default_tokenizer()).encode(pa.array([t.decode() for t in texts]))] == want
     monkeypatch.setattr(P, "MEMO", 40)
     small = P.WordIds(P.default_tokenizer())
-    assert [small.encode([t])[0].tolist() for t in texts * 2] == want * 2
-    assert len(small.words.index) < 200 and len(small.parts.index) < 300
+    assert [small.encode(pa.array([t.decode()]))[0].tolist() for t in texts * 2] == want * 2
+    assert len(small.words.young.index) < 200 and len(small.parts.young.index) < 300
 
 
 def test_whole_documents_equal_the_tokenizer(spark, tokenizer):
     texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
-    got = P.WordIds(P.default_tokenizer()).encode([t.encode() for t in texts])
+    got = P.WordIds(P.default_tokenizer()).encode(pa.array(texts))
     assert [x.tolist() for x in got] == [e.ids for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_groups_hold_every_text_once():
     from spanlab.llm import packing
 
-    texts = [b"x" * 10, None, b"", b"y" * (packing.GROUP_BYTES + 5), b"z" * packing.GROUP_BYTES, b"w", None]
-    out = list(packing.groups(list(range(7)), texts))
-    assert [d for ids, _ in out for d in ids] == list(range(7)) and [t for _, ts in out for t in ts] == texts
-    assert [len(ids) for ids, _ in out] == [3, 1, 1, 2] and list(packing.groups([], [])) == []
+    texts = ["x" * 10, None, "", "y" * (packing.GROUP_BYTES + 5), "z" * packing.GROUP_BYTES, "w", None]
+    batch = pa.record_batch([pa.array(range(7)), pa.array(texts)], names=["doc_id", "text"])
+    out = list(packing.groups(batch, "text"))
+    assert [d for b in out for d in b.column(0).to_pylist()] == list(range(7))
+    assert [t for b in out for t in b.column(1).to_pylist()] == texts
+    assert [b.num_rows for b in out] == [3, 1, 1, 2] and list(packing.groups(batch.slice(0, 0), "text")) == []
+
+
+def test_slices_nulls_and_white_space(tokenizer):
+    """Arrow slices with an offset, nulls, texts of white space alone, and characters near the white space."""
+    texts = ["cut", None, "", " \t\n\r\x0b\x0c ", " a  b\n", "x\x1cy \x85 z\xa0w", "A\x00b", "café\u2003au", None]
+    got = P.WordIds(P.default_tokenizer()).encode(pa.array(texts).slice(1))
+    assert [x.tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
