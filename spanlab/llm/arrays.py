@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from functools import wraps
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -73,6 +77,25 @@ def sliced(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
+def lean(fn):
+    """``fn`` for ``mapInArrow`` that gives freed memory back to the system when its task ends.
+
+    Spark keeps a Python worker for later tasks; without this an idle one holds what its
+    last task needed most beside the tasks of other stages and the JVM.
+    """
+
+    @wraps(fn)
+    def run(batches):
+        yield from fn(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def bytes_column(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A string column of an Arrow batch as UTF-8 bytes."""
     return batch.column(name).cast(pa.binary()).to_pylist()
@@ -111,7 +134,7 @@ def summed_vector(rows: DataFrame, length: int) -> np.ndarray:
     chunks = max(1, -(-length // CHUNK))
     total = np.zeros(chunks * CHUNK, dtype=np.int64)
     # a first sum within each partition keeps the exchange at partitions x chunks rows
-    summed = rows.repartition(chunks, F.col("chunk")).mapInArrow(add, "chunk int, cells binary")
+    summed = rows.repartition(chunks, F.col("chunk")).mapInArrow(lean(add), "chunk int, cells binary")
     for r in summed.collect():
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(bytes(r["cells"]), np.int64)
     return total[:length]

@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import CHUNK, WordHashes, bytes_column, has, id_filter, mix, pack, sliced, summed_vector, unpack, vector_rows
+from spanlab.llm.arrays import CHUNK, WordHashes, bytes_column, has, id_filter, lean, mix, pack, sliced, summed_vector, unpack, vector_rows
 from spanlab.llm.common import table, temporary, written
 from spanlab.session import ship_package
 
@@ -131,7 +131,7 @@ def training_rows(docs: DataFrame, trusted: DataFrame, column: str = "text") ->
                     counts.append(pack(c.astype(np.uint32)))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["doc_id", "keys", "counts"])
 
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column)).mapInArrow(one, "doc_id long, keys binary, counts binary")
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column)).mapInArrow(lean(one), "doc_id long, keys binary, counts binary")
     return rows.join(trusted, "doc_id", "left_semi")
 
 
@@ -151,7 +151,7 @@ def split_rows(rows: DataFrame, bits: int) -> DataFrame:
         if keys:
             yield _cut(*summed(np.concatenate(keys), np.concatenate(counts)), bits)
 
-    return rows.select("keys", "counts").mapInArrow(one, "shard int, keys binary, counts binary")
+    return rows.select("keys", "counts").mapInArrow(lean(one), "shard int, keys binary, counts binary")
 
 
 def _cut(keys: np.ndarray, counts: np.ndarray, bits: int) -> pa.RecordBatch:
@@ -207,7 +207,7 @@ def shard_counts(parts: DataFrame, bits: int) -> DataFrame:
             )
 
     dealt = parts.repartition(1 << bits, "shard").sortWithinPartitions("shard")
-    return dealt.mapInArrow(one, "shard int, keys binary, counts binary, chunk int, cells binary")
+    return dealt.mapInArrow(lean(one), "shard int, keys binary, counts binary, chunk int, cells binary")
 
 
 def discounts(n1: float, n2: float, n3: float, n4: float) -> np.ndarray:
@@ -309,7 +309,7 @@ def request_rows(docs: DataFrame, model, bits: int, column: str = "text") -> Dat
                 out.append((s, 1, number, pack(k), pack(w), pack(c.astype(np.uint32)), None, None))
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column)).mapInArrow(one, REQUEST)
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column)).mapInArrow(lean(one), REQUEST)
 
 
 def shard_answers(both: DataFrame, shared, bits: int) -> DataFrame:
@@ -338,7 +338,7 @@ def shard_answers(both: DataFrame, shared, bits: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out), kinds)], names=names)
 
     dealt = both.repartition(1 << bits, "shard").sortWithinPartitions("shard", "kind")
-    return dealt.mapInArrow(one, ANSWER)
+    return dealt.mapInArrow(lean(one), ANSWER)
 
 
 def scores(docs: DataFrame, counts: DataFrame, model: Model, bits: int, column: str = "text") -> DataFrame:
@@ -369,7 +369,7 @@ def scores(docs: DataFrame, counts: DataFrame, model: Model, bits: int, column:
                 [pa.array(ids, mask=ids == NOWHERE), pa.array(words), pa.array(sums[block])], names=["doc_id", "n_words", "log_prob"]
             )
 
-    rows = answers.repartition("block").mapInArrow(one, "doc_id long, n_words long, log_prob double")
+    rows = answers.repartition("block").mapInArrow(lean(one), "doc_id long, n_words long, log_prob double")
     return rows.groupBy("doc_id").agg(F.sum("n_words").alias("n_words"), F.sum("log_prob").alias("log_prob"))
 
 

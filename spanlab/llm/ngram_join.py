@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import WordHashes, bytes_column, has, id_filter, summed_vector, vector_rows, windows
+from spanlab.llm.arrays import WordHashes, bytes_column, has, id_filter, lean, summed_vector, vector_rows, windows
 from spanlab.llm.common import table, temporary, written
 from spanlab.llm.graph import connected_components
 from spanlab.llm.secret_scan import blob_id
@@ -107,7 +107,7 @@ def set_rows(docs: DataFrame, column: str = "text", mark: str | None = None) ->
 
     marks = [F.col(mark)] if mark else []
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column), *marks)
-    return src.mapInArrow(one, "doc_id long, n long, cls long, chunk int, cells binary" + (f", {mark} binary" if mark else ""))
+    return src.mapInArrow(lean(one), "doc_id long, n long, cls long, chunk int, cells binary" + (f", {mark} binary" if mark else ""))
 
 
 class Order:
@@ -149,7 +149,7 @@ def prefix_rows(docs: DataFrame, order, column: str = "text") -> DataFrame:
                 for at in range(0, whole.num_rows, 1 << 16):
                     yield whole.slice(at, 1 << 16)
 
-    return docs.select(column).mapInArrow(one, "token long, cls long, n int, pos int")
+    return docs.select(column).mapInArrow(lean(one), "token long, cls long, n int, pos int")
 
 
 def segment_rows(docs: DataFrame, wanted, order, column: str = "text") -> DataFrame:
@@ -175,7 +175,7 @@ def segment_rows(docs: DataFrame, wanted, order, column: str = "text") -> DataFr
             if out_c:
                 yield _segments(out_c, out_f, out_t)
 
-    return docs.select(column).mapInArrow(one, "cls long, f int, tokens array<long>")
+    return docs.select(column).mapInArrow(lean(one), "cls long, f int, tokens array<long>")
 
 
 def _segments(c, f, t) -> pa.RecordBatch:

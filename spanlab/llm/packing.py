@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import pack, unpack
+from spanlab.llm.arrays import lean, pack, unpack
 from spanlab.llm.common import table, written
 from spanlab.session import ship_package
 
@@ -253,7 +253,7 @@ def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column))
-    return src.mapInArrow(one, "part int, doc_id long, n long, ids binary, unit int, rank long, wholes long, tails long")
+    return src.mapInArrow(lean(one), "part int, doc_id long, n long, ids binary, unit int, rank long, wholes long, tails long")
 
 
 # ---------------------------------------------------------------- the plan
@@ -408,7 +408,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, column: str = "text")
                 names = [c.split()[0] for c in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], names=names)
 
-    return tokens.join(offsets, "part").select("doc_id", "n", "ids", "unit", "rank", "wholes", "tails", "before").mapInArrow(one, PIECES)
+    return tokens.join(offsets, "part").select("doc_id", "n", "ids", "unit", "rank", "wholes", "tails", "before").mapInArrow(lean(one), PIECES)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
