@@ -77,21 +77,43 @@ def sliced(batches, rows: int = 512):
             yield b.slice(at, rows)
 
 
-def lean(fn):
-    """``fn`` for ``mapInArrow`` that gives freed memory back to the system when its task ends.
+KEPT: dict[str, object] = {}  # what this Python worker keeps between tasks of one kind
 
-    Spark keeps a Python worker for later tasks; without this an idle one holds what its
-    last task needed most beside the tasks of other stages and the JVM.
+
+def kept(name: str, make):
+    """The worker's object of that name, made at its first use."""
+    if name not in KEPT:
+        KEPT[name] = make()
+    return KEPT[name]
+
+
+def forget(but: str) -> None:
+    """Drop what tasks of another kind kept."""
+    for name in KEPT.keys() - {but}:
+        del KEPT[name]
+
+
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
+def lean(fn, keep: str = ""):
+    """``fn`` for ``mapInArrow`` that leaves its worker small.
+
+    Spark reuses Python workers: an idle one would hold what its last task needed most
+    beside the tasks of other stages and the JVM. Of what tasks kept, only ``keep`` stays.
     """
 
     @wraps(fn)
     def run(batches):
+        forget(keep)
         yield from fn(batches)
-        gc.collect()
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
-        if trim is not None:
-            trim(0)
+        give_back()
 
     return run
 

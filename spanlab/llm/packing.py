@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import lean, pack, unpack
+from spanlab.llm.arrays import kept, lean, pack, unpack
 from spanlab.llm.common import table, written
 from spanlab.session import ship_package
 
@@ -139,8 +139,6 @@ class WordIds:
     maps one by one; any other word goes through the tokenizer whole.
     """
 
-    held: dict[str, "WordIds"] = {}  # one per vocabulary and Python worker
-
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
@@ -153,12 +151,6 @@ class WordIds:
         self.last = np.zeros(1 << 16, bool)
         self.last[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith(WORD_END)]] = True
 
-    @classmethod
-    def of(cls, path: str) -> "WordIds":
-        if path not in cls.held:
-            cls.held[path] = cls(path)
-        return cls.held[path]
-
     def tokenized(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts one after the other, and how many each has."""
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -235,8 +227,10 @@ def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFra
     (whole windows and tail ids before it).
     """
 
+    name = f"words of {tokenizer}"
+
     def one(batches):
-        words, part = WordIds.of(tokenizer), TaskContext.get().partitionId()
+        words, part = kept(name, lambda: WordIds(tokenizer)), TaskContext.get().partitionId()
         seen, wholes, tails = np.zeros(WINDOW // UNIT, np.int64), 0, 0
         for batch in batches:
             for b in groups(batch, column):
@@ -253,7 +247,7 @@ def token_rows(docs: DataFrame, tokenizer: str, column: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=names)
 
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column))
-    return src.mapInArrow(lean(one), "part int, doc_id long, n long, ids binary, unit int, rank long, wholes long, tails long")
+    return src.mapInArrow(lean(one, name), "part int, doc_id long, n long, ids binary, unit int, rank long, wholes long, tails long")
 
 
 # ---------------------------------------------------------------- the plan
