@@ -12,6 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from spanlab.llm import decontaminate, lm_quality, ngram_join, packing, secret_scan
 from spanlab.llm.common import table, written
 
+# Texts travel to Python workers in Arrow batches; at the default of 10,000 rows and 64 MB,
+# what JVM and workers hold at a time follows the length of the texts.
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = str(4 << 20)
+
 STAGES = [
     ("quality_lm", lm_quality.stage_quality),
     ("near_duplicates", ngram_join.stage_near_duplicates),
@@ -26,8 +31,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``; every stage has run when it returns."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        for name, stage in STAGES:
+            docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    finally:
+        spark.conf.set(BATCH, before)
     return docs
