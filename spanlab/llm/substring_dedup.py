@@ -24,10 +24,13 @@ depend on how rows are dealt), so a passage in a third of all documents reaches
 Documents without any repeat are never shuffled with their text: a bit field of fixed
 size tells them apart in the scan (who passes it is joined exactly).
 
-Defined results: null and empty texts have no words; a null doc_id comes after all others,
-and rows of one doc_id (or of null) are one document: equal places in them are not earlier
-than each other; repeated rows therefore both stay as they are. If rows of one doc_id
-differ in text, the places found in one are removed from all of them. An empty table gives
+A document is an id with its text: where rows of one doc_id (or without one) differ in
+text, a 64-bit hash of the text, ``copy``, tells them apart and orders them; it is 0 elsewhere.
+
+Defined results: null and empty texts have no words; a null doc_id comes after all others.
+Rows of one doc_id (or of null) with different texts are documents of their own, in the
+order of their hashes: a word goes only where the row's own text repeats an earlier one.
+Rows alike in id and text are one document, so both stay as they are. An empty table gives
 an empty result; extra columns are ignored.
 """
 
@@ -50,7 +53,7 @@ ANCHOR = 8
 CHUNK = 400_000  # k-mers that a task compares before it sends them on
 NOWHERE = np.iinfo(np.int64).max  # stands for a null doc_id
 
-RUNS = "doc long, at long, edges long, source long, source_at long"
+RUNS = "doc long, copy long, at long, edges long, source long, source_copy long, source_at long"
 
 
 def shards(spark: SparkSession) -> int:
@@ -67,15 +70,26 @@ def minimizers(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a, np.arange(len(h) - K + 1) + sliding_window_view(a, width).argmin(axis=1)
 
 
-def runs(doc, at, source, source_at) -> tuple[np.ndarray, ...]:
+def differs(*columns: np.ndarray) -> np.ndarray:
+    """Whether each row differs from the one before it in any column (the first does)."""
+    out = np.ones(len(columns[0]), bool)
+    out[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return out
+
+
+def runs(doc, copy, at, source, source_copy, source_at) -> tuple[np.ndarray, ...]:
     """Single edges (any order) glued to runs that go on in the document and at the source."""
-    order = np.lexsort((at, doc))
-    doc, at, source, source_at = doc[order], at[order], source[order], source_at[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1) | (source[1:] != source[:-1]) | (source_at[1:] != source_at[:-1] + 1)
-    first = np.flatnonzero(new)
+    order = np.lexsort((at, copy, doc))
+    doc, copy, at, source, source_copy, source_at = (x[order] for x in (doc, copy, at, source, source_copy, source_at))
+    # inside a run both coordinates go up by one with the row
+    number = np.arange(len(doc))
+    first = np.flatnonzero(differs(doc, copy, at - number, source, source_copy, source_at - number))
     size = np.diff(np.append(first, len(doc)))
-    return doc[first], at[first], size, source[first], source_at[first]
+    return doc[first], copy[first], at[first], size, source[first], source_copy[first], source_at[first]
+
+
+def deltas(x: np.ndarray) -> np.ndarray:
+    return np.diff(x, prepend=np.int64(0))
 
 
 def _batch(names: list[str], arrays: list, kinds: list) -> pa.RecordBatch:
@@ -84,7 +98,7 @@ def _batch(names: list[str], arrays: list, kinds: list) -> pa.RecordBatch:
 
 # ---------------------------------------------------------------- repeated minimizers
 
-ANCHORS = "shard int, hashes binary, docs binary, ats binary, flags binary"
+ANCHORS = "shard int, hashes binary, docs binary, copies binary, ats binary, flags binary"
 
 
 def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
@@ -98,11 +112,11 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
         hashes = WordHashes()
         held, size = [], 0
         for b in batches:
-            for doc, text in zip(b.column("doc").to_pylist(), bytes_column(b, "text")):
+            for doc, copy, text in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), bytes_column(b, "text")):
                 a, least = minimizers(hashes.of((text or b"").split()))
                 if len(least):
                     spots = np.unique(least)
-                    held.append((a[spots], np.full(len(spots), doc, np.int64), spots))
+                    held.append((a[spots], np.full(len(spots), doc, np.int64), np.full(len(spots), copy, np.int64), spots))
                     size += len(spots)
                 if size > CHUNK:
                     yield send(held)
@@ -111,80 +125,81 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
             yield send(held)
 
     def send(held):
-        h, doc, at = (np.concatenate(x) for x in zip(*held))
-        order = np.lexsort((at, doc, h))
-        h, doc, at = h[order], doc[order], at[order]
-        same = np.zeros(len(h), bool)
-        same[1:] = (h[1:] == h[:-1]) & ((doc[1:] != doc[:-1]) | (at[1:] != at[:-1]))
-        group = np.cumsum(np.concatenate([[True], h[1:] != h[:-1]])) - 1
-        many = np.bincount(group, weights=same)[group] > 0
-        head = np.concatenate([[True], h[1:] != h[:-1]])
+        h, doc, copy, at = (np.concatenate(x) for x in zip(*held))
+        order = np.lexsort((at, copy, doc, h))
+        order = order[differs(h[order], doc[order], copy[order], at[order])]  # repeated rows are one place
+        h, doc, copy, at = h[order], doc[order], copy[order], at[order]
+        head = differs(h)
+        size = np.diff(np.append(np.flatnonzero(head), len(h)))
+        many = np.repeat(size > 1, size)
         shard = (h % np.uint64(n)).astype(np.int64)
         # occurrences met several times here are answers already: they travel by document
         out = []
-        out.append((shard[head], h[head], doc[head], at[head], np.where(many[head], 2, 0)))
-        out.append(((doc[many] % n), h[many], doc[many], at[many], np.ones(many.sum(), np.int64)))
-        s, h, doc, at, flag = (np.concatenate(x) for x in zip(*out))
-        order = np.lexsort((at, doc, s))
-        s, h, doc, at, flag = s[order], h[order], doc[order], at[order], flag[order]
+        out.append((shard[head], h[head], doc[head], copy[head], at[head], np.where(many[head], 2, 0)))
+        out.append((doc[many] % n, h[many], doc[many], copy[many], at[many], np.ones(many.sum(), np.int64)))
+        s, h, doc, copy, at, flag = (np.concatenate(x) for x in zip(*out))
+        order = np.lexsort((at, copy, doc, s))
+        s, h, doc, copy, at, flag = s[order], h[order], doc[order], copy[order], at[order], flag[order]
         cut = np.flatnonzero(np.diff(s)) + 1
         rows = []
-        for k, hh, dd, aa, ff in zip(s[np.concatenate([[0], cut])], *(np.split(x, cut) for x in (h, doc, at, flag))):
-            rows.append((int(k), hh.tobytes(), pack(np.diff(dd, prepend=np.int64(0))), pack(aa.astype(np.uint32)), pack(ff.astype(np.uint8))))
-        return _batch(["shard", "hashes", "docs", "ats", "flags"], list(zip(*rows)), [pa.int32(), *[pa.binary()] * 4])
+        for k, hh, dd, cc, aa, ff in zip(s[np.concatenate([[0], cut])], *(np.split(x, cut) for x in (h, doc, copy, at, flag))):
+            rows.append((int(k), hh.tobytes(), pack(deltas(dd)), pack(cc), pack(aa.astype(np.uint32)), pack(ff.astype(np.uint8))))
+        return _batch(["shard", "hashes", "docs", "copies", "ats", "flags"], list(zip(*rows)), [pa.int32(), *[pa.binary()] * 5])
 
     return docs.mapInArrow(one, ANCHORS)
 
 
 def repeated_anchors(rows: DataFrame, n: int) -> DataFrame:
-    """doc, at of every occurrence of a minimizer that occurs at two places or more."""
+    """doc, copy, at of every occurrence of a minimizer that occurs at two places or more."""
+    kinds = [pa.int64(), pa.int64(), pa.int32()]
 
     def one(batches):
         held = []
         for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("hashes", "docs", "ats", "flags")]
-            for h, d, a, f in zip(*cols):
-                h, d, a, f = np.frombuffer(h, np.uint64), np.cumsum(unpack(d, np.int64)), unpack(a, np.uint32), unpack(f, np.uint8)
+            cols = [b.column(c).to_pylist() for c in ("hashes", "docs", "copies", "ats", "flags")]
+            for h, d, c, a, f in zip(*cols):
+                h, d, c = np.frombuffer(h, np.uint64), np.cumsum(unpack(d, np.int64)), unpack(c, np.int64)
+                a, f = unpack(a, np.uint32), unpack(f, np.uint8)
                 answered = f == 1
                 if answered.any():
-                    yield _batch(["doc", "at"], [d[answered], a[answered].astype(np.int32)], [pa.int64(), pa.int32()])
+                    yield _batch(["doc", "copy", "at"], [d[answered], c[answered], a[answered].astype(np.int32)], kinds)
                 if not answered.all():
-                    held.append((h[~answered], d[~answered], a[~answered], f[~answered]))
+                    held.append((h[~answered], d[~answered], c[~answered], a[~answered], f[~answered]))
         if held:
-            h, d, a, f = (np.concatenate(x) for x in zip(*held))
+            h, d, c, a, f = (np.concatenate(x) for x in zip(*held))
             order = np.argsort(h, kind="stable")
-            h, d, a, f = h[order], d[order], a[order], f[order]
-            head = np.concatenate([[True], h[1:] != h[:-1]])
+            h, d, c, a, f = h[order], d[order], c[order], a[order], f[order]
+            head = differs(h)
             group = np.cumsum(head) - 1
-            other = np.zeros(len(h), bool)
-            other[1:] = ~head[1:] & ((d[1:] != d[:-1]) | (a[1:] != a[:-1]))
+            other = differs(d, c, a) & ~head
             many = (np.bincount(group, weights=other + (f == 2)) > 0)[group] & (f == 0)
-            yield _batch(["doc", "at"], [d[many], a[many].astype(np.int32)], [pa.int64(), pa.int32()])
+            yield _batch(["doc", "copy", "at"], [d[many], c[many], a[many].astype(np.int32)], kinds)
 
-    return rows.repartition(n, "shard").mapInArrow(one, "doc long, at int")
+    return rows.repartition(n, "shard").mapInArrow(one, "doc long, copy long, at int")
 
 
 # ---------------------------------------------------------------- repeated edges
 
-EDGES = "shard int, kmers binary, checks binary, docs binary, ats binary, " + RUNS
+EDGES = "shard int, kmers binary, checks binary, docs binary, copies binary, ats binary, " + RUNS
+EDGE_KINDS = [pa.int32(), *[pa.binary()] * 5, *[pa.int64()] * 7]
 
 
 def edge_rows(docs: DataFrame, n: int) -> DataFrame:
     """Edges with a repeated minimizer by bucket, and finished runs (shard null) found within a task.
 
-    ``docs`` has doc, text and ats, the places of its repeated minimizers.
+    ``docs`` has doc, copy, text and ats, the places of its repeated minimizers.
     """
 
     def one(batches):
         hashes = WordHashes()
         held, size = [], 0
         for b in batches:
-            for doc, text, ats in zip(b.column("doc").to_pylist(), bytes_column(b, "text"), b.column("ats").to_pylist()):
+            for doc, copy, text, ats in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), bytes_column(b, "text"), b.column("ats").to_pylist()):
                 h = hashes.of((text or b"").split())
                 a, least = minimizers(h)
                 at = np.flatnonzero(np.isin(least, np.array(ats, np.int64)))
                 if len(at):
-                    held.append((windows(h, K)[at], windows(h, K, step=OTHER_STEP)[at].astype(np.uint32), np.full(len(at), doc, np.int64), at, a[least[at]]))
+                    held.append((windows(h, K)[at], windows(h, K, step=OTHER_STEP)[at].astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), copy, np.int64), at, a[least[at]]))
                     size += len(at)
                 if size > CHUNK:
                     yield from send(held)
@@ -193,61 +208,65 @@ def edge_rows(docs: DataFrame, n: int) -> DataFrame:
             yield from send(held)
 
     def send(held):
-        e, check, doc, at, anchor = (np.concatenate(x) for x in zip(*held))
-        order, head, source = earliest(e, check, doc, at)
-        e, check, doc, at, anchor = e[order], check[order], doc[order], at[order], anchor[order]
-        later = ~head & ((doc != doc[source]) | (at != at[source]))
+        e, check, doc, copy, at, anchor = (np.concatenate(x) for x in zip(*held))
+        order, head, source = earliest(e, check, doc, copy, at)
+        e, check, doc, copy, at, anchor = e[order], check[order], doc[order], copy[order], at[order], anchor[order]
+        later = repeats(head, source, doc, copy, at)
         if later.any():
-            yield run_batch(runs(doc[later], at[later], doc[source][later], at[source][later]))
-        e, check, doc, at, s = e[head], check[head], doc[head], at[head], (anchor[head] % np.uint64(n)).astype(np.int64)
-        order = np.lexsort((at, doc, s))
-        e, check, doc, at, s = e[order], check[order], doc[order], at[order], s[order]
+            yield run_batch(runs(*(x[later] for x in (doc, copy, at, doc[source], copy[source], at[source]))))
+        e, check, doc, copy, at, s = e[head], check[head], doc[head], copy[head], at[head], (anchor[head] % np.uint64(n)).astype(np.int64)
+        order = np.lexsort((at, copy, doc, s))
+        e, check, doc, copy, at, s = e[order], check[order], doc[order], copy[order], at[order], s[order]
         cut = np.flatnonzero(np.diff(s)) + 1
         rows = []
-        for k, ee, cc, dd, aa in zip(s[np.concatenate([[0], cut])], *(np.split(x, cut) for x in (e, check, doc, at))):
-            rows.append((int(k), ee.tobytes(), cc.tobytes(), pack(np.diff(dd, prepend=np.int64(0))), pack(np.diff(aa, prepend=0).astype(np.int32))))
-        cols = [*zip(*rows), *[[None] * len(rows)] * 5]
-        yield _batch([f.split()[0] for f in EDGES.split(", ")], cols, [pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 5])
+        for k, ee, cc, dd, xx, aa in zip(s[np.concatenate([[0], cut])], *(np.split(x, cut) for x in (e, check, doc, copy, at))):
+            rows.append((int(k), ee.tobytes(), cc.tobytes(), pack(deltas(dd)), pack(xx), pack(np.diff(aa, prepend=0).astype(np.int32))))
+        cols = [*zip(*rows), *[[None] * len(rows)] * 7]
+        yield _batch([f.split()[0] for f in EDGES.split(", ")], cols, EDGE_KINDS)
 
     def run_batch(found):
         size = len(found[0])
-        cols = [[None] * size] * 5 + list(found)
-        return _batch([f.split()[0] for f in EDGES.split(", ")], cols, [pa.int32(), *[pa.binary()] * 4, *[pa.int64()] * 5])
+        cols = [[None] * size] * 6 + list(found)
+        return _batch([f.split()[0] for f in EDGES.split(", ")], cols, EDGE_KINDS)
 
     return docs.mapInArrow(one, EDGES)
 
 
-def earliest(e, check, doc, at):
+def earliest(e, check, doc, copy, at):
     """Order by edge and place, the first of each edge, and (per ordered row) that first row."""
-    order = np.lexsort((at, doc, check, e))
-    e, check = e[order], check[order]
-    head = np.ones(len(e), bool)
-    head[1:] = (e[1:] != e[:-1]) | (check[1:] != check[:-1])
+    order = np.lexsort((at, copy, doc, check, e))
+    head = differs(e[order], check[order])
     return order, head, np.maximum.accumulate(np.where(head, np.arange(len(e)), 0))
 
 
+def repeats(head, source, doc, copy, at) -> np.ndarray:
+    """Rows at another place than the first row of their edge."""
+    return ~head & ((doc != doc[source]) | (copy != copy[source]) | (at != at[source]))
+
+
 def bucket_runs(rows: DataFrame, n: int) -> DataFrame:
     """Runs (``RUNS``) of the edges that occur earlier in another task's documents."""
 
     def one(batches):
         held = []
         for b in batches:
-            for e, c, d, a in zip(*[b.column(x).to_pylist() for x in ("kmers", "checks", "docs", "ats")]):
-                held.append((np.frombuffer(e, np.uint64), np.frombuffer(c, np.uint32), np.cumsum(unpack(d, np.int64)), np.cumsum(unpack(a, np.int32), dtype=np.int64)))
+            for e, c, d, x, a in zip(*[b.column(x).to_pylist() for x in ("kmers", "checks", "docs", "copies", "ats")]):
+                places = np.cumsum(unpack(d, np.int64)), unpack(x, np.int64), np.cumsum(unpack(a, np.int32), dtype=np.int64)
+                held.append((np.frombuffer(e, np.uint64), np.frombuffer(c, np.uint32), *places))
         if held:
-            e, c, d, a = (np.concatenate(x) for x in zip(*held))
-            order, head, source = earliest(e, c, d, a)
-            d, a = d[order], a[order]
-            later = ~head & ((d != d[source]) | (a != a[source]))
+            e, c, d, x, a = (np.concatenate(v) for v in zip(*held))
+            order, head, source = earliest(e, c, d, x, a)
+            d, x, a = d[order], x[order], a[order]
+            later = repeats(head, source, d, x, a)
             names = [f.split()[0] for f in RUNS.split(", ")]
-            yield _batch(names, list(runs(d[later], a[later], d[source][later], a[source][later])), [pa.int64()] * 5)
+            yield _batch(names, list(runs(*(v[later] for v in (d, x, a, d[source], x[source], a[source])))), [pa.int64()] * 7)
 
     return rows.repartition(n, "shard").mapInArrow(one, RUNS)
 
 
 # ---------------------------------------------------------------- paths and texts
 
-PATHS = "doc long, starts array<long>, edges array<long>, sources array<long>, source_starts array<long>"
+PATHS = "doc long, copy long, starts array<long>, edges array<long>, sources array<long>, source_copies array<long>, source_starts array<long>"
 
 
 def glued_paths(pieces: DataFrame) -> DataFrame:
@@ -256,56 +275,66 @@ def glued_paths(pieces: DataFrame) -> DataFrame:
 
     def one(batches):
         for b in batches:
-            out = [[], [], [], [], []]
-            for doc, found in zip(b.column("doc").to_pylist(), b.column("pieces").to_pylist()):
-                at, size, source, source_at = (np.array([p[c] for p in found], np.int64) for c in names[1:])
-                order = np.lexsort((source_at, source, at))
-                at, size, source, source_at = at[order], size[order], source[order], source_at[order]
-                new = np.ones(len(at), bool)
-                new[1:] = (at[1:] != at[:-1] + size[:-1]) | (source[1:] != source[:-1]) | (source_at[1:] != source_at[:-1] + size[:-1])
+            out = [[] for _ in PATHS.split(", ")]
+            for doc, copy, found in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), b.column("pieces").to_pylist()):
+                at, size, source, other, source_at = (np.array([p[c] for p in found], np.int64) for c in names[2:])
+                order = np.lexsort((source_at, other, source, at))
+                at, size, source, other, source_at = at[order], size[order], source[order], other[order], source_at[order]
+                new = differs(source, other)
+                new[1:] |= (at[1:] != at[:-1] + size[:-1]) | (source_at[1:] != source_at[:-1] + size[:-1])
                 first = np.flatnonzero(new)
-                for o, v in zip(out, (doc, at[first], np.add.reduceat(size, first), source[first], source_at[first])):
+                for o, v in zip(out, (doc, copy, at[first], np.add.reduceat(size, first), source[first], other[first], source_at[first])):
                     o.append(v)
-            long = pa.list_(pa.int64())
-            yield _batch([f.split()[0] for f in PATHS.split(", ")], out, [pa.int64(), long, long, long, long])
+            yield _batch([f.split()[0] for f in PATHS.split(", ")], out, [pa.int64(), pa.int64(), *[pa.list_(pa.int64())] * 5])
 
-    grouped = pieces.groupBy("doc").agg(F.collect_list(F.struct(*names[1:])).alias("pieces"))
+    # a set: rows alike in id and text are one document, however many tasks answered for them
+    grouped = pieces.groupBy("doc", "copy").agg(F.collect_set(F.struct(*names[2:])).alias("pieces"))
     return grouped.mapInArrow(one, PATHS)
 
 
 def keyed(docs: DataFrame, column: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NOWHERE))).alias("doc"), F.col(column).alias("text"))
+    """doc, copy, text of each row; ids with several texts are found by one aggregation of hashes."""
+    doc = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(int(NOWHERE))).alias("doc")
+    rows = docs.select(doc, F.col(column).alias("text")).withColumn("hash", F.xxhash64("text"))
+    several = rows.groupBy("doc").agg(F.min("hash").alias("least"), F.max("hash").alias("most")).filter("least <> most")
+    several = written(several.select("doc", F.lit(True).alias("several")), "dedup-several")
+    copy = F.when(F.col("several"), F.col("hash")).otherwise(F.lit(0).cast("bigint"))
+    return rows.join(several, "doc", "left").select("doc", copy.alias("copy"), "text")
 
 
 def passing(docs: DataFrame, field, wanted: bool) -> DataFrame:
-    """Rows (doc, text) whose id is (or is not) in a broadcast ``id_filter``."""
+    """Rows (doc, copy, text) whose id is (or is not) in a broadcast ``id_filter``."""
 
     def one(batches):
         for b in batches:
             mask = pa.array([has(field.value, d) == wanted for d in b.column("doc").to_pylist()], pa.bool_())
             yield b.filter(mask)
 
-    return docs.mapInArrow(one, "doc long, text string")
+    return docs.mapInArrow(one, "doc long, copy long, text string")
 
 
 def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
     """Paths of every document that repeats something earlier (``PATHS``), written."""
+    return spans_of(keyed(docs, column))
+
+
+def spans_of(src: DataFrame) -> DataFrame:
+    """``repeated_spans`` of rows (doc, copy, text)."""
     with temporary() as scope:
-        return scope.keep(_repeated_spans(docs, column))
+        return scope.keep(_repeated_spans(src))
 
 
-def _repeated_spans(docs: DataFrame, column: str) -> DataFrame:
-    spark = docs.sparkSession
+def _repeated_spans(src: DataFrame) -> DataFrame:
+    spark = src.sparkSession
     ship_package(spark)
     n = shards(spark)
-    src = keyed(docs, column)
-    marked = repeated_anchors(anchor_rows(src, n), n).groupBy("doc").agg(F.collect_list("at").alias("ats"))
+    marked = repeated_anchors(anchor_rows(src, n), n).groupBy("doc", "copy").agg(F.collect_set("at").alias("ats"))
     marked = written(marked, "dedup-anchors")
     field = spark.sparkContext.broadcast(id_filter(marked, "doc"))
-    some = passing(src, field, True).join(marked, "doc").select("doc", "text", "ats")
+    some = passing(src, field, True).join(marked, ["doc", "copy"]).select("doc", "copy", "text", "ats")
     rows = written(edge_rows(some, n), "dedup-edges")
     names = [f.split()[0] for f in RUNS.split(", ")]
-    pieces = bucket_runs(rows.filter("shard IS NOT NULL").select("shard", "kmers", "checks", "docs", "ats"), n)
+    pieces = bucket_runs(rows.filter("shard IS NOT NULL").select("shard", "kmers", "checks", "docs", "copies", "ats"), n)
     pieces = pieces.unionByName(rows.filter("shard IS NULL").select(*names))
     return written(glued_paths(pieces), "dedup-paths")
 
@@ -354,12 +383,12 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deduplicated(docs: DataFrame, column: str = "text") -> DataFrame:
     """``RESULT`` for every row of ``docs``."""
     spark = docs.sparkSession
-    paths = repeated_spans(docs, column).select("doc", "starts", "edges")
-    field = spark.sparkContext.broadcast(id_filter(paths, "doc"))
     src = keyed(docs, column)
+    paths = spans_of(src).select("doc", "copy", "starts", "edges")
+    field = spark.sparkContext.broadcast(id_filter(paths, "doc"))
     none = F.lit(None).cast("array<bigint>")
     clean = passing(src, field, False).select("doc", "text", none.alias("starts"), none.alias("edges"))
-    rest = passing(src, field, True).join(paths, "doc", "left").select("doc", "text", "starts", "edges")
+    rest = passing(src, field, True).join(paths, ["doc", "copy"], "left").select("doc", "text", "starts", "edges")
     return kept_rows(clean).unionByName(kept_rows(rest))
 
 

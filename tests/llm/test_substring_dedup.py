@@ -3,25 +3,30 @@ import random
 
 import duckdb
 import pytest
+import xxhash
 
 from spanlab.llm import substring_dedup as S
 
 
+def key(d, text):
+    """Null ids last; rows of one id by a hash of their text (Spark's, signed)."""
+    h = 42 if text is None else xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return (float("inf") if d is None else d, h - (1 << 64) if h >> 63 else h)
+
+
 def brute(rows):
-    """rows: (doc_id, text); a null id comes last, rows of one id are one document."""
-    big = float("inf")
-    words = [(t or "").encode().split() for _, t in rows]
+    """rows: (doc_id, text); a null id comes last, rows alike in id and text are one document."""
+    words = [(key(d, t), (t or "").encode().split()) for d, t in rows]
     first = {}
-    for (d, _), w in zip(rows, words):
+    for k, w in words:
         for i in range(len(w) - 19):
-            key = tuple(w[i : i + 20])
-            place = (big if d is None else d, i)
-            first[key] = min(first.get(key, place), place)
+            run = tuple(w[i : i + 20])
+            first[run] = min(first.get(run, (k, i)), (k, i))
     out = []
-    for (d, _), w in zip(rows, words):
+    for (d, _), (k, w) in zip(rows, words):
         gone = set()
         for i in range(len(w) - 19):
-            if first[tuple(w[i : i + 20])] < (big if d is None else d, i):
+            if first[tuple(w[i : i + 20])] < (k, i):
                 gone.update(range(i, i + 20))
         kept = b" ".join(x for i, x in enumerate(w) if i not in gone)
         out.append((d, len(w), len(gone), hashlib.sha256(kept).hexdigest()))
@@ -47,6 +52,17 @@ def test_edge_texts(spark):
     assert got(frame(spark, rows)) == brute(rows)
 
 
+def test_rows_without_an_id_and_texts_of_one_id_are_told_apart(spark):
+    p, t = [f"w{i}" for i in range(60)], " ".join
+    rows = [
+        (None, t(p[:25])), (None, "a b c"), (5, t(p[:25])), (None, t(p[30:55])), (None, t(["z"] + p[30:55])), (None, t(p[30:55])),
+        (7, t(p)), (7, t(["q"] * 3 + p[10:40])), (7, "only these words"), (7, None), (7, t(p)), (8, t(p[20:50])), (None, None), (None, ""),
+    ]
+    found = got(frame(spark, rows))
+    assert found == brute(rows)
+    assert (None, 3, 0, hashlib.sha256(b"a b c").hexdigest()) in found and (7, 3, 0, hashlib.sha256(b"only these words").hexdigest()) in found
+
+
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_repeats(spark, seed, monkeypatch):
     rng = random.Random(seed)
