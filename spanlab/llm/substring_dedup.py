@@ -44,13 +44,14 @@ from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import OTHER_STEP, WordHashes, bytes_column, has, id_filter, pack, unpack, windows
+from spanlab.llm.arrays import OTHER_STEP, WordHashes, bytes_column, has, id_filter, lean, pack, sliced, unpack, windows
 from spanlab.llm.common import table, temporary, written
 from spanlab.session import ship_package
 
 K = 20
 ANCHOR = 8
 CHUNK = 400_000  # k-mers that a task compares before it sends them on
+MEMO = 150_000  # words whose hash a task remembers
 NOWHERE = np.iinfo(np.int64).max  # stands for a null doc_id
 
 RUNS = "doc long, copy long, at long, edges long, source long, source_copy long, source_at long"
@@ -109,9 +110,9 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
     """
 
     def one(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(MEMO)
         held, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for doc, copy, text in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), bytes_column(b, "text")):
                 a, least = minimizers(hashes.of((text or b"").split()))
                 if len(least):
@@ -146,7 +147,7 @@ def anchor_rows(docs: DataFrame, n: int) -> DataFrame:
             rows.append((int(k), hh.tobytes(), pack(deltas(dd)), pack(cc), pack(aa.astype(np.uint32)), pack(ff.astype(np.uint8))))
         return _batch(["shard", "hashes", "docs", "copies", "ats", "flags"], list(zip(*rows)), [pa.int32(), *[pa.binary()] * 5])
 
-    return docs.mapInArrow(one, ANCHORS)
+    return docs.mapInArrow(lean(one), ANCHORS)
 
 
 def repeated_anchors(rows: DataFrame, n: int) -> DataFrame:
@@ -167,6 +168,7 @@ def repeated_anchors(rows: DataFrame, n: int) -> DataFrame:
                     held.append((h[~answered], d[~answered], c[~answered], a[~answered], f[~answered]))
         if held:
             h, d, c, a, f = (np.concatenate(x) for x in zip(*held))
+            held.clear()
             order = np.argsort(h, kind="stable")
             h, d, c, a, f = h[order], d[order], c[order], a[order], f[order]
             head = differs(h)
@@ -175,7 +177,7 @@ def repeated_anchors(rows: DataFrame, n: int) -> DataFrame:
             many = (np.bincount(group, weights=other + (f == 2)) > 0)[group] & (f == 0)
             yield _batch(["doc", "copy", "at"], [d[many], c[many], a[many].astype(np.int32)], kinds)
 
-    return rows.repartition(n, "shard").mapInArrow(one, "doc long, copy long, at int")
+    return rows.repartition(n, "shard").mapInArrow(lean(one), "doc long, copy long, at int")
 
 
 # ---------------------------------------------------------------- repeated edges
@@ -191,9 +193,9 @@ def edge_rows(docs: DataFrame, n: int) -> DataFrame:
     """
 
     def one(batches):
-        hashes = WordHashes()
+        hashes = WordHashes(MEMO)
         held, size = [], 0
-        for b in batches:
+        for b in sliced(batches):
             for doc, copy, text, ats in zip(b.column("doc").to_pylist(), b.column("copy").to_pylist(), bytes_column(b, "text"), b.column("ats").to_pylist()):
                 h = hashes.of((text or b"").split())
                 a, least = minimizers(h)
@@ -229,7 +231,7 @@ def edge_rows(docs: DataFrame, n: int) -> DataFrame:
         cols = [[None] * size] * 6 + list(found)
         return _batch([f.split()[0] for f in EDGES.split(", ")], cols, EDGE_KINDS)
 
-    return docs.mapInArrow(one, EDGES)
+    return docs.mapInArrow(lean(one), EDGES)
 
 
 def earliest(e, check, doc, copy, at):
@@ -255,13 +257,15 @@ def bucket_runs(rows: DataFrame, n: int) -> DataFrame:
                 held.append((np.frombuffer(e, np.uint64), np.frombuffer(c, np.uint32), *places))
         if held:
             e, c, d, x, a = (np.concatenate(v) for v in zip(*held))
+            held.clear()
             order, head, source = earliest(e, c, d, x, a)
+            del e, c
             d, x, a = d[order], x[order], a[order]
             later = repeats(head, source, d, x, a)
             names = [f.split()[0] for f in RUNS.split(", ")]
             yield _batch(names, list(runs(*(v[later] for v in (d, x, a, d[source], x[source], a[source])))), [pa.int64()] * 7)
 
-    return rows.repartition(n, "shard").mapInArrow(one, RUNS)
+    return rows.repartition(n, "shard").mapInArrow(lean(one), RUNS)
 
 
 # ---------------------------------------------------------------- paths and texts
@@ -289,7 +293,7 @@ def glued_paths(pieces: DataFrame) -> DataFrame:
 
     # a set: rows alike in id and text are one document, however many tasks answered for them
     grouped = pieces.groupBy("doc", "copy").agg(F.collect_set(F.struct(*names[2:])).alias("pieces"))
-    return grouped.mapInArrow(one, PATHS)
+    return grouped.mapInArrow(lean(one), PATHS)
 
 
 def keyed(docs: DataFrame, column: str) -> DataFrame:
@@ -310,7 +314,7 @@ def passing(docs: DataFrame, field, wanted: bool) -> DataFrame:
             mask = pa.array([has(field.value, d) == wanted for d in b.column("doc").to_pylist()], pa.bool_())
             yield b.filter(mask)
 
-    return docs.mapInArrow(one, "doc long, copy long, text string")
+    return docs.mapInArrow(lean(one), "doc long, copy long, text string")
 
 
 def repeated_spans(docs: DataFrame, column: str = "text") -> DataFrame:
@@ -356,7 +360,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
     """Digest of each row (doc, text, starts, edges)."""
 
     def one(batches):
-        for b in batches:
+        for b in sliced(batches):
             out = []
             cols = [b.column("doc").to_pylist(), bytes_column(b, "text"), b.column("starts").to_pylist(), b.column("edges").to_pylist()]
             for doc, text, starts, edges in zip(*cols):
@@ -371,7 +375,7 @@ def kept_rows(docs: DataFrame) -> DataFrame:
             if out:
                 yield _batch([f.split()[0] for f in RESULT.split(", ")], list(zip(*out)), [pa.int64(), pa.int64(), pa.int64(), pa.string()])
 
-    return docs.mapInArrow(one, RESULT)
+    return docs.mapInArrow(lean(one), RESULT)
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
