@@ -48,6 +48,7 @@ from spanlab.llm.secret_scan import blob_id
 from spanlab.session import ship_package
 
 SHINGLE = 5
+MEMO = 150_000  # words whose hash a task remembers
 PERCENT = 80
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
@@ -82,7 +83,7 @@ def set_rows(docs: DataFrame, column: str = "text", mark: str | None = None) ->
     names = ["doc_id", "n", "cls", "chunk", "cells"] + ([mark] if mark else [])
 
     def one(batches: Iterator[pa.RecordBatch]):
-        hashes, counts = WordHashes(), np.zeros(BUCKETS, dtype=np.int32)
+        hashes, counts = WordHashes(MEMO), np.zeros(BUCKETS, dtype=np.int32)
         for b in batches:
             n, cls = [], []
             for text in bytes_column(b, column):
@@ -127,7 +128,7 @@ def prefix_rows(docs: DataFrame, order, column: str = "text") -> DataFrame:
     """token, cls, n, pos of the prefix of every class (once per task)."""
 
     def one(batches):
-        hashes, seen, rank = WordHashes(), set(), order.value.rank
+        hashes, seen, rank = WordHashes(MEMO), set(), order.value.rank
         for b in batches:
             out = [[], [], [], []]
             for text in bytes_column(b, column):
@@ -156,7 +157,7 @@ def segment_rows(docs: DataFrame, wanted, order, column: str = "text") -> DataFr
     """cls, f, tokens: the fragments of the classes in the bit field ``wanted`` (once per task)."""
 
     def one(batches):
-        hashes, seen, fragment, field = WordHashes(), set(), order.value.fragment, wanted.value
+        hashes, seen, fragment, field = WordHashes(MEMO), set(), order.value.fragment, wanted.value
         for b in batches:
             out_c, out_f, out_t = [], [], []
             for text in bytes_column(b, column):
