@@ -7,6 +7,8 @@ engine with ``md5`` can replay it. ``rand()`` is never used.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,3 +39,10 @@ def draw(key: Column, n) -> Column:
 def unit(key: Column) -> Column:
     """A seeded number in ``[0, 1)`` from a hex key (52 bits, exact in a double)."""
     return F.conv(F.substring(key, 1, 13), 16, 10).cast("bigint").cast("double") / F.lit(float(1 << 52))
+
+
+def below(key: Column, p: float) -> Column:
+    """``unit(key) < p`` without a number: the hex digits are compared with those of ``p · 2^52`` (rounded up)."""
+    least = math.ceil(p * (1 << 52))  # exact: a double times a power of two
+    digits = "" if least <= 0 else "g" if least >= 1 << 52 else f"{least:013x}"
+    return F.substring(key, 1, 13) < F.lit(digits)

@@ -27,6 +27,8 @@ INPUT_SEPARATOR = ": "
 # Our URL pattern (narrower than the tweet-cleaning library's): scheme or www up to
 # the next whitespace character.
 URL_PATTERN = r"(?i)\b(?:https?://|www\.)[^ \t\n\r\f\x0B]+"
+# The same matches for Java's engine: only at an h or a w is the word boundary looked at.
+URL_PATTERN_JAVA = URL_PATTERN.replace(r"\b", r"(?=[hw])\b")
 # Whitespace that is collapsed after URL removal (explicit, so that Java and RE2 agree).
 WHITESPACE_RUN = r"[ \t\n\r\f\x0B]+"
 # ---------------------------------------------------------------------------
@@ -72,7 +74,8 @@ def emoji_pattern(emoji: Iterable[str]) -> str:
     """One pattern that matches the longest sequence of the table at each place.
 
     Sequences are grouped by their first code point and stand longest first, behind a look
-    at the first code point, so ordinary characters are passed by with one class test.
+    at the first code point: its range, then the class (a class tests its members one by one),
+    so ordinary characters are passed by with one comparison.
     """
 
     def quoted(code_points: str) -> str:
@@ -86,7 +89,7 @@ def emoji_pattern(emoji: Iterable[str]) -> str:
         longer = "|".join(quoted(t) for t in sorted(tails, key=lambda t: (-len(t), t)))
         groups.append(quoted(first) + (f"(?:{longer})" if longer else ""))
     firsts = "".join(quoted(f) for f in sorted(rest))
-    return f"(?=[{firsts}])(?:{'|'.join(groups)})"
+    return f"(?=[{quoted(min(rest))}-{quoted(max(rest))}])(?=[{firsts}])(?:{'|'.join(groups)})"
 
 
 def demojize(c, emoji_pairs: Iterable[tuple[str, str]]) -> Column:
@@ -111,13 +114,13 @@ def demojize(c, emoji_pairs: Iterable[tuple[str, str]]) -> Column:
 
 def strip_urls(c) -> Column:
     """Remove URLs, collapse whitespace runs to one space, trim."""
-    no_url = F.regexp_replace(_c(c), URL_PATTERN, "")
+    no_url = F.regexp_replace(_c(c), URL_PATTERN_JAVA, "")
     return F.trim(F.regexp_replace(no_url, WHITESPACE_RUN, " "))
 
 
 def strip_underscores(c) -> Column:
     """Remove every run of underscores (also inside words and emoji names)."""
-    return F.regexp_replace(_c(c), "_+", "")
+    return F.replace(_c(c), F.lit("_"), F.lit(""))
 
 
 def clean_text(c, emoji_pairs: Iterable[tuple[str, str]] = ()) -> Column:

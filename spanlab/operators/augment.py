@@ -4,8 +4,9 @@ The per-sentence augmenters of the reference are re-aimed:
 
 - a text is an array of whitespace tokens;
 - synonyms come from a ``(word, pos, synonym)`` table. It is joined to the word positions
-  of the texts once (``annotate``), so every position carries its synonyms; an edit, and
-  every further round of edits, is then an expression inside the row;
+  of the texts once (``annotate``; ``annotate_words`` for edits that choose among a text's
+  distinct words), so the row carries its synonyms; an edit, and every further round of
+  edits, is then an expression inside the row;
 - every random choice is ``md5(seed ':' tag ':' id ':' …)``, so a round of
   augmentation is repeatable and independent of partitioning.
 
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanlab.functions import text as T
-from spanlab.functions.keys import draw, seeded_key, unit
+from spanlab.functions.keys import below, draw, seeded_key
 from spanlab.operators.exactk import dense_index, dense_order, with_take_flag
 from spanlab.session import materialize, remove_path, write_once
 
@@ -61,16 +62,39 @@ def annotate(df: DataFrame, syn: DataFrame, text_col: str = "input_text", pos: s
     (one row per word) in one join, are grouped by that number and come back to their row.
     A word that fills many positions is dealt by Spark's skew join.
     """
-    s = syn if pos is None else syn.filter(F.col("pos") == F.lit(pos))
-    lexicon = s.groupBy("word").agg(F.sort_array(F.collect_set("synonym")).alias("syns"))
     rows, _ = write_once(df.withColumn("_uid", F.monotonically_increasing_id()), "annotate-rows")
     places = rows.select("_uid", F.posexplode(words_of(text_col)).alias("at", "word"))
     none = F.array().cast("array<string>")
-    met = places.join(lexicon, "word", "left").withColumn("syns", F.coalesce("syns", none))
+    met = places.join(_lexicon(syn, pos, places), "word", "left").withColumn("syns", F.coalesce("syns", none))
     per_row = met.groupBy("_uid").agg(F.sort_array(F.collect_list(F.struct("at", "word", "syns"))).alias("_a"))
     return rows.join(per_row, "_uid", "left").drop("_uid")
 
 
+def annotate_words(df: DataFrame, syn: DataFrame, text_col: str = "input_text", pos: str | None = None) -> DataFrame:
+    """Rows with ``_w``, their words in order, and ``_v``, each distinct word that has synonyms as ``(word, syns)``.
+
+    For edits that choose a word, wherever it stands: a word meets the lexicon once per row.
+    """
+    rows, _ = write_once(df.withColumn("_uid", F.monotonically_increasing_id()), "annotate-rows")
+    found = rows.select("_uid", F.explode(F.array_distinct(words_of(text_col))).alias("word"))
+    met = found.join(_lexicon(syn, pos, found), "word")
+    per_row = met.groupBy("_uid").agg(F.collect_list(F.struct("word", "syns")).alias("_v"))
+    none = F.array().cast(per_row.schema["_v"].dataType)
+    out = rows.join(per_row, "_uid", "left").drop("_uid")
+    return out.withColumn("_w", words_of(text_col)).withColumn("_v", F.coalesce("_v", none))
+
+
+def _lexicon(syn: DataFrame, pos: str | None, places: DataFrame) -> DataFrame:
+    """One row per word of ``places`` with its synonyms (of part of speech ``pos``).
+
+    The table holds the words of the whole corpus: those that stand nowhere in the rows leave
+    it before synonyms are gathered.
+    """
+    s = syn if pos is None else syn.filter(F.col("pos") == F.lit(pos))
+    s = s.join(places.select("word").distinct(), "word", "left_semi")
+    return s.groupBy("word").agg(F.sort_array(F.collect_set("synonym")).alias("syns")).filter(F.size("syns") > 0)
+
+
 def _chosen(x: Column, id_col: str, seed, tag: str) -> Column:
     """The synonym of an annotated word in a row: the lowest seeded hash; null without synonyms."""
     ranked = F.transform(
@@ -80,49 +104,49 @@ def _chosen(x: Column, id_col: str, seed, tag: str) -> Column:
 
 
 def _candidates(id_col: str, seed, tag: str) -> Column:
-    """Words of a row that have synonyms, as ``(pick key, word, chosen synonym)``."""
+    """Distinct words of a row that have synonyms, as ``(pick key, word, synonyms)``."""
     return F.transform(
-        F.filter("_a", lambda x: F.size(x["syns"]) > 0),
-        lambda x: F.struct(
-            seeded_key(seed, F.lit(tag + "-pick"), F.col(id_col), x["word"]).alias("key"),
-            x["word"].alias("word"),
-            _chosen(x, id_col, seed, tag).alias("synonym"),
+        "_v",
+        lambda v: F.struct(
+            seeded_key(seed, F.lit(tag + "-pick"), F.col(id_col), v["word"]).alias("key"), v["word"].alias("word"), v["syns"].alias("syns")
         ),
     )
 
 
 def _replaced(id_col: str, seed, n: int = 1, tag: str = "sr") -> Column:
-    picked = F.slice(F.array_sort(F.array_distinct(_candidates(id_col, seed, tag))), 1, n)
+    every = _candidates(id_col, seed, tag)
+    first = F.array_compact(F.array(F.array_min(every))) if n == 1 else F.slice(F.sort_array(every), 1, n)
+    picked = F.transform(first, lambda c: F.struct(c["word"].alias("word"), _chosen(c, id_col, seed, tag).alias("synonym")))
     # the few picked words are bound once, beside the row's words
     return F.flatten(
         F.transform(
             F.array(picked),
             lambda some: F.transform(
-                "_a", lambda x: F.coalesce(F.get(F.filter(some, lambda c: c["word"] == x["word"]), F.lit(0))["synonym"], x["word"])
+                "_w", lambda w: F.coalesce(F.get(F.filter(some, lambda c: c["word"] == w), F.lit(0))["synonym"], w)
             ),
         )
     )
 
 
 def _inserted(id_col: str, seed, tag: str = "ri") -> Column:
-    words = F.transform("_a", lambda x: x["word"])
-    insert = F.array_min(_candidates(id_col, seed, tag))["synonym"]
-    at = (draw(seeded_key(seed, F.lit(tag + "-pos"), F.col(id_col)), F.size("_a") + 1) + 1).cast("int")
-    return F.when(insert.isNull(), words).otherwise(F.array_insert(words, at, insert))
+    chosen = F.transform(F.array(F.array_min(_candidates(id_col, seed, tag))), lambda c: _chosen(c, id_col, seed, tag))
+    insert = F.get(chosen, F.lit(0))
+    at = (draw(seeded_key(seed, F.lit(tag + "-pos"), F.col(id_col)), F.size("_w") + 1) + 1).cast("int")
+    return F.when(insert.isNull(), F.col("_w")).otherwise(F.array_insert("_w", at, insert))
 
 
 def _lexical(id_col: str, seed, p: float = 0.5, tag: str = "wn") -> Column:
     def word(x, i):
-        hit = unit(seeded_key(seed, F.lit(tag), F.col(id_col), i)) < F.lit(float(p))
-        return F.when(hit & (F.size(x["syns"]) > 0), _chosen(x, id_col, seed, tag)).otherwise(x["word"])
+        hit = below(seeded_key(seed, F.lit(tag), F.col(id_col), i), float(p))
+        return F.when((F.size(x["syns"]) > 0) & hit, _chosen(x, id_col, seed, tag)).otherwise(x["word"])
 
     return F.transform("_a", word)
 
 
 def synonym_replace(df, syn, id_col="tweet_id", text_col="input_text", n=1, seed=25, out="augmented", tag="sr"):
     """H1: replace (every occurrence of) ``n`` distinct words that have synonyms, each by one synonym."""
-    x = annotate(df, syn, text_col)
-    return x.withColumn(out, F.array_join(_replaced(id_col, seed, n, tag), " ")).drop("_a")
+    x = annotate_words(df, syn, text_col)
+    return x.withColumn(out, F.array_join(_replaced(id_col, seed, n, tag), " ")).drop("_w", "_v")
 
 
 def _prepare(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -136,7 +160,7 @@ def _finish(df: DataFrame, words: Column, out: str) -> DataFrame:
 def random_delete(df, id_col="tweet_id", text_col="input_text", p=0.2, seed=25, out="augmented", tag="rd"):
     """H2: drop each word with probability ``p``; a one-word text stays; if all go, keep one random word."""
     x = _prepare(df, id_col, text_col)
-    kept = F.filter("_w", lambda t, i: unit(seeded_key(seed, F.lit(tag), F.col(id_col), i)) >= F.lit(float(p)))
+    kept = F.filter("_w", lambda t, i: ~below(seeded_key(seed, F.lit(tag), F.col(id_col), i), float(p)))
     keep_one = F.array(F.element_at("_w", (draw(seeded_key(seed, F.lit(tag + "-keep"), F.col(id_col)), F.size("_w")) + 1).cast("int")))
     words = F.when(F.size("_w") <= 1, F.col("_w")).when(F.size(kept) == 0, keep_one).otherwise(kept)
     return _finish(x, words, out)
@@ -160,8 +184,8 @@ def random_swap(df, id_col="tweet_id", text_col="input_text", seed=25, out="augm
 
 def random_insert(df, syn, id_col="tweet_id", text_col="input_text", seed=25, out="augmented", tag="ri"):
     """H4: insert a synonym of a random word (one that has synonyms) at a random position."""
-    x = annotate(df, syn, text_col)
-    return x.withColumn(out, F.array_join(_inserted(id_col, seed, tag), " ")).drop("_a")
+    x = annotate_words(df, syn, text_col)
+    return x.withColumn(out, F.array_join(_inserted(id_col, seed, tag), " ")).drop("_w", "_v")
 
 
 def lexical_replace(df, syn, id_col="tweet_id", text_col="input_text", pos="v", p=0.5, seed=25, out="augmented", tag="wn"):
@@ -170,9 +194,9 @@ def lexical_replace(df, syn, id_col="tweet_id", text_col="input_text", pos="v",
     return x.withColumn(out, F.array_join(_lexical(id_col, seed, p, tag), " ")).drop("_a")
 
 
-# The kinds' names. A kind is the part of speech its lexicon is cut to (None: all;
-# no lexicon for the last two) and what it makes of a row.
-LEXICON_KINDS = {"sr": (None, _replaced), "ri": (None, _inserted), "Wordnet": ("v", _lexical)}
+# The kinds' names. A kind is how its rows meet the lexicon, the part of speech that is
+# cut to (None: all; no lexicon for the last two) and what it makes of a row.
+LEXICON_KINDS = {"sr": (annotate_words, None, _replaced), "ri": (annotate_words, None, _inserted), "Wordnet": (annotate, "v", _lexical)}
 PLAIN_KINDS = {"rd": random_delete, "rs": random_swap}
 
 
@@ -182,14 +206,15 @@ def annotate_for(df: DataFrame, kind: str, syn: DataFrame | None, text_col: str
         return df
     if kind not in LEXICON_KINDS:
         raise ValueError(f"unknown kind {kind!r}: expected one of {sorted([*LEXICON_KINDS, *PLAIN_KINDS])}")
-    return annotate(df, syn, text_col, LEXICON_KINDS[kind][0])
+    meet, pos, _ = LEXICON_KINDS[kind]
+    return meet(df, syn, text_col, pos)
 
 
 def augment_rows(df: DataFrame, kind: str, id_col: str, text_col: str = "input_text", seed=25, out: str = "augmented") -> DataFrame:
     """One edit of each row of ``annotate_for``; the id seeds its choices."""
     if kind in PLAIN_KINDS:
         return PLAIN_KINDS[kind](df, id_col=id_col, text_col=text_col, seed=seed, out=out)
-    return df.withColumn(out, F.array_join(LEXICON_KINDS[kind][1](id_col, seed), " "))
+    return df.withColumn(out, F.array_join(LEXICON_KINDS[kind][2](id_col, seed), " "))
 
 
 def quota_plan(n: int, size: int) -> tuple[int, int]:

@@ -310,8 +310,7 @@ from spanlab.operators import augment as AU  # noqa: E402
 
 
 def _positives(spark, sf):
-    p = V.prepared_class(spark, sf)
-    return p.filter(F.col("target_text") == T.POSITIVE_CLASS_TEXT)
+    return _rare(V.prepared_class(spark, sf))
 
 
 def _synonyms(spark, sf):
@@ -342,49 +341,64 @@ def q_h5_lexical_replace(spark, sf):
     return AU.lexical_replace(_positives(spark, sf), _synonyms(spark, sf)).select("tweet_id", "augmented")
 
 
-def _quota(spark, sf):
-    p = V.prepared_class(spark, sf)
-    stats = p.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_text") == T.POSITIVE_CLASS_TEXT).alias("pos")).first()
+def _written(rows, name):
+    """``rows`` written once: the query reads them in several passes."""
+    return write_once(rows, name)[0]
+
+
+def _rare(prepared):
+    return prepared.filter(F.col("target_text") == T.POSITIVE_CLASS_TEXT)
+
+
+def _quota(prepared):
+    stats = prepared.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("target_text") == T.POSITIVE_CLASS_TEXT).alias("pos")).first()
     return max(0, stats["n"] // 5 - stats["pos"])
 
 
 def q_h6_augment_to(spark, sf):
-    return AU.augment_to(_positives(spark, sf), _quota(spark, sf), "rd")
+    p = _written(V.prepared_class(spark, sf), "prepared")
+    return AU.augment_to(_rare(p), _quota(p), "rd")
 
 
-def _augmented(spark, sf, kind):
-    return AU.augment_to(_positives(spark, sf), _quota(spark, sf), kind, _synonyms(spark, sf))
+def _augmented(prepared, kind):
+    return AU.augment_to(_rare(prepared), _quota(prepared), kind, AU.synonym_table_from_corpus(prepared, "input_text"))
 
 
 def q_h6_augment_to_sr(spark, sf):
-    return _augmented(spark, sf, "sr")
+    return _augmented(_written(V.prepared_class(spark, sf), "prepared"), "sr")
 
 
 def q_h6_augment_to_ri(spark, sf):
-    return _augmented(spark, sf, "ri")
+    return _augmented(_written(V.prepared_class(spark, sf), "prepared"), "ri")
 
 
 def q_h6_augment_to_wordnet(spark, sf):
-    return _augmented(spark, sf, "Wordnet")
+    return _augmented(_written(V.prepared_class(spark, sf), "prepared"), "Wordnet")
+
+
+def _appended(spark, sf, kind):
+    p = _written(V.prepared_class(spark, sf), "prepared")
+    return AU.append_augmented(p, _augmented(p, kind), kind, T.CLASS_PREFIX)
 
 
 def q_h7_append_sr(spark, sf):
     """H6 into H7: the quota of the rare class filled with synonym replacements."""
-    return AU.append_augmented(V.prepared_class(spark, sf), _augmented(spark, sf, "sr"), "sr", T.CLASS_PREFIX)
+    return _appended(spark, sf, "sr")
 
 
 def q_h7_append_ri(spark, sf):
-    return AU.append_augmented(V.prepared_class(spark, sf), _augmented(spark, sf, "ri"), "ri", T.CLASS_PREFIX)
+    return _appended(spark, sf, "ri")
 
 
 def q_h7_append_wordnet(spark, sf):
-    return AU.append_augmented(V.prepared_class(spark, sf), _augmented(spark, sf, "Wordnet"), "Wordnet", T.CLASS_PREFIX)
+    return _appended(spark, sf, "Wordnet")
 
 
 def q_h7_append_markov(spark, sf):
     """H9 into H7: walked sentences appended to the corpus."""
-    texts = AU.markov_generate(_positives(spark, sf), _quota(spark, sf)).select(F.col("text").alias("augmented"))
-    return AU.append_augmented(V.prepared_class(spark, sf), texts, "markov", T.CLASS_PREFIX)
+    p = _written(V.prepared_class(spark, sf), "prepared")
+    texts = AU.markov_generate(_rare(p), _quota(p)).select(F.col("text").alias("augmented"))
+    return AU.append_augmented(p, texts, "markov", T.CLASS_PREFIX)
 
 
 def q_h7_append_augmented(spark, sf):
@@ -397,12 +411,13 @@ def q_h8_markov_table(spark, sf):
 
 
 def q_h9_markov_generate(spark, sf):
-    return AU.markov_generate(_positives(spark, sf), _quota(spark, sf))
+    p = _written(V.prepared_class(spark, sf), "prepared")
+    return AU.markov_generate(_rare(p), _quota(p))
 
 
 def q_h10_augment_spans(spark, sf):
-    spans = V.prepared_spans(spark, sf)
-    return AU.with_augmented_spans(spans, _synonyms(spark, sf), n=_quota(spark, sf))
+    spans = _written(V.prepared_spans(spark, sf), "prepared-spans")
+    return AU.with_augmented_spans(spans, _synonyms(spark, sf), n=_quota(V.prepared_class(spark, sf)))
 
 
 # --- progress logs (M1) -----------------------------------------------------
@@ -469,7 +484,7 @@ def q_l3_evaluate_run(spark, sf):
 
 # --- sources and sinks (A1–A8) ----------------------------------------------
 from spanlab.sources import io as IO  # noqa: E402
-from spanlab.session import scratch_path  # noqa: E402
+from spanlab.session import scratch_path, write_once  # noqa: E402
 
 
 def q_a1_read_tsv(spark, sf):

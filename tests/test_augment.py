@@ -126,3 +126,32 @@ def test_dense_order_over_ranges(spark):
     want = [(r.w, r.id) for r in df.orderBy(F.md5("w"), "id").collect()]
     assert sorted(got) == [(i, *x) for i, x in enumerate(want)]
     assert dense_order(df.limit(0), ["w"]).collect() == []
+
+
+def test_a_word_meets_the_lexicon_once_per_row(spark):
+    rows = [("1", "the cat  sat"), (None, None), ("4", ""), ("5", "cat " * 5000 + "mat")]
+    df = spark.createDataFrame(rows, "tweet_id string, input_text string").repartition(3)
+    by = {r.tweet_id: r for r in AU.annotate_words(df, _syn(spark)).collect()}
+    assert len(by) == 4 and len(by["5"]._w) == 5001 and sorted((v.word, v.syns) for v in by["5"]._v) == [("cat", ["dog"]), ("mat", ["rug"])]
+    assert by["1"]._w == ["the", "cat", "sat"] and by[None]._w is None and by["4"]._w == [""] and by["4"]._v == []
+    sr = {r.tweet_id: r.augmented for r in AU.synonym_replace(df, _syn(spark), n=2).collect()}
+    assert sr == {"1": "the dog rested", None: None, "4": "", "5": "dog " * 5000 + "rug"}
+
+
+def test_augmented_corpus_is_prepared_once(spark, sf_small):
+    """What comes back reads the rows written once, not the tables again."""
+    from spanlab.plans import catalog
+
+    for query in (catalog.q_h7_append_sr, catalog.q_h6_augment_to_wordnet, catalog.q_h10_augment_spans):
+        assert not [f for f in query(spark, sf_small).inputFiles() if "documents.parquet" in f], query
+
+
+def test_digits_below_a_share_are_numbers_below_it(spark):
+    from spanlab.functions.keys import below, unit
+
+    half = f"{1 << 51:013x}"
+    keys = [half, f"{(1 << 51) - 1:013x}", "0" * 13, "f" * 13, None, *(r.k[:13] for r in spark.range(500).select(F.md5(F.col("id").cast("string")).alias("k")).collect())]
+    df = spark.createDataFrame([(k and k + "0" * 19,) for k in keys], "k string")
+    for p in (0.0, 0.2, 0.5, 0.99, 1.0):
+        rows = df.select(below(F.col("k"), p).alias("a"), (unit(F.col("k")) < F.lit(p)).alias("b")).collect()
+        assert [r.a for r in rows] == [r.b for r in rows], p

@@ -150,3 +150,18 @@ def test_demojize_long_text_in_one_pass(spark):
     table = {"\U0001F600": "grin", "\U0001F44D": "up", "\U0001F44D\U0001F3FD": "up_medium"}
     got = spark.createDataFrame([(long,)], "t string").select(T.demojize("t", table.items())).first()[0]
     assert got == long.replace("\U0001F600", ":grin:").replace("\U0001F44D\U0001F3FD", ":up_medium:")
+
+
+def test_cleaning_by_quick_looks_is_the_plain_cleaning(spark):
+    """Patterns that pass ordinary characters by find what the plain ones find."""
+    from spanlab.plans import testviews as V
+
+    texts = ["HTTP://a.b c", "xhttp://a b", "éwww.x y", "-www.x_y__z", "wwww.q www. q r", "WwW.😀 😀_💊", "ſhttp://x", "\t\n hh  ww www.z", "❤ 👍🏽👍", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    plain = T.emoji_pattern([e for e, _ in V.EMOJI_TABLE]).split(")", 1)[1]  # without the range
+    urls = F.regexp_replace("t", T.URL_PATTERN, "")
+    for r in df.select(T.strip_urls("t").alias("a"), F.trim(F.regexp_replace(urls, T.WHITESPACE_RUN, " ")).alias("b"),
+                       T.strip_underscores("t").alias("c"), F.regexp_replace("t", "_+", "").alias("d"),
+                       F.split("t", T.emoji_pattern([e for e, _ in V.EMOJI_TABLE])).alias("e"), F.split("t", plain).alias("f")).collect():
+        assert (r.a, r.c, r.e) == (r.b, r.d, r.f)
+    assert plain.startswith("(?=[") and "(?=[hw])" in T.URL_PATTERN_JAVA
