@@ -537,23 +537,25 @@ def q_a3_parquet_roundtrip(spark, sf):
     return IO.read_table(spark, path, fmt="parquet")
 
 
-def _write_runs(spark, sf, runs_df, names):
+def _write_runs(spark, runs_df, names):
+    """One folder per run. Every run holds the whole texts twice, so its files are compressed."""
     root = scratch_path(spark, "runs")
     cols = ["tweet_id", "tweet", "prefix", "input_text", "target_text", "predicted_text"]
     for i, name in enumerate(names):  # one folder per run, as the run directories of the reference
         # every run has its columns in another order, and one more than the run before it
         rows = runs_df.filter(F.col("run") == name).select("*", *[F.lit(name).alias(f"note{k}") for k in range(i)])
-        IO.write_csv(rows, f"{root}/{name}/{IO.PREDICTIONS_FILE}", cols[i:] + [f"note{k}" for k in range(i)] + cols[:i])
+        order = cols[i:] + [f"note{k}" for k in range(i)] + cols[:i]
+        IO.write_csv(rows, f"{root}/{name}/{IO.PREDICTIONS_FILE}", order, compression="gzip")
     return root
 
 
 def q_a4_read_runs(spark, sf):
-    root = _write_runs(spark, sf, V.span_runs(spark, sf), V.SPAN_RUNS)
+    root = _write_runs(spark, V.span_runs(spark, sf, passes=len(V.SPAN_RUNS)), V.SPAN_RUNS)
     return IO.read_runs(spark, root).select("run", "tweet_id", "predicted_text")
 
 
 def q_a6_load_ensemble(spark, sf):
-    root = _write_runs(spark, sf, V.span_runs(spark, sf), V.SPAN_RUNS)
+    root = _write_runs(spark, V.span_runs(spark, sf, passes=len(V.SPAN_RUNS)), V.SPAN_RUNS)
     cfg_path = scratch_path(spark, "ensemble-config")
     IO.write_config(spark, cfg_path, root, V.SPAN_RUNS, "ner_ensemble")
     cfg = IO.load_ensemble(spark, cfg_path)

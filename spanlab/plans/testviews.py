@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from spanlab.functions import text as T
 from spanlab.operators import joins
+from spanlab.session import write_once
 
 # Fixed values of the mapping (shared with the oracle).
 CLASS_RUNS = ["assert_run_a", "assert_run_b", "assert_run_c"]
@@ -168,11 +169,12 @@ def class_runs(spark, sf_dir) -> DataFrame:
     return r.select("run", "tweet_id", "tweet", "prefix", "input_text", "target_text", pred.alias("predicted_text"))
 
 
-def span_runs(spark, sf_dir, with_gold: bool = False) -> DataFrame:
+def span_runs(spark, sf_dir, with_gold: bool = False, passes: int = 1) -> DataFrame:
     """Three rule runs over the extraction rows, by the first md5 hex digit of (run, id).
 
     ``with_gold`` keeps the joined gold spans (``gold``) of the same label attachment,
-    so scoring needs no second attachment."""
+    so scoring needs no second attachment. Rows read in several ``passes`` (one for each
+    run that is written) are attached and cleaned once and written."""
     rows = _span_rows(spark, sf_dir)
     prep = rows.select(
         "tweet_id",
@@ -182,6 +184,8 @@ def span_runs(spark, sf_dir, with_gold: bool = False) -> DataFrame:
         T.fill_label("label", T.NEGATIVE_SPAN).alias("target_text"),
         T.fill_label("label_joined", T.NEGATIVE_SPAN).alias("gold"),
     )
+    if passes > 1:
+        prep, _ = write_once(prep, "span-rows")
     r = prep.withColumn("run", F.explode(F.array(*[F.lit(x) for x in SPAN_RUNS])))
     w = _words("tweet")
     s1 = _phrase(w, "a", "tweet_id", 3)
