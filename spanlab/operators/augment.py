@@ -15,6 +15,8 @@ Texts are processed whole; per-row work is linear in the text length.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -358,7 +360,7 @@ def markov_generate(
     slot whose range holds it. ``n × tries`` walks run in parallel for ``max_words + 1``
     steps. The chain is dealt and sorted by (state, slot) once, so a step moves and sorts
     only the walks; finished walks keep their place under a key of their own. Walks are cut
-    from their lineage every ``STEPS_PER_TABLE`` steps. Per sentence the first try that ends
+    from their lineage every ``STEPS_PER_TABLE`` steps, and those that are finished stay there. Per sentence the first try that ends
     inside the length bounds and is not a sentence of the corpus wins. One refill round
     covers duplicates; it walks along with the first, so the chain is read once a step. The
     result is distinct.
@@ -376,7 +378,7 @@ def markov_generate(
         at = draw(seeded_key(seed, F.lit("walk"), F.col("round"), F.col("sent"), F.col("try"), F.lit(number)), F.col("_tot"))
         done = F.col("done")
         drawn = walks.select(
-            "round", "sent", "try", "words", "done", at.alias("_at"),
+            "round", "sent", "try", "text", "n", "done", at.alias("_at"),
             # no slot is negative: finished walks meet nothing, each under its own key
             F.when(done, F.col("sent").cast("string")).otherwise(F.col("state")).alias("state"),
             F.when(done, F.lit(-1).cast("bigint")).otherwise(F.floor(at / SLOT)).alias("slot"),
@@ -384,27 +386,32 @@ def markov_generate(
         met = drawn.join(chain.hint("merge"), ["state", "slot"], "left")
         entry = F.get(F.filter("entries", lambda e: e["upto"] > F.col("_at")), F.lit(0))
         ends = entry["next"] == END
-        words = F.when(done | ends, F.col("words")).otherwise(F.concat("words", F.array(entry["next"])))
-        return met.select(
-            "round", "sent", "try", words.alias("words"), entry["leads"].alias("state"), entry["total"].alias("_tot"),
-            (done | ends | (F.size(words) > max_words)).alias("done"),
+        longer = F.when(F.col("n") == 0, entry["next"]).otherwise(F.concat("text", F.lit(" "), entry["next"]))
+        n_words = F.when(done | ends, F.col("n")).otherwise(F.col("n") + 1)
+        moved = met.select(
+            "round", "sent", "try", F.when(done | ends, F.col("text")).otherwise(longer).alias("text"), n_words.alias("n"),
+            entry["leads"].alias("state"), entry["total"].alias("_tot"), (done | ends | (n_words > max_words)).alias("done"),
         )
+        # a walk that is done outside the bounds cannot win: it moves no further
+        return moved.filter(~F.col("done") | F.col("n").between(min_words, max_words))
 
     # both rounds walk at once: the second has a sentence for each of the first that may be missing
     walks = spark.range(0, 2 * n).select(
         F.floor(F.col("id") / max(n, 1)).cast("int").alias("round"), F.col("id").alias("sent"),
-        F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"), F.array().cast("array<string>").alias("words"),
+        F.explode(F.sequence(F.lit(0), F.lit(tries - 1))).alias("try"), F.lit("").alias("text"), F.lit(0).alias("n"),
         F.lit(begin).alias("state"), F.lit(start).cast("bigint").alias("_tot"), F.lit(False).alias("done"),
     ).filter(F.col("_tot") > 0)
+    ended = []
     for number in range(max_words + 1):
         walks = step(walks, number)
         if (number + 1) % STEPS_PER_TABLE == 0 and number < max_words:
             walks, path = write_once(walks, "markov-walks")
             made.append(path)
+            ended.append(walks.filter("done"))  # these stay in their table
+            walks = walks.filter(~F.col("done"))
     # a walk that is done has its end or a word too many
-    ok = walks.filter((F.size("words") >= min_words) & (F.size("words") <= max_words)).select(
-        "round", "sent", "try", F.array_join("words", " ").alias("text")
-    )
+    ok = functools.reduce(DataFrame.unionByName, [*ended, walks])
+    ok = ok.filter(F.col("n").between(min_words, max_words)).select("round", "sent", "try", "text")
     ok = ok.join(known, ok["text"] == known["_known"], "left_anti")
     texts, _ = write_once(ok.groupBy("round", "sent").agg(F.min_by("text", F.col("try")).alias("text")), "markov-sentences")
     have = texts.filter("round = 0").select("text").distinct().count()

@@ -155,3 +155,20 @@ def test_digits_below_a_share_are_numbers_below_it(spark):
     for p in (0.0, 0.2, 0.5, 0.99, 1.0):
         rows = df.select(below(F.col("k"), p).alias("a"), (unit(F.col("k")) < F.lit(p)).alias("b")).collect()
         assert [r.a for r in rows] == [r.b for r in rows], p
+
+
+def test_walks_that_cannot_win_move_no_further(spark, monkeypatch):
+    """Tables between the steps hold a text per walk, and no walk that ended outside the bounds."""
+    made, real = [], AU.write_once
+
+    def spy(df, name):
+        out = real(df, name)
+        if name == "markov-walks":
+            made.append([(r.n, r.done) for r in out[0].select("n", "done").collect()])
+        return out
+
+    monkeypatch.setattr(AU, "write_once", spy)
+    df = spark.createDataFrame([("1", "a b c. a b d e f g h i j k l m n. b c a b c a b d.")], "tweet_id string, input_text string")
+    out = [r.text for r in AU.markov_generate(df, 20, min_words=5, max_words=12).collect()]
+    assert out and all(5 <= len(t.split(" ")) <= 12 for t in out)
+    assert len(made) == 1 and made[0] and all(5 <= n <= 12 for rows in made for n, done in rows if done)
