@@ -141,3 +141,14 @@ def test_slices_nulls_and_white_space(tokenizer):
     texts = ["cut", None, "", " \t\n\r\x0b\x0c ", " a  b\n", "x\x1cy \x85 z\xa0w", "A\x00b", "café\u2003au", None]
     got = P.WordIds(P.default_tokenizer()).encode(pa.array(texts).slice(1))
     assert [x.tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts[1:]]
+
+
+def test_a_worker_splits_about_a_megabyte_of_texts_at_a_time():
+    import pyarrow as pa
+
+    from spanlab.llm import packing as P
+
+    batch = pa.RecordBatch.from_pydict({"text": ["word " * 2000] * 300 + [None, "x" * (3 << 20), "y"]})
+    slices = list(P.groups(batch, "text"))
+    assert sum(s.num_rows for s in slices) == batch.num_rows
+    assert all(s.num_rows == 1 or sum(len(t or "") for t in s.column("text").to_pylist()) <= 1 << 20 for s in slices)
