@@ -150,15 +150,15 @@ def summed_vector(rows: DataFrame, length: int) -> np.ndarray:
                 else:
                     sums[c] = np.concatenate([part, np.zeros(CHUNK - len(part), np.int64)])
         yield pa.RecordBatch.from_pydict(
-            {"chunk": pa.array(list(sums), pa.int32()), "cells": pa.array([v.tobytes() for v in sums.values()], pa.binary())}
+            {"chunk": pa.array(list(sums), pa.int32()), "cells": pa.array([pack(v) for v in sums.values()], pa.binary())}
         )
 
     chunks = max(1, -(-length // CHUNK))
     total = np.zeros(chunks * CHUNK, dtype=np.int64)
     # a first sum within each partition keeps the exchange at partitions x chunks rows
-    summed = rows.repartition(chunks, F.col("chunk")).mapInArrow(lean(add), "chunk int, cells binary")
+    summed = rows.repartition(max(1, chunks // 4), F.col("chunk")).mapInArrow(lean(add), "chunk int, cells binary")
     for r in summed.collect():
-        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(bytes(r["cells"]), np.int64)
+        total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += unpack(bytes(r["cells"]), np.int64)
     return total[:length]
 
 

@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import WordHashes, bytes_column, has, id_filter, lean, summed_vector, vector_rows, windows
+from spanlab.llm.arrays import WordHashes, bytes_column, give_back, has, id_filter, lean, summed_vector, vector_rows, windows
 from spanlab.llm.common import table, temporary, written
 from spanlab.llm.graph import connected_components
 from spanlab.llm.secret_scan import blob_id
@@ -115,13 +115,20 @@ class Order:
     """The global order: rank of each cell, and the fragment that its shingles fall into."""
 
     def __init__(self, counts: np.ndarray, fragments: int = FRAGMENTS):
-        by_count = np.lexsort((np.arange(len(counts)), counts))
-        self.rank = np.empty(len(counts), dtype=np.uint32)
-        self.rank[by_count] = np.arange(len(counts), dtype=np.uint32)
-        mass = np.cumsum(counts[by_count])
-        share = (mass - counts[by_count] / 2) / max(1, mass[-1])
-        self.fragment = np.empty(len(counts), dtype=np.uint8)
-        self.fragment[by_count] = np.minimum(fragments - 1, (share * fragments).astype(np.uint8))
+        # count and cell in one number, sorted in place: the driver holds few arrays of this length
+        key = counts << BUCKET_BITS
+        key |= np.arange(len(key), dtype=np.uint32)
+        key.sort()
+        cells = len(key) - 1
+        self.rank = np.empty(len(key), dtype=np.uint32)
+        self.fragment = np.empty(len(key), dtype=np.uint8)
+        total, before, part = max(1, int(counts.sum())), 0, 1 << 16
+        for at in range(0, len(key), part):
+            cell, count = key[at : at + part] & cells, key[at : at + part] >> BUCKET_BITS
+            mass = before + np.cumsum(count)
+            self.rank[cell] = np.arange(at, at + len(cell), dtype=np.uint32)
+            self.fragment[cell] = np.minimum(fragments - 1, ((mass - count / 2) / total * fragments).astype(np.uint8))
+            before = int(mass[-1])
 
 
 def prefix_rows(docs: DataFrame, order, column: str = "text") -> DataFrame:
@@ -197,6 +204,7 @@ def counted_links(pairs: DataFrame, docs: DataFrame, order, column: str = "text"
     wanted = spark.sparkContext.broadcast(id_filter(ends, "cls"))
     segments = segment_rows(docs, wanted, order, column).join(ends, "cls", "left_semi")
     segments = written(segments.groupBy("cls", "f").agg(F.first("tokens").alias("tokens")), "join-segments")
+    wanted.destroy()
     left = segments.select(F.col("cls").alias("a"), "f", F.col("tokens").alias("ta"))
     right = segments.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("tb"))
     partial = pairs.join(left, "a").join(right, ["b", "f"]).select(
@@ -242,6 +250,7 @@ def labelled_sets(docs: DataFrame, column: str = "text", mark: str | None = None
     sets = both.filter("chunk IS NULL").select("doc_id", "n", "cls", *marks)
     order = Order(summed_vector(both.filter("chunk IS NOT NULL").select("chunk", "cells"), BUCKETS))
     order = spark.sparkContext.broadcast(order)
+    give_back()
 
     # lists of several classes; a class that several tasks have sent stands in a list once
     in_list = Window.partitionBy("token").orderBy("cls")
@@ -284,7 +293,9 @@ def labelled_sets(docs: DataFrame, column: str = "text", mark: str | None = None
     labels = sets.join(linked, F.col("cls") == F.col("node"), "left").select(
         "doc_id", "n", "cls", F.coalesce("component", "cls").alias("label"), *marks
     )
-    return written(labels, "join-labels")
+    labels = written(labels, "join-labels")
+    order.destroy()
+    return labels
 
 
 def components(docs: DataFrame, column: str = "text") -> DataFrame:

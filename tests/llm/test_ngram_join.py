@@ -1,6 +1,8 @@
 import re
+import tracemalloc
 
 import duckdb
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -105,3 +107,16 @@ def test_components_of_long_chain_and_star(spark):
     out = {r["node"]: r["component"] for r in connected_components(df).collect()}
     assert out == {**{i: 100 for i in range(100, 401)}, **{k: 1000 for k in range(1000, 1200)}}
     assert connected_components(df.limit(0)).count() == 0
+
+
+def test_order_takes_little_memory():
+    counts = np.random.default_rng(1).poisson(3, N.BUCKETS).astype(np.int64)
+    counts[77] = 1 << 34
+    by_count = np.lexsort((np.arange(len(counts)), counts))
+    tracemalloc.start()
+    order = N.Order(counts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (order.rank[by_count] == np.arange(len(counts))).all()
+    assert (np.diff(order.fragment[by_count].astype(int)) >= 0).all()
+    assert peak < 2.5 * counts.nbytes
