@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 from functools import wraps
 
 import numpy as np
@@ -56,6 +57,49 @@ def windows(h: np.ndarray, k: int, seed: int = 0, step: np.uint64 = STEP) -> np.
     return mix(acc)
 
 
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+
+
+def word_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, ASCII letters in lower case, and each text's first word
+    (and the number of words as the last).
+
+    A word is the sum of one pseudo-random number per byte and place in the word, so two words
+    are equal by chance only. Texts far above ``size`` bytes are hashed in parts.
+    """
+    if len(texts) == 1 and len(texts[0]) > 2 * size:
+        h, at = [], 0
+        while at < len(texts[0]):
+            cut = BLANK.search(texts[0], at + size)
+            to = cut.end() if cut else len(texts[0])
+            h.append(word_hashes([texts[0][at:to]], to - at)[0])
+            at = to
+        h = np.concatenate(h)
+        return h, np.array([0, len(h)])
+    data = np.frombuffer(b"".join(texts).lower(), np.uint8)
+    edges = np.cumsum([0, *map(len, texts)])
+    letter = (data - np.uint8(9) > 4) & (data != 32)
+    start = letter.copy()
+    start[1:] &= ~letter[:-1]
+    inner = edges[edges < len(data)]
+    start[inner] = letter[inner]  # words end with their text
+    at = np.flatnonzero(start)
+    first = np.searchsorted(at, edges)
+    if not len(at):
+        return np.empty(0, dtype=np.uint64), first
+    # from the first word on: place in the word and byte, spread; blanks behind a word add nothing
+    data, letter, at = data[at[0] :], letter[at[0] :], at - at[0]
+    code = np.arange(len(data), dtype=np.uint64)
+    code -= np.repeat(at.astype(np.uint64), np.diff(at, append=len(data)))
+    code <<= np.uint64(8)
+    code |= data
+    code += np.uint64(1)
+    code *= STEP
+    code = mix(code)
+    code *= letter
+    return np.add.reduceat(code, at), first
+
+
 def pack(x: np.ndarray) -> bytes:
     """Compressed bytes of an integer array (byte planes, then zstd)."""
     size = x.dtype.itemsize

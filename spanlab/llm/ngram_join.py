@@ -18,8 +18,10 @@ Steps:
    counted over the fragments, and links give first components. A group of near copies
    collapses here with about one pair per member.
 4. All pairs of a list that are still in *different* components are then paired, subject to
-   an exact bound: the first common shingle of two sets that link stands so early in both
-   that what follows it can still make up the overlap. Those not counted yet are counted.
+   two exact bounds: the first common shingle of two sets that link stands so early in both
+   that what follows it can still make up the overlap, and so can what follows the prefix
+   that ends first together with the shingles that both still have in lists. Those not
+   counted yet are counted.
    Pairs inside one component cannot change it, so no link between components is lost and
    no group is paired all with all.
 
@@ -33,7 +35,7 @@ them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,29 +43,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanlab.llm.arrays import WordHashes, bytes_column, give_back, has, id_filter, lean, summed_vector, vector_rows, windows
+from spanlab.llm.arrays import bytes_column, give_back, has, id_filter, lean, summed_vector, vector_rows, windows, word_hashes
 from spanlab.llm.common import table, temporary, written
 from spanlab.llm.graph import connected_components
 from spanlab.llm.secret_scan import blob_id
 from spanlab.session import ship_package
 
 SHINGLE = 5
-MEMO = 150_000  # words whose hash a task remembers
+GROUP = 1 << 17  # bytes of texts that are hashed together
 PERCENT = 80
 BUCKET_BITS = 22
 BUCKETS = 1 << BUCKET_BITS
 FRAGMENTS = 4
 
 
-def shingle_set(text: bytes | None, hashes: WordHashes) -> np.ndarray:
-    """Sorted distinct shingle hashes of a text; ASCII letters in lower case."""
-    words = (text or b"").lower().split()
-    if not words:
-        return np.empty(0, dtype=np.uint64)
-    h = hashes.of(words)
-    if len(h) < SHINGLE:
-        return windows(h, len(h), seed=len(h))
-    return np.unique(windows(h, SHINGLE))
+def shingle_sets(texts: Iterable[bytes | None]) -> Iterator[np.ndarray]:
+    """Sorted distinct shingle hashes of each text; ASCII letters in lower case.
+
+    Texts are hashed together, about ``GROUP`` bytes at a time.
+    """
+    group, size = [], 0
+    for text in texts:
+        group.append(text or b"")
+        size += len(group[-1])
+        if size >= GROUP:
+            yield from _group_sets(group)
+            group, size = [], 0
+    yield from _group_sets(group)
+
+
+def _group_sets(group: list[bytes]) -> Iterator[np.ndarray]:
+    h, first = word_hashes(group, GROUP)
+    runs = windows(h, SHINGLE)
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+        if z - a < SHINGLE:
+            yield windows(h[a:z], z - a, seed=z - a) if a < z else h[:0]
+        else:
+            yield distinct(runs[a : z - SHINGLE + 1])
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values of a non-empty array."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])]
 
 
 def set_class(s: np.ndarray) -> int:
@@ -71,29 +93,33 @@ def set_class(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
+def text_key(text: bytes) -> int:
+    """Signed 64-bit key of a whole text."""
+    return xxhash.xxh3_64_intdigest(text) - (1 << 63)
+
+
 def buckets_of(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
 
 
 def set_rows(docs: DataFrame, column: str = "text", mark: str | None = None) -> DataFrame:
-    """doc_id, n (set size), cls (class, null if empty), and rows of the shingle counts (chunk, cells).
+    """doc_id, n (set size), cls (class, null if empty), txt (key of the text), and rows of the shingle counts (chunk, cells).
 
     ``mark``: a binary column that goes along with each row.
     """
-    names = ["doc_id", "n", "cls", "chunk", "cells"] + ([mark] if mark else [])
+    names = ["doc_id", "n", "cls", "txt", "chunk", "cells"] + ([mark] if mark else [])
 
     def one(batches: Iterator[pa.RecordBatch]):
-        hashes, counts = WordHashes(MEMO), np.zeros(BUCKETS, dtype=np.int32)
+        counts, once = np.zeros(BUCKETS, dtype=np.int32), np.int32(1)
         for b in batches:
-            n, cls = [], []
-            for text in bytes_column(b, column):
-                s = shingle_set(text, hashes)
+            n, cls, texts = [], [], bytes_column(b, column)
+            for s in shingle_sets(texts):
                 n.append(len(s))
                 cls.append(set_class(s) if len(s) else None)
-                np.add.at(counts, buckets_of(s), 1)
-            rows = len(n)
+                np.add.at(counts, buckets_of(s), once)
+            rows, txt = len(n), [text_key(x) if k else None for x, k in zip(texts, n)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
+                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(cls, pa.int64()), pa.array(txt, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())]
                 + ([b.column(mark)] if mark else []),
                 names=names,
             )
@@ -101,14 +127,14 @@ def set_rows(docs: DataFrame, column: str = "text", mark: str | None = None) ->
         if v:
             k = len(v)
             yield pa.RecordBatch.from_arrays(
-                [pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array([c for c, _ in v], pa.int32()), pa.array([x for _, x in v], pa.binary())]
+                [pa.nulls(k, pa.int64())] * 4 + [pa.array([c for c, _ in v], pa.int32()), pa.array([x for _, x in v], pa.binary())]
                 + ([pa.nulls(k, pa.binary())] if mark else []),
                 names=names,
             )
 
     marks = [F.col(mark)] if mark else []
     src = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(column), *marks)
-    return src.mapInArrow(lean(one), "doc_id long, n long, cls long, chunk int, cells binary" + (f", {mark} binary" if mark else ""))
+    return src.mapInArrow(lean(one), "doc_id long, n long, cls long, txt long, chunk int, cells binary" + (f", {mark} binary" if mark else ""))
 
 
 class Order:
@@ -135,18 +161,20 @@ def prefix_rows(docs: DataFrame, order, column: str = "text") -> DataFrame:
     """token, cls, n, pos of the prefix of every class (once per task)."""
 
     def one(batches):
-        hashes, seen, rank = WordHashes(MEMO), set(), order.value.rank
+        seen, rank = set(), order.value.rank
         for b in batches:
             out = [[], [], [], []]
-            for text in bytes_column(b, column):
-                s = shingle_set(text, hashes)
+            for s in shingle_sets(bytes_column(b, column)):
                 n = len(s)
                 if not n or (cls := set_class(s)) in seen:
                     continue
                 seen.add(cls)
                 p = n - (PERCENT * n + 99) // 100 + 1
-                r = rank[buckets_of(s)]
-                first = np.lexsort((s, r))[:p]
+                # by rank, then hash: the set is sorted, so its places stand for the hashes
+                at = rank[buckets_of(s)].astype(np.uint64) << np.uint64(32)
+                at |= np.arange(n, dtype=np.uint64)
+                at.sort()
+                first = (at[:p] & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 out[0].append(s[first].view(np.int64))
                 out[1].append(np.full(p, cls, np.int64))
                 out[2].append(np.full(p, n, np.int32))
@@ -161,18 +189,26 @@ def prefix_rows(docs: DataFrame, order, column: str = "text") -> DataFrame:
 
 
 def segment_rows(docs: DataFrame, wanted, order, column: str = "text") -> DataFrame:
-    """cls, f, tokens: the fragments of the classes in the bit field ``wanted`` (once per task)."""
+    """cls, f, tokens: the fragments of the texts whose key is in the bit field ``wanted`` (once per task).
+
+    Only those texts are cut into shingles.
+    """
 
     def one(batches):
-        hashes, seen, fragment, field = WordHashes(MEMO), set(), order.value.fragment, wanted.value
+        seen, fragment, field = set(), order.value.fragment, wanted.value
+
+        def picked(texts):
+            for text in texts:
+                if text and has(field, key := text_key(text)) and key not in seen:
+                    seen.add(key)
+                    yield text
+
         for b in batches:
             out_c, out_f, out_t = [], [], []
-            for text in bytes_column(b, column):
-                s = shingle_set(text, hashes)
-                if not len(s) or (cls := set_class(s)) in seen or not has(field, cls):
+            for s in shingle_sets(picked(bytes_column(b, column))):
+                if not len(s):
                     continue
-                seen.add(cls)
-                f = fragment[buckets_of(s)]
+                cls, f = set_class(s), fragment[buckets_of(s)]
                 for k in np.unique(f):
                     out_c.append(cls)
                     out_f.append(int(k))
@@ -192,22 +228,24 @@ def _segments(c, f, t) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()), pa.array(f, pa.int32()), tokens], names=["cls", "f", "tokens"])
 
 
-def counted_links(pairs: DataFrame, docs: DataFrame, order, column: str = "text") -> DataFrame:
+def counted_links(pairs: DataFrame, docs: DataFrame, sets: DataFrame, order, column: str = "text") -> DataFrame:
     """The pairs (a, b, na, nb) that link: partial overlaps per fragment, summed per pair.
 
-    Only the classes in ``pairs`` are cut into fragments: a bit field of fixed size picks
-    them in the scan, the join after it is exact.
+    Only the classes in ``pairs`` are cut into fragments, each from one of its texts: a bit
+    field of fixed size picks those texts in the scan, the join after it is exact.
     """
     spark = docs.sparkSession
     ends = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
-    ends = written(ends, "join-classes")
-    wanted = spark.sparkContext.broadcast(id_filter(ends, "cls"))
+    ends = written(sets.join(ends, "cls", "left_semi").groupBy("cls").agg(F.min("txt").alias("txt")), "join-classes")
+    wanted = spark.sparkContext.broadcast(id_filter(ends, "txt"))
     segments = segment_rows(docs, wanted, order, column).join(ends, "cls", "left_semi")
     segments = written(segments.groupBy("cls", "f").agg(F.first("tokens").alias("tokens")), "join-segments")
     wanted.destroy()
     left = segments.select(F.col("cls").alias("a"), "f", F.col("tokens").alias("ta"))
     right = segments.select(F.col("cls").alias("b"), "f", F.col("tokens").alias("tb"))
-    partial = pairs.join(left, "a").join(right, ["b", "f"]).select(
+    # both joins have the keys of a fragment, so one exchange of the fragments serves both
+    parts = pairs.withColumn("f", F.explode(F.array(*map(F.lit, range(FRAGMENTS)))))
+    partial = parts.join(left, ["a", "f"]).join(right, ["b", "f"]).select(
         "a", "b", "na", "nb", F.size(F.array_intersect("ta", "tb")).alias("part")
     )
     both = partial.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("common"))
@@ -216,16 +254,25 @@ def counted_links(pairs: DataFrame, docs: DataFrame, order, column: str = "text"
 
 
 def may_link(x: str, y: str, before) -> Column:
-    """Exact bound for two rows of one list: sizes, and what can still be common.
+    """Exact bounds for two rows of one list: sizes, and what can still be common.
 
-    ``before`` bounds the common shingles ahead of this one (0 if it is the first)."""
+    ``before`` bounds the common shingles ahead of this one (0 if it is the first). Common
+    shingles up to the end of the prefix that ends first stand in lists of both classes.
+    """
 
     def c(side, name):
         return F.col(f"{side}.{name}")
 
+    def after_prefix(side):
+        return F.ceil(PERCENT * c(side, "n") / 100) - 1
+
+    def enough(common):
+        return (100 + PERCENT) * common >= PERCENT * (c(x, "n") + c(y, "n"))
+
     room = before + 1 + F.least(c(x, "n") - c(x, "pos"), c(y, "n") - c(y, "pos")) - 1
+    listed = before + 1 + F.least(c(x, "later"), c(y, "later")) + F.greatest(after_prefix(x), after_prefix(y))
     near = 100 * F.least(c(x, "n"), c(y, "n")) >= PERCENT * F.greatest(c(x, "n"), c(y, "n"))
-    return near & ((100 + PERCENT) * room >= PERCENT * (c(x, "n") + c(y, "n")))
+    return near & enough(room) & enough(listed)
 
 
 def ordered_pair(x: str, y: str) -> list[Column]:
@@ -248,34 +295,37 @@ def labelled_sets(docs: DataFrame, column: str = "text", mark: str | None = None
     marks = [mark] if mark else []
     both = written(set_rows(docs, column, mark), "join-sets")
     sets = both.filter("chunk IS NULL").select("doc_id", "n", "cls", *marks)
+    keys = both.filter("cls IS NOT NULL").select("cls", "txt")
     order = Order(summed_vector(both.filter("chunk IS NOT NULL").select("chunk", "cells"), BUCKETS))
     order = spark.sparkContext.broadcast(order)
     give_back()
 
-    # lists of several classes; a class that several tasks have sent stands in a list once
+    # lists of several classes; of a class that several tasks have sent one row stays: in a list
+    # sorted by class the last row of the first class, and the first row of every other
     in_list = Window.partitionBy("token").orderBy("cls")
     prev, after = F.lag("cls").over(in_list), F.lead("cls").over(in_list)
-    lists = prefix_rows(docs, order, column).select("*", prev.alias("prev"), after.alias("after"))
-    shared = (F.col("prev") != F.col("cls")) | (F.col("after") != F.col("cls"))
-    once = written(lists.filter(shared).select("token", "cls", "n", "pos"), "join-once")
-    lists = once.dropDuplicates(["token", "cls"])
-    # shared shingles of a class ahead of this one: only those can be common to a pair
+    lists = prefix_rows(docs, order, column).select("*", prev.alias("prev"), after.alias("after"), F.first("cls").over(in_list).alias("least"))
+    once = (F.col("prev") != F.col("cls")) | ((F.col("least") == F.col("cls")) & (F.col("after") != F.col("cls")))
+    lists = lists.filter(once).select("token", "cls", "n", "pos")
+    # shared shingles of a class ahead of this one and behind it: only those can be common to a pair
     ahead = F.row_number().over(Window.partitionBy("cls").orderBy("pos")) - 1
-    lists = written(lists.withColumn("ahead", ahead), "join-ahead")
+    later = F.count(F.lit(1)).over(Window.partitionBy("cls")).cast("int") - 1 - ahead
+    lists = written(lists.select("*", ahead.alias("ahead"), later.alias("later")), "join-ahead")
 
+    item = ["cls", "n", "pos", "ahead", "later"]
     by_own = Window.partitionBy("token").orderBy((F.col("pos") - F.col("ahead")) / F.col("n"), "cls")
-    star = lists.withColumn("hub", F.first(F.struct("cls", "n", "pos", "ahead")).over(by_own))
-    star = star.select(F.struct("cls", "n", "pos", "ahead").alias("x"), F.col("hub").alias("y"))
+    star = lists.withColumn("hub", F.first(F.struct(*item)).over(by_own))
+    star = star.select(F.struct(*item).alias("x"), F.col("hub").alias("y"))
     met = star.filter((F.col("x.cls") != F.col("y.cls")) & may_link("x", "y", F.least("x.ahead", "y.ahead")))
     met = met.select(*ordered_pair("x", "y")).groupBy("a", "b", "na", "nb").agg(F.count(F.lit(1)).alias("lists"))
     # what is left out here is paired below
     tested = written(met.filter(4 * F.col("lists") >= 1 + F.least("na", "nb") / 25).drop("lists"), "join-star")
-    links = counted_links(tested, docs, order, column)
+    links = counted_links(tested, docs, keys, order, column)
     first = connected_components(links)
 
     # lists that still hold several components: their pairs across components
-    labelled = lists.select("token", "cls", "n", "pos").join(first, F.col("cls") == F.col("node"), "left").select(
-        "token", "cls", "n", "pos", F.coalesce("component", "cls").alias("comp")
+    labelled = lists.drop("ahead").join(first, F.col("cls") == F.col("node"), "left").select(
+        "token", "cls", "n", "pos", "later", F.coalesce("component", "cls").alias("comp")
     )
     labelled = written(labelled, "join-labelled")
     split = labelled.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("token")
@@ -288,7 +338,7 @@ def labelled_sets(docs: DataFrame, column: str = "text", mark: str | None = None
     )
     rest = open_lists.alias("x").join(open_lists.alias("y"), across).select(*ordered_pair("x", "y")).distinct()
     rest = written(rest.join(tested.select("a", "b"), ["a", "b"], "left_anti"), "join-rest")
-    linked = connected_components(links.unionByName(counted_links(rest, docs, order, column)))
+    linked = connected_components(links.unionByName(counted_links(rest, docs, keys, order, column)))
 
     labels = sets.join(linked, F.col("cls") == F.col("node"), "left").select(
         "doc_id", "n", "cls", F.coalesce("component", "cls").alias("label"), *marks

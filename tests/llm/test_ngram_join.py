@@ -1,3 +1,4 @@
+import random
 import re
 import tracemalloc
 
@@ -109,6 +110,25 @@ def test_components_of_long_chain_and_star(spark):
     assert connected_components(df.limit(0)).count() == 0
 
 
+def test_words_and_sets_of_odd_texts():
+    pieces = ["a", "B", "b", "ab", "é", "É", "\x85", "\xa0", "\x00", "\x1f", " ", "\t", "\n", "\v", "\f", "\r", "x" * 300]
+    rng = random.Random(3)
+    texts = [None, "", " ", "a", " a", "a "] + ["".join(rng.choices(pieces, k=rng.randrange(60))) for _ in range(300)]
+    texts.append(" ".join(f"Long{i % 977}" for i in range(60_000)))  # above the size of a group
+    known: dict = {}
+    got_sets = list(N.shingle_sets(None if t is None else t.encode() for t in texts))
+    assert len(got_sets) == len(texts)
+    for t, s in zip(texts, got_sets):
+        assert len(s) == len(sets_of(t)) and (np.diff(s.astype(object)) > 0).all()
+        assert known.setdefault(frozenset(sets_of(t)), s.tobytes()) == s.tobytes()
+    assert len(set(known.values())) == len(known)
+    words = [w for t in texts if t for w in t.encode().lower().split()]
+    h, first = arrays.word_hashes([t.encode() for t in texts if t], 1 << 30)
+    assert len(h) == len(words) == first[-1] and len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+    part, _ = arrays.word_hashes([texts[-1].encode()], 1000)
+    assert (part == h[-len(part) :]).all() and len(part) == 60_000
+
+
 def test_order_takes_little_memory():
     counts = np.random.default_rng(1).poisson(3, N.BUCKETS).astype(np.int64)
     counts[77] = 1 << 34
@@ -120,3 +140,25 @@ def test_order_takes_little_memory():
     assert (order.rank[by_count] == np.arange(len(counts))).all()
     assert (np.diff(order.fragment[by_count].astype(int)) >= 0).all()
     assert peak < 2.5 * counts.nbytes
+
+
+def test_only_picked_texts_are_cut(spark):
+    words = " ".join(f"w{i}" for i in range(30))
+    texts = [words, words.replace(" ", "  "), words.upper(), words + " end", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    keys = spark.createDataFrame([(N.text_key(texts[1].encode()),)], "txt long")
+    order = spark.sparkContext.broadcast(N.Order(np.ones(N.BUCKETS, dtype=np.int64)))
+    field = spark.sparkContext.broadcast(arrays.id_filter(keys, "txt"))
+    (want,) = N.shingle_sets([words.encode()])
+    rows = N.segment_rows(df, field, order).collect()
+    assert {r["cls"] for r in rows} == {N.set_class(want)}
+    assert sorted(t for r in rows for t in r["tokens"]) == sorted(want.view(np.int64).tolist())
+
+
+def test_chance_shingles_make_no_pair(spark):
+    # of 100 shingles each, one listed: what follows the prefix cannot make up the overlap
+    kind = "struct<cls:long,n:int,pos:int,ahead:int,later:int>"
+    rows = [((1, 100, 0, 0, later), (2, 100, 0, 0, later)) for later in (0, 7, 8, 9, 20)]
+    df = spark.createDataFrame(rows, f"x {kind}, y {kind}")
+    got_flags = [r["may"] for r in df.select(N.may_link("x", "y", N.F.lit(0)).alias("may")).collect()]
+    assert got_flags == [100 * (79 + 1 + later) >= 80 * (200 - 79 - 1 - later) for later in (0, 7, 8, 9, 20)]
